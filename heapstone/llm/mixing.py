@@ -30,8 +30,8 @@ def source_targets(sizes: DataFrame, cycle: tuple[float, ...] = (3.0, 1.0, 2.0),
     by_cap = Window.orderBy(F.col("source_size") / F.col("_w"), F.col("source").asc_nulls_last())
     before, after, all_rows = by_cap.rowsBetween(Window.unboundedPreceding, -1), by_cap.rowsBetween(0, Window.unboundedFollowing), Window.orderBy(F.lit(0)).rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)
     left = F.lit(share) * F.sum("source_size").over(all_rows) - F.lit(cap) * F.coalesce(F.sum("source_size").over(before), F.lit(0))
-    levelled = weighed.withColumn("_level", left / F.sum("_w").over(after)).withColumn("_open", F.col("_level") * F.col("_w") <= F.lit(cap) * F.col("source_size"))
-    level = F.min(F.when(F.col("_open"), F.col("_level"))).over(all_rows)
+    levelled = weighed.withColumn("_rank", F.row_number().over(by_cap)).withColumn("_level", left / F.sum("_w").over(after)).withColumn("_open", F.col("_level") * F.col("_w") <= F.lit(cap) * F.col("source_size"))
+    level = F.min(F.when(F.col("_open"), F.struct("_rank", "_level"))).over(all_rows)["_level"]
     return levelled.withColumn("_share", level * F.col("_w")).select("source", F.col("source_size").cast("long"), F.least(F.coalesce("_share", F.lit(cap) * F.col("source_size")), F.lit(cap) * F.col("source_size")).cast("double").alias("target"))
 
 

@@ -16,11 +16,12 @@ ranked AS (
   SELECT *, CASE (row_number() OVER (ORDER BY source NULLS LAST) - 1) % 3 WHEN 0 THEN 3.0::DOUBLE WHEN 1 THEN 1.0::DOUBLE ELSE 2.0::DOUBLE END AS w FROM sources),
 levels AS (
   SELECT *, (1.5::DOUBLE * sum(source_size) OVER () - 2.0::DOUBLE * coalesce(sum(source_size) OVER (ORDER BY source_size / w, source NULLS LAST ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0))
-            / sum(w) OVER (ORDER BY source_size / w, source NULLS LAST ROWS BETWEEN CURRENT ROW AND UNBOUNDED FOLLOWING) AS level
+            / sum(w) OVER (ORDER BY source_size / w, source NULLS LAST ROWS BETWEEN CURRENT ROW AND UNBOUNDED FOLLOWING) AS level,
+            row_number() OVER (ORDER BY source_size / w, source NULLS LAST) AS place
   FROM ranked),
 targets AS (
   SELECT source, source_size,
-         least(coalesce((SELECT min(level) FROM levels WHERE level * w <= 2.0 * source_size) * w, 2.0::DOUBLE * source_size), 2.0::DOUBLE * source_size) AS target
+         least(coalesce((SELECT level FROM levels WHERE level * w <= 2.0 * source_size ORDER BY place LIMIT 1) * w, 2.0::DOUBLE * source_size), 2.0::DOUBLE * source_size) AS target
   FROM levels),
 placed AS (
   SELECT d.doc_id, d.size, t.source_size, t.target,
@@ -60,3 +61,38 @@ verdicts AS (SELECT source, (f + m * s) / (n + s) >= 0.6 AS rejected FROM hosts,
 SELECT doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base_failed, NOT base_failed AND NOT rejected AS kept
 FROM failed JOIN verdicts ON failed.source IS NOT DISTINCT FROM verdicts.source
 """
+
+CHAT = """
+WITH turns AS (
+  SELECT DISTINCT conv_id, turn, coalesce(role, '') AS role, coalesce(text, '') AS text FROM conversations WHERE conv_id IS NOT NULL),
+placed AS (
+  SELECT *, row_number() OVER (PARTITION BY conv_id ORDER BY turn NULLS FIRST, role, text) - 1 AS pos, count(*) OVER (PARTITION BY conv_id) AS len FROM turns),
+prefixes AS (
+  SELECT conv_id, pos, len, md5(string_agg(md5(role || chr(1) || text), '') OVER (PARTITION BY conv_id ORDER BY pos ROWS UNBOUNDED PRECEDING)) AS h FROM placed),
+ends AS (SELECT h, min(conv_id) AS conv_id FROM prefixes WHERE pos = len - 1 GROUP BY h),
+kept AS (SELECT conv_id FROM ends WHERE h NOT IN (SELECT h FROM prefixes WHERE pos < len - 1))
+SELECT conv_id, max(len)::BIGINT AS n_turns, 0 AS part, 1 AS n_parts,
+       string_agg('<|' || CASE lower(trim(role)) WHEN 'user' THEN 'user' WHEN 'human' THEN 'user' WHEN 'assistant' THEN 'assistant' WHEN 'bot' THEN 'assistant' WHEN 'system' THEN 'system' ELSE role END
+                  || '|>' || chr(10) || trim(text) || chr(10) || chr(10), '' ORDER BY pos) AS text
+FROM placed JOIN kept USING (conv_id) GROUP BY conv_id
+"""
+
+NEAR_DEDUP = f"""
+WITH RECURSIVE words AS (
+  SELECT doc_id, regexp_extract_all(translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '{WORD}') AS w FROM documents WHERE text IS NOT NULL),
+flat AS (SELECT doc_id, unnest(w) AS word, unnest(range(len(w))) AS i, len(w) AS n FROM words WHERE len(w) > 0),
+shingles AS (
+  SELECT DISTINCT doc_id, CASE WHEN n >= 3 THEN three ELSE whole END AS s
+  FROM (SELECT doc_id, n, i, word || ' ' || lead(word) OVER p || ' ' || lead(word, 2) OVER p AS three,
+               word || coalesce(' ' || lead(word) OVER p, '') AS whole FROM flat WINDOW p AS (PARTITION BY doc_id ORDER BY i))
+  WHERE (n >= 3 AND three IS NOT NULL) OR (n < 3 AND i = 0)),
+sizes AS (SELECT doc_id, count(*) AS n FROM shingles GROUP BY doc_id),
+pairs AS (SELECT a.doc_id AS x, b.doc_id AS y, count(*) AS common FROM shingles a JOIN shingles b ON a.s = b.s AND a.doc_id < b.doc_id GROUP BY 1, 2),
+links AS (
+  SELECT x, y FROM pairs JOIN sizes p ON p.doc_id = x JOIN sizes q ON q.doc_id = y WHERE 100 * common >= 85 * (p.n + q.n - common)),
+sym AS (SELECT x, y FROM links UNION ALL SELECT y, x FROM links),
+reach(doc_id, r) AS (SELECT doc_id, doc_id FROM documents UNION SELECT reach.doc_id, sym.y FROM reach JOIN sym ON reach.r = sym.x),
+found AS (SELECT doc_id, min(r) AS component_id FROM reach GROUP BY doc_id)
+SELECT d.doc_id, coalesce(s.n, 0)::BIGINT AS n_shingles, f.component_id, d.doc_id = f.component_id AS kept
+FROM documents d JOIN found f USING (doc_id) LEFT JOIN sizes s USING (doc_id)
+"""
