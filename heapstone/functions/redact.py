@@ -1,0 +1,35 @@
+"""Redaction with stable tokens: the same value has the same token throughout a text."""
+
+from __future__ import annotations
+
+from pyspark.sql import Column
+from pyspark.sql import functions as F
+
+#: Kinds of secrets in the order they are replaced, with their patterns (Java syntax).
+PATTERNS = (
+    ("env", r"(?i)\b[A-Z0-9_]*(?:TOKEN|SECRET|PASSWORD|PASSWD|API_KEY|CREDENTIAL)[A-Z0-9_]*=[^\s,;]+"),
+    ("path", r"(?<![\w/<])/(?:[\w.-]+/)+[\w.-]+"),
+    ("windows-path", r"\b[A-Za-z]:\\(?:[\w.-]+\\)*[\w.-]+"),
+    ("ip", r"\b(?:\d{1,3}\.){3}\d{1,3}\b"),
+    ("host", r"\b(?:[a-z0-9-]+\.)+(?:internal|local|corp|lan|com|net|org)\b"),
+)
+
+
+def tokens(text: Column, kind: str, pattern: str) -> Column:
+    """Distinct values of a kind in order of appearance."""
+    return F.array_distinct(F.regexp_extract_all(text, F.lit(pattern), F.lit(0)))
+
+
+def replace_all(text: Column, values: Column, kind: str) -> Column:
+    """Each value by <kind-k>, k from 1 in the values' order; longer values first, so none is replaced inside another."""
+    numbered = F.transform(values, lambda v, k: F.struct((-F.length(v)).alias("l"), v.alias("v"), F.concat(F.lit(f"<{kind}-"), (k + 1).cast("string"), F.lit(">")).alias("t")))
+    return F.aggregate(F.array_sort(numbered), text, lambda done, x: F.replace(done, x["v"], x["t"]))
+
+
+def redact(text: Column, kinds: tuple[str, ...] = tuple(k for k, _ in PATTERNS)) -> Column:
+    """All kinds, one after the other. Null stays null."""
+    done = text
+    for kind, pattern in PATTERNS:
+        if kind in kinds:
+            done = replace_all(done, tokens(done, kind, pattern), kind)
+    return done

@@ -2,5 +2,7 @@
 
 from __future__ import annotations
 
-QUERIES: dict = {}
-SQL: dict[str, str] = {}
+from heapstone.plans import aggregates, joins, rules, texts, timelines  # noqa: F401
+from heapstone.plans.base import QUERIES, SQL
+
+__all__ = ["QUERIES", "SQL"]
