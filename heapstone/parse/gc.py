@@ -30,6 +30,14 @@ SIGNALS = (
 )
 
 
+#: Collectors and the texts that tell them, the first that fits.
+COLLECTORS = (
+    ("ZGC", ("z garbage collector", "using zgc")), ("G1", ("using g1", "g1 evacuation pause", "g1 compaction pause", "garbage-first")),
+    ("CMS", ("concurrent mark sweep", "[gc,cms", "cms initial mark", "cms final remark", "cms-remark", "cms-concurrent", "parnew", "[cms:", "concurrent mode failure")),
+    ("Parallel", ("parallel gc", "parallel scavenge", "using parallel", "psyounggen", "paroldgen", "ps old gen", "parallel old")), ("Serial", ("serial gc", "using serial", "defnew", "serial old", "tenured generation", "tenured:", "marksweepcompact")),
+)
+
+
 def gc_lines(lines: DataFrame) -> DataFrame:
     """Lines with their clocks and GC number."""
     elapsed = F.coalesce(number(L, r"\[(\d+\.\d+)s\]"), number(L, r"^(?:\S+[+-]\d{4}: )?(\d+\.\d{3}): \["))
@@ -43,8 +51,8 @@ def _context(df: DataFrame, *columns: Column) -> DataFrame:
 
 def pause_type(event: Column) -> Column:
     """First kind that the event's text shows."""
-    low = F.lower(event)
-    order = (("FULL", "full"), ("DEGENERATED", "degenerated"), ("INIT_MARK", "init"), ("INIT_MARK", "concurrent start"), ("INIT_MARK", "initial-mark"), ("FINAL_MARK", "final mark"), ("REMARK", "remark"), ("CLEANUP", "cleanup"), ("MIXED", "mixed"), ("YOUNG", "young"), ("UPDATE_REFS", "update refs"))
+    low = F.translate(F.lower(event), "-", " ")
+    order = (("FULL", "full"), ("DEGENERATED", "degenerated"), ("INIT_MARK", "init mark"), ("INIT_MARK", "initial mark"), ("FINAL_MARK", "final mark"), ("REMARK", "remark"), ("CLEANUP", "cleanup"), ("MIXED", "mixed"), ("YOUNG", "young"), ("UPDATE_REFS", "update refs"))
     kind = F.lit("OTHER")
     for name, text in reversed(order):
         kind = F.when(low.contains(text), F.lit(name)).otherwise(kind)
@@ -158,7 +166,7 @@ def phases(lines: DataFrame) -> DataFrame:
     seconds = F.coalesce(number(L, legacy, 2), number(L, legacy, 4))
     both = _context(new, name.alias("phase"), number(body, pattern, 2).alias("duration_ms")).unionByName(_context(old, old_name.alias("phase"), (seconds * 1000).alias("duration_ms")))
     low = F.lower("phase")
-    kind = F.when(low.contains("concurrent"), "CONCURRENT").when(low.startswith("pause"), "PAUSE").when(low.contains("compact"), "COMPACTION").when(low.contains("mark"), "MARKING").when(low.contains("evacuat"), "EVACUATION").otherwise("OTHER")
+    kind = F.when(low.startswith("concurrent") | low.startswith("cms-concurrent"), "CONCURRENT").when(low.startswith("pause"), "PAUSE_PHASE").when(low.startswith("phase "), "FULL_GC_PHASE").when(low.contains("evacuate") | low.contains("heap roots") | (low == "other"), "PAUSE_BREAKDOWN").otherwise("OTHER")
     return both.where("phase <> ''").withColumn("phase_kind", kind)
 
 
@@ -185,7 +193,9 @@ def collectors(artifacts: DataFrame) -> DataFrame:
     """artifact_id, collector."""
     low = F.lower("content")
     has = lambda *t: sum((low.contains(x).cast("int") for x in t), F.lit(0)) > 0
-    name = F.when(has("using g1", "g1 evacuation", "g1 young", "g1 humongous", "garbage-first"), "G1").when(has("z garbage collector", "using zgc", "the z garbage", "allocation stall"), "ZGC").when(has("shenandoah"), "Shenandoah").when(has("concurrent mark sweep", "using concurrent mark", "cms-"), "CMS").when(has("using parallel", "psyounggen", "paroldgen", "psoldgen"), "Parallel").when(has("using serial", "defnew", "tenured"), "Serial").otherwise("UNKNOWN")
+    name = F.lit("UNKNOWN")
+    for collector, texts in reversed(COLLECTORS):
+        name = F.when(has(*texts), F.lit(collector)).otherwise(name)
     return artifacts.select("artifact_id", name.alias("collector"))
 
 

@@ -15,17 +15,24 @@ L, KEY = F.col("line"), "artifact_id"
 # --- heap histogram ---
 
 _ROW = r"^\s*(\d+):\s+(\d+)\s+(\d+)\s+(\S.*?)\s*$"
-#: Families of classes by their names (Java patterns).
-FAMILIES = {
-    "byte_array": r"^\[B$", "string_like": r"^java\.lang\.String(?:Builder|Buffer)?$|^\[C$", "payload_like": r"^\[B$|^\[C$|^java\.lang\.String$|ByteBuffer", "collection_like": r"java\.util\.(?:concurrent\.)?[\w$]*(?:Map|List|Set|Queue|Deque|Vector|Hashtable)(?:\$\w+)?|^\[Ljava\.util\..*(?:Node|Entry)",
-    "cache_like": r"(?i)cache|caffeine|guava\.|ehcache|hazelcast|HashMap\$(?:Node|Entry)|ConcurrentHashMap\$Node", "entry_like": r"\$(?:Map)?(?:Entry|Node|TreeNode)\b", "reference_like": r"java\.lang\.ref\.|Reference$|Finalizer", "thread_like": r"\bThread(?:Local)?\b|Thread\$",
+#: Families of classes. Names that match whole, and parts of the name in lower case.
+WHOLE = {"byte_array": ("[B",), "string_like": ("java.lang.String", "[C"), "payload_like": ("[B", "[C", "java.lang.String"), "thread_like": ("java.lang.Thread",)}
+PARTS = {
+    "collection_like": ("map", "list", "set", "queue", "deque", "vector", "properties", "collection", "$entry", "$node"), "cache_like": ("cache", "$entry", "$node"), "entry_like": ("$entry", "$node"), "reference_like": ("reference",),
 }
+FAMILIES = (*WHOLE, *PARTS)
+
+
+def families(name: Column) -> dict[str, Column]:
+    """A flag for each family."""
+    any_part = lambda parts: F.exists(F.array(*map(F.lit, parts)), lambda x: F.lower(name).contains(x))
+    return {k: name.isin(*v) for k, v in WHOLE.items()} | {k: any_part(v) for k, v in PARTS.items()}
 
 
 def histogram(lines: DataFrame) -> DataFrame:
     """artifact_id, rank, instances, bytes, class_name, and a flag for each family."""
     rows = lines.where(L.rlike(_ROW)).select(KEY, number(L, _ROW, 1, "long").alias("rank"), number(L, _ROW, 2, "long").alias("instances"), number(L, _ROW, 3, "long").alias("bytes"), F.regexp_replace(F.regexp_extract(L, _ROW, 4), r"\s+\([\w.@/-]+\)$", "").alias("class_name"))
-    return rows.withColumns({name: F.col("class_name").rlike(pattern) for name, pattern in FAMILIES.items()})
+    return rows.withColumns(families(F.col("class_name")))
 
 
 def histogram_totals(lines: DataFrame) -> DataFrame:
@@ -121,7 +128,7 @@ def nmt_summary(lines: DataFrame) -> DataFrame:
         zero(first(pair, 1, meta), "metaspace_reserved_kb"), zero(first(pair, 2, meta), "metaspace_committed_kb"), zero(first(used, 1, meta), "metaspace_used_kb"), zero(first(used, 2, meta), "metaspace_used_delta_kb"),
         zero(first(pair, 1, space), "class_space_reserved_kb"), zero(first(pair, 2, space), "class_space_committed_kb"), zero(first(used, 1, space), "class_space_used_kb"), zero(first(used, 2, space), "class_space_used_delta_kb"),
     )
-    inner = F.col("category").isin("Internal", "Arena Chunk", "Arena", "Other", "Unknown")
+    inner = F.col("category").isin("Internal", "Unknown", "Arena Chunk")
     native = ~F.col("category").isin("Java Heap", "Metaspace")
     pick = lambda name, c: F.coalesce(F.max(F.when(F.col("category") == name, F.col(c))), F.lit(0))
     sums = nmt_categories(lines).groupBy(KEY).agg(

@@ -11,7 +11,7 @@ CONTAINER = (
     Rule("container-memory-high-pressure", "high_defined AND high_bytes > 0 AND (usage_of_high_ratio >= 1.0 OR high_events > 0)", "MEDIUM", (("HIGH", "usage_of_high_ratio >= 1.10 OR high_events >= 50 OR memory_full_avg10 >= 0.10"),)),
     Rule("container-memory-oom-events", "oom_events > 0 OR oom_kill_events > 0", "CRITICAL"),
     Rule("container-memory-reclaim-stalls", "memory_some_avg10 >= 1.0 OR memory_some_avg60 >= 0.5 OR memory_full_avg10 >= 0.10 OR memory_full_avg60 >= 0.05", "MEDIUM", (("HIGH", "memory_full_avg10 >= 0.50 OR memory_some_avg10 >= 5.0"),)),
-    Rule("container-cpu-quota-or-processor-mis-sizing", "(cpu_ceiling_cores > 0 AND cpu_ceiling_cores <= 1.0) OR throttled > 0 AND (throttled_ratio >= 0.05 OR throttled_ms >= 1000) OR cpu_some_avg10 >= 1.0 OR cpu_full_avg10 >= 0.10", "MEDIUM", (("HIGH", "throttled_ratio >= 0.25 OR throttled_ms >= 5000 OR cpu_full_avg10 >= 0.10 OR cpu_ceiling_cores > 0 AND cpu_ceiling_cores <= 0.5"),)),
+    Rule("container-cpu-quota-or-processor-mis-sizing", "(cpu_ceiling_cores > 0 AND cpu_ceiling_cores <= 1.0) OR throttled > 0 AND (throttled_ratio >= 0.10 OR throttled_ms >= 1000) OR cpu_some_avg10 >= 1.0 OR cpu_full_avg10 >= 0.05", "MEDIUM", (("HIGH", "throttled_ratio >= 0.25 OR throttled_ms >= 5000 OR cpu_full_avg10 >= 0.10 OR cpu_ceiling_cores > 0 AND cpu_ceiling_cores <= 0.5"),)),
 )
 
 GC = (
@@ -67,8 +67,8 @@ JFR = (
 
 NMT = (
     Rule("nmt-native-allocation-growth", "committed_delta_kb >= 16384", "MEDIUM", (("HIGH", "committed_delta_kb >= 65536"),)),
-    Rule("nmt-internal-arena-growth", "(snapshot_kind = 'diff' AND internal_committed_delta_kb >= 16384) OR (snapshot_kind = 'summary' AND internal_committed_kb >= 32768 AND internal_committed_kb >= 0.20 * non_heap_committed_kb)", "MEDIUM", (("HIGH", "internal_committed_delta_kb >= 32768 OR internal_committed_kb >= 49152 OR internal_committed_kb >= 0.35 * non_heap_committed_kb"),)),
-    Rule("nmt-reserved-committed-mismatch", "non_heap_gap_kb >= 262144 AND non_heap_commit_ratio <= 0.35", "MEDIUM"),
+    Rule("nmt-internal-arena-growth", "(internal_committed_delta_kb >= 16384 AND (internal_committed_delta_kb >= 0.35 * committed_delta_kb OR internal_committed_delta_kb >= 24576)) OR (snapshot_kind <> 'diff' AND internal_committed_kb >= 32768 AND internal_committed_kb >= 0.20 * committed_kb)", "MEDIUM", (("HIGH", "internal_committed_delta_kb >= 32768 OR internal_committed_kb >= 49152 OR internal_committed_kb >= 0.35 * committed_kb"),)),
+    Rule("nmt-reserved-committed-mismatch", "non_heap_reserved_kb >= 262144 AND non_heap_gap_kb >= 196608 AND non_heap_committed_kb > 0 AND non_heap_commit_ratio <= 0.25", "MEDIUM"),
     Rule("nmt-metaspace-pressure", "metaspace_committed_kb > 0 AND metaspace_used_kb / metaspace_committed_kb >= 0.85", "HIGH"),
     Rule("nmt-compressed-class-space-pressure", "(class_space_committed_kb > 0 AND class_space_used_kb / class_space_committed_kb >= 0.90) OR (class_space_reserved_kb > 0 AND class_space_used_kb / class_space_reserved_kb >= 0.85) OR class_space_used_delta_kb >= 4096", "MEDIUM", (("HIGH", "(class_space_committed_kb > 0 AND class_space_used_kb / class_space_committed_kb >= 0.97) OR (class_space_reserved_kb > 0 AND class_space_used_kb / class_space_reserved_kb >= 0.95)"),)),
     Rule("nmt-class-metadata-growth", "snapshot_kind = 'diff' AND (class_count_delta >= 5000 OR class_committed_delta_kb >= 8192 OR metaspace_used_delta_kb >= 8192)", "MEDIUM", (("HIGH", "class_count_delta >= 20000 OR class_committed_delta_kb >= 16384 OR metaspace_used_delta_kb >= 16384"),)),

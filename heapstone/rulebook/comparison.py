@@ -11,9 +11,9 @@ _SAME = "b_collector = c_collector"
 
 GC = (
     Rule("compare-gc-collector-change", "trim(b_collector) <> '' AND trim(c_collector) <> '' AND b_collector <> c_collector", "MEDIUM", (("HIGH", "c_p95_pause_ms >= 250 OR c_full_gc_count >= 2"),)),
-    Rule("compare-gc-pause-regression", "c_max_pause_ms >= b_max_pause_ms + 100 OR c_p95_pause_ms >= b_p95_pause_ms + 50 OR c_stop_the_world_pct >= b_stop_the_world_pct + 5", "HIGH", (("CRITICAL", "c_max_pause_ms >= 1000 OR c_p95_pause_ms >= 750 OR c_stop_the_world_pct >= 20"),)),
-    Rule("compare-gc-full-gc-regression", "c_full_gc_count >= b_full_gc_count + 1 AND c_full_gc_count >= 1", "HIGH", (("CRITICAL", "c_full_gc_count >= 5 OR c_max_full_gc_pause_ms >= 500 OR c_peak_post_gc_occupancy_ratio >= 0.98"),)),
-    Rule("compare-gc-headroom-regression", "c_peak_post_gc_occupancy_ratio >= 0.85 AND (c_peak_post_gc_occupancy_ratio >= b_peak_post_gc_occupancy_ratio + 0.05 OR c_near_capacity_count > b_near_capacity_count)", "HIGH", (("CRITICAL", "c_peak_post_gc_occupancy_ratio >= 0.98 OR c_near_capacity_count >= 3"),)),
+    Rule("compare-gc-pause-regression", "c_p95_pause_ms > 0 AND ((b_p95_pause_ms <= 0 AND c_p95_pause_ms >= 100) OR (b_p95_pause_ms > 0 AND c_p95_pause_ms >= greatest(100, 1.75 * b_p95_pause_ms) AND c_p95_pause_ms - b_p95_pause_ms >= 40) OR c_max_pause_ms >= greatest(250, b_max_pause_ms + 100) OR c_stop_the_world_pct >= greatest(5, 1.5 * b_stop_the_world_pct + 2))", "HIGH", (("CRITICAL", "c_max_pause_ms >= 1000 OR c_p95_pause_ms >= 750 OR c_stop_the_world_pct >= 20"),)),
+    Rule("compare-gc-full-gc-regression", "c_full_gc_count > 0 AND ((b_full_gc_count = 0 AND c_full_gc_count >= 2) OR c_full_gc_count >= b_full_gc_count + 2 OR (b_max_full_gc_pause_ms > 0 AND c_max_full_gc_pause_ms >= b_max_full_gc_pause_ms + 100) OR (c_full_gc_count >= b_full_gc_count + 1 AND c_peak_post_gc_occupancy_ratio >= 0.95))", "HIGH", (("CRITICAL", "c_full_gc_count >= 5 OR c_max_full_gc_pause_ms >= 500 OR c_peak_post_gc_occupancy_ratio >= 0.98"),)),
+    Rule("compare-gc-headroom-regression", "c_peak_post_gc_occupancy_ratio > 0 AND ((b_peak_post_gc_occupancy_ratio <= 0 AND c_peak_post_gc_occupancy_ratio >= 0.90) OR (c_peak_post_gc_occupancy_ratio >= b_peak_post_gc_occupancy_ratio + 0.05 AND c_peak_post_gc_occupancy_ratio >= 0.90) OR c_near_capacity_count >= b_near_capacity_count + 2 OR (b_average_post_gc_occupancy_ratio > 0 AND c_average_post_gc_occupancy_ratio >= b_average_post_gc_occupancy_ratio + 0.05 AND c_average_post_gc_occupancy_ratio >= 0.85))", "HIGH", (("CRITICAL", "c_peak_post_gc_occupancy_ratio >= 0.98 OR c_near_capacity_count >= 3"),)),
     Rule("compare-gc-g1-distress-regression", f"{_SAME} AND c_collector = 'G1' AND (c_evacuation_failure_pause_count > b_evacuation_failure_pause_count OR c_to_space_exhausted_count > b_to_space_exhausted_count OR c_full_compaction_attempt_count > b_full_compaction_attempt_count OR c_low_reclaim_full_count > b_low_reclaim_full_count)", "HIGH", (("CRITICAL", "c_to_space_exhausted_count > b_to_space_exhausted_count OR c_full_compaction_attempt_count > b_full_compaction_attempt_count"),)),
     Rule("compare-gc-cms-fallback-regression", f"{_SAME} AND c_collector = 'CMS' AND (c_concurrent_mode_failure_count > b_concurrent_mode_failure_count OR c_promotion_failed_count > b_promotion_failed_count OR c_concurrent_phase_count > b_concurrent_phase_count OR coalesce(c_longest_concurrent_phase_ms, 0) - coalesce(b_longest_concurrent_phase_ms, 0) > 250)", "HIGH", (("CRITICAL", "c_concurrent_mode_failure_count > b_concurrent_mode_failure_count OR c_promotion_failed_count > b_promotion_failed_count"),)),
     Rule("compare-gc-stop-the-world-pressure-regression", f"{_SAME} AND c_collector IN ('Serial', 'Parallel') AND NOT (c_full_gc_streak - b_full_gc_streak <= 1 AND coalesce(c_average_full_post_gc_occupancy_ratio, 0) - coalesce(b_average_full_post_gc_occupancy_ratio, 0) < 0.05 AND coalesce(c_average_reclaimed_mb, 0) - coalesce(b_average_reclaimed_mb, 0) <= 0)", "MEDIUM", (("HIGH", "c_full_gc_streak - b_full_gc_streak > 1 OR coalesce(c_average_full_post_gc_occupancy_ratio, 0) - coalesce(b_average_full_post_gc_occupancy_ratio, 0) >= 0.08"),)),
@@ -44,17 +44,20 @@ THREADS = (
     Rule("compare-thread-dump-deadlock-appeared", "NOT b_deadlock AND c_deadlock", "CRITICAL"),
     Rule("compare-thread-dump-deadlock-resolved", "b_deadlock AND NOT c_deadlock", "LOW"),
     Rule("compare-thread-dump-contention-hotspot", "c_monitor_waiters >= 2 AND (c_monitor_waiters > b_monitor_waiters OR c_monitor_blocked > b_monitor_blocked)", "MEDIUM", (("HIGH", "c_monitor_blocked >= 3 OR c_monitor_waiters >= 4"),)),
-    Rule("compare-thread-dump-pool-stall", "(c_pool_blocked >= 2 OR c_pool_stalled >= 2) AND (c_pool_blocked > b_pool_blocked OR c_pool_stalled > b_pool_stalled)", "MEDIUM", (("HIGH", "c_pool_blocked >= 3 OR c_pool_stalled >= 4"),)),
-    Rule("compare-thread-dump-blocked-growth", "c_blocked_count >= 3 AND c_blocked_count >= b_blocked_count + 2", "MEDIUM", (("HIGH", "c_blocked_count >= 8"),)),
+    Rule("compare-thread-dump-pool-stall", "(c_pool_blocked >= 2 OR (c_pool_threads >= 3 AND c_pool_runnable = 0 AND c_pool_stalled >= 2)) AND (NOT (b_pool_blocked >= 2 OR (b_pool_threads >= 3 AND b_pool_runnable = 0 AND b_pool_stalled >= 2)) OR c_pool_stalled >= b_pool_stalled + 2 OR c_pool_blocked >= b_pool_blocked + 2 OR (b_pool_runnable > 0 AND c_pool_runnable = 0 AND c_pool_stalled > b_pool_stalled))", "MEDIUM", (("HIGH", "c_pool_blocked >= 3 OR c_pool_stalled >= 4"),)),
+    Rule("compare-thread-dump-blocked-growth", "c_blocked_count - b_blocked_count >= 3 AND (c_blocked_count >= 8 OR (c_blocked_count >= 4 AND 5 * c_blocked_count >= c_thread_count))", "MEDIUM", (("HIGH", "c_blocked_count >= 8"),)),
 )
 
-JFR = (
-    Rule("compare-jfr-lock-contention-regression", "c_lock_count > 0 AND (c_lock_max_ms >= b_lock_max_ms + 100 OR c_lock_total_ms >= b_lock_total_ms + 200 OR c_lock_count >= b_lock_count + 5)", "MEDIUM", (("HIGH", "c_lock_max_ms >= 500 OR c_lock_total_ms >= 1000"),)),
-    Rule("compare-jfr-gc-pause-regression", "c_gc_count > 0 AND (c_gc_max_ms >= b_gc_max_ms + 100 OR c_gc_total_ms >= b_gc_total_ms + 300)", "MEDIUM", (("HIGH", "c_gc_max_ms >= 1000 OR c_gc_total_ms >= 1500"),)),
+#: Length of both recordings in ms (1 at least), lock events by the minute.
+_B_MS, _C_MS = (f"greatest(1.0, ({p}_end_us - {p}_start_us) / 1000.0)" for p in "bc")
+_B_RATE, _C_RATE = (f"({p}_lock_count * 60000.0 / {ms})" for p, ms in (("b", _B_MS), ("c", _C_MS)))
+\JFR = (
+    Rule("compare-jfr-lock-contention-regression", f"c_lock_count >= 2 AND ((b_lock_count = 0 AND (c_lock_total_ms >= 250 OR c_lock_max_ms >= 150)) OR (b_lock_count > 0 AND {_C_RATE} >= 1.5 * {_B_RATE} AND {_C_RATE} - {_B_RATE} >= 1) OR (b_lock_total_ms > 0 AND c_lock_total_ms / {_C_MS} >= greatest(0.03, 1.5 * b_lock_total_ms / {_B_MS}) AND c_lock_total_ms / {_C_MS} - b_lock_total_ms / {_B_MS} >= 0.02) OR (b_lock_total_ms > 0 AND c_lock_total_ms >= b_lock_total_ms + 150 AND c_lock_total_ms >= 2 * b_lock_total_ms) OR c_lock_max_ms >= greatest(100, b_lock_max_ms + 50))", "MEDIUM", (("HIGH", f"c_lock_max_ms >= 500 OR c_lock_total_ms >= 1000 OR c_lock_total_ms / {_C_MS} >= 0.10"),)),
+    Rule("compare-jfr-gc-pause-regression", f"c_gc_count > 0 AND ((b_gc_count = 0 AND (c_gc_total_ms >= 300 OR c_gc_max_ms >= 200)) OR (b_gc_total_ms > 0 AND c_gc_total_ms / {_C_MS} >= greatest(0.04, 1.5 * b_gc_total_ms / {_B_MS}) AND c_gc_total_ms / {_C_MS} - b_gc_total_ms / {_B_MS} >= 0.02) OR (b_gc_total_ms > 0 AND c_gc_total_ms >= b_gc_total_ms + 250 AND c_gc_total_ms >= 1.5 * b_gc_total_ms) OR c_gc_max_ms >= greatest(250, b_gc_max_ms + 100))", "MEDIUM", (("HIGH", f"c_gc_max_ms >= 1000 OR c_gc_total_ms >= 1500 OR c_gc_total_ms / {_C_MS} >= 0.12"),)),
     Rule("compare-jfr-execution-hot-path-shift", "c_execution_method IS NOT NULL AND c_execution_method_count >= 3 AND c_execution_method_share >= 0.60 AND (b_execution_method IS NULL OR c_execution_method <> b_execution_method OR c_execution_method_share >= b_execution_method_share + 0.20)", "MEDIUM", (("HIGH", "c_execution_method_share >= 0.80 OR c_execution_count >= 8"),)),
-    Rule("compare-jfr-allocation-regression", "c_allocation_count > 0 AND (c_allocation_bytes >= b_allocation_bytes + 1000000 OR c_allocation_count >= b_allocation_count + 5)", "MEDIUM", (("HIGH", "c_allocation_bytes >= 4000000 OR c_allocation_class_share >= 0.80"),)),
-    Rule("compare-jfr-old-object-growth", "c_old_object_count > 0 AND (c_old_object_bytes >= b_old_object_bytes + 256000 OR c_max_object_age_ms >= b_max_object_age_ms + 60000 OR c_old_object_count >= b_old_object_count + 2)", "MEDIUM", (("HIGH", "c_old_object_bytes >= 2000000 OR c_max_object_age_ms >= 300000 OR c_old_object_count >= 4"),)),
-    Rule("compare-jfr-old-object-depth-regression", "c_max_reference_depth >= 4 AND (c_max_reference_depth >= b_max_reference_depth + 2 OR c_average_reference_depth >= b_average_reference_depth + 1.0)", "MEDIUM", (("HIGH", "c_max_reference_depth >= 8 OR c_average_reference_depth >= 4.0"),)),
+    Rule("compare-jfr-allocation-regression", f"c_allocation_count >= 4 AND ((b_allocation_count = 0 AND c_allocation_bytes >= 1000000) OR (b_allocation_bytes > 0 AND c_allocation_bytes >= b_allocation_bytes + 500000 AND c_allocation_bytes / {_C_MS} >= 1.5 * b_allocation_bytes / {_B_MS}) OR (c_allocation_class IS NOT NULL AND NOT c_allocation_class <=> b_allocation_class AND c_allocation_class_share >= 0.60))", "MEDIUM", (("HIGH", "c_allocation_bytes >= 4000000 OR c_allocation_class_share >= 0.80"),)),
+    Rule("compare-jfr-old-object-growth", "c_old_object_count >= 2 AND ((b_old_object_count = 0 AND (c_old_object_bytes >= 512000 OR c_max_object_age_ms >= 60000)) OR (b_old_object_bytes > 0 AND c_old_object_bytes >= b_old_object_bytes + 256000 AND c_old_object_bytes >= 1.5 * b_old_object_bytes) OR c_max_object_age_ms >= greatest(60000, b_max_object_age_ms + 60000) OR (c_old_object_class IS NOT NULL AND NOT c_old_object_class <=> b_old_object_class AND c_old_object_class_share >= 0.60))", "MEDIUM", (("HIGH", "c_old_object_bytes >= 2000000 OR c_max_object_age_ms >= 300000 OR c_old_object_count >= 4"),)),
+    Rule("compare-jfr-old-object-depth-regression", "c_depth_count > 0 AND ((b_depth_count = 0 AND c_max_reference_depth >= 4) OR c_max_reference_depth >= greatest(4, b_max_reference_depth + 2) OR (c_average_reference_depth >= 2.5 AND c_average_reference_depth >= b_average_reference_depth + 1.0))", "MEDIUM", (("HIGH", "c_max_reference_depth >= 8 OR c_average_reference_depth >= 4.0"),)),
 )
 
 BOOKS = {"GC_LOG": GC, "HEAP_HISTOGRAM": HISTOGRAM, "NMT": NMT, "PMAP": PMAP, "THREAD_DUMP": THREADS, "JFR": JFR}

@@ -29,21 +29,26 @@ def artifact_type(content: Column, name: Column) -> Column:
     low = F.lower(content)
     has = lambda *texts: F.coalesce(sum((low.contains(x).cast("int") for x in texts), F.lit(0)), F.lit(0)) > 0
     all_of = lambda *texts: F.coalesce(sum((low.contains(x).cast("int") for x in texts), F.lit(0)), F.lit(0)) == len(texts)
-    container = has("memory.current", "memory.usage_in_bytes") & has("memory.max", "memory.limit_in_bytes", "memory.high")
-    oom = F.coalesce(content.rlike(r"(?im)out of memory: killed process|oom-kill:|invoked oom-killer|reason:\s+oomkilled|crashloopbackoff"), F.lit(False))
-    histogram = F.coalesce(content.rlike(r"(?m)^\s*num\s+#instances\s+#bytes|^\s*1:\s+\d+\s+\d+\s+\S"), F.lit(False))
-    pmap = F.coalesce(content.rlike(r"(?m)^Address\s+Kbytes|^[0-9a-f]{8,16}\s+\d+K?\s.*[r-][w-][x-]"), F.lit(False))
-    gc = has("[gc", "pause young", "using g1", "garbage collector") | F.coalesce(content.rlike(r"(?m)^\S*\s*\[?(Full GC|GC) ?\("), F.lit(False))
+    kernel = F.coalesce(content.rlike(r"(?im)killed process \d+|oom-kill:|invoked oom-killer|oom_reaper"), F.lit(False))
+    oom = kernel | has("oomkilled") | all_of("crashloopbackoff", "restart count", "last state")
+    version_2 = all_of("[memory.current]", "[memory.events]") & has("[memory.stat]", "[memory.pressure]", "[memory.max]", "[memory.high]")
+    version_1 = all_of("[memory.usage_in_bytes]", "[memory.stat]") & has("[memory.limit_in_bytes]", "[memory.soft_limit_in_bytes]", "[memory.failcnt]", "[memory.oom_control]")
+    header = F.coalesce(content.rlike(r'(?m)^"[^"]+".*\bnid='), F.lit(False))
+    crash = has("a fatal error has been detected", "there is insufficient memory for the java runtime environment", "native memory allocation (malloc) failed") | all_of("#", "possible reasons:", "possible solutions:")
+    dump = has("full thread dump", "found one java-level deadlock", "java-level deadlock:") | has("java.lang.thread.state:") & header
+    nmt = has("native memory tracking") | all_of("total:", "reserved=", "committed=") | all_of("-java heap", "-class")
+    pmap = all_of("address", "kbytes", "rss") | has("total kb") | has("[ anon ]") & has("rw---", "r-x--", "-----")
     return (
         F.when(F.lower(name).endswith(".jfr"), "JFR")
-        .when(has("a fatal error has been detected by the java runtime environment", "# there is insufficient memory for the java runtime"), "HS_ERR_LOG")
-        .when(has("full thread dump"), "THREAD_DUMP")
+        .when(F.coalesce(content, F.lit("")) == "", "UNKNOWN")
+        .when(crash, "HS_ERR_LOG")
+        .when(dump, "THREAD_DUMP")
         .when(oom, "OOM_SIGNAL")
-        .when(container, "CONTAINER_MEMORY")
-        .when(has("native memory tracking") | all_of("total: reserved=", "committed="), "NMT")
-        .when(histogram, "HEAP_HISTOGRAM")
+        .when(version_2 | version_1, "CONTAINER_MEMORY")
+        .when(nmt, "NMT")
+        .when(all_of("#instances", "#bytes") | all_of("num", "#instances", "class name"), "HEAP_HISTOGRAM")
         .when(pmap, "PMAP")
-        .when(gc, "GC_LOG")
+        .when(has("gc(", "[gc", "full gc", "young generation", "old generation"), "GC_LOG")
         .otherwise("UNKNOWN")
     )
 
@@ -57,14 +62,14 @@ def read_artifacts(spark: SparkSession, path: str, kind: str | None = None) -> D
 
 
 def with_cgroup_groups(artifacts: DataFrame) -> DataFrame:
-    """Files of one cgroup folder joined to one artifact of that kind, in a fixed order, each under a ``== file ==`` header.
+    """Files of one cgroup folder joined to one artifact of that kind, in a fixed order, each under a ``[file]`` header.
 
     A folder qualifies with its usage and a limit (either version). A folder has at most as many such files as there are names.
     """
     folder = F.regexp_extract("artifact_id", "^(.*)/[^/]*$", 1)
     order = F.array_position(F.array(*map(F.lit, CGROUP_FILES)), F.col("name"))
     members = artifacts.withColumn("_folder", folder).withColumn("_order", order)
-    piece = F.struct("_order", F.concat(F.lit("== "), "name", F.lit(" ==\n"), F.col("content")).alias("text"))
+    piece = F.struct("_order", F.concat(F.lit("["), "name", F.lit("]\n"), F.col("content")).alias("text"))
     grouped = members.where("_order > 0").groupBy("_folder").agg(F.array_sort(F.collect_list(piece)).alias("p"), F.collect_set("name").alias("names"))
     fits = (F.array_contains("names", "memory.current") & F.arrays_overlap("names", F.array(F.lit("memory.max"), F.lit("memory.high")))) | (F.array_contains("names", "memory.usage_in_bytes") & F.array_contains("names", "memory.limit_in_bytes"))
     joined = grouped.where(fits)
