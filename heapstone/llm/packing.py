@@ -9,7 +9,6 @@ from __future__ import annotations
 
 import re
 import zlib
-from itertools import chain
 
 import numpy as np
 import pyarrow as pa
@@ -22,14 +21,19 @@ from heapstone.llm.common import Store, hash60, map_arrow, pick, running_before,
 BLANK = "\t-\r \x85\xa0  -     　"
 _UNITS = re.compile(f"[{BLANK}]*[^{BLANK}]+|[{BLANK}]+$")
 _EDGE = re.compile(f"[{BLANK}]")
-#: Units held by one Python worker before it starts afresh.
-MOST_CACHED = 1 << 19
+_OTHER = re.compile(f"[{BLANK[:1]}\x0b-\r{BLANK[4:]}]")
+#: Units that one Python worker remembers; the older half goes when they are full.
+MOST_CACHED = 1 << 20
+#: Units that the tokenizer gets in one text.
+LINE = 256
 
 
 class UnitEncoder:
-    """Ids of whole texts by way of units (white space and what follows it), each encoded once by the tokenizer and remembered.
+    """Ids of whole texts by way of units (white space and what follows it), each encoded once by the tokenizer and remembered as bytes.
 
-    Texts whose words are parted by single spaces and line ends, the usual case, are split without a regular expression.
+    Texts whose words are parted by single spaces and line ends, the usual case, are split without a regular expression; there the unit of a
+    word is the space before it and the word, or a line end and the word. Units are held in two generations: those asked for move to the
+    newer one, and the older one is dropped when the newer is full.
     """
 
     def __init__(self, path: str):
@@ -37,45 +41,66 @@ class UnitEncoder:
 
         self.tokenizer = Tokenizer.from_file(path)
         self.tokenizer.encode_special_tokens = True
-        self.plain: dict[str, list[int]] = {}
-        self.spaced: dict[str, list[int]] = {}
-
-    def _learn(self, known: dict[str, list[int]], units: set[str], prefix: str) -> None:
-        new = list(units - known.keys())
-        if new:
-            if len(known) + len(new) > MOST_CACHED:
-                known.clear()
-                new = list(units)
-            found = self.tokenizer.encode_batch_fast([prefix + u for u in new] if prefix else new, add_special_tokens=False)
-            known.update(zip(new, (e.ids for e in found), strict=True))
-
-    def encode(self, texts: list[str]) -> list[np.ndarray]:
-        """Ids of each text, as the tokenizer gives them for the whole text."""
-        plain, spaced, plans = {"\n"}, set(), []
+        self.line_end = self.tokenizer.encode("\n", add_special_tokens=False).ids[0]
+        self.end = np.array([self.line_end], "<u4").tobytes()
+        self.units: dict[str, bytes] = {}
+        self.old: dict[str, bytes] = {}
+
+    def _tokenize(self, units: list[str]) -> list[bytes]:
+        """Words go to the tokenizer in lines of many, which a line end's own token parts again; units with other white space one by one."""
+        alone = [bool(_EDGE.search(u, 1)) or u[:1] != " " and bool(_EDGE.match(u)) for u in units]
+        many = [u for u, a in zip(units, alone, strict=True) if not a]
+        lines = ["\n".join(many[k : k + LINE]) for k in range(0, len(many), LINE)]
+        parts: list[bytes] = []
+        for found in self.tokenizer.encode_batch_fast(lines, add_special_tokens=False):
+            ids = np.array(found.ids, "<u4")
+            data, cuts = ids.tobytes(), (4 * np.flatnonzero(ids == self.line_end)).tolist()
+            parts += [data[i:j] for i, j in zip([0, *(c + 4 for c in cuts)], [*cuts, len(data)], strict=True)]
+        if len(many) < len(units):
+            word, single = iter(parts), iter(self.tokenizer.encode_batch_fast([u for u, a in zip(units, alone, strict=True) if a], add_special_tokens=False))
+            parts = [np.array(next(single).ids, "<u4").tobytes() if a else next(word) for a in alone]
+        return parts
+
+    def _learn(self, missing: set[str]) -> None:
+        """Makes units known; keys are a spaced word as the word alone, a word after a line end with it, other units after a zero sign."""
+        if len(self.units) + len(missing) > MOST_CACHED // 2:
+            self.old, self.units = self.units, {}
+        units, old = self.units, self.old
+        moved = missing & old.keys()
+        units.update(zip(moved, map(old.__getitem__, moved), strict=True))
+        missing = missing - moved
+        spaced = [k for k in missing if k[0] != "\n" and k[0] != "\0"]
+        units.update(zip(spaced, self._tokenize([" " + k for k in spaced]), strict=True))
+        rest = list(missing.difference(spaced))
+        for key, data in zip(rest, self._tokenize([k[1:] for k in rest]), strict=True):
+            units[key] = self.end + data if key[0] == "\n" else data
+
+    def encode(self, texts: list[str]) -> list[bytes]:
+        """Ids of each text as little-endian 32-bit numbers, as the tokenizer gives them for the whole text."""
+        plans, missing, get = [], set(), self.units.get
         for text in texts:
-            words = text.split()
-            gaps = len(words) - 1
-            if words and len("".join(words)) + gaps == len(text) and text.count(" ") + text.count("\n") == gaps and not _EDGE.match(text[-1]) and not _EDGE.match(text):
-                lines = [line.split(" ") for line in text.split("\n")]
-                plain.update(line[0] for line in lines)
-                for line in lines:
-                    spaced.update(line[1:])
-                plans.append((True, lines))
+            keys = text.replace("\n", " \n").split(" ")
+            if "" in keys or "\n" in keys or keys[0][0] == "\n" or "\0" in text or (_other_ascii(text) if text.isascii() else _OTHER.search(text) is not None):
+                keys = ["\0" + u for u in _UNITS.findall(text)]
             else:
-                units = _UNITS.findall(text)
-                plain.update(units)
-                plans.append((False, units))
-        self._learn(self.plain, plain, "")
-        self._learn(self.spaced, spaced, " ")
-        get, after, end = self.plain.__getitem__, self.spaced.__getitem__, self.plain["\n"]
-        out = []
-        for regular, plan in plans:
-            if regular:
-                parts = chain.from_iterable(chain((end,) if k else (), (get(line[0]),), map(after, line[1:])) for k, line in enumerate(plan))
+                keys[0] = "\0" + keys[0]
+            found = list(map(get, keys))
+            if None in found:
+                missing.update(k for k, f in zip(keys, found, strict=True) if f is None)
+                plans.append((keys, None))
             else:
-                parts = map(get, plan)
-            out.append(np.array(list(chain.from_iterable(parts)), "<u4"))
-        return out
+                plans.append((None, b"".join(found)))
+        if missing:
+            full = len(self.units) + len(missing) > MOST_CACHED // 2
+            if full:
+                missing.update(*(keys for keys, _ in plans if keys))
+            self._learn(missing)
+        known = self.units.__getitem__
+        return [done if keys is None else b"".join(map(known, keys)) for keys, done in plans]
+
+
+def _other_ascii(text: str) -> bool:
+    return "\t" in text or "\r" in text or "\x0b" in text or "\x0c" in text
 
 
 _encoders: dict[str, UnitEncoder] = {}
@@ -104,7 +129,7 @@ def document_pieces(docs: DataFrame, path: str, most: int = 1024, with_ids: bool
         columns: list[list] = [[] for _ in kinds]
         all_ids = encoder(path).encode([t or "" for t in batch.column("text").to_pylist()])
         for doc_id, ids in zip(batch.column("doc_id").to_pylist(), all_ids, strict=True):
-            data, total, at = ids.tobytes() + b"\0\0\0\0", len(ids) + 1, 0
+            data, total, at = ids + b"\0\0\0\0", len(ids) // 4 + 1, 0
             for n in lengths(total, most):
                 piece = data[4 * at : 4 * (at + n)]
                 for column, value in zip(columns, (doc_id, at, n, zlib.crc32(piece), total, piece), strict=False):
