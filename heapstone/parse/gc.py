@@ -13,7 +13,11 @@ from heapstone.operators.ordered import nearest_rank
 from heapstone.operators.ranking import dominant, ratio
 from heapstone.operators.timeline import longest_streak
 
-L = F.col("line")
+
+def _line() -> Column:
+    return F.col("line")
+
+
 #: Parts of patterns: a size with unit, a heap transition "before->after(capacity)".
 SIZE = r"(\d+(?:\.\d+)?)([BKMGT]?)"
 CHANGE = SIZE + r"->" + SIZE + r"\(" + SIZE + r"\)"
@@ -40,9 +44,9 @@ COLLECTORS = (
 
 def gc_lines(lines: DataFrame) -> DataFrame:
     """Lines with their clocks and GC number."""
-    elapsed = F.coalesce(number(L, r"\[(\d+\.\d+)s\]"), number(L, r"^(?:\S+[+-]\d{4}: )?(\d+\.\d{3}): \["))
-    stamp = F.coalesce(found(L, r"^\[?(\d{4}-\d{2}-\d{2}T[\d:.,]+[+-]\d{2}:?\d{2})"), found(L, r"^(\d{4}-\d{2}-\d{2}T[\d:.,]+Z?)"))
-    return lines.select("artifact_id", "line_no", "line", F.trim("line").alias("raw_line"), elapsed.alias("elapsed_s"), stamp.alias("abs_ts"), number(L, r"GC\((\d+)\)", 1, "long").alias("gc_id"))
+    elapsed = F.coalesce(number(_line(), r"\[(\d+\.\d+)s\]"), number(_line(), r"^(?:\S+[+-]\d{4}: )?(\d+\.\d{3}): \["))
+    stamp = F.coalesce(found(_line(), r"^\[?(\d{4}-\d{2}-\d{2}T[\d:.,]+[+-]\d{2}:?\d{2})"), found(_line(), r"^(\d{4}-\d{2}-\d{2}T[\d:.,]+Z?)"))
+    return lines.select("artifact_id", "line_no", "line", F.trim("line").alias("raw_line"), elapsed.alias("elapsed_s"), stamp.alias("abs_ts"), number(_line(), r"GC\((\d+)\)", 1, "long").alias("gc_id"))
 
 
 def _context(df: DataFrame, *columns: Column) -> DataFrame:
@@ -70,11 +74,11 @@ def legacy_blocks(lines: DataFrame) -> DataFrame:
 
     A block goes from a header to the line before the next one that isn't indented, detail or closing.
     """
-    header = L.rlike(r"\[GC pause \(") & ~L.rlike(r"secs\]\s*$|->\s*\d")
+    header = _line().rlike(r"\[GC pause \(") & ~_line().rlike(r"secs\]\s*$|->\s*\d")
     marked = lines.withColumn("_h", header.cast("int"))
     order = Window.partitionBy("artifact_id").orderBy("line_no").rowsBetween(Window.unboundedPreceding, 0)
     numbered = marked.withColumn("_block", F.sum("_h").over(order)).where("_block > 0")
-    detail = L.rlike(r"^\s+\[|^\s*, \d+\.\d+ secs\]|^\s+\S|^ ?\[Times|secs\]\s*$") | (F.col("_h") == 1)
+    detail = _line().rlike(r"^\s+\[|^\s*, \d+\.\d+ secs\]|^\s+\S|^ ?\[Times|secs\]\s*$") | (F.col("_h") == 1)
     stop = Window.partitionBy("artifact_id", "_block").orderBy("line_no").rowsBetween(Window.unboundedPreceding, 0)
     inside = numbered.withColumn("_off", F.sum((~detail).cast("int")).over(stop)).where("_off = 0")
     joined = inside.groupBy("artifact_id", "_block").agg(F.min("line_no").alias("line_no"), F.max("line_no").alias("last_line"), F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("line_no", "line"))), lambda x: x["line"]), "\n").alias("text"))
@@ -89,13 +93,13 @@ def _heap(text: Column, pattern: str) -> list[Column]:
 def pauses(lines: DataFrame) -> DataFrame:
     """Stop-the-world pauses: event, cause, pause_type, pause_ms, heap before, after and capacity in bytes, MB and ratios (null where unknown)."""
     rows = gc_lines(lines)
-    unified = rows.where(L.rlike(r"\bPause .*\d+\.\d+ms\s*$"))
-    event = F.trim(F.regexp_extract(L, r"\b(Pause .*?)\s*(?:" + CHANGE + r"\s*)?\d+\.\d+ms\s*$", 1))
-    new = _context(unified, event.alias("event"), cause(event).alias("cause"), pause_type(event).alias("pause_type"), number(L, r"(\d+\.\d+)ms\s*$").alias("pause_ms"), *_heap(L, CHANGE))
-    old = rows.where(L.rlike(r"\[(Full )?GC\b.*, \d+\.\d+ secs\]")).where(~L.contains("[gc"))
-    old_event = F.trim(F.regexp_extract(L, r"\[((?:Full )?GC(?: \([^)]*\)|--| pause|\s\([^\[]*\))*)", 1))
-    text = F.coalesce(F.when(L.rlike(r"\] +\d+[KMG]->"), F.regexp_extract(L, r"\] +(\d+[KMG]->\d+[KMG]\(\d+[KMG]\))", 1)), F.try_element_at(F.regexp_extract_all(L, F.lit(r"\d+[KMG]->\d+[KMG]\(\d+[KMG]\)"), F.lit(0)), F.lit(-1)), F.lit(""))
-    legacy = _context(old, old_event.alias("event"), cause(old_event).alias("cause"), F.when(old_event.startswith("Full"), "FULL").when(L.contains("initial-mark") | L.contains("Initial Mark"), "INIT_MARK").when(L.contains("Remark"), "REMARK").when(L.contains("mixed"), "MIXED").otherwise("YOUNG").alias("pause_type"), (number(L, r", (\d+\.\d+) secs\](?: \[Times.*)?\s*$") * 1000).alias("pause_ms"), *_heap(text, CHANGE))
+    unified = rows.where(_line().rlike(r"\bPause .*\d+\.\d+ms\s*$"))
+    event = F.trim(F.regexp_extract(_line(), r"\b(Pause .*?)\s*(?:" + CHANGE + r"\s*)?\d+\.\d+ms\s*$", 1))
+    new = _context(unified, event.alias("event"), cause(event).alias("cause"), pause_type(event).alias("pause_type"), number(_line(), r"(\d+\.\d+)ms\s*$").alias("pause_ms"), *_heap(_line(), CHANGE))
+    old = rows.where(_line().rlike(r"\[(Full )?GC\b.*, \d+\.\d+ secs\]")).where(~_line().contains("[gc"))
+    old_event = F.trim(F.regexp_extract(_line(), r"\[((?:Full )?GC(?: \([^)]*\)|--| pause|\s\([^\[]*\))*)", 1))
+    text = F.coalesce(F.when(_line().rlike(r"\] +\d+[KMG]->"), F.regexp_extract(_line(), r"\] +(\d+[KMG]->\d+[KMG]\(\d+[KMG]\))", 1)), F.try_element_at(F.regexp_extract_all(_line(), F.lit(r"\d+[KMG]->\d+[KMG]\(\d+[KMG]\)"), F.lit(0)), F.lit(-1)), F.lit(""))
+    legacy = _context(old, old_event.alias("event"), cause(old_event).alias("cause"), F.when(old_event.startswith("Full"), "FULL").when(_line().contains("initial-mark") | _line().contains("Initial Mark"), "INIT_MARK").when(_line().contains("Remark"), "REMARK").when(_line().contains("mixed"), "MIXED").otherwise("YOUNG").alias("pause_type"), (number(_line(), r", (\d+\.\d+) secs\](?: \[Times.*)?\s*$") * 1000).alias("pause_ms"), *_heap(text, CHANGE))
     blocks = legacy_blocks(lines)
     b = F.col("text")
     block_event = F.trim(F.regexp_extract(b, r"\[(GC pause (?:\([^)]*\) ?)+)", 1))
@@ -114,43 +118,43 @@ def pauses(lines: DataFrame) -> DataFrame:
 def cycles(lines: DataFrame) -> DataFrame:
     """Whole collections of concurrent collectors, with heap use before and after in percent of the capacity."""
     pattern = r"\b((?:Garbage Collection|Minor Collection|Major Collection) \(([^)]*)\)) " + SIZE + r"\((\d+)%\)->" + SIZE + r"\((\d+)%\)(?: (\d+\.\d+)(ms|s))?"
-    rows = gc_lines(lines).where(L.rlike(pattern))
-    part = lambda k, kind="double": number(L, pattern, k, kind)
-    duration = F.when(F.regexp_extract(L, pattern, 10) == "s", part(9) * 1000).otherwise(part(9))
-    return _context(rows, found(L, pattern, 1).alias("event"), found(L, pattern, 2).alias("cause"), duration.alias("duration_ms"), size_bytes(part(3), F.regexp_extract(L, pattern, 4)).alias("before_bytes"), (part(5) / 100).alias("before_ratio"), size_bytes(part(6), F.regexp_extract(L, pattern, 7)).alias("after_bytes"), (part(8) / 100).alias("after_ratio"))
+    rows = gc_lines(lines).where(_line().rlike(pattern))
+    part = lambda k, kind="double": number(_line(), pattern, k, kind)
+    duration = F.when(F.regexp_extract(_line(), pattern, 10) == "s", part(9) * 1000).otherwise(part(9))
+    return _context(rows, found(_line(), pattern, 1).alias("event"), found(_line(), pattern, 2).alias("cause"), duration.alias("duration_ms"), size_bytes(part(3), F.regexp_extract(_line(), pattern, 4)).alias("before_bytes"), (part(5) / 100).alias("before_ratio"), size_bytes(part(6), F.regexp_extract(_line(), pattern, 7)).alias("after_bytes"), (part(8) / 100).alias("after_ratio"))
 
 
 def stalls(lines: DataFrame) -> DataFrame:
     """Threads that waited for memory."""
     pattern = r"Allocation Stall \(([^)]*)\) (\d+\.\d+)ms"
-    return _context(gc_lines(lines).where(L.rlike(pattern)), found(L, pattern, 1).alias("thread"), number(L, pattern, 2).alias("stall_ms"))
+    return _context(gc_lines(lines).where(_line().rlike(pattern)), found(_line(), pattern, 1).alias("thread"), number(_line(), pattern, 2).alias("stall_ms"))
 
 
 def mmu(lines: DataFrame) -> DataFrame:
     """Least mutator utilization in percent over 2 to 100 ms."""
-    rows = gc_lines(lines).where(L.rlike(r"\bMMU: "))
-    return _context(rows, *(number(L, rf"\b{ms}ms/(\d+(?:\.\d+)?)%").alias(f"mmu_{ms}ms") for ms in (2, 5, 10, 20, 50, 100)))
+    rows = gc_lines(lines).where(_line().rlike(r"\bMMU: "))
+    return _context(rows, *(number(_line(), rf"\b{ms}ms/(\d+(?:\.\d+)?)%").alias(f"mmu_{ms}ms") for ms in (2, 5, 10, 20, 50, 100)))
 
 
 def workers(lines: DataFrame) -> DataFrame:
     """Workers in use, those available, their share, and what for."""
     pattern = r"Using (\d+)(?: workers)?(?: of (\d+))?(?: workers)?(?: for ([\w -]+?))?\s*$"
-    rows = gc_lines(lines).where(L.rlike(r"\bUsing \d+ (?:workers|of)"))
-    active, available = number(L, pattern, 1, "long"), number(L, pattern, 2, "long")
-    return _context(rows, active.alias("active"), available.alias("available"), F.when(available > 0, active / available).alias("utilization"), found(L, pattern, 3).alias("purpose"))
+    rows = gc_lines(lines).where(_line().rlike(r"\bUsing \d+ (?:workers|of)"))
+    active, available = number(_line(), pattern, 1, "long"), number(_line(), pattern, 2, "long")
+    return _context(rows, active.alias("active"), available.alias("available"), F.when(available > 0, active / available).alias("utilization"), found(_line(), pattern, 3).alias("purpose"))
 
 
 def cpu(lines: DataFrame) -> DataFrame:
     """User, system and real seconds of a collection; cpu to wall is null without wall time."""
-    rows = gc_lines(lines).where(L.rlike(r"(?i)user=\d+\.\d+s? sys=\d+\.\d+s?,? real=\d+\.\d+"))
-    user, system, real = (number(L, rf"(?i)\b{name}=(\d+\.\d+)") for name in ("user", "sys", "real"))
+    rows = gc_lines(lines).where(_line().rlike(r"(?i)user=\d+\.\d+s? sys=\d+\.\d+s?,? real=\d+\.\d+"))
+    user, system, real = (number(_line(), rf"(?i)\b{name}=(\d+\.\d+)") for name in ("user", "sys", "real"))
     return _context(rows, user.alias("user_s"), system.alias("sys_s"), real.alias("real_s"), (user + system).alias("cpu_s"), F.when(real > 0, (user + system) / real).alias("cpu_to_wall"))
 
 
 def humongous(lines: DataFrame) -> DataFrame:
     pattern = r"Humongous regions: (\d+)->(\d+)"
-    before, after = number(L, pattern, 1, "long"), number(L, pattern, 2, "long")
-    return _context(gc_lines(lines).where(L.rlike(pattern)), before.alias("before"), after.alias("after"), (after - before).alias("delta"))
+    before, after = number(_line(), pattern, 1, "long"), number(_line(), pattern, 2, "long")
+    return _context(gc_lines(lines).where(_line().rlike(pattern)), before.alias("before"), after.alias("after"), (after - before).alias("delta"))
 
 
 def phases(lines: DataFrame) -> DataFrame:
@@ -158,12 +162,12 @@ def phases(lines: DataFrame) -> DataFrame:
     pattern = r"\b(?:Phase \d+: )?([A-Z][\w():,/ -]*?):? (\d+\.\d+)ms\s*$"
     legacy = r"\[(CMS-concurrent-[\w-]+): [\d.]+/(\d+\.\d+) secs\]|\[GC (concurrent-[\w-]+-end), (\d+\.\d+) secs\]"
     rows = gc_lines(lines)
-    new = rows.where(L.contains("[gc") & L.rlike(pattern) & ~L.contains("->") & ~L.contains("Allocation Stall") & (L.contains("phases") | L.contains("marking") | L.contains("Concurrent")))
-    body = F.regexp_replace(L, r"^.*?(?:GC\(\d+\)|\])\s+(?=[A-Z])", "")
+    new = rows.where(_line().contains("[gc") & _line().rlike(pattern) & ~_line().contains("->") & ~_line().contains("Allocation Stall") & (_line().contains("phases") | _line().contains("marking") | _line().contains("Concurrent")))
+    body = F.regexp_replace(_line(), r"^.*?(?:GC\(\d+\)|\])\s+(?=[A-Z])", "")
     name = F.trim(F.regexp_extract(body, pattern, 1))
-    old = rows.where(L.rlike(legacy))
-    old_name = F.coalesce(found(L, legacy, 1), found(L, legacy, 3))
-    seconds = F.coalesce(number(L, legacy, 2), number(L, legacy, 4))
+    old = rows.where(_line().rlike(legacy))
+    old_name = F.coalesce(found(_line(), legacy, 1), found(_line(), legacy, 3))
+    seconds = F.coalesce(number(_line(), legacy, 2), number(_line(), legacy, 4))
     both = _context(new, name.alias("phase"), number(body, pattern, 2).alias("duration_ms")).unionByName(_context(old, old_name.alias("phase"), (seconds * 1000).alias("duration_ms")))
     low = F.lower("phase")
     kind = F.when(low.startswith("concurrent") | low.startswith("cms-concurrent"), "CONCURRENT").when(low.startswith("pause"), "PAUSE_PHASE").when(low.startswith("phase "), "FULL_GC_PHASE").when(low.contains("evacuate") | low.contains("heap roots") | (low == "other"), "PAUSE_BREAKDOWN").otherwise("OTHER")
@@ -172,7 +176,7 @@ def phases(lines: DataFrame) -> DataFrame:
 
 def signals(lines: DataFrame) -> DataFrame:
     """Signs of distress: the first kind that a line shows."""
-    low, kind = F.lower(L), F.lit(None).cast("string")
+    low, kind = F.lower(_line()), F.lit(None).cast("string")
     for name, text in reversed(SIGNALS):
         kind = F.when(low.contains(text), F.lit(name)).otherwise(kind)
     rows = gc_lines(lines).withColumn("_k", kind).where("_k IS NOT NULL")
@@ -184,9 +188,9 @@ def metaspace(lines: DataFrame) -> DataFrame:
     unified = r"\bMetaspace: \d+K(?:\(\d+K\))?->(\d+)K\((\d+)K\)"
     legacy = r"\[(?:Metaspace|PSPermGen|Perm ?): \d+K->(\d+)K\((\d+)K\)\]"
     heap = r"\bMetaspace\s+used (\d+)K,(?: capacity \d+K,)? committed (\d+)K, reserved (\d+)K"
-    rows = gc_lines(lines).where(L.rlike(unified) | L.rlike(legacy) | L.rlike(heap))
-    part = lambda k: F.coalesce(number(L, unified, k, "long"), number(L, heap, k, "long"), number(L, legacy, k, "long"))
-    return _context(rows, part(1).alias("used_kb"), part(2).alias("committed_kb"), number(L, heap, 3, "long").alias("reserved_kb"), ratio(part(1), part(2)).alias("usage_ratio"))
+    rows = gc_lines(lines).where(_line().rlike(unified) | _line().rlike(legacy) | _line().rlike(heap))
+    part = lambda k: F.coalesce(number(_line(), unified, k, "long"), number(_line(), heap, k, "long"), number(_line(), legacy, k, "long"))
+    return _context(rows, part(1).alias("used_kb"), part(2).alias("committed_kb"), number(_line(), heap, 3, "long").alias("reserved_kb"), ratio(part(1), part(2)).alias("usage_ratio"))
 
 
 def collectors(artifacts: DataFrame) -> DataFrame:
@@ -203,10 +207,23 @@ def _near(c: str, at: float) -> Column:
     return F.coalesce(F.col(c) >= at, F.lit(False))
 
 
-FULL = F.col("pause_type") == "FULL"
-EVACUATION_FAILURE = F.lower("event").contains("evacuation failure") | F.lower("raw_line").contains("to-space exhausted")
-WEAK_FULL = FULL & F.coalesce((F.col("before_bytes") - F.col("after_bytes") <= LITTLE * F.col("capacity_bytes")) & (F.col("after_ratio") >= HIGH), F.lit(False))
-RECLAIMED_MB = F.greatest(F.lit(0), F.col("before_bytes") - F.col("after_bytes")) / 1048576
+def _full() -> Column:
+    return F.col("pause_type") == "FULL"
+
+
+def _evacuation_failure() -> Column:
+    return F.lower("event").contains("evacuation failure") | F.lower("raw_line").contains("to-space exhausted")
+
+
+def _weak_full() -> Column:
+    little = (F.col("before_bytes") - F.col("after_bytes") <= LITTLE * F.col("capacity_bytes")) & (F.col("after_ratio") >= HIGH)
+    return _full() & F.coalesce(little, F.lit(False))
+
+
+def _reclaimed_mb() -> Column:
+    return F.greatest(F.lit(0), F.col("before_bytes") - F.col("after_bytes")) / 1048576
+
+
 KEY, ORDER = ["artifact_id"], ["line_no"]
 
 
@@ -217,18 +234,18 @@ def summary(artifacts: DataFrame, lines: DataFrame) -> DataFrame:
     """
     p = pauses(lines)
     base = p.groupBy(*KEY).agg(
-        F.count("*").alias("pause_count"), F.count_if(FULL).alias("full_gc_count"), F.avg("pause_ms").alias("average_pause_ms"), F.max("pause_ms").alias("max_pause_ms"), F.sum("pause_ms").alias("total_pause_ms"), F.coalesce(F.max(F.when(FULL, F.col("pause_ms"))), F.lit(0.0)).alias("max_full_gc_pause_ms"),
-        F.max(F.greatest("before_ratio", "after_ratio")).alias("peak_occupancy_ratio"), F.max("after_ratio").alias("peak_post_gc_occupancy_ratio"), F.avg("after_ratio").alias("average_post_gc_occupancy_ratio"), F.count_if(EVACUATION_FAILURE).alias("evacuation_failure_pause_count"),
-        F.count_if(FULL & F.lower("cause").contains("metadata")).alias("metaspace_full_gc_count"), F.count_if(_near("after_ratio", HIGH)).alias("high_retained_count"), F.count_if(_near("after_ratio", NEAR)).alias("near_capacity_count"), F.avg(RECLAIMED_MB).alias("average_reclaimed_mb"),
-        F.count_if(F.col("pause_type") == "YOUNG").alias("young_count"), F.count_if(F.col("pause_type") == "MIXED").alias("mixed_count"), F.avg(F.when(FULL, F.col("after_ratio"))).alias("average_full_post_gc_occupancy_ratio"), F.avg(F.when(F.col("pause_type") == "MIXED", F.col("after_ratio"))).alias("average_mixed_post_gc_occupancy_ratio"),
-        F.count_if(WEAK_FULL).alias("low_reclaim_full_count"), F.avg(F.when(FULL, RECLAIMED_MB)).alias("average_full_gc_reclaimed_mb"), F.avg(F.when(FULL, F.greatest(F.lit(0), F.col("before_bytes") - F.col("after_bytes")) / F.col("capacity_bytes"))).alias("average_full_gc_reclaimed_share"),
+        F.count("*").alias("pause_count"), F.count_if(_full()).alias("full_gc_count"), F.avg("pause_ms").alias("average_pause_ms"), F.max("pause_ms").alias("max_pause_ms"), F.sum("pause_ms").alias("total_pause_ms"), F.coalesce(F.max(F.when(_full(), F.col("pause_ms"))), F.lit(0.0)).alias("max_full_gc_pause_ms"),
+        F.max(F.greatest("before_ratio", "after_ratio")).alias("peak_occupancy_ratio"), F.max("after_ratio").alias("peak_post_gc_occupancy_ratio"), F.avg("after_ratio").alias("average_post_gc_occupancy_ratio"), F.count_if(_evacuation_failure()).alias("evacuation_failure_pause_count"),
+        F.count_if(_full() & F.lower("cause").contains("metadata")).alias("metaspace_full_gc_count"), F.count_if(_near("after_ratio", HIGH)).alias("high_retained_count"), F.count_if(_near("after_ratio", NEAR)).alias("near_capacity_count"), F.avg(_reclaimed_mb()).alias("average_reclaimed_mb"),
+        F.count_if(F.col("pause_type") == "YOUNG").alias("young_count"), F.count_if(F.col("pause_type") == "MIXED").alias("mixed_count"), F.avg(F.when(_full(), F.col("after_ratio"))).alias("average_full_post_gc_occupancy_ratio"), F.avg(F.when(F.col("pause_type") == "MIXED", F.col("after_ratio"))).alias("average_mixed_post_gc_occupancy_ratio"),
+        F.count_if(_weak_full()).alias("low_reclaim_full_count"), F.avg(F.when(_full(), _reclaimed_mb())).alias("average_full_gc_reclaimed_mb"), F.avg(F.when(_full(), F.greatest(F.lit(0), F.col("before_bytes") - F.col("after_bytes")) / F.col("capacity_bytes"))).alias("average_full_gc_reclaimed_share"),
         F.count_if((F.col("pause_type") == "MIXED") & _near("after_ratio", HIGH)).alias("high_retained_mixed_count"), F.min("elapsed_s").alias("p_lo"), F.max(F.col("elapsed_s") + F.col("pause_ms") / 1000).alias("p_hi"),
     )
     ranks = nearest_rank(p, KEY, "pause_ms", {"median_pause_ms": 0.5, "p95_pause_ms": 0.95, "p99_pause_ms": 0.99})
     by_count = dominant(p, KEY, "cause", F.lit(1).cast("long"), "line_no").select("artifact_id", F.col("cause").alias("dominant_cause_by_count"))
     by_total = dominant(p, KEY, "cause", F.col("pause_ms"), "line_no").select("artifact_id", F.col("cause").alias("dominant_cause_by_total_ms"))
-    streaks = [longest_streak(p, KEY, ORDER, flag).withColumnRenamed("streak", name) for flag, name in ((_near("after_ratio", NEAR), "near_capacity_streak"), (FULL, "full_gc_streak"), (EVACUATION_FAILURE, "evacuation_failure_streak"))]
-    weak = longest_streak(p.where(FULL), KEY, ORDER, WEAK_FULL).withColumnRenamed("streak", "low_reclaim_full_streak")
+    streaks = [longest_streak(p, KEY, ORDER, flag).withColumnRenamed("streak", name) for flag, name in ((_near("after_ratio", NEAR), "near_capacity_streak"), (_full(), "full_gc_streak"), (_evacuation_failure(), "evacuation_failure_streak"))]
+    weak = longest_streak(p.where(_full()), KEY, ORDER, _weak_full()).withColumnRenamed("streak", "low_reclaim_full_streak")
     s, c, st, w, u, h, m = signals(lines), cycles(lines), stalls(lines), workers(lines), cpu(lines), humongous(lines), metaspace(lines)
     kinds = s.groupBy(*KEY).agg(F.count("*").alias("failure_signal_count"), *(F.count_if(F.col("signal_type") == k).alias(f"{k.lower()}_count") for k in dict.fromkeys(k for k, _ in SIGNALS)))
     ph = phases(lines).where("phase_kind = 'CONCURRENT'").groupBy(*KEY).agg(F.count("*").alias("concurrent_phase_count"), F.max("duration_ms").alias("longest_concurrent_phase_ms"))
@@ -254,7 +271,7 @@ def progression(p: DataFrame) -> DataFrame:
     """G1's way to full collections: young pauses before the first mixed one, mixed before the first full one, full ones after a mixed one."""
     rn = p.withColumn("_i", F.row_number().over(Window.partitionBy(*KEY).orderBy(*ORDER)))
     every = Window.partitionBy(*KEY)
-    mixed, full = F.min(F.when(F.col("pause_type") == "MIXED", F.col("_i"))).over(every), F.min(F.when(FULL, F.col("_i"))).over(every)
+    mixed, full = F.min(F.when(F.col("pause_type") == "MIXED", F.col("_i"))).over(every), F.min(F.when(_full(), F.col("_i"))).over(every)
     marked = rn.withColumn("_m", mixed).withColumn("_f", full)
     count = lambda kind, where: F.count_if((F.col("pause_type") == kind) & F.coalesce(where, F.lit(False)))
     return marked.groupBy(*KEY).agg(

@@ -2,24 +2,29 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from heapstone.functions.scalars import found, number
 
-L, KEY = F.col("line"), "artifact_id"
+
+def _line() -> Column:
+    return F.col("line")
+
+
+KEY = "artifact_id"
 
 
 def kernel_events(lines: DataFrame, year: int) -> DataFrame:
     """Kernel lines about memory: killed, pid, process, sizes in KB, group, task, event_ts (the log has no year, so it is given)."""
-    rows = lines.where(L.rlike(r"(?i)out of memory: killed process|oom-kill:|invoked oom-killer|oom_reaper"))
-    stamp = found(L, r"^([A-Z][a-z]{2}\s+\d{1,2} \d{2}:\d{2}:\d{2})")
+    rows = lines.where(_line().rlike(r"(?i)out of memory: killed process|oom-kill:|invoked oom-killer|oom_reaper"))
+    stamp = found(_line(), r"^([A-Z][a-z]{2}\s+\d{1,2} \d{2}:\d{2}:\d{2})")
     ts = F.try_to_timestamp(F.concat(F.lit(f"{year} "), F.regexp_replace(stamp, r"\s+", " ")), F.lit("yyyy MMM d HH:mm:ss"))
-    size = lambda name: number(L, rf"(?i)\b{name}:(\d+)kB", 1, "long")
-    killed = L.rlike(r"(?i)killed process")
+    size = lambda name: number(_line(), rf"(?i)\b{name}:(\d+)kB", 1, "long")
+    killed = _line().rlike(r"(?i)killed process")
     return rows.select(
-        KEY, "line_no", killed.alias("killed"), ts.alias("event_ts"), F.coalesce(number(L, r"(?i)killed process (\d+)", 1, "long"), number(L, r"\bpid=(\d+)", 1, "long"), number(L, r"reaped process (\d+)", 1, "long")).alias("pid"), F.coalesce(found(L, r"process \d+ \(([^)]+)\)"), found(L, r"\btask=([^,\s]+)")).alias("process"),
-        *(size(n).alias(f"{n.replace('-', '_')}_kb") for n in ("total-vm", "anon-rss", "file-rss", "shmem-rss")), found(L, r"oom_memcg=([^,\s]+)").alias("memcg"), found(L, r"\btask=([^,\s]+)").alias("task"),
+        KEY, "line_no", killed.alias("killed"), ts.alias("event_ts"), F.coalesce(number(_line(), r"(?i)killed process (\d+)", 1, "long"), number(_line(), r"\bpid=(\d+)", 1, "long"), number(_line(), r"reaped process (\d+)", 1, "long")).alias("pid"), F.coalesce(found(_line(), r"process \d+ \(([^)]+)\)"), found(_line(), r"\btask=([^,\s]+)")).alias("process"),
+        *(size(n).alias(f"{n.replace('-', '_')}_kb") for n in ("total-vm", "anon-rss", "file-rss", "shmem-rss")), found(_line(), r"oom_memcg=([^,\s]+)").alias("memcg"), found(_line(), r"\btask=([^,\s]+)").alias("task"),
     )
 
 
@@ -27,12 +32,12 @@ def pods(lines: DataFrame) -> DataFrame:
     """One row for each container of a pod description: state, reasons, exit code, restarts. Headers are carried forward by their indent."""
     order = Window.partitionBy(KEY).orderBy("line_no").rowsBetween(Window.unboundedPreceding, 0)
     last = lambda c: F.last(c, True).over(order)
-    top = F.when(L.rlike(r"^\S[^:]*:"), F.regexp_extract(L, r"^([^:]+):", 1))
-    marked = lines.withColumn("_top", last(top)).withColumn("_pod", last(found(L, r"^Name:\s+(\S+)"))).withColumn("_ns", last(found(L, r"^Namespace:\s+(\S+)"))).where(F.col("_top").isin("Containers", "Init Containers"))
-    container = found(L, r"^  (\S[^:]*):\s*$")
-    part = F.when(L.rlike(r"^    State:"), "state").when(L.rlike(r"^    Last State:"), "last").when(L.rlike(r"^    \S"), "none")
+    top = F.when(_line().rlike(r"^\S[^:]*:"), F.regexp_extract(_line(), r"^([^:]+):", 1))
+    marked = lines.withColumn("_top", last(top)).withColumn("_pod", last(found(_line(), r"^Name:\s+(\S+)"))).withColumn("_ns", last(found(_line(), r"^Namespace:\s+(\S+)"))).where(F.col("_top").isin("Containers", "Init Containers"))
+    container = found(_line(), r"^  (\S[^:]*):\s*$")
+    part = F.when(_line().rlike(r"^    State:"), "state").when(_line().rlike(r"^    Last State:"), "last").when(_line().rlike(r"^    \S"), "none")
     rows = marked.withColumn("container", last(container)).withColumn("_part", last(part)).where("container IS NOT NULL")
-    get = lambda p, where=None: F.max(F.when(F.lit(True) if where is None else F.col("_part") == where, found(L, p)))
+    get = lambda p, where=None: F.max(F.when(F.lit(True) if where is None else F.col("_part") == where, found(_line(), p)))
     return rows.groupBy(KEY, "container").agg(
         F.max("_pod").alias("pod"), F.max("_ns").alias("namespace"), get(r"^    State:\s+(\S+)").alias("state"), get(r"^\s+Reason:\s+(\S+)", "state").alias("state_reason"), get(r"^    Last State:\s+(\S+)").alias("last_state"), get(r"^\s+Reason:\s+(\S+)", "last").alias("last_reason"),
         get(r"^\s+Exit Code:\s+(-?\d+)", "last").cast("int").alias("exit_code"), get(r"^    Restart Count:\s+(\d+)").cast("int").alias("restart_count"), get(r"^\s+Started:\s+(.*\S)", "last").alias("started"), get(r"^\s+Finished:\s+(.*\S)", "last").alias("finished"),

@@ -10,7 +10,12 @@ from heapstone.operators.compare import last_of
 from heapstone.operators.context import section_of
 from heapstone.operators.ranking import dominant, ratio
 
-L, KEY = F.col("line"), "artifact_id"
+
+def _line() -> Column:
+    return F.col("line")
+
+
+KEY = "artifact_id"
 
 # --- heap histogram ---
 
@@ -31,14 +36,14 @@ def families(name: Column) -> dict[str, Column]:
 
 def histogram(lines: DataFrame) -> DataFrame:
     """artifact_id, rank, instances, bytes, class_name, and a flag for each family."""
-    rows = lines.where(L.rlike(_ROW)).select(KEY, number(L, _ROW, 1, "long").alias("rank"), number(L, _ROW, 2, "long").alias("instances"), number(L, _ROW, 3, "long").alias("bytes"), F.regexp_replace(F.regexp_extract(L, _ROW, 4), r"\s+\([\w.@/-]+\)$", "").alias("class_name"))
+    rows = lines.where(_line().rlike(_ROW)).select(KEY, number(_line(), _ROW, 1, "long").alias("rank"), number(_line(), _ROW, 2, "long").alias("instances"), number(_line(), _ROW, 3, "long").alias("bytes"), F.regexp_replace(F.regexp_extract(_line(), _ROW, 4), r"\s+\([\w.@/-]+\)$", "").alias("class_name"))
     return rows.withColumns(families(F.col("class_name")))
 
 
 def histogram_totals(lines: DataFrame) -> DataFrame:
     """artifact_id, total_instances, total_bytes from the footer."""
     pattern = r"^\s*Total\s*:?\s+(\d+)\s+(\d+)\s*$"
-    return lines.where(L.rlike(pattern)).groupBy(KEY).agg(F.max(number(L, pattern, 1, "long")).alias("total_instances"), F.max(number(L, pattern, 2, "long")).alias("total_bytes"))
+    return lines.where(_line().rlike(pattern)).groupBy(KEY).agg(F.max(number(_line(), pattern, 1, "long")).alias("total_instances"), F.max(number(_line(), pattern, 2, "long")).alias("total_bytes"))
 
 
 def histogram_summary(lines: DataFrame) -> DataFrame:
@@ -68,10 +73,10 @@ def mapping_category(mapping: Column) -> Column:
 
 def pmap(lines: DataFrame) -> DataFrame:
     """Mappings with sizes in KB; rows with resident and dirty sizes, else those without."""
-    part = lambda p, k: number(L, p, k, "long")
-    headed = lines.where(L.rlike(_HEADED)).select(KEY, "line_no", found(L, _HEADED, 1).alias("address"), part(_HEADED, 2).alias("size_kb"), part(_HEADED, 3).alias("rss_kb"), part(_HEADED, 4).alias("dirty_kb"), found(L, _HEADED, 5).alias("mode"), F.regexp_extract(L, _HEADED, 6).alias("mapping"))
+    part = lambda p, k: number(_line(), p, k, "long")
+    headed = lines.where(_line().rlike(_HEADED)).select(KEY, "line_no", found(_line(), _HEADED, 1).alias("address"), part(_HEADED, 2).alias("size_kb"), part(_HEADED, 3).alias("rss_kb"), part(_HEADED, 4).alias("dirty_kb"), found(_line(), _HEADED, 5).alias("mode"), F.regexp_extract(_line(), _HEADED, 6).alias("mapping"))
     none = F.lit(None).cast("long")
-    plain = lines.where(L.rlike(_PLAIN)).select(KEY, "line_no", found(L, _PLAIN, 1).alias("address"), part(_PLAIN, 2).alias("size_kb"), none.alias("rss_kb"), none.alias("dirty_kb"), found(L, _PLAIN, 3).alias("mode"), F.regexp_extract(L, _PLAIN, 4).alias("mapping"))
+    plain = lines.where(_line().rlike(_PLAIN)).select(KEY, "line_no", found(_line(), _PLAIN, 1).alias("address"), part(_PLAIN, 2).alias("size_kb"), none.alias("rss_kb"), none.alias("dirty_kb"), found(_line(), _PLAIN, 3).alias("mode"), F.regexp_extract(_line(), _PLAIN, 4).alias("mapping"))
     rows = headed.unionByName(plain.join(headed.select(KEY).distinct(), KEY, "left_anti"))
     share = lambda c: F.when(F.col(c).isNotNull(), ratio(F.col(c), F.col("size_kb")))
     return rows.withColumns({"category": mapping_category(F.col("mapping")), "resident_ratio": share("rss_kb"), "reserved_gap_kb": F.when(F.col("rss_kb").isNotNull(), F.greatest(F.lit(0), F.col("size_kb") - F.col("rss_kb"))), "dirty_ratio": share("dirty_kb")})
@@ -92,8 +97,8 @@ def pmap_summary(lines: DataFrame) -> DataFrame:
         F.max("size_kb").alias("largest_mapping_kb"), F.max("rss_kb").alias("largest_resident_kb"), F.max(F.struct(F.col("rss_kb"), F.col("size_kb"))).alias("lr"),
     )
     headed, plain = r"^total kB\s+(\d+)\s+(\d+)\s+(\d+)", r"^\s*total\s+(\d+)K"
-    footer = lines.where(L.rlike(headed) | L.rlike(plain)).groupBy(KEY).agg(F.max(F.coalesce(number(L, headed, 1, "long"), number(L, plain, 1, "long"))).alias("fs"), F.max(number(L, headed, 2, "long")).alias("fr"), F.max(number(L, headed, 3, "long")).alias("fd"))
-    pid = lines.where(L.rlike(r"^\d+:\s")).groupBy(KEY).agg(F.min(number(L, r"^(\d+):", 1, "long")).alias("pid"))
+    footer = lines.where(_line().rlike(headed) | _line().rlike(plain)).groupBy(KEY).agg(F.max(F.coalesce(number(_line(), headed, 1, "long"), number(_line(), plain, 1, "long"))).alias("fs"), F.max(number(_line(), headed, 2, "long")).alias("fr"), F.max(number(_line(), headed, 3, "long")).alias("fd"))
+    pid = lines.where(_line().rlike(r"^\d+:\s")).groupBy(KEY).agg(F.min(number(_line(), r"^(\d+):", 1, "long")).alias("pid"))
     top = dominant(rows, [KEY], "category", F.col("size_kb"), "line_no").select(KEY, F.col("category").alias("top_size_category"))
     out = sums.join(footer, KEY, "left").join(pid, KEY, "left").join(top, KEY, "left")
     out = out.withColumns({"total_size_kb": F.coalesce("fs", "s"), "total_rss_kb": F.coalesce("fr", "r"), "total_dirty_kb": F.coalesce("fd", "d"), "largest_resident_size_kb": F.col("lr.size_kb")}).drop("s", "r", "d", "fs", "fr", "fd", "lr")
@@ -109,21 +114,21 @@ _CATEGORY = r"^-\s+(\S.*?)\s+\(reserved=(\d+)KB(?: ([+-]\d+)KB)?, committed=(\d+
 
 def nmt_categories(lines: DataFrame) -> DataFrame:
     """artifact_id, category, reserved_kb, committed_kb and their changes (null in a plain summary); a repeated category: the last."""
-    rows = lines.where(L.rlike(_CATEGORY)).select(
-        KEY, "line_no", F.regexp_extract(L, _CATEGORY, 1).alias("category"), number(L, _CATEGORY, 2, "long").alias("reserved_kb"), number(L, _CATEGORY, 3, "long").alias("reserved_delta_kb"), number(L, _CATEGORY, 4, "long").alias("committed_kb"), number(L, _CATEGORY, 5, "long").alias("committed_delta_kb")
+    rows = lines.where(_line().rlike(_CATEGORY)).select(
+        KEY, "line_no", F.regexp_extract(_line(), _CATEGORY, 1).alias("category"), number(_line(), _CATEGORY, 2, "long").alias("reserved_kb"), number(_line(), _CATEGORY, 3, "long").alias("reserved_delta_kb"), number(_line(), _CATEGORY, 4, "long").alias("committed_kb"), number(_line(), _CATEGORY, 5, "long").alias("committed_delta_kb")
     )
     return last_of(rows, [KEY, "category"], "line_no").drop("line_no")
 
 
 def nmt_summary(lines: DataFrame) -> DataFrame:
     """Totals, classes, threads, stacks, metaspace and class space with changes, sums of some categories, snapshot_kind (summary or diff)."""
-    after = section_of(lines, [KEY], F.when(L.rlike(r"\(\s*Metadata"), "meta").when(L.rlike(r"Class space"), "class").when(L.startswith("-"), "none"))
-    first = lambda p, k, where=F.lit(True): F.min_by(number(L, p, k, "long"), F.when(where & L.rlike(p), F.col("line_no")))
+    after = section_of(lines, [KEY], F.when(_line().rlike(r"\(\s*Metadata"), "meta").when(_line().rlike(r"Class space"), "class").when(_line().startswith("-"), "none"))
+    first = lambda p, k, where=F.lit(True): F.min_by(number(_line(), p, k, "long"), F.when(where & _line().rlike(p), F.col("line_no")))
     total, stack, pair, used = r"^Total: reserved=(\d+)KB(?: ([+-]\d+)KB)?, committed=(\d+)KB(?: ([+-]\d+)KB)?", r"\(stack: reserved=(\d+)KB(?: ([+-]\d+)KB)?, committed=(\d+)KB", r"reserved=(\d+)KB(?: [+-]\d+KB)?, committed=(\d+)KB(?: ([+-]\d+)KB)?", r"used=(\d+)KB(?: ([+-]\d+)KB)?"
     meta, space = F.col("section") == "meta", F.col("section") == "class"
     zero = lambda c, name: F.coalesce(c, F.lit(0)).alias(name)
     base = after.groupBy(KEY).agg(
-        first(total, 1).alias("reserved_kb"), zero(first(total, 2), "reserved_delta_kb"), first(total, 3).alias("committed_kb"), zero(first(total, 4), "committed_delta_kb"), F.max(L.rlike(r"committed=\d+KB [+-]\d+KB")).alias("_diff"),
+        first(total, 1).alias("reserved_kb"), zero(first(total, 2), "reserved_delta_kb"), first(total, 3).alias("committed_kb"), zero(first(total, 4), "committed_delta_kb"), F.max(_line().rlike(r"committed=\d+KB [+-]\d+KB")).alias("_diff"),
         zero(first(r"\(classes #(\d+)(?: ([+-]\d+))?", 1), "class_count"), zero(first(r"\(classes #(\d+)(?: ([+-]\d+))?", 2), "class_count_delta"), zero(first(r"\(thread #(\d+)", 1), "thread_count"), zero(first(stack, 1), "stack_reserved_kb"), zero(first(stack, 2), "stack_reserved_delta_kb"), zero(first(stack, 3), "stack_committed_kb"),
         zero(first(pair, 1, meta), "metaspace_reserved_kb"), zero(first(pair, 2, meta), "metaspace_committed_kb"), zero(first(used, 1, meta), "metaspace_used_kb"), zero(first(used, 2, meta), "metaspace_used_delta_kb"),
         zero(first(pair, 1, space), "class_space_reserved_kb"), zero(first(pair, 2, space), "class_space_committed_kb"), zero(first(used, 1, space), "class_space_used_kb"), zero(first(used, 2, space), "class_space_used_delta_kb"),
@@ -146,10 +151,10 @@ def nmt_summary(lines: DataFrame) -> DataFrame:
 def cgroup_values(lines: DataFrame) -> DataFrame:
     """artifact_id, section, key, value: a lone number has its section's name as key; ``max`` is null. Headers are [name], == name == or == name."""
     header = r"^\s*(?:\[([\w./-]+)\]|=+\s*([\w./-]+?)\s*=*)\s*$"
-    name = F.coalesce(found(L, header, 1), found(L, header, 2))
+    name = F.coalesce(found(_line(), header, 1), found(_line(), header, 2))
     rows = section_of(lines, [KEY], name).where(F.col("section").isNotNull() & name.isNull())
     pair = r"^\s*([\w.]+)[ :=]+(\d+|max)\s*$"
-    key, value = F.coalesce(found(L, pair, 1), F.col("section")), F.coalesce(found(L, pair, 2), found(L, r"^\s*(-?\d+|max)\s*$"))
+    key, value = F.coalesce(found(_line(), pair, 1), F.col("section")), F.coalesce(found(_line(), pair, 2), found(_line(), r"^\s*(-?\d+|max)\s*$"))
     return rows.where(value.isNotNull()).select(KEY, "section", key.alias("key"), F.when(value != "max", value).cast("long").alias("value"))
 
 
@@ -157,8 +162,8 @@ def cgroup_pressure(lines: DataFrame) -> DataFrame:
     """artifact_id, section, kind (some, full), avg10, avg60, avg300, total."""
     p = r"^\s*(some|full) avg10=([\d.]+) avg60=([\d.]+) avg300=([\d.]+) total=(\d+)"
     header = r"^\s*(?:\[([\w./-]+)\]|=+\s*([\w./-]+?)\s*=*)\s*$"
-    rows = section_of(lines, [KEY], F.coalesce(found(L, header, 1), found(L, header, 2))).where(L.rlike(p))
-    return rows.select(KEY, "section", found(L, p, 1).alias("kind"), number(L, p, 2).alias("avg10"), number(L, p, 3).alias("avg60"), number(L, p, 4).alias("avg300"), number(L, p, 5, "long").alias("total"))
+    rows = section_of(lines, [KEY], F.coalesce(found(_line(), header, 1), found(_line(), header, 2))).where(_line().rlike(p))
+    return rows.select(KEY, "section", found(_line(), p, 1).alias("kind"), number(_line(), p, 2).alias("avg10"), number(_line(), p, 3).alias("avg60"), number(_line(), p, 4).alias("avg300"), number(_line(), p, 5, "long").alias("total"))
 
 
 def cpu_count(cpuset: Column) -> Column:
@@ -184,8 +189,8 @@ def cgroup_summary(lines: DataFrame) -> DataFrame:
     p = psi.groupBy(KEY).agg(*(avg(s, k, c) for s in ("memory.pressure", "cpu.pressure") for k in ("some", "full") for c in ("avg10", "avg60")))
     quota = r"^\s*(\d+|max) (\d+)\s*$"
     header = r"^\s*(?:\[([\w./-]+)\]|=+\s*([\w./-]+?)\s*=*)\s*$"
-    named = section_of(lines, [KEY], F.coalesce(found(L, header, 1), found(L, header, 2)))
-    q = named.groupBy(KEY).agg(F.max(F.when((F.col("section") == "cpu.max") & L.rlike(quota), number(L, quota, 1))).alias("quota_us"), F.max(F.when((F.col("section") == "cpu.max") & L.rlike(quota), number(L, quota, 2))).alias("period_us"), F.max(F.when((F.col("section") == "cpuset.cpus.effective") & L.rlike(r"^\s*\d[\d,-]*\s*$"), cpu_count(L))).alias("cpus"))
+    named = section_of(lines, [KEY], F.coalesce(found(_line(), header, 1), found(_line(), header, 2)))
+    q = named.groupBy(KEY).agg(F.max(F.when((F.col("section") == "cpu.max") & _line().rlike(quota), number(_line(), quota, 1))).alias("quota_us"), F.max(F.when((F.col("section") == "cpu.max") & _line().rlike(quota), number(_line(), quota, 2))).alias("period_us"), F.max(F.when((F.col("section") == "cpuset.cpus.effective") & _line().rlike(r"^\s*\d[\d,-]*\s*$"), cpu_count(_line()))).alias("cpus"))
     out = v.join(p, KEY, "left").join(q, KEY, "left").fillna(0.0, [f"{s}_{k}_{c}" for s in ("memory", "cpu") for k in ("some", "full") for c in ("avg10", "avg60")])
     quota_us, period = F.coalesce("quota_us", F.when(F.col("quota_v1") > 0, F.col("quota_v1"))), F.coalesce("period_us", F.col("period_v1"))
     cores = F.when(period > 0, quota_us / period)

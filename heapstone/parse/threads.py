@@ -7,7 +7,12 @@ from pyspark.sql import functions as F
 
 from heapstone.functions.scalars import found, number
 
-L, KEY = F.col("line"), "artifact_id"
+
+def _line() -> Column:
+    return F.col("line")
+
+
+KEY = "artifact_id"
 _HEADER = r'^"(.+?)"(?=\s|$)(?!:)'
 STATES = ("NEW", "RUNNABLE", "BLOCKED", "WAITING", "TIMED_WAITING", "TERMINATED")
 #: Frames of threads that wait for work, for the network or disk, for a forked task, of pinned virtual threads.
@@ -17,7 +22,7 @@ IDLE, IO, JOIN, PINNED = r"ThreadPoolExecutor\.getTask|LinkedBlockingQueue\.take
 def sections(lines: DataFrame) -> DataFrame:
     """Lines of threads, each with the number of its section; a section ends with an empty line."""
     order = Window.partitionBy(KEY).orderBy("line_no").rowsBetween(Window.unboundedPreceding, 0)
-    header = L.rlike(_HEADER) & ~L.rlike(r'^"[^"]*":\s*$')
+    header = _line().rlike(_HEADER) & ~_line().rlike(r'^"[^"]*":\s*$')
     marked = lines.withColumn("_s", F.sum(header.cast("int")).over(order)).where("_s > 0")
     inside = Window.partitionBy(KEY, "_s").orderBy("line_no").rowsBetween(Window.unboundedPreceding, 0)
     return marked.withColumn("_end", F.sum((F.trim("line") == "").cast("int")).over(inside)).where("_end = 0").drop("_end")
@@ -32,13 +37,13 @@ def pool_name(name: Column) -> Column:
 def threads(lines: DataFrame) -> DataFrame:
     """name, daemon, nid, state, state_detail, top_frame, cpu_ms, elapsed_s, waiting_to_lock, parking_for, locked, pool_name, idle and frame flags, deadlocked."""
     rows = sections(lines)
-    head = F.max(F.when(L.rlike(_HEADER), L))
-    all_of = lambda p: F.flatten(F.transform(F.array_sort(F.collect_list(F.when(L.rlike(p), F.struct("line_no", F.regexp_extract_all(L, F.lit(p), F.lit(1)).alias("m"))))), lambda x: x["m"]))
+    head = F.max(F.when(_line().rlike(_HEADER), _line()))
+    all_of = lambda p: F.flatten(F.transform(F.array_sort(F.collect_list(F.when(_line().rlike(p), F.struct("line_no", F.regexp_extract_all(_line(), F.lit(p), F.lit(1)).alias("m"))))), lambda x: x["m"]))
     state = r"java\.lang\.Thread\.State:\s+(\w+)(?:\s+\(([^)]*)\))?"
     g = rows.groupBy(KEY, "_s").agg(
-        F.min("line_no").alias("line_no"), head.alias("h"), F.max(found(L, state, 1)).alias("st"), F.max(found(L, state, 2)).alias("state_detail"), F.min_by(found(L, r"^\s+at\s+(.*?)\s*$"), F.when(L.rlike(r"^\s+at\s"), F.col("line_no"))).alias("top_frame"),
+        F.min("line_no").alias("line_no"), head.alias("h"), F.max(found(_line(), state, 1)).alias("st"), F.max(found(_line(), state, 2)).alias("state_detail"), F.min_by(found(_line(), r"^\s+at\s+(.*?)\s*$"), F.when(_line().rlike(r"^\s+at\s"), F.col("line_no"))).alias("top_frame"),
         all_of(r"waiting to (?:lock|re-lock)[^<]*<(0x[0-9a-f]+)>").alias("waiting_to_lock"), all_of(r"parking to wait for\s+<(0x[0-9a-f]+)>").alias("parking_for"), all_of(r"- locked <(0x[0-9a-f]+)>").alias("locked"),
-        F.max(L.rlike(IDLE)).alias("idle_executor"), F.max(L.rlike(IO)).alias("in_io"), F.max(L.rlike(JOIN)).alias("in_join"), F.max(L.rlike(PINNED)).alias("pinned"),
+        F.max(_line().rlike(IDLE)).alias("idle_executor"), F.max(_line().rlike(IO)).alias("in_io"), F.max(_line().rlike(JOIN)).alias("in_join"), F.max(_line().rlike(PINNED)).alias("pinned"),
     )
     h = F.col("h")
     low = F.lower("h")
@@ -53,9 +58,9 @@ def deadlocks(lines: DataFrame) -> DataFrame:
     """artifact_id, reported, names: the cycles that the JVM reports."""
     start, end = r"Found (?:one|\d+) Java-level deadlock", r"Java stack information for the threads listed above"
     order = Window.partitionBy(KEY).orderBy("line_no").rowsBetween(Window.unboundedPreceding, 0)
-    inside = lines.withColumn("_d", F.sum(L.rlike(start).cast("int") - L.rlike(end).cast("int")).over(order)).where("_d > 0")
-    names = F.array_distinct(F.transform(F.array_sort(F.collect_list(F.when(L.rlike(r'^"[^"]+":\s*$'), F.struct("line_no", F.regexp_extract(L, r'^"([^"]+)"', 1).alias("n"))))), lambda x: x["n"]))
-    return inside.groupBy(KEY).agg(F.count_if(L.rlike(start)).alias("reported"), names.alias("names"))
+    inside = lines.withColumn("_d", F.sum(_line().rlike(start).cast("int") - _line().rlike(end).cast("int")).over(order)).where("_d > 0")
+    names = F.array_distinct(F.transform(F.array_sort(F.collect_list(F.when(_line().rlike(r'^"[^"]+":\s*$'), F.struct("line_no", F.regexp_extract(_line(), r'^"([^"]+)"', 1).alias("n"))))), lambda x: x["n"]))
+    return inside.groupBy(KEY).agg(F.count_if(_line().rlike(start)).alias("reported"), names.alias("names"))
 
 
 def hotspots(rows: DataFrame) -> DataFrame:

@@ -51,7 +51,7 @@ THREADS = (
 #: Length of both recordings in ms (1 at least), lock events by the minute.
 _B_MS, _C_MS = (f"greatest(1.0, ({p}_end_us - {p}_start_us) / 1000.0)" for p in "bc")
 _B_RATE, _C_RATE = (f"({p}_lock_count * 60000.0 / {ms})" for p, ms in (("b", _B_MS), ("c", _C_MS)))
-\JFR = (
+JFR = (
     Rule("compare-jfr-lock-contention-regression", f"c_lock_count >= 2 AND ((b_lock_count = 0 AND (c_lock_total_ms >= 250 OR c_lock_max_ms >= 150)) OR (b_lock_count > 0 AND {_C_RATE} >= 1.5 * {_B_RATE} AND {_C_RATE} - {_B_RATE} >= 1) OR (b_lock_total_ms > 0 AND c_lock_total_ms / {_C_MS} >= greatest(0.03, 1.5 * b_lock_total_ms / {_B_MS}) AND c_lock_total_ms / {_C_MS} - b_lock_total_ms / {_B_MS} >= 0.02) OR (b_lock_total_ms > 0 AND c_lock_total_ms >= b_lock_total_ms + 150 AND c_lock_total_ms >= 2 * b_lock_total_ms) OR c_lock_max_ms >= greatest(100, b_lock_max_ms + 50))", "MEDIUM", (("HIGH", f"c_lock_max_ms >= 500 OR c_lock_total_ms >= 1000 OR c_lock_total_ms / {_C_MS} >= 0.10"),)),
     Rule("compare-jfr-gc-pause-regression", f"c_gc_count > 0 AND ((b_gc_count = 0 AND (c_gc_total_ms >= 300 OR c_gc_max_ms >= 200)) OR (b_gc_total_ms > 0 AND c_gc_total_ms / {_C_MS} >= greatest(0.04, 1.5 * b_gc_total_ms / {_B_MS}) AND c_gc_total_ms / {_C_MS} - b_gc_total_ms / {_B_MS} >= 0.02) OR (b_gc_total_ms > 0 AND c_gc_total_ms >= b_gc_total_ms + 250 AND c_gc_total_ms >= 1.5 * b_gc_total_ms) OR c_gc_max_ms >= greatest(250, b_gc_max_ms + 100))", "MEDIUM", (("HIGH", f"c_gc_max_ms >= 1000 OR c_gc_total_ms >= 1500 OR c_gc_total_ms / {_C_MS} >= 0.12"),)),
     Rule("compare-jfr-execution-hot-path-shift", "c_execution_method IS NOT NULL AND c_execution_method_count >= 3 AND c_execution_method_share >= 0.60 AND (b_execution_method IS NULL OR c_execution_method <> b_execution_method OR c_execution_method_share >= b_execution_method_share + 0.20)", "MEDIUM", (("HIGH", "c_execution_method_share >= 0.80 OR c_execution_count >= 8"),)),
