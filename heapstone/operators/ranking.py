@@ -57,3 +57,11 @@ def counts_in_order(df: DataFrame, key: str, preferred: list[str]) -> DataFrame:
     place = F.array_position(F.array(*map(F.lit, preferred)), F.col(key))
     counts = df.where(F.col(key).isNotNull()).groupBy(key).agg(F.count("*").alias("n")).withColumn("_p", F.when(place > 0, place).otherwise(F.lit(len(preferred) + 1)))
     return counts.select(key, "n", F.row_number().over(Window.orderBy("_p", key)).alias("place"))
+
+
+def merged(frames: list[DataFrame], keys: list[str]) -> DataFrame:
+    """One row for each key with the columns of all frames, each of which has at most one row a key: a union and one aggregation, no joins."""
+    everything = frames[0]
+    for frame in frames[1:]:
+        everything = everything.unionByName(frame, allowMissingColumns=True)
+    return everything.groupBy(*keys).agg(*(F.max(c).alias(c) for c in everything.columns if c not in keys))

@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 
 from heapstone.functions.scalars import found, number, size_bytes
 from heapstone.operators.ordered import nearest_rank
-from heapstone.operators.ranking import dominant, ratio
+from heapstone.operators.ranking import dominant, merged, ratio
 from heapstone.operators.timeline import longest_streak
 
 
@@ -259,9 +259,7 @@ def summary(artifacts: DataFrame, lines: DataFrame) -> DataFrame:
         m.groupBy(*KEY).agg(F.count("*").alias("metaspace_snapshot_count"), F.max("usage_ratio").alias("peak_metaspace_usage_ratio"), F.max_by("used_kb", "line_no").alias("latest_metaspace_used_kb"), (F.max_by("used_kb", "line_no") - F.min_by("used_kb", "line_no")).alias("metaspace_growth_kb")),
         progression(p),
     ]
-    out = collectors(artifacts).join(base, KEY, "left")
-    for other in (ranks, by_count, by_total, *streaks, weak, *others):
-        out = out.join(other, KEY, "left")
+    out = merged([collectors(artifacts), base, ranks, by_count, by_total, *streaks, weak, *others], KEY)
     window_ms = (F.col("p_hi") - F.col("p_lo")) * 1000
     out = out.withColumn("log_window_ms", window_ms).withColumn("stop_the_world_pct", ratio(100 * F.col("total_pause_ms"), F.col("log_window_ms"))).withColumn("peak_occupancy_ratio", F.greatest("peak_occupancy_ratio", "cycle_peak_ratio")).drop("p_lo", "p_hi", "cycle_peak_ratio")
     return out.fillna(0, [f.name for f in out.schema if f.name.endswith(("_count", "_streak"))])

@@ -48,13 +48,29 @@ def table(spark, **contents):
     return spark.createDataFrame(list(contents.items()), "artifact_id string, content string")
 
 
-def summary_of(spark, text):
-    rows = table(spark, a=text)
-    return gc.summary(rows, lines(rows, ["artifact_id"], "content"))
+@pytest.fixture(scope="module")
+def gc_summary(spark):
+    """One summary of all logs, computed once."""
+    rows = table(spark, g1=G1, cycle=CYCLE, zgc=ZGC, cms=CMS, slow=CYCLE.replace("20.000ms", "520.000ms"))
+    made = gc.summary(rows, lines(rows, ["artifact_id"], "content"))
+    return spark.createDataFrame(made.collect(), made.schema)
 
 
-def test_g1_recovery_and_causes(spark):
-    s = summary_of(spark, G1).first()
+@pytest.fixture(scope="module")
+def gc_rows(gc_summary):
+    return {r["artifact_id"]: r for r in gc_summary.collect()}
+
+
+@pytest.fixture(scope="module")
+def gc_findings(gc_summary):
+    found = {}
+    for r in assessment.assess("GC_LOG", gc_summary).collect():
+        found.setdefault(r["artifact_id"], {})[r["finding_id"]] = r["severity"]
+    return found
+
+
+def test_g1_recovery_and_causes(spark, gc_rows):
+    s = gc_rows["g1"]
     assert (s["collector"], s["pause_count"], s["young_count"], s["mixed_count"], s["full_gc_count"]) == ("G1", 3, 1, 1, 1)
     assert (s["dominant_cause_by_count"], s["dominant_cause_by_total_ms"]) == ("G1 Evacuation Pause", "G1 Compaction Pause")
     assert (s["high_retained_count"], s["near_capacity_count"], s["near_capacity_streak"]) == (2, 1, 1)
@@ -63,38 +79,32 @@ def test_g1_recovery_and_causes(spark):
     assert rows == {"G1 Evacuation Pause": 60.0, "G1 Compaction Pause": 120.0}
 
 
-def test_g1_progression(spark):
-    s = summary_of(spark, CYCLE).first()
+def test_g1_progression(gc_rows):
+    s = gc_rows["cycle"]
     assert (s["young_before_first_mixed_count"], s["mixed_before_first_full_count"], s["full_after_mixed_count"], s["high_retained_mixed_count"]) == (1, 2, 2, 2)
     assert (s["low_reclaim_full_count"], s["low_reclaim_full_streak"]) == (2, 2)
     assert s["average_full_gc_reclaimed_mb"] == pytest.approx(17.0) and s["average_full_gc_reclaimed_share"] == pytest.approx(0.0166015625)
 
 
-def test_zgc_lines_and_rules(spark):
-    rows = table(spark, a=ZGC)
-    s = gc.summary(rows, lines(rows, ["artifact_id"], "content"))
-    r = s.first()
+def test_zgc_lines_and_rules(spark, gc_rows, gc_findings):
+    r = gc_rows["zgc"]
     assert (r["collector"], r["allocation_stall_count"], r["max_allocation_stall_ms"], r["total_allocation_stall_ms"], r["gc_cycle_count"], r["concurrent_phase_count"], r["max_active_workers"]) == ("ZGC", 3, 11.0, 21.5, 1, 1, 1)
-    found = {x["finding_id"]: x["severity"] for x in assessment.assess("GC_LOG", s).collect()}
-    assert found == {"gc-allocation-stall-pressure": "HIGH"}
-    mmu = gc.mmu(lines(rows, ["artifact_id"], "content")).first()
+    assert gc_findings["zgc"] == {"gc-allocation-stall-pressure": "HIGH"}
+    mmu = gc.mmu(lines(table(spark, a=ZGC), ["artifact_id"], "content")).first()
     assert (mmu["mmu_2ms"], mmu["mmu_100ms"]) == (99.4, 100.0)
 
 
-def test_cms_and_legacy_logs(spark):
-    s = summary_of(spark, CMS).first()
+def test_cms_and_legacy_logs(spark, gc_rows, gc_findings):
+    s = gc_rows["cms"]
     assert (s["collector"], s["full_gc_count"], s["concurrent_mode_failure_count"], s["max_full_gc_pause_ms"], s["cpu_sample_count"]) == ("CMS", 3, 3, pytest.approx(310.0), 4)
-    found = {x["finding_id"] for x in assessment.assess("GC_LOG", summary_of(spark, CMS)).collect()}
-    assert found == {"gc-repeated-full-gcs", "gc-heap-saturation"}
+    assert set(gc_findings["cms"]) == {"gc-repeated-full-gcs", "gc-heap-saturation"}
     p = gc.pauses(lines(table(spark, a=LEGACY), ["artifact_id"], "content")).collect()
     assert [(r["pause_type"], r["pause_ms"], r["after_mb"], r["capacity_mb"]) for r in p] == [("INIT_MARK", pytest.approx(12.75), 50, 64)]
 
 
-def test_gc_regression_pair(spark):
-    rows = table(spark, base=G1, cur=CYCLE.replace("20.000ms", "520.000ms"))
-    s = gc.summary(rows, lines(rows, ["artifact_id"], "content"))
-    pairs = spark.createDataFrame([(1, "base", "cur")], "pair_id int, baseline_id string, current_id string")
-    found = {r["finding_id"]: r["severity"] for r in comparison.compare("GC_LOG", pairs, s).collect()}
+def test_gc_regression_pair(spark, gc_summary):
+    pairs = spark.createDataFrame([(1, "g1", "slow")], "pair_id int, baseline_id string, current_id string")
+    found = {r["finding_id"]: r["severity"] for r in comparison.compare("GC_LOG", pairs, gc_summary).collect()}
     assert found["compare-gc-pause-regression"] == "HIGH" and found["compare-gc-full-gc-regression"] == "CRITICAL" and "compare-gc-collector-change" not in found and found["compare-gc-g1-distress-regression"] == "HIGH"
 
 
