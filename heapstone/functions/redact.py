@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -15,7 +17,7 @@ PATTERNS = (
 )
 
 
-def tokens(text: Column, kind: str, pattern: str) -> Column:
+def tokens(text: Column, pattern: str) -> Column:
     """Distinct values of a kind in order of appearance."""
     return F.array_distinct(F.regexp_extract_all(text, F.lit(pattern), F.lit(0)))
 
@@ -30,11 +32,14 @@ def replace_all(text: Column, values: Column, kind: str) -> Column:
 HINTS = {"env": "=", "path": "/", "windows-path": ":\\", "ip": ".", "host": "."}
 
 
+def _step(kind: str, pattern: str) -> Callable[[Column], Column]:
+    return lambda t: F.when(t.contains(HINTS[kind]), replace_all(t, tokens(t, pattern), kind)).otherwise(t)
+
+
 def redact(text: Column, kinds: tuple[str, ...] = tuple(k for k, _ in PATTERNS)) -> Column:
     """All kinds, one after the other. Null stays null. Each step binds its text once, so no step is evaluated twice."""
     done = text
     for kind, pattern in PATTERNS:
         if kind in kinds:
-            step = lambda t, kind=kind, pattern=pattern: F.when(t.contains(HINTS[kind]), replace_all(t, tokens(t, kind, pattern), kind)).otherwise(t)
-            done = F.transform(F.array(done), step)[0]
+            done = F.transform(F.array(done), _step(kind, pattern))[0]
     return done
