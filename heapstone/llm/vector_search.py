@@ -48,6 +48,10 @@ class Index:
             wide = np.hstack((vectors, np.sqrt(np.maximum(self.longest**2 - norms**2, 0))))
         return (wide @ self.rotation).astype(np.float32)
 
+    def nearest(self, placed: np.ndarray) -> np.ndarray:
+        """The list of each row."""
+        return np.concatenate([squared(placed[i : i + 2048], self.centres).argmin(1) for i in range(0, max(1, len(placed)), 2048)])
+
     def order(self, placed: np.ndarray) -> np.ndarray:
         """Lists of each row, nearest first."""
         return np.argsort(squared(placed, self.centres), axis=1, kind="stable")
@@ -66,7 +70,8 @@ def fit(sample: np.ndarray, longest: float, total: int, seed: int = 3, rounds: i
     k = max(1, min(int(np.sqrt(total) / 2), len(sample) // 8))
     centres = placed[rng.choice(len(placed), k, replace=False)].copy()
     for _ in range(rounds):
-        nearest = np.concatenate([squared(placed[i : i + 2048], centres).argmin(1) for i in range(0, len(placed), 2048)])
+        index.centres = centres
+        nearest = index.nearest(placed)
         sums, counts = np.zeros_like(centres), np.bincount(nearest, minlength=k)
         np.add.at(sums, nearest, placed)
         centres = np.where(counts[:, None] > 0, sums / np.maximum(counts, 1)[:, None], centres).astype(np.float32)
@@ -116,7 +121,8 @@ def search(vectors: DataFrame, every: int = 20, k: int = 20, id_col: str = "vec_
 
     Null, zero or non-finite vectors, null ids, and vectors not of the commonest dimension take no part. Of equal vectors only the k + 1 smallest
     ids can be among the nearest, so only these are candidates (cut before the shuffle); equal queries are searched once. Lists and a list's
-    queries are cut into blocks of bounded size, so one crowded region is shared by many tasks. Fewer candidates than k: all. No valid vector: no rows.
+    queries are cut into blocks of bounded size, so one crowded region is shared by many tasks. Queries whose probed lists gave too few answers
+    are searched again in twice as many lists, without tests. Fewer candidates than k: all. No valid vector: no rows.
     """
     spark = vectors.sparkSession
     small_batches(spark)
@@ -140,7 +146,17 @@ def search(vectors: DataFrame, every: int = 20, k: int = 20, id_col: str = "vec_
     placed = store.keep(_placed(rows, index, dims))
     index.probes = _probes(groups, placed, index, dims, k, tuning)
     lists = {r["list"]: r["count"] for r in placed.groupBy("list").count().collect()}  # as many rows as the index has lists
-    found = store.keep(_search_lists(groups, placed, index, lists, dims, k))
+    found = store.keep(_search_lists(groups, placed, index, lists, dims, k, index.probes, True))
+    probes, exact = index.probes, False
+    while not exact:
+        enough = found.groupBy("qid").count().where(F.col("count") >= min(k + 1, total)).select("qid")
+        short = store.keep(groups.join(enough, "qid", "left_anti"))
+        if not short.take(1):
+            break
+        probes = 2 * probes
+        exact = probes >= len(index.centres)
+        again = _search_lists(short, placed, index, lists, dims, k, probes, False)
+        found = store.keep(found.join(short.select("qid"), "qid", "left_anti").unionByName(again))
     merged = found.withColumn("r", F.row_number().over(Window.partitionBy("qid").orderBy(F.desc("score"), "vec_id"))).where(F.col("r") <= k + 1)
     of_query = asked.join(groups, "v").select(F.col("vec_id").alias("query_id"), "qid")
     answers = of_query.join(merged.select("qid", "vec_id", "score"), "qid").where("vec_id <> query_id")
@@ -154,7 +170,7 @@ def _placed(rows: DataFrame, index: Index, dims: int) -> DataFrame:
     def place(batch: pa.RecordBatch) -> pa.RecordBatch:
         v = _matrix(batch.column("v"), dims)
         p = index.place(v, query=False)
-        lists = squared(p, index.centres).argmin(1)
+        lists = index.nearest(p)
         return pa.RecordBatch.from_arrays([batch.column("vec_id"), pa.array(lists.astype(np.int32)), pa.array([x.tobytes() for x in p], pa.binary()), pa.array([x.tobytes() for x in v], pa.binary())], names=["vec_id", "list", "p", "v"])
 
     return map_arrow(rows, place, "vec_id long, list int, p binary, v binary")
@@ -179,20 +195,27 @@ def _probes(groups: DataFrame, placed: DataFrame, index: Index, dims: int, k: in
     return int(needed[min(len(needed) - 1, int(np.ceil(TARGET * len(needed))))]) + 1
 
 
-def _search_lists(groups: DataFrame, placed: DataFrame, index: Index, lists: dict[int, int], dims: int, k: int) -> DataFrame:
-    """qid, vec_id, score: the k + 1 best of each block of each probed list, as far as they may be among the query's best."""
+def _search_lists(groups: DataFrame, placed: DataFrame, index: Index, lists: dict[int, int], dims: int, k: int, probes_each: int, tested: bool) -> DataFrame:
+    """qid, vec_id, score: the k + 1 best of each block of each probed list, as far as they may be among the query's best.
+
+    With ``tested``, a query's bound is the distance of the k + 1st nearest sampled vector of its own lists; otherwise no candidate is abandoned.
+    """
     spark = groups.sparkSession
+    sample_lists = index.nearest(index.sample)
     blocks = np.array([-(-lists.get(i, 0) // ROWS) for i in range(len(index.centres))])
     counts = spark.createDataFrame([(i, int(b)) for i, b in enumerate(blocks) if b], "list int, blocks int")
 
     def probe(batch: pa.RecordBatch) -> pa.RecordBatch:
         v = _matrix(batch.column("v"), dims)
         y = index.place(v, query=True)
-        near = squared(y, index.sample)
-        at = min(k, near.shape[1] - 1)
-        bound = np.partition(near, at, axis=1)[:, at] if near.shape[1] > k else np.full(len(y), np.float32(np.inf))
+        chosen = index.order(y)[:, :probes_each]
+        bound = np.full(len(y), np.float32(np.inf))
+        if tested and len(index.sample) > k:
+            probed = np.zeros((len(y), len(index.centres)), bool)
+            np.put_along_axis(probed, chosen, True, axis=1)
+            near = np.where(probed[:, sample_lists], squared(y, index.sample), np.float32(np.inf))
+            bound = np.partition(near, k, axis=1)[:, k]
         qids = np.asarray(batch.column("qid"))
-        chosen = index.order(y)[:, : index.probes]
         row = np.repeat(np.arange(len(y)), chosen.shape[1])
         ys, vs = [x.tobytes() for x in y], [x.tobytes() for x in v]
         return pa.RecordBatch.from_arrays([pa.array(qids[row]), pa.array(chosen.ravel().astype(np.int32)), pa.array(bound[row].astype(np.float64)), pa.array([ys[i] for i in row], pa.binary()), pa.array([vs[i] for i in row], pa.binary())], names=["id", "list", "bound", "p", "v"])
