@@ -41,7 +41,7 @@ def small_batches(spark: SparkSession) -> None:
     rows = "spark.sql.execution.arrow.maxRecordsPerBatch"
     if not 0 < int(spark.conf.get(rows)) <= 2000:
         spark.conf.set(rows, "2000")
-    spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", "16m")
+    spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", "4m")
 
 
 def shared_dir(spark: SparkSession) -> str:
@@ -172,7 +172,7 @@ def shingle_sets(texts: list[bytes], width: int) -> list[np.ndarray]:
     return out
 
 
-def chunks_of(column: pa.Array, most: int = 4 << 20) -> Iterator[list[bytes]]:
+def chunks_of(column: pa.Array, most: int = 1 << 20) -> Iterator[list[bytes]]:
     """UTF-8 texts of an Arrow column (null: empty), in lists of about ``most`` bytes."""
     held, size = [], 0
     for t in column.cast(pa.binary()):
@@ -187,12 +187,15 @@ def chunks_of(column: pa.Array, most: int = 4 << 20) -> Iterator[list[bytes]]:
 
 
 def map_arrow(df: DataFrame, work: Callable[[pa.RecordBatch], pa.RecordBatch | None], schema: str | T.StructType) -> DataFrame:
-    """``mapInArrow`` with a function of one batch; empty batches are passed over, batches are bounded."""
+    """``mapInArrow`` with a function of one batch; empty batches are passed over, batches are bounded, and Arrow gives back what it freed."""
     small_batches(df.sparkSession)
 
     def each(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             if batch.num_rows and (out := work(batch)) is not None:
                 yield out
+                del out
+            del batch
+            pa.default_memory_pool().release_unused()
 
     return df.mapInArrow(each, schema)
