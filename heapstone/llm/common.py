@@ -5,6 +5,7 @@ Each operator takes only the columns it names (``pick``), so extra columns, what
 
 from __future__ import annotations
 
+import ctypes
 import os
 import tempfile
 import uuid
@@ -186,11 +187,29 @@ def chunks_of(column: pa.Array, most: int = 1 << 20) -> Iterator[list[bytes]]:
         yield held
 
 
+_held: dict[str, dict] = {}
+
+
+def held(owner: str) -> dict:
+    """What one operator remembers in this Python worker from task to task; ``free_others`` drops it when another operator comes."""
+    return _held.setdefault(owner, {})
+
+
+def free_others(owner: str) -> None:
+    """Drops what other operators remember, so that their caches don't add up in workers that serve one after the other, and gives freed memory back."""
+    for name in [n for n in _held if n != owner]:
+        del _held[name]
+    if hasattr(libc := ctypes.CDLL(None), "malloc_trim"):
+        libc.malloc_trim(0)
+
+
 def map_arrow(df: DataFrame, work: Callable[[pa.RecordBatch], pa.RecordBatch | None], schema: str | T.StructType) -> DataFrame:
     """``mapInArrow`` with a function of one batch; empty batches are passed over, batches are bounded, and Arrow gives back what it freed."""
     small_batches(df.sparkSession)
+    owner = work.__module__
 
     def each(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        free_others(owner)
         for batch in batches:
             if batch.num_rows and (out := work(batch)) is not None:
                 yield out

@@ -15,7 +15,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from heapstone.llm.common import Store, hash60, map_arrow, pick, running_before, slices_for
+from heapstone.llm.common import Store, hash60, held, map_arrow, pick, running_before, slices_for
 
 #: White space of the tokenizer's own pattern. A token never spans a change from other characters to white space.
 BLANK = "\t-\r \x85\xa0  -     　"
@@ -103,14 +103,12 @@ def _other_ascii(text: str) -> bool:
     return "\t" in text or "\r" in text or "\x0b" in text or "\x0c" in text
 
 
-_encoders: dict[str, UnitEncoder] = {}
-
-
 def encoder(path: str) -> UnitEncoder:
     """One for each Python worker and file."""
-    if path not in _encoders:
-        _encoders[path] = UnitEncoder(path)
-    return _encoders[path]
+    encoders = held(__name__)
+    if path not in encoders:
+        encoders[path] = UnitEncoder(path)
+    return encoders[path]
 
 
 def lengths(n: int, most: int) -> list[int]:

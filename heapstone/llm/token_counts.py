@@ -15,7 +15,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 
-from heapstone.llm.common import map_arrow, pick
+from heapstone.llm.common import held, map_arrow, pick
 
 START = "▁"
 #: Nodes and words held by one Python worker before it starts afresh.
@@ -85,14 +85,12 @@ class WordCounts(dict):
         return n
 
 
-_counts: dict[str, WordCounts] = {}
-
-
 def word_counts(path: str) -> WordCounts:
     """One for each Python worker and file."""
-    if path not in _counts:
-        _counts[path] = WordCounts(path)
-    return _counts[path]
+    counts = held(__name__)
+    if path not in counts:
+        counts[path] = WordCounts(path)
+    return counts[path]
 
 
 def count_tokens(docs: DataFrame, path: str) -> DataFrame:
