@@ -15,7 +15,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from heapstone.llm.common import Store, hash60, held, map_arrow, pick, running_before, slices_for
+from heapstone.llm.common import Store, chunks_of, hash60, held, map_arrow, pick, running_before, slices_for
 
 #: White space of the tokenizer's own pattern. A token never spans a change from other characters to white space.
 BLANK = "\t-\r \x85\xa0  -     　"
@@ -26,6 +26,8 @@ _OTHER = re.compile(f"[{BLANK[:1]}\x0b-\r{BLANK[4:]}]")
 MOST_CACHED = 1 << 20
 #: Units that the tokenizer gets in one text.
 LINE = 256
+#: Bytes of texts whose words are held at a time.
+CHUNK = 1 << 19
 
 
 class UnitEncoder:
@@ -125,7 +127,7 @@ def document_pieces(docs: DataFrame, path: str, most: int = 1024, with_ids: bool
 
     def cut(batch: pa.RecordBatch) -> pa.RecordBatch:
         columns: list[list] = [[] for _ in kinds]
-        all_ids = encoder(path).encode([t or "" for t in batch.column("text").to_pylist()])
+        all_ids = (ids for chunk in chunks_of(batch.column("text"), CHUNK) for ids in encoder(path).encode([t.decode() for t in chunk]))
         for doc_id, ids in zip(batch.column("doc_id").to_pylist(), all_ids, strict=True):
             data, total, at = ids + b"\0\0\0\0", len(ids) // 4 + 1, 0
             for n in lengths(total, most):
