@@ -43,8 +43,9 @@ def section_of(line_rows: DataFrame, keys: list[str], header: Column, out: str =
 
 
 def snippet_lines(line_rows: DataFrame, keys: list[str], snippets: DataFrame) -> DataFrame:
-    """keys, snippet, line_numbers: where each snippet of its key (keys, snippet) stands."""
-    joined = line_rows.join(snippets, keys).where(F.col("line").contains(F.trim("snippet")) & (F.trim("snippet") != ""))
+    """keys, snippet, line_numbers: where each snippet of its key (keys, snippet) stands; a repeated snippet counts once."""
+    wanted = snippets.where(F.trim("snippet") != "").groupBy(*keys).agg(F.collect_set("snippet").alias("_s")).select(*keys, F.explode("_s").alias("snippet"))
+    joined = line_rows.join(wanted, keys).where((F.length("line") >= F.length(F.trim("snippet"))) & F.col("line").contains(F.trim("snippet")))
     return joined.groupBy(*keys, "snippet").agg(F.array_sort(F.collect_list("line_no")).alias("line_numbers"))
 
 
@@ -56,6 +57,19 @@ def page(text: Column, offset: int, length: int = 4200) -> Column:
     return F.struct(piece.alias("text"), (start + 1).alias("first_char"), (start + F.length(piece)).alias("last_char"), total.alias("total"), (start + F.length(piece) < total).alias("more"))
 
 
+def pages(text: Column, length: int = 4200) -> Column:
+    """An array of structs like those of ``page``: all pages of a text, cut in one pass; an empty text has one empty page."""
+    total = F.length(text)
+    found = F.regexp_extract_all(text, F.lit(f"(?s).{{1,{length}}}"), F.lit(0))
+    pieces = F.when(total > 0, found).otherwise(F.array(F.lit("")))
+
+    def numbered(piece: Column, k: Column) -> Column:
+        last = k * length + F.length(piece)
+        return F.struct(piece.alias("text"), (k * length + 1).alias("first_char"), last.alias("last_char"), total.alias("total"), (last < total).alias("more"))
+
+    return F.transform(pieces, numbered)
+
+
 #: Keys that selectors know; anything else stays a free key.
 _PAIR = re.compile(r"[,;\n]")
 

@@ -40,17 +40,18 @@ def pattern_windows(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query("""SELECT doc_id, md5(substr(text, 4201, 4200)) AS digest, least(4200, length(text)) + 1 AS first_char, least(8400, length(text)) AS last_char, length(text) AS total, length(text) > 8400 AS more FROM documents WHERE text IS NOT NULL""")
 def text_paging(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The second page of 4200 characters of each document."""
-    pages = table(spark, sf_dir, "documents").where("text IS NOT NULL").select("doc_id", context.page(F.col("text"), 4200).alias("p"))
+    """All pages of 4200 characters of each document."""
+    pages = table(spark, sf_dir, "documents").where("text IS NOT NULL").select("doc_id", F.explode(context.pages(F.col("text"))).alias("p"))
     return pages.select("doc_id", F.md5("p.text").alias("digest"), *(F.col(f"p.{c}").cast("long").alias(c) for c in ("first_char", "last_char", "total")), "p.more")
 
 
 @query(f"""SELECT doc_id, snippet, list(line_no::INT ORDER BY line_no) AS line_numbers FROM {_LINES} JOIN (SELECT doc_id, trim(substr(text, 1, 20)) AS snippet FROM documents WHERE doc_id % 3 = 0 AND trim(substr(text, 1, 20)) <> '') s USING (doc_id)
  WHERE contains(line, snippet) GROUP BY doc_id, snippet""")
 def snippet_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Lines on which a snippet of every third document stands."""
-    snippets = table(spark, sf_dir, "documents").where("doc_id % 3 = 0").select("doc_id", F.trim(F.substring("text", 1, 20)).alias("snippet"))
-    return context.snippet_lines(_lines(spark, sf_dir), ["doc_id"], snippets)
+    """Lines on which the first 20 characters of a document, and each of its lines, stand."""
+    lines = _lines(spark, sf_dir)
+    starts = table(spark, sf_dir, "documents").select("doc_id", F.trim(F.substring("text", 1, 20)).alias("snippet"))
+    return context.snippet_lines(lines, ["doc_id"], starts.unionByName(lines.select("doc_id", F.trim("line").alias("snippet"))))
 
 
 @query(r"""WITH t AS (SELECT doc_id, list_distinct(regexp_extract_all(text, '\b(?:\d{1,3}\.){3}\d{1,3}\b')) AS ips FROM documents)

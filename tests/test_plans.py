@@ -3,8 +3,9 @@
 from __future__ import annotations
 
 from datetime import datetime, timedelta
+from hashlib import md5
 
-from heapstone.plans import joins
+from heapstone.plans import joins, texts
 
 
 def stored(spark, tmp_path, **tables):
@@ -20,3 +21,27 @@ def test_cogroup_takes_every_id(spark, tmp_path):
     path = stored(spark, tmp_path, orders=(orders, "o_orderkey long, o_totalprice double"), lineitem=(lines, "l_orderkey long, l_extendedprice double"))
     got = {(r["id"], r["kind"]): (r["n"], r["c"]) for r in joins.cogroup_by_id(spark, path).collect()}
     assert got == {(i, "order"): (1, 100 * i) for i in range(1, 13)} | {(i, "line"): (2, 300) for i in range(1, 13)}
+
+
+def test_paging_gives_every_page(spark, tmp_path):
+    long = "".join(chr(97 + k % 26) for k in range(8400)) + "\U0001f642\nend"
+    rows = [(1, long), (2, "x" * 4200), (3, ""), (4, None)]
+    path = stored(spark, tmp_path, documents=(rows, "doc_id long, text string"))
+    got = sorted(tuple(r) for r in texts.text_paging(spark, path).collect())
+    digest = lambda t: md5(t.encode()).hexdigest()
+    assert got == sorted(
+        [(1, digest(long[k : k + 4200]), k + 1, min(k + 4200, 8405), 8405, k < 8400) for k in (0, 4200, 8400)] + [(2, digest("x" * 4200), 1, 4200, 4200, False), (3, digest(""), 1, 0, 0, False)]
+    )
+
+
+def test_snippets_come_from_whole_texts_of_all_documents(spark, tmp_path):
+    docs = {1: "one two three four five\nx one two three four five y\nthree\n\nseveral of three", 2: "a b\nza bz\n  a b  ", 4: "last  gap here\nblast  gap hereby\nlast gap here"}
+    path = stored(spark, tmp_path, documents=([(i, t) for i, t in docs.items()] + [(5, None)], "doc_id long, text string"))
+    want = {}
+    for i, t in docs.items():
+        lines = t.split("\n")
+        for s in {t[:20].strip(" "), *(x.strip(" ") for x in lines)} - {""}:
+            if any(s in x for x in lines):
+                want[i, s] = [k + 1 for k, x in enumerate(lines) if s in x]
+    got = {(r["doc_id"], r["snippet"]): r["line_numbers"] for r in texts.snippet_lines(spark, path).collect()}
+    assert got == want and got[1, "three"] == [1, 2, 3, 5] and got[4, "last  gap here"] == [1, 2]
