@@ -148,11 +148,20 @@ def elapsed_anchor(spark: SparkSession, sf_dir: str) -> DataFrame:
  o AS (SELECT user_id % 10 AS g, user_id, kinds, locks FROM f), p AS (SELECT a.user_id AS a_id, b.user_id AS b_id, len(list_intersect(a.kinds, b.kinds)) AS k, len(list_intersect(a.locks, b.locks)) AS l FROM o a JOIN o b ON a.g = b.g AND a.user_id < b.user_id)
  SELECT a_id, b_id, (60 + least(12, 6 * k) + least(8, 4 * l))::INT AS score FROM p WHERE k > 0""")
 def signal_alignment_score(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Threads of one pool that share signals: a base score, more for each shared kind and lock, capped."""
-    families = events(spark, sf_dir).where("value > 40").groupBy("user_id").agg(F.collect_set("event_type").alias("kinds"), F.collect_set(F.col("cents") % 7).alias("locks")).withColumn("g", F.col("user_id") % 10)
-    a, b = (families.select("g", *(F.col(c).alias(f"{p}_{c}") for c in ("user_id", "kinds", "locks"))) for p in "ab")
-    k, l = F.size(F.array_intersect("a_kinds", "b_kinds")), F.size(F.array_intersect("a_locks", "b_locks"))  # noqa: E741
+    """Signatures (kinds and locks of a thread) that share a kind: a base score, more for each shared kind and lock, capped.
+
+    Rows with relation 'pair' score two signatures, a_id not above b_id; a signature with itself where several threads bear it. A signature's
+    id is the smallest user_id that bears it. Rows with relation 'member' name a signature (a_id) and a thread that bears it (b_id), for every
+    thread, without a score. Two threads score as their signatures do, so the pairs don't grow with the threads.
+    """
+    sets = F.array_sort(F.collect_set("event_type")).alias("kinds"), F.array_sort(F.collect_set(F.col("cents") % 7)).alias("locks")
+    families = events(spark, sf_dir).where("value > 40").groupBy("user_id").agg(*sets)
+    signatures = families.groupBy("kinds", "locks").agg(F.min("user_id").alias("id"), F.count("*").alias("n"))
+    members = families.join(signatures, ["kinds", "locks"]).select(F.lit("member").alias("relation"), F.col("id").alias("a_id"), F.col("user_id").alias("b_id"), F.lit(None).cast("int").alias("score"))
+    a, b = (signatures.select(F.explode("kinds").alias("kind"), *(F.col(c).alias(f"{p}_{c}") for c in ("id", "n", "kinds", "locks"))) for p in "ab")
+    shared = F.array_intersect("a_kinds", "b_kinds")
+    k, l = F.size(shared), F.size(F.array_intersect("a_locks", "b_locks"))  # noqa: E741
     score = (F.lit(60) + F.least(F.lit(12), 6 * k) + F.least(F.lit(8), 4 * l)).cast("int")
-    return a.join(b, "g").where("a_user_id < b_user_id").where(k > 0).select(F.col("a_user_id").alias("a_id"), F.col("b_user_id").alias("b_id"), score.alias("score"))
-
-
+    once = (F.col("a_id") < F.col("b_id")) | ((F.col("a_id") == F.col("b_id")) & (F.col("a_n") > 1))
+    pairs = a.join(b, "kind").where(once).where(F.col("kind") == F.element_at(shared, 1)).select(F.lit("pair").alias("relation"), "a_id", "b_id", score.alias("score"))
+    return pairs.unionByName(members)

@@ -45,3 +45,28 @@ def test_snippets_come_from_whole_texts_of_all_documents(spark, tmp_path):
                 want[i, s] = [k + 1 for k, x in enumerate(lines) if s in x]
     got = {(r["doc_id"], r["snippet"]): r["line_numbers"] for r in texts.snippet_lines(spark, path).collect()}
     assert got == want and got[1, "three"] == [1, 2, 3, 5] and got[4, "last  gap here"] == [1, 2]
+
+
+EVENT_COLUMNS = "event_id long, ts timestamp_ntz, user_id long, event_type string, value double, props string"
+START = datetime(2024, 1, 1)
+
+
+def event(event_id, user_id=1, hours=0.0, kind="error", value=50.0):
+    return event_id, START + timedelta(hours=hours), user_id, kind, value, "{}"
+
+
+def test_alignment_scores_threads_of_all_pools(spark, tmp_path):
+    kinds, threads = ["error", "purchase", "view"], {}
+    for user in range(40):
+        threads[user] = {(kinds[k], 50.0 + j) for k in range(3) if (user * 7 // 3) >> k & 1 for j in range(2) if (user >> j) & 1 or not j}
+    rows = [event(n, u, kind=kind, value=value) for n, (u, (kind, value)) in enumerate((u, x) for u in threads for x in sorted(threads[u]))]
+    got = joins.signal_alignment_score(spark, stored(spark, tmp_path, events=(rows, EVENT_COLUMNS))).collect()
+    of = {r["b_id"]: r["a_id"] for r in got if r["relation"] == "member"}
+    scores = {(r["a_id"], r["b_id"]): r["score"] for r in got if r["relation"] == "pair"}
+    assert len(scores) + len(of) == len(got) and set(of) == {u for u in threads if threads[u]}
+    for x in of:
+        for y in of:
+            if x < y:
+                k = len({kind for kind, _ in threads[x]} & {kind for kind, _ in threads[y]})
+                l = len({round(v * 100) % 7 for _, v in threads[x]} & {round(v * 100) % 7 for _, v in threads[y]})  # noqa: E741
+                assert scores.get(tuple(sorted((of[x], of[y])))) == (60 + min(12, 6 * k) + min(8, 4 * l) if k else None)
