@@ -16,14 +16,10 @@ _CLUSTERS = f"""SELECT *, sum(CASE WHEN brk THEN 1 ELSE 0 END) OVER (PARTITION B
  FROM {EVENTS} WHERE event_id > 0 WINDOW w AS (PARTITION BY user_id ORDER BY event_id, us))"""
 
 
-def _numbered(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return events(spark, sf_dir).where("event_id > 0")
-
-
 @query(f"SELECT user_id, cluster, count(*) AS n, min(event_id) AS first_line, max(event_id) AS last_line, sum(cents)::BIGINT AS cents FROM ({_CLUSTERS}) GROUP BY user_id, cluster")
 def gap_clusters(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Clusters of a thread's events by clock gap or line gap."""
-    found = t.gap_clusters(_numbered(spark, sf_dir), ["user_id"], "us", "event_id", GAP_US, LINE_GAP)
+    """Clusters of a thread's events by clock gap or line gap; events without a line number come last."""
+    found = t.gap_clusters(events(spark, sf_dir), ["user_id"], "us", "event_id", GAP_US, LINE_GAP)
     return found.groupBy("user_id", "cluster").agg(F.count("*").alias("n"), F.min("event_id").alias("first_line"), F.max("event_id").alias("last_line"), F.sum("cents").alias("cents"))
 
 
@@ -31,7 +27,7 @@ def gap_clusters(spark: SparkSession, sf_dir: str) -> DataFrame:
  SELECT user_id, cluster, count(*) AS n, sum(greatest(100, cents))::BIGINT AS weight, min(event_id) AS first_line, max(event_id) AS last_line FROM ({_CLUSTERS}) GROUP BY user_id, cluster)) WHERE r = 1""")
 def best_gap_cluster(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The best cluster of each thread."""
-    return t.best_gap_cluster(_numbered(spark, sf_dir), ["user_id"], "us", "event_id", F.greatest(F.lit(100), F.col("cents")), GAP_US, LINE_GAP)
+    return t.best_gap_cluster(events(spark, sf_dir), ["user_id"], "us", "event_id", F.greatest(F.lit(100), F.col("cents")), GAP_US, LINE_GAP)
 
 
 @query(f"""WITH i AS (SELECT *, us + cents * 10000000 AS e FROM {EVENTS}), m AS (SELECT *, us > max(e) OVER (PARTITION BY user_id ORDER BY us, event_id ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) + 250000 AS brk FROM i),

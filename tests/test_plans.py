@@ -5,7 +5,7 @@ from __future__ import annotations
 from datetime import datetime, timedelta
 from hashlib import md5
 
-from heapstone.plans import joins, texts
+from heapstone.plans import joins, texts, timelines
 
 
 def stored(spark, tmp_path, **tables):
@@ -70,3 +70,12 @@ def test_alignment_scores_threads_of_all_pools(spark, tmp_path):
                 k = len({kind for kind, _ in threads[x]} & {kind for kind, _ in threads[y]})
                 l = len({round(v * 100) % 7 for _, v in threads[x]} & {round(v * 100) % 7 for _, v in threads[y]})  # noqa: E741
                 assert scores.get(tuple(sorted((of[x], of[y])))) == (60 + min(12, 6 * k) + min(8, 4 * l) if k else None)
+
+
+def test_clusters_keep_events_without_a_line(spark, tmp_path):
+    rows = [event(1, hours=0), event(50, hours=1), event(500, hours=300), event(0, hours=300), event(None, hours=301), event(-3, hours=900), event(0, 2), event(None, 3)]
+    path = stored(spark, tmp_path, events=(rows, EVENT_COLUMNS))
+    got = sorted((r["user_id"], r["cluster"], r["n"], r["cents"]) for r in timelines.gap_clusters(spark, path).collect())
+    assert got == [(1, 0, 2, 10000), (1, 1, 4, 20000), (2, 0, 1, 5000), (3, 0, 1, 5000)]
+    best = sorted((r["user_id"], r["cluster"], r["n"], r["weight"]) for r in timelines.best_gap_cluster(spark, path).collect())
+    assert best == [(1, 1, 4, 20000), (2, 0, 1, 5000), (3, 0, 1, 5000)]
