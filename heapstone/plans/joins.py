@@ -16,13 +16,13 @@ _SPAN = f"""m AS (SELECT min(us) AS lo, max(us) AS hi FROM {EVENTS}), w AS (SELE
 
 
 def _windows(rows: DataFrame) -> DataFrame:
-    bounds = rows.agg(F.min("us").alias("lo"))
-    return bounds.select(F.posexplode(F.sequence(F.col("lo"), F.col("lo") + 4 * WEEK, F.lit(WEEK))).alias("window_id", "w_lo")).select(F.col("window_id").cast("long").alias("window_id"), "w_lo", (F.col("w_lo") + 3 * DAY).alias("w_hi"))
+    bounds = rows.agg(F.min("us").alias("lo"), F.max("us").alias("hi")).where("lo IS NOT NULL")
+    return bounds.select(F.posexplode(F.sequence(F.col("lo"), F.col("hi"), F.lit(WEEK))).alias("window_id", "w_lo")).select(F.col("window_id").cast("long").alias("window_id"), "w_lo", (F.col("w_lo") + 3 * DAY).alias("w_hi"))
 
 
 @query(f"""WITH {_SPAN} SELECT window_id, count(*) AS n, sum(cents)::BIGINT AS cents FROM {EVENTS} JOIN w ON us <= w_hi + 250000 AND us + cents * 1000000 >= w_lo - 250000 GROUP BY window_id""")
 def interval_overlap_join(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Events (as intervals) in each of five three-day windows, with 250 ms slack; dealt to cells of a day."""
+    """Events (as intervals) in a three-day window of each week from the first event to the last, with 250 ms slack; dealt to cells of a day."""
     rows = events(spark, sf_dir)
     spans = rows.withColumn("e", F.col("us") + F.col("cents") * 1_000_000)
     joined = t.overlap_join(spans, F.broadcast(_windows(rows)), "us", "e", "w_lo", "w_hi", 250_000, DAY)

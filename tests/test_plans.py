@@ -79,3 +79,9 @@ def test_clusters_keep_events_without_a_line(spark, tmp_path):
     assert got == [(1, 0, 2, 10000), (1, 1, 4, 20000), (2, 0, 1, 5000), (3, 0, 1, 5000)]
     best = sorted((r["user_id"], r["cluster"], r["n"], r["weight"]) for r in timelines.best_gap_cluster(spark, path).collect())
     assert best == [(1, 1, 4, 20000), (2, 0, 1, 5000), (3, 0, 1, 5000)]
+
+
+def test_windows_reach_the_last_event(spark, tmp_path):
+    rows = [event(k, hours=24 * day, value=0.01) for k, day in enumerate((0, 1, 5, 29, 50, 71))]
+    got = sorted(tuple(r) for r in joins.interval_overlap_join(spark, stored(spark, tmp_path, events=(rows, EVENT_COLUMNS))).collect())
+    assert got == [(0, 2, 2), (4, 1, 1), (7, 1, 1), (10, 1, 1)]
