@@ -22,9 +22,11 @@ from heapstone.llm.common import map_arrow, pick
 _TAG = re.compile(r"<!--.*?(?:-->|\Z)|<!\[CDATA\[.*?(?:\]\]>|\Z)|<[!?][^>]*(?:>|\Z)|<(/?)([a-zA-Z][^\s/>]*)((?:[^>\"']|\"[^\"]*\"|'[^']*')*)>", re.S)
 _ATTRIBUTE = re.compile(r"(class|id|role|style|hidden|aria-hidden)(?:\s*=\s*(\"[^\"]*\"|'[^']*'|[^\s>]+))?", re.I)
 _NAME_PART = re.compile(r"[A-Z]?[a-z]+|[A-Z]+")
-#: Elements without content, elements whose content is no text, elements inside a line of text.
+#: Elements without content, elements whose content is raw up to their end tag or the page's end, elements inside a line of text.
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
-RAW = frozenset("script style noscript template svg iframe object canvas math textarea select".split())
+RAW = frozenset("script style iframe textarea".split())
+#: Elements that a slash in their start tag closes; their text is left to the labeller.
+EMPTY = frozenset("noscript template svg object canvas math select".split())
 INLINE = frozenset("a abbr b bdi bdo big cite code data del dfn em font i ins kbd label mark q s samp small span strong sub sup time tt u var wbr".split())
 #: A start tag that ends an open element of the same group within the same parent.
 CLOSES = {"p": {"p"}, "li": {"li"}, "dt": {"dt", "dd"}, "dd": {"dt", "dd"}, "tr": {"tr", "td", "th"}, "td": {"td", "th"}, "th": {"td", "th"}, "option": {"option"}}
@@ -85,7 +87,7 @@ def leaf_blocks(page: str) -> list[tuple[tuple[str, ...], str, int]]:
                 close = re.compile(rf"</{name}\b[^>]*>", re.I).search(page, at)
                 at = close.end() if close else end
             continue
-        if name in VOID:
+        if name in VOID or name in EMPTY and m.group(3).endswith("/"):
             continue
         if name in BREAKS_P or name in CLOSES:
             wanted = CLOSES.get(name, set()) | ({"p"} if name in BREAKS_P else set())

@@ -382,6 +382,17 @@ def test_blocks_of_broken_html():
     assert blocks[3][0] == ("html", "body", "article", ".post", ".main", ".body", "p") and blocks[1][2] == 1 and blocks[6][0][-1] == "footer"
 
 
+def test_blocks_after_unclosed_and_inside_nested_elements():
+    texts = lambda page: [t for _, t, _ in html_extract.leaf_blocks(page)]
+    for name in ("svg", "select", "object", "canvas", "math", "noscript", "template"):
+        assert texts(f"<body><div><{name}></div><article><p>kept</p></article>") == ["kept"]
+        assert texts(f"<p>a</p><{name}/><p>b</p>") == ["a", "b"]
+        found = html_extract.leaf_blocks(f"<article><{name}><{name}>in</{name}>mid</{name}><p>out</p></article>")
+        assert [(t, path) for path, t, _ in found] == [("in", ("article", name, name)), ("mid", ("article", name)), ("out", ("article", "p"))]
+    for name in ("script", "style", "textarea", "iframe"):
+        assert texts(f"<p>a</p><{name}>x</{name}><p>b</p><{name}>rest <p>no</p>") == ["a", "b"]
+
+
 def test_labeller_on_unseen_invented_pages():
     rng, model, right, total = np.random.default_rng(4242), html_extract.trained(), 0, 0
     for _ in range(150):
