@@ -18,6 +18,14 @@ def cleanliness(text: Column, words: Column) -> Column:
     return F.when(F.coalesce(words, F.lit(0)) == 0, F.lit(1.0)).otherwise(F.greatest(F.lit(0.05), 1.0 - symbols / words))
 
 
+def key_share(key: Column) -> Column:
+    """0 to 1, rising with the key: the mean of the key's distribution functions at the qualities 1 and 0.05.
+
+    At every quality between, a slice of this range holds at most some 3.3 times its even share of the rows, so four times the slices are cut.
+    """
+    return 1 - (F.exp(-key) + F.exp(-0.05 * key)) / 2
+
+
 def source_targets(sizes: DataFrame, cycle: tuple[float, ...] = (3.0, 1.0, 2.0), share: float = 1.5, cap: float = 2.0) -> DataFrame:
     """source, source_size, target for a table of (source, source_size).
 
@@ -49,7 +57,7 @@ def mix_documents(docs: DataFrame, seed: str = "mix-1", cycle: tuple[float, ...]
     u = (hash60(F.lit(seed), F.col("doc_id")) + F.lit(0.5)) / F.lit(float(1 << 60))
     keyed = counted.withColumn("_key", -F.log(u) / F.col("_quality")).withColumn("_words", F.col("size") * F.col("_n")).withColumn("_source", F.coalesce(F.concat(F.lit("s"), "source"), F.lit("n")))
     cuts = slices_for(docs.count())
-    summed = running_before(keyed, ["_source"], ["_key", F.col("doc_id").asc_nulls_first(), "size", "_quality"], "_words", "_before", F.floor((1 - F.exp(-F.col("_key"))) * cuts))
+    summed = running_before(keyed, ["_source"], ["_key", F.col("doc_id").asc_nulls_first(), "size", "_quality"], "_words", "_before", F.floor(key_share(F.col("_key")) * (4 * cuts)))
     joined = summed.join(targets.withColumn("_source", F.coalesce(F.concat(F.lit("s"), "source"), F.lit("n"))).drop("source"), "_source")
     epochs = F.when(F.col("source_size") > 0, F.floor(F.col("target") / F.col("source_size"))).otherwise(F.lit(0))
     budget = F.floor(F.col("target") - epochs * F.col("source_size"))

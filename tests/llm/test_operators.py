@@ -8,6 +8,7 @@ from collections import Counter, defaultdict
 import numpy as np
 import public_tokenizers
 import pytest
+from pyspark.sql import functions as F
 
 from heapstone.llm import chat, host_rules, html_extract, mixing, near_dup, packing, quality_cnn, sharding, token_counts, vector_search
 from heapstone.llm.common import shingle_sets, word_hashes
@@ -142,6 +143,16 @@ def test_mixing(spark, edge, empty):
     assert mixing.repeat_documents(edge).columns == edge.columns
 
 
+def test_slices_of_mixing_keys_are_even_at_any_quality(spark):
+    n, cuts = 20_000, 100
+    for quality in (0.05, 0.1, 0.2, 0.5, 1.0):
+        key = -F.log((F.col("id") + 0.5) / n) / quality
+        rows = spark.range(n).select(key.alias("k"), F.floor(mixing.key_share(key) * cuts).alias("s"))
+        assert rows.groupBy("s").count().agg(F.max("count")).first()[0] <= 4 * n / cuts
+        found = [r["s"] for r in rows.orderBy("k").collect()]
+        assert found == sorted(found)
+
+
 # --- host rules ---
 
 
