@@ -67,24 +67,33 @@ class Staged:
     blocked: tuple[str, ...] = ()
 
 
+def _texts(values: Sequence[str]) -> Column:
+    return F.array(*map(F.lit, values)).cast("array<string>")
+
+
+def _staged(rule: Staged, place: int) -> Column:
+    needs = F.array(*map(_texts, rule.needs)).cast("array<array<string>>")
+    levels = F.array(*(F.struct(F.lit(name).alias("name"), _texts(ids).alias("ids")) for name, ids in rule.levels)).cast("array<struct<name:string,ids:array<string>>>")
+    return F.struct(F.lit(rule.id).alias("id"), needs.alias("needs"), _texts(rule.blocked).alias("blocked"), F.lit(rule.otherwise).alias("otherwise"), levels.alias("levels"), F.lit(place).alias("place"))
+
+
 def correlate(findings: DataFrame, keys: list[str], rules: Sequence[Staged]) -> DataFrame:
     """keys, finding_id, severity, position: staged rules over each key's set of finding ids, in order, each seeing what earlier ones emitted.
 
-    The set is one array of distinct ids for each key (as many as there are rules), and every stage appends to it: one shuffle for all stages.
+    The set is one array of distinct ids for each key (as many as there are rules). The rules are a table held in one literal array, and a fold
+    over it carries the ids and what was emitted, so the plan grows with the rules by their literals only: one shuffle, one expression.
     """
-    def any_of(ids: tuple[str, ...]) -> Column:
-        return F.arrays_overlap(F.col("_ids"), F.array(*map(F.lit, ids)))
-
-    state = findings.groupBy(*keys).agg(F.collect_set("finding_id").alias("_ids")).withColumn("_out", F.expr("cast(array() AS array<struct<finding_id:string,severity:string,position:int>>)"))
-    for k, rule in enumerate(rules):
-        fires = F.lit(True)
-        for group in rule.needs:
-            fires = fires & any_of(group)
-        if rule.blocked:
-            fires = fires & ~any_of(rule.blocked)
-        severity = F.lit(rule.otherwise)
-        for name, ids in reversed(rule.levels):
-            severity = F.when(any_of(ids), F.lit(name)).otherwise(severity)
-        new = F.struct(F.lit(rule.id).alias("finding_id"), severity.alias("severity"), F.lit(k).alias("position"))
-        state = state.withColumn("_fires", fires).withColumn("_out", F.when(F.col("_fires"), F.concat("_out", F.array(new))).otherwise(F.col("_out"))).withColumn("_ids", F.when(F.col("_fires"), F.concat("_ids", F.array(F.lit(rule.id)))).otherwise(F.col("_ids")))
-    return state.select(*keys, F.explode("_out").alias("f")).select(*keys, "f.*")
+    empty = F.expr("cast(array() AS array<struct<finding_id:string,severity:string,position:int>>)")
+    start = F.struct(F.col("_ids").alias("ids"), empty.alias("out"))
+
+    def step(state: Column, rule: Column) -> Column:
+        here = lambda ids: F.arrays_overlap(state["ids"], ids)
+        fires = F.forall(rule["needs"], here) & ~here(rule["blocked"])
+        level = F.try_element_at(F.filter(rule["levels"], lambda x: here(x["ids"])), F.lit(1))["name"]
+        new = F.struct(rule["id"].alias("finding_id"), F.coalesce(level, rule["otherwise"]).alias("severity"), rule["place"].alias("position"))
+        more = F.struct(F.concat(state["ids"], F.array(rule["id"])).alias("ids"), F.concat(state["out"], F.array(new)).alias("out"))
+        return F.when(fires, more).otherwise(state)
+
+    sets = findings.where(F.col("finding_id").isNotNull()).groupBy(*keys).agg(F.collect_set("finding_id").alias("_ids"))
+    table = F.array(*(_staged(rule, k) for k, rule in enumerate(rules)))
+    return sets.select(*keys, F.explode(F.aggregate(table, start, step)["out"]).alias("f")).select(*keys, "f.*")

@@ -69,16 +69,21 @@ def cause(event: Column) -> Column:
     return F.when(F.size(inner) > 0, F.element_at(inner, -1)).otherwise(event)
 
 
+def _block_header() -> Column:
+    """A pause of the old G1 collector whose line holds no heap change: that is in its details, if there are any."""
+    return _line().rlike(r"\[GC pause \(") & ~_line().rlike(r"->\s*\d")
+
+
 def legacy_blocks(lines: DataFrame) -> DataFrame:
     """Old G1 pauses run over several lines: the header ``GC pause (...)``, indented details, the closing times. One row with the joined text each.
 
-    A block goes from a header to the line before the next one that isn't indented, detail or closing.
+    A block goes from a header to the line before the next one that isn't indented, detail or closing; a header without details is a block too.
     """
-    header = _line().rlike(r"\[GC pause \(") & ~_line().rlike(r"secs\]\s*$|->\s*\d")
+    header = _block_header()
     marked = lines.withColumn("_h", header.cast("int"))
     order = Window.partitionBy("artifact_id").orderBy("line_no").rowsBetween(Window.unboundedPreceding, 0)
     numbered = marked.withColumn("_block", F.sum("_h").over(order)).where("_block > 0")
-    detail = _line().rlike(r"^\s+\[|^\s*, \d+\.\d+ secs\]|^\s+\S|^ ?\[Times|secs\]\s*$") | (F.col("_h") == 1)
+    detail = _line().rlike(r"^\s+\S|^, \d+\.\d+ secs\]|^\[Times") | (F.col("_h") == 1)
     stop = Window.partitionBy("artifact_id", "_block").orderBy("line_no").rowsBetween(Window.unboundedPreceding, 0)
     inside = numbered.withColumn("_off", F.sum((~detail).cast("int")).over(stop)).where("_off = 0")
     joined = inside.groupBy("artifact_id", "_block").agg(F.min("line_no").alias("line_no"), F.max("line_no").alias("last_line"), F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("line_no", "line"))), lambda x: x["line"]), "\n").alias("text"))
@@ -96,7 +101,7 @@ def pauses(lines: DataFrame) -> DataFrame:
     unified = rows.where(_line().rlike(r"\bPause .*\d+\.\d+ms\s*$"))
     event = F.trim(F.regexp_extract(_line(), r"\b(Pause .*?)\s*(?:" + CHANGE + r"\s*)?\d+\.\d+ms\s*$", 1))
     new = _context(unified, event.alias("event"), cause(event).alias("cause"), pause_type(event).alias("pause_type"), number(_line(), r"(\d+\.\d+)ms\s*$").alias("pause_ms"), *_heap(_line(), CHANGE))
-    old = rows.where(_line().rlike(r"\[(Full )?GC\b.*, \d+\.\d+ secs\]")).where(~_line().contains("[gc"))
+    old = rows.where(_line().rlike(r"\[(Full )?GC\b.*, \d+\.\d+ secs\]")).where(~_line().contains("[gc") & ~_block_header())
     old_event = F.trim(F.regexp_extract(_line(), r"\[((?:Full )?GC(?: \([^)]*\)|--| pause|\s\([^\[]*\))*)", 1))
     text = F.coalesce(F.when(_line().rlike(r"\] +\d+[KMG]->"), F.regexp_extract(_line(), r"\] +(\d+[KMG]->\d+[KMG]\(\d+[KMG]\))", 1)), F.try_element_at(F.regexp_extract_all(_line(), F.lit(r"\d+[KMG]->\d+[KMG]\(\d+[KMG]\)"), F.lit(0)), F.lit(-1)), F.lit(""))
     legacy = _context(old, old_event.alias("event"), cause(old_event).alias("cause"), F.when(old_event.startswith("Full"), "FULL").when(_line().contains("initial-mark") | _line().contains("Initial Mark"), "INIT_MARK").when(_line().contains("Remark"), "REMARK").when(_line().contains("mixed"), "MIXED").otherwise("YOUNG").alias("pause_type"), (number(_line(), r", (\d+\.\d+) secs\](?: \[Times.*)?\s*$") * 1000).alias("pause_ms"), *_heap(text, CHANGE))
@@ -163,7 +168,7 @@ def phases(lines: DataFrame) -> DataFrame:
     legacy = r"\[(CMS-concurrent-[\w-]+): [\d.]+/(\d+\.\d+) secs\]|\[GC (concurrent-[\w-]+-end), (\d+\.\d+) secs\]"
     rows = gc_lines(lines)
     new = rows.where(_line().contains("[gc") & _line().rlike(pattern) & ~_line().contains("->") & ~_line().contains("Allocation Stall") & (_line().contains("phases") | _line().contains("marking") | _line().contains("Concurrent")))
-    body = F.regexp_replace(_line(), r"^.*?(?:GC\(\d+\)|\])\s+(?=[A-Z])", "")
+    body = F.regexp_replace(_line(), r"^(?:.*?GC\(\d+\)\s+|(?!.*GC\(\d+\)\s).*\]\s*)", "")
     name = F.trim(F.regexp_extract(body, pattern, 1))
     old = rows.where(_line().rlike(legacy))
     old_name = F.coalesce(found(_line(), legacy, 1), found(_line(), legacy, 3))
@@ -230,7 +235,7 @@ KEY, ORDER = ["artifact_id"], ["line_no"]
 def summary(artifacts: DataFrame, lines: DataFrame) -> DataFrame:
     """One wide row for each artifact: counts, durations, nearest-rank percentiles, occupancy, streaks, progression; what rules read.
 
-    Event lists are aggregated apart and joined on the artifact; an artifact without events of a kind has 0 or null there.
+    The log's window goes from the first to the last elapsed time over pauses, cycles and stalls. Event lists are aggregated apart and joined on the artifact; an artifact without events of a kind has 0 or null there.
     """
     p = pauses(lines)
     base = p.groupBy(*KEY).agg(
@@ -239,7 +244,7 @@ def summary(artifacts: DataFrame, lines: DataFrame) -> DataFrame:
         F.count_if(_full() & F.lower("cause").contains("metadata")).alias("metaspace_full_gc_count"), F.count_if(_near("after_ratio", HIGH)).alias("high_retained_count"), F.count_if(_near("after_ratio", NEAR)).alias("near_capacity_count"), F.avg(_reclaimed_mb()).alias("average_reclaimed_mb"),
         F.count_if(F.col("pause_type") == "YOUNG").alias("young_count"), F.count_if(F.col("pause_type") == "MIXED").alias("mixed_count"), F.avg(F.when(_full(), F.col("after_ratio"))).alias("average_full_post_gc_occupancy_ratio"), F.avg(F.when(F.col("pause_type") == "MIXED", F.col("after_ratio"))).alias("average_mixed_post_gc_occupancy_ratio"),
         F.count_if(_weak_full()).alias("low_reclaim_full_count"), F.avg(F.when(_full(), _reclaimed_mb())).alias("average_full_gc_reclaimed_mb"), F.avg(F.when(_full(), F.greatest(F.lit(0), F.col("before_bytes") - F.col("after_bytes")) / F.col("capacity_bytes"))).alias("average_full_gc_reclaimed_share"),
-        F.count_if((F.col("pause_type") == "MIXED") & _near("after_ratio", HIGH)).alias("high_retained_mixed_count"), F.min("elapsed_s").alias("p_lo"), F.max(F.col("elapsed_s") + F.col("pause_ms") / 1000).alias("p_hi"),
+        F.count_if((F.col("pause_type") == "MIXED") & _near("after_ratio", HIGH)).alias("high_retained_mixed_count"), F.min("elapsed_s").alias("p_lo"), F.max("elapsed_s").alias("p_hi"),
     )
     ranks = nearest_rank(p, KEY, "pause_ms", {"median_pause_ms": 0.5, "p95_pause_ms": 0.95, "p99_pause_ms": 0.99})
     by_count = dominant(p, KEY, "cause", F.lit(1).cast("long"), "line_no").select("artifact_id", F.col("cause").alias("dominant_cause_by_count"))
@@ -251,8 +256,8 @@ def summary(artifacts: DataFrame, lines: DataFrame) -> DataFrame:
     ph = phases(lines).where("phase_kind = 'CONCURRENT'").groupBy(*KEY).agg(F.count("*").alias("concurrent_phase_count"), F.max("duration_ms").alias("longest_concurrent_phase_ms"))
     others = [
         kinds, ph,
-        c.groupBy(*KEY).agg(F.count("*").alias("gc_cycle_count"), F.max(F.greatest("before_ratio", "after_ratio")).alias("cycle_peak_ratio"), F.max("duration_ms").alias("longest_cycle_ms")),
-        st.groupBy(*KEY).agg(F.count("*").alias("allocation_stall_count"), F.max("stall_ms").alias("max_allocation_stall_ms"), F.sum("stall_ms").alias("total_allocation_stall_ms")),
+        c.groupBy(*KEY).agg(F.count("*").alias("gc_cycle_count"), F.max(F.greatest("before_ratio", "after_ratio")).alias("cycle_peak_ratio"), F.max("duration_ms").alias("longest_cycle_ms"), F.min("elapsed_s").alias("c_lo"), F.max("elapsed_s").alias("c_hi")),
+        st.groupBy(*KEY).agg(F.count("*").alias("allocation_stall_count"), F.max("stall_ms").alias("max_allocation_stall_ms"), F.sum("stall_ms").alias("total_allocation_stall_ms"), F.min("elapsed_s").alias("s_lo"), F.max("elapsed_s").alias("s_hi")),
         w.groupBy(*KEY).agg(F.count("*").alias("worker_sample_count"), F.max("active").alias("max_active_workers"), F.min("active").alias("min_active_workers"), F.max("utilization").alias("peak_worker_utilization")),
         u.groupBy(*KEY).agg(F.count("*").alias("cpu_sample_count"), F.max("real_s").alias("max_cpu_real_s"), F.max("cpu_to_wall").alias("peak_cpu_to_wall")),
         h.groupBy(*KEY).agg(F.count("*").alias("humongous_sample_count"), F.max("after").alias("peak_humongous_after"), F.count_if(F.col("delta") > 0).alias("humongous_growth_count"), F.max("delta").alias("humongous_max_growth")),
@@ -260,8 +265,8 @@ def summary(artifacts: DataFrame, lines: DataFrame) -> DataFrame:
         progression(p),
     ]
     out = merged([collectors(artifacts), base, ranks, by_count, by_total, *streaks, weak, *others], KEY)
-    window_ms = (F.col("p_hi") - F.col("p_lo")) * 1000
-    out = out.withColumn("log_window_ms", window_ms).withColumn("stop_the_world_pct", ratio(100 * F.col("total_pause_ms"), F.col("log_window_ms"))).withColumn("peak_occupancy_ratio", F.greatest("peak_occupancy_ratio", "cycle_peak_ratio")).drop("p_lo", "p_hi", "cycle_peak_ratio")
+    window_ms = (F.greatest("p_hi", "c_hi", "s_hi") - F.least("p_lo", "c_lo", "s_lo")) * 1000
+    out = out.withColumn("log_window_ms", window_ms).withColumn("stop_the_world_pct", ratio(100 * F.col("total_pause_ms"), F.col("log_window_ms"))).withColumn("peak_occupancy_ratio", F.greatest("peak_occupancy_ratio", "cycle_peak_ratio")).drop("p_lo", "p_hi", "c_lo", "c_hi", "s_lo", "s_hi", "cycle_peak_ratio")
     return out.fillna(0, [f.name for f in out.schema if f.name.endswith(("_count", "_streak"))])
 
 
