@@ -7,6 +7,7 @@ from __future__ import annotations
 
 import ctypes
 import os
+import re
 import tempfile
 import uuid
 from collections.abc import Callable, Iterator
@@ -46,19 +47,21 @@ def small_batches(spark: SparkSession) -> None:
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder that all executors share: spark.checkpoint.dir, or one of our own where it is unset, as in tests."""
+    """The folder that all executors share: spark.checkpoint.dir. Where it is unset, a local session gets one of its own; a cluster must name one."""
     found = spark.conf.get("spark.checkpoint.dir", None)
     if not found:
+        if not spark.sparkContext.master.startswith("local"):
+            raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
         found = "file://" + os.path.join(tempfile.gettempdir(), "heapstone-checkpoints")
         spark.conf.set("spark.checkpoint.dir", found)
     return found.rstrip("/")
 
 
 class Store:
-    """Written tables that cut the lineage of an iterative job, in the shared folder; ``drop`` removes those no longer read."""
+    """Written tables that cut the lineage of a job, in the shared folder. ``drop`` removes one, ``finish`` all but those that a result reads."""
 
     def __init__(self, spark: SparkSession, name: str):
-        self.spark, self.root, self.n = spark, f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}", 0
+        self.spark, self.root, self.n, self.live = spark, f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}", 0, set()
 
     def keep(self, df: DataFrame) -> DataFrame:
         self.n += 1
@@ -66,13 +69,23 @@ class Store:
         df.write.parquet(path)
         kept = self.spark.read.schema(df.schema).parquet(path)
         kept._stored_at = path
+        self.live.add(path)
         return kept
 
+    def _delete(self, path: str) -> None:
+        at = self.spark._jvm.org.apache.hadoop.fs.Path(path)
+        at.getFileSystem(self.spark._jsc.hadoopConfiguration()).delete(at, True)
+        self.live.discard(path)
+
     def drop(self, df: DataFrame) -> None:
-        jvm, path = self.spark._jvm, getattr(df, "_stored_at", None)
+        path = getattr(df, "_stored_at", None)
         if path:
-            at = jvm.org.apache.hadoop.fs.Path(path)
-            at.getFileSystem(self.spark._jsc.hadoopConfiguration()).delete(at, True)
+            self._delete(path)
+
+    def finish(self, *read: DataFrame) -> None:
+        """Removes every table of this store but those in ``read``, which a result still reads; these stay until the folder is cleared."""
+        for path in self.live - {getattr(df, "_stored_at", None) for df in read}:
+            self._delete(path)
 
 
 def slices_for(rows: int, most: int = 50_000) -> int:
@@ -187,6 +200,19 @@ def chunks_of(column: pa.Array, most: int = 1 << 20) -> Iterator[list[bytes]]:
         yield held
 
 
+def spans_of(text: bytes, most: int = 1 << 20) -> Iterator[bytes]:
+    """A text in spans of about ``most`` bytes that begin at white space, so no word is cut; a longer word is a span of its own."""
+    at = 0
+    while len(text) - at > most:
+        cut = _SPACE.search(text, at + most)
+        if cut is None:
+            break
+        yield text[at : cut.start()]
+        at = cut.start()
+    yield text[at:]
+
+
+_SPACE = re.compile(rb"[\t-\r ]")
 _held: dict[str, dict] = {}
 
 

@@ -1,14 +1,16 @@
 """Near duplicates: MinHash bands, sequential Bayesian verification on signatures, exact confirmation on full shingle sets.
 
-1. Documents with the same shingle set form a class; classes are linked through their smallest id.
-2. Classes that agree on a whole band of their signature share a bucket. In each bucket every member is compared with the pivot, its smallest id.
+1. Rows are numbered. Rows with the same shingle set form a class, whose number (``rep``) is its smallest row.
+2. Classes that agree on a whole band of their signature share a bucket. In each bucket every member is compared with the pivot, its smallest class.
 3. Where a bucket still holds several components, the members outside the largest one are compared with all members outside their own
    component, block by block, each pair in the first band that it shares only. What is connected already is never compared again.
+   Blocks first see short signatures (a byte for each hash, four for each band), some 300 bytes a member; full signatures and shingle sets
+   are then sent for those members of a block that still have a plausible partner in it.
 4. A comparison looks at batches of the two signatures and stops as soon as the posterior chance of reaching the threshold falls below
    ``PRUNE``; survivors are confirmed on the full sets. Only links of a spanning forest leave a task.
 
 No task emits the pairs of a bucket, and a bucket's blocks are of bounded size. A pair at the threshold shares no band with a chance of
-``MISS`` and is pruned with a chance of about ``PRUNE``; higher similarities are missed less often.
+``MISS`` and is pruned by one of some nine looks with a chance of about 1e-5 in all; higher similarities are missed less often.
 """
 
 from __future__ import annotations
@@ -19,12 +21,12 @@ from functools import cached_property
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from heapstone.llm.common import Store, chunks_of, map_arrow, mix, pick, shingle_sets, small_batches
 
-MISS, PRUNE, BATCH = 1e-6, 1e-5, 20
+MISS, PRUNE, BATCH = 1e-6, 1e-6, 20
 #: Members of a bucket that one task compares: outsiders and others.
 BLOCKS = (128, 512)
 #: Ids that may be broadcast: 16 MB or so. Beyond, the same join is shuffled.
@@ -101,8 +103,16 @@ def _arrays(column: pa.Array, kind: type) -> list[np.ndarray]:
     return [np.frombuffer(x, kind) for x in column.to_pylist()]
 
 
+def _identified(docs: DataFrame) -> DataFrame:
+    """doc_id, text, and what tells one text of a doc_id from another: a 64-bit hash and the length in bytes."""
+    return pick(docs, doc_id="long", text="string").select("doc_id", F.xxhash64("text").alias("t_hash"), F.coalesce(F.octet_length("text"), F.lit(-1)).alias("t_size"), "text")
+
+
+IDENTITY = ["doc_id", "t_hash", "t_size"]
+
+
 def _signed(docs: DataFrame, like: Likeness) -> DataFrame:
-    """doc_id, n_shingles, two hashes of the whole set, band keys."""
+    """IDENTITY, n_shingles, two hashes of the whole set, band keys, short signature, number of the row (kept by storing it)."""
 
     def sign(batch: pa.RecordBatch) -> pa.RecordBatch:
         sizes, one, two, signatures = [], [], [], []
@@ -113,18 +123,27 @@ def _signed(docs: DataFrame, like: Likeness) -> DataFrame:
                 two.append(int(np.bitwise_xor.reduce(mix(s ^ np.uint64(0x5851F42D4C957F2D)), initial=np.uint64(0)).astype(np.int64)))
                 if len(s):
                     signatures.append(like.signature(s))
-        keys = like.band_keys(np.array(signatures, np.uint32).reshape(-1, like.bands * like.rows))
-        offsets = np.concatenate(([0], np.cumsum(np.where(np.array(sizes) > 0, like.bands, 0)))).astype(np.int32)
+        every = np.array(signatures, np.uint32).reshape(-1, like.bands * like.rows)
+        keys, full = like.band_keys(every), np.array(sizes) > 0
+        offsets = np.concatenate(([0], np.cumsum(np.where(full, like.bands, 0)))).astype(np.int32)
         bands = pa.ListArray.from_arrays(pa.array(offsets), pa.array(keys.ravel()))
-        return pa.RecordBatch.from_arrays([batch.column("doc_id"), *(pa.array(x, pa.int64()) for x in (sizes, one, two)), bands], names=["doc_id", "n_shingles", "k1", "k2", "bands"])
+        short = iter(x.tobytes() for x in (every >> np.uint32(24)).astype(np.uint8))
+        shorts = pa.array([next(short) if f else None for f in full], pa.binary())
+        names = [*IDENTITY, "n_shingles", "k1", "k2", "bands", "short"]
+        return pa.RecordBatch.from_arrays([*(batch.column(c) for c in IDENTITY), *(pa.array(x, pa.int64()) for x in (sizes, one, two)), bands, shorts], names=names)
+
+    signed = map_arrow(_identified(docs), sign, "doc_id long, t_hash long, t_size int, n_shingles long, k1 long, k2 long, bands array<long>, short binary")
+    return signed.withColumn("row", F.monotonically_increasing_id())
+
 
-    return map_arrow(pick(docs, doc_id="long", text="string"), sign, "doc_id long, n_shingles long, k1 long, k2 long, bands array<long>")
+def _bounded(ids: DataFrame) -> DataFrame:
+    """A table for the smaller side of a join: broadcast while it has at most BROADCAST_IDS rows."""
+    return F.broadcast(ids) if ids.count() <= BROADCAST_IDS else ids
 
 
 def _with_sets(docs: DataFrame, needed: DataFrame, like: Likeness) -> DataFrame:
-    """rep, signature, shingles of the documents in ``needed`` (rep)."""
-    ids = F.broadcast(needed) if needed.count() <= BROADCAST_IDS else needed
-    texts = pick(docs, doc_id="long", text="string").withColumnRenamed("doc_id", "rep").join(ids, "rep", "left_semi")
+    """rep, signature, shingles of the classes in ``needed`` (rep, IDENTITY, same). Of rows that repeat id and text (``same``) one is taken."""
+    texts = _identified(docs).join(_bounded(needed), IDENTITY)
 
     def sets(batch: pa.RecordBatch) -> pa.RecordBatch:
         found = [s for chunk in chunks_of(batch.column("text")) for s in shingle_sets(chunk, like.width)]
@@ -132,7 +151,10 @@ def _with_sets(docs: DataFrame, needed: DataFrame, like: Likeness) -> DataFrame:
             [batch.column("rep"), pa.array([like.signature(s).tobytes() for s in found], pa.binary()), pa.array([s.tobytes() for s in found], pa.binary())], names=["rep", "signature", "shingles"]
         )
 
-    return map_arrow(texts, sets, "rep long, signature binary, shingles binary")
+    made = lambda rows: map_arrow(rows.select("rep", "text"), sets, "rep long, signature binary, shingles binary")
+    if not needed.where("same > 1").take(1):
+        return made(texts)
+    return made(texts.where("same = 1")).unionByName(made(texts.where("same > 1").dropDuplicates(["rep"])))
 
 
 def _confirmed(pairs: DataFrame, sets: DataFrame, like: Likeness) -> DataFrame:
@@ -201,21 +223,35 @@ def _overlaps(a: list[np.ndarray], b: list[np.ndarray], left: np.ndarray, right:
     return total[rows[1], cols[1]].astype(np.int64)
 
 
-def _block_links(table: pa.Table, like: Likeness) -> list[tuple[int, int]]:
-    """Links between components found among one block of outsiders and one of members, as a forest."""
-    outsider = np.array(table.column("side").to_pylist()) == 0
-    ids, comps = (np.array(table.column(c).to_pylist(), np.int64) for c in ("rep", "comp"))
-    loose = np.array(table.column("loose").to_pylist(), bool)
-    signatures = np.array(_arrays(table.column("signature"), np.uint32))
-    sets = _arrays(table.column("shingles"), np.uint64)
+def _open_pairs(outsider: np.ndarray, ids: np.ndarray, comps: np.ndarray, loose: np.ndarray, keys: np.ndarray, band: int) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """Outsiders and members of a block, and which of their pairs lie in different components and share no band before this one (each once)."""
     s, n = np.flatnonzero(outsider), np.flatnonzero(~outsider)
-    if not len(s) or not len(n):
-        return []
     open_ = (comps[s][:, None] != comps[n][None, :]) & (~loose[n][None, :] | (ids[s][:, None] < ids[n][None, :]))
-    keys, band = like.band_keys(signatures), int(table.column("key")[0].as_py() >> 56)
     for k in range(band):
         open_ &= keys[s, k][:, None] != keys[n, k][None, :]
-    left, right = np.nonzero(open_)
+    return s, n, *np.nonzero(open_)
+
+
+def _columns(table: pa.Table) -> tuple[np.ndarray, ...]:
+    ids, comps = (np.array(table.column(c).to_pylist(), np.int64) for c in ("rep", "comp"))
+    return np.array(table.column("side").to_pylist()) == 0, ids, comps, np.array(table.column("loose").to_pylist(), bool)
+
+
+def _block_hopefuls(table: pa.Table, like: Likeness) -> pa.Table:
+    """The rows of a block that have a plausible partner in it by their short signatures: a byte agrees wherever the hash does, so none is lost."""
+    shorts, keys = np.array(_arrays(table.column("short"), np.uint8)), np.array(_arrays(table.column("marks"), np.uint32))
+    s, n, left, right = _open_pairs(*_columns(table), keys, int(table.column("key")[0].as_py() >> 56))
+    alive, _ = like.plausible(shorts[s], shorts[n], left, right)
+    rows = np.concatenate((np.unique(s[left[alive]]), np.unique(n[right[alive]])))
+    return table.select(["key", "sb", "nb", "side", "loose", "rep", "comp"]).take(pa.array(rows, pa.int64()))
+
+
+def _block_links(table: pa.Table, like: Likeness) -> list[tuple[int, int]]:
+    """Links between components found among one block of outsiders and one of members, as a forest."""
+    outsider, ids, comps, loose = _columns(table)
+    signatures = np.array(_arrays(table.column("signature"), np.uint32))
+    sets = _arrays(table.column("shingles"), np.uint64)
+    s, n, left, right = _open_pairs(outsider, ids, comps, loose, like.band_keys(signatures), int(table.column("key")[0].as_py() >> 56))
     alive, matches = like.plausible(signatures[s], signatures[n], left, right)
     if not len(alive):
         return []
@@ -253,23 +289,20 @@ def _block_tables(members: DataFrame, found: DataFrame) -> DataFrame:
     return outsiders.unionByName(others)
 
 
-def near_duplicates(docs: DataFrame, like: Likeness = Likeness()) -> DataFrame:
-    """doc_id, n_shingles, component_id, kept for every row of ``docs``.
-
-    component_id is the smallest doc_id that links reach; kept says that it is the row's own. Texts that are null or without words have no
-    shingles and link with nothing. Rows without a doc_id link with nothing: their component_id is null and they are kept. Repeated rows
-    share their component; where one doc_id has several texts, each row goes by its own text. An empty table gives no rows.
-    """
-    spark = docs.sparkSession
-    small_batches(spark)
-    store = Store(spark, "near-dup")
+def _decided(docs: DataFrame, like: Likeness, store: Store) -> DataFrame:
+    """row, IDENTITY, n_shingles, component_id, stays for every row of ``docs``: stays is true for one row of each component and for rows without one."""
+    small_batches(docs.sparkSession)
     signed = store.keep(_signed(docs, like))
-    classes = store.keep(signed.where("n_shingles > 0 AND doc_id IS NOT NULL").groupBy("n_shingles", "k1", "k2").agg(F.min("doc_id").alias("rep"), F.any_value("bands").alias("bands")))
+    placed = signed.where("n_shingles > 0 AND doc_id IS NOT NULL")
+    lead = F.min(F.struct("doc_id", "row")).alias("lead")
+    classes = store.keep(placed.groupBy("n_shingles", "k1", "k2").agg(F.min("row").alias("rep"), lead, F.min_by(F.struct(*IDENTITY), "row").alias("first"), F.any_value("bands").alias("bands"), F.any_value("short").alias("short")))
     entries = classes.select(F.explode("bands").alias("key"), "rep")
     shared = entries.groupBy("key").agg(F.count("*").alias("n"), F.min("rep").alias("pivot"), F.bit_xor(F.xxhash64("rep")).alias("x"), F.sum(F.hash("rep").cast("long")).alias("y")).where("n > 1")
     buckets = store.keep(shared.groupBy("n", "pivot", "x", "y").agg(F.min("key").alias("key")).select("key", "pivot", "n"))
     members = store.keep(entries.join(buckets, "key"))
-    sets = store.keep(_with_sets(docs, store.keep(members.select("rep").distinct()), like))
+    repeated = _bounded(store.keep(placed.groupBy(*IDENTITY).agg(F.count("*").alias("same")).where("same > 1")))
+    wanted = classes.join(members.select("rep").distinct(), "rep").select("rep", "first.*").join(repeated, IDENTITY, "left").select("rep", *IDENTITY, F.coalesce("same", F.lit(1)).alias("same"))
+    sets = store.keep(_with_sets(docs, store.keep(wanted), like))
     stars = members.where("rep <> pivot").select(F.col("pivot").alias("a"), F.col("rep").alias("b")).distinct()
     found = components(store.keep(_confirmed(stars, sets, like)), store)
 
@@ -277,21 +310,56 @@ def near_duplicates(docs: DataFrame, like: Likeness = Likeness()) -> DataFrame:
         links = _block_links(table, like)
         return pa.table({"a": pa.array([x for x, _ in links], pa.int64()), "b": pa.array([y for _, y in links], pa.int64())})
 
-    blocks = _block_tables(members.where("n > 2"), found).join(sets, "rep")
-    more = components(store.keep(blocks.groupBy("key", "sb", "nb").applyInArrow(compare, "a long, b long")), store)
-    named = classes.drop("bands").join(found.withColumnRenamed("id", "rep"), "rep", "left").select("n_shingles", "k1", "k2", F.coalesce("component", "rep").alias("comp"))
-    final = named.join(more.select(F.col("id").alias("comp"), F.col("component").alias("wider")), "comp", "left").select("n_shingles", "k1", "k2", F.coalesce("wider", "comp").alias("found"))
-    out = signed.drop("bands").join(final, ["n_shingles", "k1", "k2"], "left").withColumn("component_id", F.when(F.col("doc_id").isNotNull(), F.coalesce("found", "doc_id")))
-    return out.select("doc_id", "n_shingles", "component_id", F.coalesce(F.col("doc_id") == F.col("component_id"), F.lit(True)).alias("kept"))
+    marks = F.transform("bands", lambda x: x.bitwiseAND(F.lit(0xFFFFFFFF)))
+    shorts = classes.select("rep", "short", _packed(marks).alias("marks"))
+    blocks = _block_tables(members.where("n > 2"), found).join(shorts, "rep")
+    cell = ["key", "sb", "nb"]
+    hopeful = store.keep(blocks.groupBy(*cell).applyInArrow(lambda t: _block_hopefuls(t, like), "key long, sb long, nb long, side int, loose boolean, rep long, comp long"))
+    more = components(store.keep(hopeful.join(sets, "rep").groupBy(*cell).applyInArrow(compare, "a long, b long")), store)
+    named = classes.select("n_shingles", "k1", "k2", "rep", "lead").join(found.withColumnRenamed("id", "rep"), "rep", "left").withColumn("comp", F.coalesce("component", "rep")).drop("component")
+    joined = named.join(more.select(F.col("id").alias("comp"), F.col("component").alias("wider")), "comp", "left").withColumn("group", F.coalesce("wider", "comp"))
+    final = joined.join(joined.groupBy("group").agg(F.min("lead").alias("head")), "group").select("n_shingles", "k1", "k2", "head")
+    out = signed.drop("bands", "short").join(final, ["n_shingles", "k1", "k2"], "left")
+    alone = F.col("head").isNull() | F.col("doc_id").isNull()
+    decided = out.select("row", *IDENTITY, "n_shingles", F.when(alone, F.col("doc_id")).otherwise(F.col("head.doc_id")).alias("component_id"), (alone | (F.col("row") == F.col("head.row"))).alias("stays"))
+    kept = store.keep(decided)
+    store.finish(kept)
+    return kept
+
+
+def _packed(marks: Column) -> Column:
+    """Numbers below 2**32 as little-endian bytes."""
+    hexes = F.transform(marks, lambda x: F.lpad(F.hex(x), 8, "0"))
+    swapped = F.transform(hexes, lambda h: F.concat(*(F.substring(h, k, 2) for k in (7, 5, 3, 1))))
+    return F.unhex(F.array_join(swapped, ""))
+
+
+def near_duplicates(docs: DataFrame, like: Likeness = Likeness()) -> DataFrame:
+    """doc_id, n_shingles, component_id, kept for every row of ``docs``.
+
+    component_id is the smallest doc_id that links reach; kept says that it is the row's own. Texts that are null or without words have no
+    shingles and link with nothing. Rows without a doc_id link with nothing: their component_id is null and they are kept. Repeated rows
+    share their component; where one doc_id has several texts, each row goes by its own text. An empty table gives no rows.
+    """
+    decided = _decided(docs, like, Store(docs.sparkSession, "near-dup"))
+    return decided.select("doc_id", "n_shingles", "component_id", F.coalesce(F.col("doc_id") == F.col("component_id"), F.lit(True)).alias("kept"))
 
 
 def drop_near_duplicates(docs: DataFrame, like: Likeness = Likeness()) -> DataFrame:
-    """``docs`` with one document of each group, all columns. Rows without a doc_id stay; of rows with one doc_id, one stays."""
-    decided = Store(docs.sparkSession, "near-dup-kept").keep(near_duplicates(docs, like))
-    gone = decided.where("NOT kept").select("doc_id").distinct()
-    gone = F.broadcast(gone) if gone.count() <= BROADCAST_IDS else gone
-    left = docs.join(gone, docs["doc_id"].cast("long") == gone["doc_id"], "left_anti")
-    repeated = decided.where("doc_id IS NOT NULL").groupBy("doc_id").count().where("count > 1").limit(1).count()
-    if not repeated:
-        return left
-    return left.where(F.col("doc_id").isNotNull()).dropDuplicates(["doc_id"]).unionByName(left.where(F.col("doc_id").isNull()))
+    """``docs`` with one row of each group of near duplicates, all columns.
+
+    Rows are told apart by id and text, so of several texts under one doc_id only those go that are near a row that stays. Rows without a
+    doc_id, and rows without words, are near nothing and stay. Of rows that repeat both id and text, one stays.
+    """
+    decided = _decided(docs, like, Store(docs.sparkSession, "near-dup-kept"))
+    fate = decided.groupBy(*IDENTITY).agg(F.count_if("stays").alias("stay"), F.count("*").alias("rows")).where("doc_id IS NOT NULL AND stay < rows")
+    gone, split = fate.where("stay = 0").select(*IDENTITY), fate.where("stay > 0").select(*IDENTITY)
+    names = docs.columns
+    inner = [f"c{k}" for k in range(len(names))]
+    text, doc_id = (F.col(inner[names.index(c)]) for c in ("text", "doc_id"))
+    rows = docs.toDF(*inner).withColumns({"doc_id": doc_id.cast("long"), "t_hash": F.xxhash64(text.cast("string")), "t_size": F.coalesce(F.octet_length(text.cast("string")), F.lit(-1))})
+    left = rows.join(_bounded(gone), IDENTITY, "left_anti")
+    if split.take(1):
+        few = _bounded(split)
+        left = left.join(few, IDENTITY, "left_anti").unionByName(left.join(few, IDENTITY, "left_semi").dropDuplicates(IDENTITY))
+    return left.select(*inner).toDF(*names)

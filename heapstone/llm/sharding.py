@@ -31,15 +31,15 @@ def shard_documents(docs: DataFrame, shards: int = 16, weights: list[float] | No
     """Digest of all documents by the ``key`` law: doc_id, size, text_crc32, law, shard, slot, grown_shard.
 
     Null text has size 1 and the CRC of no bytes; a null doc_id is one key. Equal rows (same id, size and CRC) take slots next to each other.
-    A slot is the rank in its shard by hash of the key, then doc_id, size and CRC. The shard is cut into slices of the hash range, each numbered
+    A slot is the rank in its shard by hash of the key (of CRC and size for rows without one), then doc_id, size and CRC. The shard is cut into slices of the hash range, each numbered
     by itself; equal rows are counted before the shuffle, so no id and no shard has to fit one task. An empty table gives no rows.
     """
     weights = weights or [1.0] * shards
     text = F.coalesce(F.col("text"), F.lit(""))
     rows = pick(docs, doc_id="long", text="string").select("doc_id", (F.octet_length(text) + 1).cast("long").alias("size"), F.crc32(text.cast("binary")).alias("text_crc32"))
     counted = rows.groupBy("doc_id", "size", "text_crc32").agg(F.count("*").alias("_n"))
-    placed = assign_shards(counted, "doc_id", weights).withColumn("grown_shard", rendezvous(F.col("doc_id"), [*weights, sum(weights) / len(weights)])).withColumn("_h", hash60(F.col("doc_id")))
-    cuts = slices_for(docs.count() // max(1, len(weights)))
+    placed = assign_shards(counted, "doc_id", weights).withColumn("grown_shard", rendezvous(F.col("doc_id"), [*weights, sum(weights) / len(weights)])).withColumn("_h", F.when(F.col("doc_id").isNotNull(), hash60(F.col("doc_id"))).otherwise(hash60(F.col("text_crc32"), F.col("size"))))
+    cuts = slices_for(docs.count())
     order = ["_h", F.col("doc_id").asc_nulls_first(), "size", "text_crc32"]
     slots = running_before(placed, ["shard"], order, "_n", "_first", F.shiftright("_h", 60 - cuts.bit_length() + 1))
     each = slots.select("*", F.explode(F.sequence(F.lit(0), F.col("_n") - 1)).alias("_k"))

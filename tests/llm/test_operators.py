@@ -289,6 +289,21 @@ def test_dropping_keeps_one_of_each_group_and_rows_without_id(spark):
     assert sorted(str(r["doc_id"]) for r in left.collect()) == ["1", "5", "None", "None"]
 
 
+@pytest.mark.parametrize(
+    ("rows", "stay"),
+    [
+        ([(2, 2), (5, 1), (5, 2)], [(2, 2), (5, 1)]),
+        ([(5, 1), (5, 2)], [(5, 1), (5, 2)]),
+        ([(5, 1), (5, 1), (5, 2), (3, 2), (3, 2)], [(3, 2), (5, 1)]),
+        ([(9, None), (9, None), (9, 1), (None, 1), (None, None)], [(9, None), (9, None), (9, 1), (None, 1), (None, None)]),
+    ],
+)
+def test_dropping_tells_texts_of_one_id_apart(spark, rows, stay):
+    texts = {1: prose(1, 40), 2: prose(2, 40), None: None}
+    left = near_dup.drop_near_duplicates(documents(spark, [(i, texts[t], "s") for i, t in rows], clash=True)).collect()
+    assert sorted(((r["doc_id"], r["text"]) for r in left), key=str) == sorted(((i, texts[t]) for i, t in stay), key=str)
+
+
 def test_components_of_a_long_chain(spark):
     from heapstone.llm.common import Store
 
