@@ -42,7 +42,11 @@ class UnitEncoder:
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(path)
-        self.tokenizer.encode_special_tokens = True
+        added = self.tokenizer.get_added_tokens_decoder().items()
+        self.added = {token.content: np.array([number], "<u4").tobytes() for number, token in added}
+        if any(token.lstrip or token.rstrip or token.single_word or token.normalized and self.tokenizer.normalizer for _, token in added):
+            raise ValueError("an added token of this file takes in what stands around it")
+        self._parts = re.compile("(" + "|".join(map(re.escape, sorted(self.added, key=len, reverse=True))) + ")") if self.added else None
         self.line_end = self.tokenizer.encode("\n", add_special_tokens=False).ids[0]
         self.end = np.array([self.line_end], "<u4").tobytes()
         self.units: dict[str, bytes] = {}
@@ -78,7 +82,17 @@ class UnitEncoder:
             units[key] = self.end + data if key[0] == "\n" else data
 
     def encode(self, texts: list[str]) -> list[bytes]:
-        """Ids of each text as little-endian 32-bit numbers, as the tokenizer gives them for the whole text."""
+        """Ids of each text as little-endian 32-bit numbers, as the tokenizer gives them for the whole text.
+
+        Tokens that the file adds to its vocabulary are found before anything else; what stands between them is encoded by itself.
+        """
+        split = {k: self._parts.split(text) for k, text in enumerate(texts) if any(token in text for token in self.added)}
+        if not split:
+            return self._plain(texts)
+        done = iter(self._plain([x for k, text in enumerate(texts) for x in (split[k][::2] if k in split else (text,))]))
+        return [b"".join(self.added[x] if j % 2 else next(done) for j, x in enumerate(split[k])) if k in split else next(done) for k in range(len(texts))]
+
+    def _plain(self, texts: list[str]) -> list[bytes]:
         plans, missing, get = [], set(), self.units.get
         for text in texts:
             keys = text.replace("\n", " \n").split(" ")
@@ -105,6 +119,22 @@ def _other_ascii(text: str) -> bool:
     return "\t" in text or "\r" in text or "\x0b" in text or "\x0c" in text
 
 
+def stretches(text: bytes, most: int) -> list[bytes]:
+    """A long text in parts of about ``most`` bytes, cut only where a word ends and a single space or line end begins the next unit."""
+    parts, at = [], 0
+    while len(text) - at > most:
+        cut = _CUT.search(text, at + most)
+        if cut is None:
+            break
+        parts.append(text[at : cut.start() + 1])
+        at = cut.start() + 1
+    return [*parts, text[at:]]
+
+
+#: A plain letter or digit, one space, another: no unit and no added token spans the place after the first.
+_CUT = re.compile(rb"[0-9A-Za-z] (?=[0-9A-Za-z])")
+
+
 def encoder(path: str) -> UnitEncoder:
     """One for each Python worker and file."""
     encoders = held(__name__)
@@ -113,6 +143,13 @@ def encoder(path: str) -> UnitEncoder:
     return encoders[path]
 
 
+def _encoded(encode: UnitEncoder, texts: list[bytes]) -> list[bytes]:
+    """Ids of each text; a long one is encoded part by part, so that only its ids are held whole."""
+    if max(map(len, texts)) <= 2 * CHUNK:
+        return encode.encode([t.decode() for t in texts])
+    return [b"".join(encode.encode([part.decode()])[0] for part in stretches(t, CHUNK)) for t in texts]
+
+
 def lengths(n: int, most: int) -> list[int]:
     """Powers of two that sum to n, falling: as many of ``most`` as fit, then the bits of the rest."""
     return [most] * (n // most) + [1 << b for b in range(most.bit_length() - 2, -1, -1) if (n % most) >> b & 1]
@@ -127,7 +164,7 @@ def document_pieces(docs: DataFrame, path: str, most: int = 1024, with_ids: bool
 
     def cut(batch: pa.RecordBatch) -> pa.RecordBatch:
         columns: list[list] = [[] for _ in kinds]
-        all_ids = (ids for chunk in chunks_of(batch.column("text"), CHUNK) for ids in encoder(path).encode([t.decode() for t in chunk]))
+        all_ids = (ids for chunk in chunks_of(batch.column("text"), CHUNK) for ids in _encoded(encoder(path), chunk))
         for doc_id, ids in zip(batch.column("doc_id").to_pylist(), all_ids, strict=True):
             data, total, at = ids + b"\0\0\0\0", len(ids) // 4 + 1, 0
             for n in lengths(total, most):
@@ -149,7 +186,7 @@ def pack_documents(docs: DataFrame, path: str, most: int = 1024, with_ids: bool
     """
     if most < 1 or most & (most - 1):
         raise ValueError("most must be a power of two")
-    stored = Store(docs.sparkSession, "packing").keep(document_pieces(docs, path, most, with_ids))
+    stored = Store(docs.sparkSession, "packing").keep(document_pieces(docs, path, most, with_ids))  # the result reads it
     keys = stored.columns
     counted = stored.groupBy(*keys).agg(F.count("*").alias("_n")).withColumn("_h", hash60(F.col("doc_id"), F.col("start"), F.col("ids_crc32")))
     totals = stored.groupBy("length").count().collect()  # at most one row for each power of two up to ``most``
