@@ -119,7 +119,8 @@ def best(queries: np.ndarray, rows: np.ndarray, vec_ids: np.ndarray, scores: np.
 def search(vectors: DataFrame, every: int = 20, k: int = 20, id_col: str = "vec_id", vector_col: str = "embedding", tuning: int = TUNING) -> DataFrame:
     """query_id, rank, vec_id, score: for each id divisible by ``every``, its k nearest of all other rows by inner product.
 
-    Null, zero or non-finite vectors, null ids, and vectors not of the commonest dimension take no part. Of equal vectors only the k + 1 smallest
+    Null, zero or non-finite vectors, null ids, and vectors not of the commonest dimension take no part. An id is one vector, as a query and as
+    a candidate: of rows that share an id the one with the least vector, component by component, counts. Of equal vectors only the k + 1 smallest
     ids can be among the nearest, so only these are candidates (cut before the shuffle); equal queries are searched once. Lists and a list's
     queries are cut into blocks of bounded size, so one crowded region is shared by many tasks. Queries whose probed lists gave too few answers
     are searched again in twice as many lists, without tests. Fewer candidates than k: all. No valid vector: no rows.
@@ -133,7 +134,7 @@ def search(vectors: DataFrame, every: int = 20, k: int = 20, id_col: str = "vec_
     if not sizes:
         return empty
     dims = sizes[0]["d"]
-    sized = raw.where(F.size("v") == dims)
+    sized = _one_each(raw.where(F.size("v") == dims))
     same = Window.partitionBy("v").orderBy("vec_id")
     rows = store.keep(sized.withColumn("_r", F.row_number().over(same)).where(F.col("_r") <= k + 1).drop("_r"))
     asked = sized.where(F.col("vec_id") % every == 0)
@@ -161,9 +162,19 @@ def search(vectors: DataFrame, every: int = 20, k: int = 20, id_col: str = "vec_
     of_query = asked.join(groups, "v").select(F.col("vec_id").alias("query_id"), "qid")
     answers = of_query.join(merged.select("qid", "vec_id", "score"), "qid").where("vec_id <> query_id")
     ranked = answers.withColumn("rank", F.row_number().over(Window.partitionBy("query_id").orderBy(F.desc("score"), "vec_id")))
+    store.finish(groups, found)
     return ranked.where(F.col("rank") <= k).select("query_id", "rank", "vec_id", "score")
 
 
+def _one_each(rows: DataFrame) -> DataFrame:
+    """One vector for each vec_id. Only ids are counted over all rows; vectors are shuffled for repeated ids alone."""
+    repeated = rows.groupBy("vec_id").count().where("count > 1").select("vec_id")
+    if not repeated.take(1):
+        return rows
+    least = rows.join(repeated, "vec_id", "left_semi").groupBy("vec_id").agg(F.min("v").alias("v"))
+    return rows.join(repeated, "vec_id", "left_anti").unionByName(least)
+
+
 def _placed(rows: DataFrame, index: Index, dims: int) -> DataFrame:
     """vec_id, list, the placed vector (32-bit) and the original (64-bit), as bytes."""
 
