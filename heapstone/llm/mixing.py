@@ -9,7 +9,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from heapstone.llm.common import hash60, pick, running_before, slices_for, word_count
+from heapstone.llm.common import Store, hash60, pick, running_before, slices_for, word_count
 
 
 def cleanliness(text: Column, words: Column) -> Column:
@@ -47,16 +47,17 @@ def mix_documents(docs: DataFrame, seed: str = "mix-1", cycle: tuple[float, ...]
     """doc_id, size, source_size, target, taken for all documents: how many of its words the mix takes, repeats counted.
 
     The document on which a source's budget ends gives only the words that are still missing, so each source takes its target, rounded down.
-    Null text has size 0 and takes 0; a null source is a source; a null doc_id draws one key. Equal rows (same id, source, size and weight) are
-    counted before the shuffle and fill the budget one after the other. A source is cut into slices of the key range, so none has to fit one task.
+    Null text has size 0 and takes 0; a null source is a source; rows without doc_id draw a key for each size. Equal rows (same id, source, size and weight) are
+    counted before the shuffle, once for targets and order, and fill the budget one after the other. A source is cut into slices of the key range, so none has to fit one task.
     """
     rows = pick(docs, doc_id="long", text="string", source="string")
     sized = rows.withColumn("size", word_count(F.col("text"))).select("doc_id", "source", "size", cleanliness(F.col("text"), F.col("size")).alias("_quality"))
-    counted = sized.groupBy("doc_id", "source", "size", "_quality").agg(F.count("*").alias("_n"))
+    counted = Store(docs.sparkSession, "mixing").keep(sized.groupBy("doc_id", "source", "size", "_quality").agg(F.count("*").alias("_n")))  # the result reads it
     targets = source_targets(counted.groupBy("source").agg(F.sum(F.col("size") * F.col("_n")).alias("source_size")), cycle, share, cap)
-    u = (hash60(F.lit(seed), F.col("doc_id")) + F.lit(0.5)) / F.lit(float(1 << 60))
+    drawn = F.coalesce(F.col("doc_id").cast("string"), F.concat(F.lit("\u0000"), F.col("size").cast("string")))
+    u = (hash60(F.lit(seed), drawn) + F.lit(0.5)) / F.lit(float(1 << 60))
     keyed = counted.withColumn("_key", -F.log(u) / F.col("_quality")).withColumn("_words", F.col("size") * F.col("_n")).withColumn("_source", F.coalesce(F.concat(F.lit("s"), "source"), F.lit("n")))
-    cuts = slices_for(docs.count())
+    cuts = slices_for(counted.count())
     summed = running_before(keyed, ["_source"], ["_key", F.col("doc_id").asc_nulls_first(), "size", "_quality"], "_words", "_before", F.floor(key_share(F.col("_key")) * (4 * cuts)))
     joined = summed.join(targets.withColumn("_source", F.coalesce(F.concat(F.lit("s"), "source"), F.lit("n"))).drop("source"), "_source")
     epochs = F.when(F.col("source_size") > 0, F.floor(F.col("target") / F.col("source_size"))).otherwise(F.lit(0))

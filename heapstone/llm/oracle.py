@@ -9,7 +9,7 @@ WITH sized AS (
   FROM documents),
 weighed AS (
   SELECT *, CASE WHEN size = 0 THEN 1.0::DOUBLE ELSE greatest(0.05::DOUBLE, 1.0::DOUBLE - symbols::DOUBLE / size) END AS quality,
-         -ln((('0x' || substr(md5('mix-1' || chr(1) || coalesce(doc_id::VARCHAR, chr(0))), 1, 15))::BIGINT + 0.5::DOUBLE) / 1152921504606846976::DOUBLE) AS e
+         -ln((('0x' || substr(md5('mix-1' || chr(1) || coalesce(doc_id::VARCHAR, chr(0) || size::VARCHAR)), 1, 15))::BIGINT + 0.5::DOUBLE) / 1152921504606846976::DOUBLE) AS e
   FROM sized),
 sources AS (SELECT source, sum(size)::BIGINT AS source_size FROM sized GROUP BY source),
 ranked AS (
