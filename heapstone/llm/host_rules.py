@@ -8,10 +8,11 @@ from __future__ import annotations
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
-from heapstone.llm.common import chunks_of, map_arrow, pick, word_hashes
+from heapstone.llm.common import Store, chunks_of, map_arrow, pick, word_hashes
 
 SYMBOLS = b"#*$%&|<>"
 #: A document fails with fewer words, or with a larger share of words in repeated three-word windows.
@@ -19,6 +20,9 @@ LEAST_WORDS, REPEATED_PERCENT, WINDOW = 50, 50, 3
 #: A host whose shrunk failure rate is this or more is dropped; the prior's strength lies between these numbers of documents.
 HOST_RATE, STRENGTH = 0.6, (2.0, 10_000.0)
 
+#: Hosts that are broadcast (some 100 bytes each); beyond, both sides are shuffled with so many salts.
+MOST_HOSTS, SALTS = 200_000, 32
+
 SCHEMA = "doc_id long, host string, n_words long, word_chars long, n_symbols long, n_dup_lines long, n_repeat_words long"
 
 
@@ -57,9 +61,8 @@ def _statistics(batch: pa.RecordBatch) -> pa.RecordBatch:
     return pa.RecordBatch.from_arrays([batch.column("doc_id"), batch.column("host"), *columns], names=["doc_id", "host", *STATISTICS])
 
 
-def _not_failed(batch: pa.RecordBatch) -> pa.RecordBatch:
-    table = _measured(batch)
-    return batch.filter(pa.array((table[:, 0] >= LEAST_WORDS) & (100 * table[:, 4] <= REPEATED_PERCENT * table[:, 0]))).drop_columns(["text"])
+def _failed(table: np.ndarray) -> np.ndarray:
+    return (table[:, 0] < LEAST_WORDS) | (100 * table[:, 4] > REPEATED_PERCENT * table[:, 0])
 
 
 def rule_failures(docs: DataFrame, host: str = "source") -> DataFrame:
@@ -90,24 +93,47 @@ def host_verdicts(failures: DataFrame) -> DataFrame:
     return hosts.crossJoin(F.broadcast(prior)).select("host", "n_docs", "n_failed", shrunk.alias("shrunk_rate"), (shrunk >= HOST_RATE).alias("host_rejected"))
 
 
+def _host_key(host: Column) -> Column:
+    """A key that is never null, for joins."""
+    return F.coalesce(F.concat(F.lit("h"), host.cast("string")), F.lit("n"))
+
+
 def judge_documents(docs: DataFrame, host: str = "source") -> DataFrame:
     """doc_id, host, the statistics, base_failed, shrunk_rate, kept: a row for each row of ``docs``; rows with a null id are judged like any other.
 
-    Hosts are counted with partial sums before the shuffle; their verdicts join back by a null-safe key that adaptive execution can split.
+    Texts are measured once; their statistics are stored. Hosts are counted with partial sums before the shuffle; their verdicts join back by a
+    null-safe key, broadcast while there are at most MOST_HOSTS of them.
     """
-    failures = rule_failures(docs, host)
-    key = F.coalesce(F.concat(F.lit("h"), F.col("host")), F.lit("n"))
-    verdicts = host_verdicts(failures).select(key.alias("_key"), "shrunk_rate", "host_rejected")
-    return failures.withColumn("_key", key).join(verdicts, "_key").withColumn("kept", ~F.col("base_failed") & ~F.col("host_rejected")).drop("_key", "host_rejected")
+    failures = Store(docs.sparkSession, "host-rules").keep(rule_failures(docs, host))  # the result reads it
+    verdicts = host_verdicts(failures).select(_host_key(F.col("host")).alias("_key"), "shrunk_rate", "host_rejected")
+    joined = _with_hosts(failures.withColumn("_key", _host_key(F.col("host"))), verdicts, "inner", F.struct("doc_id", "word_chars"))
+    return joined.withColumn("kept", ~F.col("base_failed") & ~F.col("host_rejected")).drop("_key", "host_rejected")
+
+
+def _with_hosts(rows: DataFrame, hosts: DataFrame, how: str, deal: Column) -> DataFrame:
+    """Rows joined with a table of hosts on ``_key``. Beyond MOST_HOSTS both are shuffled, each host to SALTS places by ``deal``, so a common one is not one task."""
+    if hosts.count() <= MOST_HOSTS:
+        return rows.join(F.broadcast(hosts), "_key", how)
+    salted = hosts.withColumn("_salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))
+    return rows.withColumn("_salt", F.pmod(F.xxhash64(deal), F.lit(SALTS)).cast("int")).join(salted, ["_key", "_salt"], how).drop("_salt")
 
 
 def keep_good(docs: DataFrame, host: str = "source") -> DataFrame:
-    """The rows of ``docs``, all columns, that their own rules and their host's verdict keep. Texts are measured twice: for the hosts, then to filter."""
+    """The rows of ``docs``, all columns, that their own rules and their host's verdict keep.
+
+    Texts are measured once: rows are stored with their own verdict, hosts are counted from it, and only the few rejected hosts join back.
+    """
     names = docs.columns
     inner = [f"c{i}" for i in range(len(names))]
     text_at, host_at = inner[names.index("text")], inner[names.index(host)]
-    key = lambda c: F.coalesce(F.concat(F.lit("h"), c.cast("string")), F.lit("n"))
-    plain = docs.toDF(*inner).withColumn("_key", key(F.col(host_at)))
-    rejected = host_verdicts(rule_failures(docs, host)).where("host_rejected").select(key(F.col("host")).alias("_key"))
-    kept = map_arrow(plain.withColumn("text", F.col(text_at).cast("string")), _not_failed, plain.schema)
-    return kept.join(rejected, "_key", "left_anti").select(*inner).toDF(*names)
+    plain = docs.toDF(*inner)
+
+    def judge(batch: pa.RecordBatch) -> pa.RecordBatch:
+        return batch.drop_columns(["text"]).append_column("base_failed", pa.array(_failed(_measured(batch))))
+
+    judged = map_arrow(plain.withColumn("text", F.col(text_at).cast("string")), judge, T.StructType([*plain.schema.fields, T.StructField("base_failed", T.BooleanType())]))
+    stored = Store(docs.sparkSession, "host-rules").keep(judged)  # the result reads it
+    verdicts = host_verdicts(stored.select(F.col(host_at).cast("string").alias("host"), "base_failed"))
+    rejected = verdicts.where("host_rejected").select(_host_key(F.col("host")).alias("_key"))
+    kept = stored.where("NOT base_failed").withColumn("_key", _host_key(F.col(host_at)))
+    return _with_hosts(kept, rejected, "left_anti", F.col(text_at).cast("string")).select(*inner).toDF(*names)
