@@ -1,12 +1,13 @@
 """Quality classifier: a convolutional network over bytes, in numpy.
 
-Bytes are embedded; learned filters slide over the whole text in steps of STEP bytes; every chunk of CHUNK positions (chunks overlap by
-the filters' width) keeps each filter's maximum; the maximum and the mean over all chunks go into one logistic unit.
+Bytes are embedded; learned filters slide over the whole text in steps of STEP bytes; every chunk of CHUNK positions, each overlapping the
+next by half, keeps each filter's maximum; the maximum and the mean over all chunks go into one logistic unit.
 Training (back-propagation, Adam) runs on the driver over a bounded sample of labelled texts; scoring is a narrow map.
 """
 
 from __future__ import annotations
 
+import warnings
 from dataclasses import dataclass
 
 import numpy as np
@@ -14,13 +15,15 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from heapstone.llm.common import chunks_of, map_arrow, pick
+from heapstone.llm.common import Store, chunks_of, map_arrow, pick
 
 #: Bytes a filter sees, bytes it moves on, positions of a chunk, filters, embedding size.
 WIDTH, STEP, CHUNK, FILTERS, DIM = 12, 3, 64, 24, 8
 TAPS = WIDTH // STEP
-#: A text is worked on in spans of so many chunks, so its length doesn't bound memory.
-SPAN = 4096
+#: Chunks begin at every half of one; the network works on halves, a chunk being two neighbours.
+HALF = CHUNK // 2
+#: A text is worked on in spans of so many halves, so its length doesn't bound memory.
+SPAN = 8192
 #: Bounds of the training sample: texts of each label, bytes of a text. Steps of training, texts of a step.
 PER_LABEL, LONGEST, STEPS, BATCH = 600, 1 << 16, 300, 32
 #: Documents in this fold (crc32 of the id as text, modulo 5) are held out from training.
@@ -45,8 +48,8 @@ class Model:
 
 
 def _cells(spans: list[bytes], follow: list[bytes]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """A byte buffer in which each span fills whole chunks, its number of chunks, and each span's last cells with what follows it."""
-    size = CHUNK * STEP
+    """A byte buffer in which each span fills whole halves, its number of halves, and each span's last cells with what follows it."""
+    size = HALF * STEP
     chunks = np.array([max(1, -(-len(s) // size)) for s in spans])
     buffer = b"".join(s.ljust(n * size, b"\0") for s, n in zip(spans, chunks.tolist(), strict=True))
     tail = (TAPS - 1) * STEP
@@ -63,21 +66,24 @@ def _slide(model: Model, taps: np.ndarray, data: np.ndarray) -> np.ndarray:
 
 
 def activations(model: Model, spans: list[bytes], follow: list[bytes]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """(chunks, CHUNK, FILTERS) sums before the maximum, the number of chunks of each span, the buffer."""
+    """(halves, HALF, FILTERS) sums before the maximum, the number of halves of each span, the buffer."""
     buffer, chunks, ends = _cells(spans, follow)
     taps = model.taps()
     tail = TAPS - 1
     sums = _slide(model, taps, np.concatenate((buffer, np.zeros(tail * STEP, np.uint8))))
-    last = np.cumsum(chunks) * CHUNK
+    last = np.cumsum(chunks) * HALF
     fixed = _slide(model, taps, ends.reshape(len(spans), 2 * tail * STEP))
     for k in range(tail):
         sums[last - tail + k] = fixed[:, k]
-    return sums.reshape(-1, CHUNK, FILTERS), chunks, buffer
+    return sums.reshape(-1, HALF, FILTERS), chunks, buffer
 
 
 def pooled(model: Model, texts: list[bytes]) -> np.ndarray:
-    """(texts, 2 * FILTERS): each filter's maximum and mean over the chunks of the whole text."""
-    size = CHUNK * STEP * SPAN
+    """(texts, 2 * FILTERS): each filter's maximum and mean over the chunks of the whole text. A text of one half is one chunk.
+
+    The last half of a span is carried to the span that goes on with the same text.
+    """
+    size = HALF * STEP * SPAN
     spans, follow, owner = [], [], []
     for row, text in enumerate(texts):
         for at in range(0, max(1, len(text)), size):
@@ -85,21 +91,25 @@ def pooled(model: Model, texts: list[bytes]) -> np.ndarray:
             follow.append(text[at + size : at + size + WIDTH])
             owner.append(row)
     top, total, count = np.zeros((len(texts), FILTERS), np.float32), np.zeros((len(texts), FILTERS), np.float32), np.zeros((len(texts), 1), np.float32)
+    carry, carried = np.zeros((1, FILTERS), np.float32), -1
     k = 0
     while k < len(spans):
         end, held = k, 0
         while end < len(spans) and (end == k or held + len(spans[end]) <= 1 << 18):
             held += len(spans[end])
             end += 1
-        sums, chunks, _ = activations(model, spans[k:end], follow[k:end])
+        sums, halves, _ = activations(model, spans[k:end], follow[k:end])
         best = np.maximum(sums.max(1) + model.bias, 0)
-        starts = np.concatenate(([0], np.cumsum(chunks)[:-1]))
-        rows = np.array(owner[k:end])
-        np.maximum.at(top, rows, np.maximum.reduceat(best, starts))
-        np.add.at(total, rows, np.add.reduceat(best, starts))
-        np.add.at(count, rows, chunks[:, None].astype(np.float32))
+        of = np.repeat(owner[k:end], halves)
+        starts = np.concatenate(([0], np.cumsum(halves)[:-1]))
+        np.maximum.at(top, np.array(owner[k:end]), np.maximum.reduceat(best, starts))
+        rows, left = np.concatenate(([carried], of[:-1])), np.concatenate((carry, best[:-1]))
+        chunks = np.maximum(left, best) * (rows == of)[:, None]
+        np.add.at(total, np.array(owner[k:end]), np.add.reduceat(chunks, starts))
+        np.add.at(count[:, 0], of, (rows == of).astype(np.float32))
+        carry, carried = best[-1:], of[-1]
         k = end
-    return np.hstack((top, total / count))
+    return np.hstack((top, np.where(count > 0, total / np.maximum(count, 1), top)))
 
 
 def score_texts(model: Model, texts: list[bytes]) -> np.ndarray:
@@ -112,19 +122,26 @@ def _gradients(model: Model, texts: list[bytes], labels: np.ndarray, weights: np
     where = sums.argmax(1)
     best = np.take_along_axis(sums, where[:, None, :], 1)[:, 0, :] + model.bias
     live = np.maximum(best, 0)
-    ends = np.cumsum(chunks)
-    starts = ends - chunks
-    top, mean = np.maximum.reduceat(live, starts), np.add.reduceat(live, starts) / chunks[:, None]
+    starts = np.cumsum(chunks) - chunks
+    doc = np.repeat(np.arange(len(texts)), chunks)
+    top = np.maximum.reduceat(live, starts)
+    pairs = (doc[:-1] == doc[1:])[:, None]
+    left_wins = live[:-1] >= live[1:]
+    wins = np.zeros_like(live)  # chunks whose maximum stands in this half
+    wins[:-1] += pairs & left_wins
+    wins[1:] += pairs & ~left_wins
+    wins[starts[chunks == 1]] = 1
+    share = wins / np.maximum(chunks - 1, 1)[doc, None]
+    mean = np.add.reduceat(live * share, starts)
     features = np.hstack((top, mean))
     error = ((1 / (1 + np.exp(-np.clip(features @ model.weights + model.offset, -40, 40)))) - labels) * weights / len(texts)
-    doc = np.repeat(np.arange(len(texts)), chunks)
     first = np.zeros_like(live, bool)
     tied = live == top[doc]
     for f in range(FILTERS):
         rows = np.flatnonzero(tied[:, f])
         first[rows[np.unique(doc[rows], return_index=True)[1]], f] = True
-    flow = error[doc, None] * (first * model.weights[:FILTERS] + model.weights[FILTERS:] / chunks[doc, None]) * (best > 0)
-    at = ((np.arange(len(where)) * CHUNK)[:, None] + where) * STEP
+    flow = error[doc, None] * (first * model.weights[:FILTERS] + model.weights[FILTERS:] * share) * (best > 0)
+    at = ((np.arange(len(where)) * HALF)[:, None] + where) * STEP
     padded = np.concatenate((buffer, np.zeros(WIDTH, np.uint8)))
     seen = padded[at[:, :, None] + np.arange(WIDTH)]
     d_filters = np.einsum("cf,cfk->kf", flow, model.embedding[seen].reshape(*seen.shape[:2], -1), optimize=True)
@@ -167,20 +184,27 @@ def fold(doc_id: Column) -> Column:
 def fit(docs: DataFrame, labels: DataFrame, per_label: int = PER_LABEL, longest: int = LONGEST) -> Model:
     """A model from at most ``per_label`` texts of each label, none over ``longest`` bytes, all outside the held-out fold; whole texts.
 
-    Which labelled ids are used is fixed by a hash of the id. Labels without id or quality are passed over; of repeated ids the higher label counts.
+    Which labelled ids are used is fixed by a hash of the id, among those that ``docs`` holds. Labels without id or quality are passed over; of
+    repeated ids the higher label counts, and the least of their texts. Warns where a label has no text to learn from.
     """
-    known = pick(labels, doc_id="long", quality="int").where("doc_id IS NOT NULL AND quality IN (0, 1)").where(fold(F.col("doc_id")) != HELD_OUT).groupBy("doc_id").agg(F.max("quality").alias("quality"))
+    asked = pick(labels, doc_id="long", quality="int").where("doc_id IS NOT NULL AND quality IN (0, 1)").where(fold(F.col("doc_id")) != HELD_OUT).groupBy("doc_id").agg(F.max("quality").alias("quality"))
+    store = Store(docs.sparkSession, "labels")
+    known = store.keep(asked.join(pick(docs, doc_id="long"), "doc_id", "left_semi"))
     counts = {r["quality"]: r["count"] for r in known.groupBy("quality").count().collect()}
     chosen = {}
     for label in (0, 1):
         for r in known.where(F.col("quality") == label).orderBy(F.xxhash64("doc_id"), "doc_id").limit(per_label).collect():
             chosen[r["doc_id"]] = label
+    store.finish()
     total = sum(counts.values())
     prior = counts.get(1, 0) / total if total else 0.5
     texts: dict[int, bytes] = {}
     if chosen:
         rows = pick(docs, doc_id="long", text="string").where(F.col("doc_id").isin(list(chosen))).where(F.octet_length("text") <= longest)
-        texts = {r["doc_id"]: r["text"].encode() for r in rows.collect()}
+        texts = {r["doc_id"]: r["text"].encode() for r in rows.groupBy("doc_id").agg(F.min("text").alias("text")).collect()}
+    for label in (0, 1):
+        if not any(chosen[i] == label for i in texts):
+            warnings.warn(f"no text of label {label} to learn from", stacklevel=2)
     ids = sorted(texts)
     return train([texts[i] for i in ids], np.array([chosen[i] for i in ids], np.float32), prior)
 
