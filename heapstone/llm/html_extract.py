@@ -10,6 +10,8 @@ from __future__ import annotations
 import html
 import re
 import zlib
+from bisect import bisect_left
+from collections import Counter
 from functools import lru_cache
 
 import numpy as np
@@ -19,12 +21,15 @@ from pyspark.sql import functions as F
 
 from heapstone.llm.common import map_arrow, pick
 
-_TAG = re.compile(r"<!--.*?(?:-->|\Z)|<!\[CDATA\[.*?(?:\]\]>|\Z)|<[!?][^>]*(?:>|\Z)|<(/?)([a-zA-Z][^\s/>]*)((?:[^>\"']|\"[^\"]*\"|'[^']*')*)>", re.S)
+_NAME = re.compile(r"(/?)([a-zA-Z][^\s/>]*)")
+_STOP = re.compile(r"[>\"']")
 _ATTRIBUTE = re.compile(r"(class|id|role|style|hidden|aria-hidden)(?:\s*=\s*(\"[^\"]*\"|'[^']*'|[^\s>]+))?", re.I)
 _NAME_PART = re.compile(r"[A-Z]?[a-z]+|[A-Z]+")
 #: Elements without content, elements whose content is raw up to their end tag or the page's end, elements inside a line of text.
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
-RAW = frozenset("script style iframe textarea".split())
+RAW = frozenset("script style textarea".split())
+#: Elements whose content is raw up to their end tag; without one, only the start tag is passed over. The title's content is text.
+RAW_IF_CLOSED = frozenset("iframe title".split())
 #: Elements that a slash in their start tag closes; their text is left to the labeller.
 EMPTY = frozenset("noscript template svg object canvas math select".split())
 INLINE = frozenset("a abbr b bdi bdo big cite code data del dfn em font i ins kbd label mark q s samp small span strong sub sup time tt u var wbr".split())
@@ -36,6 +41,56 @@ BREAKS_P = frozenset("address article aside blockquote div dl fieldset footer fo
 PATHS, WORDS, MEASURES, HIDDEN = 192, 48, 6, 24
 #: Invented pages to train on, passes over them, blocks that one batch holds.
 PAGES, EPOCHS, CELLS = 700, 6, 16384
+#: Open elements that a path holds (as browsers bound their trees): deeper ones share their parent's path.
+DEEPEST = 512
+
+
+class _Markup:
+    """Finds the tags of a page from left to right. Each place is looked at a bounded number of times, whatever is left open."""
+
+    def __init__(self, page: str):
+        self.page, self.last = page, {c: page.rfind(c) for c in ">\"'"}
+        self.closing: dict[str, list[tuple[int, int]]] = {}
+
+    def _skip(self, text: str, at: int) -> int:
+        found = self.page.find(text, at)
+        return len(self.page) if found < 0 else found + len(text)
+
+    def _tag_end(self, at: int) -> int:
+        """Past the first ``>`` outside quotes; a quote that never closes is passed over."""
+        while (m := _STOP.search(self.page, at)) is not None:
+            mark, at = m.group(), m.end()
+            if mark == ">":
+                return at
+            if at <= self.last[mark] and self.last[">"] > (shut := self.page.find(mark, at)):
+                at = shut + 1
+        return -1
+
+    def next_tag(self, at: int) -> tuple[int, int, bool, str, str]:
+        """Where the next tag, comment or declaration begins and ends, whether it is an end tag, its name (empty: no tag) and its attributes."""
+        page, end = self.page, len(self.page)
+        while (start := page.find("<", at)) >= 0:
+            if page.startswith("<!--", start):
+                return start, self._skip("-->", start + 4), False, "", ""
+            if page.startswith("<![CDATA[", start):
+                return start, self._skip("]]>", start + 9), False, "", ""
+            if page.startswith(("<!", "<?"), start):
+                return start, self._skip(">", start), False, "", ""
+            m = _NAME.match(page, start + 1)
+            if m and start < self.last[">"]:
+                stop = self._tag_end(m.end())
+                if stop > 0:
+                    return start, stop, bool(m.group(1)), m.group(2).lower(), page[m.end() : stop - 1]
+            at = start + 1
+        return end, end, False, "", ""
+
+    def end_of(self, name: str, at: int) -> tuple[int, int] | None:
+        """The first end tag of this name from ``at`` on; a page's end tags of a name are looked up once."""
+        if name not in self.closing:
+            self.closing[name] = [m.span() for m in re.finditer(rf"</{name}\b[^>]*>", self.page, re.I)]
+        spans = self.closing[name]
+        k = bisect_left(spans, (at, 0))
+        return spans[k] if k < len(spans) else None
 
 
 def leaf_blocks(page: str) -> list[tuple[tuple[str, ...], str, int]]:
@@ -45,60 +100,76 @@ def leaf_blocks(page: str) -> list[tuple[tuple[str, ...], str, int]]:
     """
     blocks, stack, pieces, links = [], [], [], 0
     at, in_link, end = 0, 0, len(page)
+    markup, open_names, deeper = _Markup(page), Counter(), Counter()
+    path: tuple[str, ...] | None = ()
 
     def flush() -> None:
-        nonlocal links
+        nonlocal links, path
         if pieces:
             text = "".join(pieces)
             text = " ".join((html.unescape(text) if "&" in text else text).split())
             if text:
-                blocks.append((tuple(part for _, parts in stack for part in parts), text, links))
+                if path is None:
+                    path = tuple(part for _, parts in stack for part in parts)
+                blocks.append((path, text, links))
             pieces.clear()
         links = 0
 
+    def close_from(k: int) -> None:
+        nonlocal in_link, path
+        for name, _ in stack[k:]:
+            open_names[name] -= 1
+        del stack[k:]
+        path, in_link = None, open_names["a"]
+
     while at < end:
-        m = _TAG.search(page, at)
-        if m is None:
-            m_start, m_end = end, end
-        else:
-            m_start, m_end = m.span()
-        if m_start > at:
-            pieces.append(page[at:m_start])
+        start, at_end, closes, name, attributes = markup.next_tag(at)
+        if start > at:
+            pieces.append(page[at:start])
             if in_link:
-                links += m_start - at
-        at = m_end
-        if m is None or m.group(2) is None:
+                links += start - at
+        at = at_end
+        if not name:
             continue
-        name = m.group(2).lower()
         inline = name in INLINE
         if not inline:
             flush()
-        if m.group(1):
-            for k in range(len(stack) - 1, -1, -1):
+        if closes:
+            if deeper[name]:
+                deeper[name] -= 1
+                continue
+            for k in range(len(stack) - 1, -1, -1) if open_names[name] else ():
                 if stack[k][0] == name:
-                    if inline and any(t not in INLINE for t, _ in stack[k + 1 :]):
-                        break
-                    del stack[k:]
+                    if not (inline and any(t not in INLINE for t, _ in stack[k + 1 :])):
+                        close_from(k)
                     break
-            in_link = sum(t == "a" for t, _ in stack)
             continue
-        if name in RAW:
-            if not m.group(3).endswith("/"):
-                close = re.compile(rf"</{name}\b[^>]*>", re.I).search(page, at)
-                at = close.end() if close else end
+        shut = attributes.endswith("/")
+        if name in RAW or name in RAW_IF_CLOSED:
+            if not shut or name == "title":
+                close = markup.end_of(name, at)
+                if name == "title" and close:
+                    stack.append((name, [name]))
+                    path = None
+                    pieces.append(page[at : close[0]])
+                    flush()
+                    stack.pop()
+                    path = None
+                at = close[1] if close else end if name in RAW else at
             continue
-        if name in VOID or name in EMPTY and m.group(3).endswith("/"):
+        if name in VOID or name in EMPTY and shut:
             continue
         if name in BREAKS_P or name in CLOSES:
             wanted = CLOSES.get(name, set()) | ({"p"} if name in BREAKS_P else set())
             for k in range(len(stack) - 1, -1, -1):
                 if stack[k][0] in wanted:
-                    del stack[k:]
-                    in_link = sum(t == "a" for t, _ in stack)
+                    close_from(k)
                 elif stack[k][0] not in INLINE:
                     break
+        if len(stack) >= DEEPEST:
+            deeper[name] += 1
+            continue
         parts = [name] if not inline else []
-        attributes = m.group(3)
         if attributes and not inline:
             for key, value in _ATTRIBUTE.findall(attributes):
                 key, value = key.lower(), value.strip("\"'")
@@ -111,7 +182,8 @@ def leaf_blocks(page: str) -> list[tuple[tuple[str, ...], str, int]]:
                 else:
                     parts.extend("." + x.lower() for x in _NAME_PART.findall(value))
         stack.append((name, parts))
-        in_link += name == "a"
+        open_names[name] += 1
+        path, in_link = None, open_names["a"]
     flush()
     return blocks
 
@@ -137,15 +209,16 @@ class _WordBuckets(dict):
 _buckets = _WordBuckets()
 
 
-def vectors(blocks: list[tuple[tuple[str, ...], str, int]]) -> np.ndarray:
-    """(blocks, PATHS + WORDS + MEASURES)."""
+def vectors(blocks: list[tuple[tuple[str, ...], str, int]], first: int = 0, total: int | None = None) -> np.ndarray:
+    """(blocks, PATHS + WORDS + MEASURES) of a page's blocks, or of a stretch of them that begins at ``first`` of ``total``."""
+    total = total or len(blocks)
     out = np.zeros((len(blocks), PATHS + WORDS + MEASURES), np.float32)
     for row, (path, text, links) in enumerate(blocks):
         words = text.split(" ")
         out[row, :PATHS] = _path_vector(path)
         out[row, PATHS : PATHS + WORDS] = np.bincount(list(map(_buckets.__getitem__, words)), minlength=WORDS) / len(words)
         n = len(text)
-        out[row, PATHS + WORDS :] = (np.log1p(n) / 6, min(1.0, links / n), min(1.0, text.count(".") / len(words)), row / len(blocks), np.log1p(len(path)) / 3, np.log1p(len(blocks)) / 5)
+        out[row, PATHS + WORDS :] = (np.log1p(n) / 6, min(1.0, links / n), min(1.0, text.count(".") / len(words)), (first + row) / total, np.log1p(len(path)) / 3, np.log1p(total) / 5)
     return out
 
 
@@ -161,12 +234,15 @@ class BlockLabeller:
         one = lambda: [rng.normal(0, 0.12, (wide, 4 * HIDDEN)).astype(np.float32), rng.normal(0, 0.2, (HIDDEN, 4 * HIDDEN)).astype(np.float32), np.concatenate((np.zeros(HIDDEN), np.ones(HIDDEN), np.zeros(2 * HIDDEN))).astype(np.float32)]
         self.parameters = [*one(), *one(), np.zeros(2 * HIDDEN, np.float32), np.zeros(1, np.float32)]
 
-    def _run(self, x: np.ndarray, mask: np.ndarray, which: int, keep: bool = False) -> tuple[np.ndarray, list]:
-        """Hidden states (time, pages, HIDDEN). Padding keeps the state at zero, before the first and after the last block."""
+    def _run(self, x: np.ndarray, mask: np.ndarray, which: int, keep: bool = False, state: tuple | None = None) -> tuple[np.ndarray, list]:
+        """Hidden states (time, pages, HIDDEN). Padding keeps the state at zero, before the first and after the last block.
+
+        ``state`` holds what a stretch of a page begins with; the state it ends with goes to ``self.state``.
+        """
         w, u, b = self.parameters[3 * which : 3 * which + 3]
         steps = range(len(x)) if which == 0 else range(len(x) - 1, -1, -1)
         gates_in = x @ w + b
-        h = c = np.zeros((x.shape[1], HIDDEN), np.float32)
+        h, c = state or (np.zeros((x.shape[1], HIDDEN), np.float32),) * 2
         out, tape = np.zeros((len(x), x.shape[1], HIDDEN), np.float32), []
         for t in steps:
             z = gates_in[t] + h @ u
@@ -179,6 +255,7 @@ class BlockLabeller:
                 tape.append((t, h, c, i, f, o, g, tanh_c))
             h, c = h_new, c_new
             out[t] = h
+        self.state = h, c
         return out, tape
 
     def probabilities(self, x: np.ndarray, mask: np.ndarray) -> np.ndarray:
@@ -186,6 +263,20 @@ class BlockLabeller:
         v, b = self.parameters[6:]
         return _sigmoid(np.concatenate((self._run(x, mask, 0)[0], self._run(x, mask, 1)[0]), 2) @ v + b)
 
+    def probabilities_of_long(self, blocks: list, stretch: int) -> np.ndarray:
+        """The same for one page of many blocks: forwards, then backwards, a stretch at a time with carried states; hidden states alone are held whole."""
+        total, cuts = len(blocks), range(0, len(blocks), stretch)
+        v, b = self.parameters[6:]
+        logits = np.full(total, b[0], np.float32)
+        for which, order in ((0, cuts), (1, reversed(cuts))):
+            state = None
+            for at in order:
+                x = vectors(blocks[at : at + stretch], at, total)[:, None]
+                h, _ = self._run(x, np.ones(x.shape[:2], np.float32), which, state=state)
+                state = self.state
+                logits[at : at + len(x)] += h[:, 0] @ v[which * HIDDEN : (which + 1) * HIDDEN]
+        return _sigmoid(logits)
+
     def gradients(self, x: np.ndarray, mask: np.ndarray, y: np.ndarray) -> list[np.ndarray]:
         v, b = self.parameters[6:]
         (forth, tape_f), (back, tape_b) = self._run(x, mask, 0, True), self._run(x, mask, 1, True)
@@ -362,7 +453,7 @@ def trained(pages: int = PAGES, epochs: int = EPOCHS) -> BlockLabeller:
 
 
 def label_pages(model: BlockLabeller, pages: list[str]) -> list[tuple[list[tuple], np.ndarray]]:
-    """(blocks, chance of each to be main text) of each page. Pages of like length share a batch; a page is never cut."""
+    """(blocks, chance of each to be main text) of each page. Pages of like length share a batch; a long page is read in stretches, its states carried."""
     parsed = [leaf_blocks(p) for p in pages]
     order = sorted((k for k in range(len(pages)) if parsed[k]), key=lambda k: len(parsed[k]))
     chances: list[np.ndarray] = [np.zeros(0, np.float32)] * len(pages)
@@ -372,6 +463,10 @@ def label_pages(model: BlockLabeller, pages: list[str]) -> list[tuple[list[tuple
         while end < len(order) and len(parsed[order[end]]) * (end + 1 - at) <= CELLS // 4:
             end += 1
         group = order[at:end]
+        if len(parsed[group[0]]) > CELLS // 4:
+            chances[group[0]] = model.probabilities_of_long(parsed[group[0]], CELLS // 4)
+            at = end
+            continue
         x, mask = _padded([vectors(parsed[k]) for k in group])
         p = model.probabilities(x, mask)
         for j, k in enumerate(group):
