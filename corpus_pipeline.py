@@ -53,5 +53,7 @@ def run(spark: SparkSession, sf_dir: str) -> DataFrame:
     """All stages in order over ``documents``."""
     docs, store = read(spark, sf_dir, "documents"), Store(spark, "pipeline")
     for _, stage in STAGES[:-1]:
-        docs = store.keep(stage(spark, docs, sf_dir))
+        kept = store.keep(stage(spark, docs, sf_dir))
+        store.drop(docs)  # the first is an input, not one of ours, and stays
+        docs = kept
     return STAGES[-1][1](spark, docs, sf_dir)
