@@ -64,6 +64,24 @@ def test_sharding_moves_few_rows_and_only_into_the_new_shard(spark):
     assert max(Counter(r["shard"] for r in rows).values()) < 330
 
 
+def test_sharding_against_scores_in_plain_python(spark):
+    from hashlib import md5
+    from math import log
+
+    def winner(key, shards):
+        scores = [-1 / log((int(md5(f"{key}\u0001shard{s}".encode()).hexdigest()[:15], 16) + 0.5) / 2**60) for s in range(shards)]
+        return scores.index(max(scores))
+
+    rows = sharding.shard_documents(spark.range(500).selectExpr("id - 50 AS doc_id", "'t' AS text")).collect()
+    assert all((r["shard"], r["grown_shard"]) == (winner(r["doc_id"], 16), winner(r["doc_id"], 17)) for r in rows) and len(rows) == 500
+
+
+def test_rows_without_key_share_a_shard_but_not_a_slice(spark):
+    docs = spark.range(300).selectExpr("CAST(NULL AS LONG) AS doc_id", "cast(id AS string) AS text")
+    rows = sharding.shard_documents(docs).collect()
+    assert len({r["shard"] for r in rows}) == 1 and sorted(r["slot"] for r in rows) == list(range(300))
+
+
 def test_sharding_weights(spark):
     df = sharding.assign_shards(spark.range(6000), "id", [1.0, 2.0, 3.0])
     counts = {r["shard"]: r["count"] for r in df.groupBy("shard").count().collect()}
@@ -77,12 +95,18 @@ def test_units_encode_like_whole_texts():
     from tokenizers import Tokenizer
 
     plain = Tokenizer.from_file(BPE)
-    plain.encode_special_tokens = True
-    texts = ["", "a", " a", "a ", "a  b\n\n c", "\n", "x\ty", "don't  \n stop", "é b's \t x's y", "a\x1cb!\x1c c", "tab nb sp  ", "<|endoftext|> end", "word, word,, (x) it's, it's. a'll!! $9.50 --", *(t or "" for _, t, _ in EDGE)]
+    texts = ["x <|endoftext|> y", "<|endoftext|>", "a<|endoftext|><|endoftext|>  b\n<|endoftext|>\n\n c", "<|endoftext| > <|end", "", "a", " a", "a ", "a  b\n\n c", "\n", "x\ty", "don't  \n stop", "é b's \t x's y", "a\x1cb!\x1c c", "tab nb sp  ", "<|endoftext|> end", "word, word,, (x) it's, it's. a'll!! $9.50 --", *(t or "" for _, t, _ in EDGE)]
     for text, ids in zip(texts, packing.UnitEncoder(BPE).encode(texts), strict=True):
         assert np.frombuffer(ids, "<u4").tolist() == plain.encode(text, add_special_tokens=False).ids, text
 
 
+def test_long_texts_are_encoded_in_parts(monkeypatch):
+    monkeypatch.setattr(packing, "CHUNK", 50)
+    text = prose(3, 400) + " don't  stop\n\n at <|endoftext|> a b c é " + prose(4, 300) + "  "
+    whole = packing.UnitEncoder(BPE).encode([text])[0]
+    assert len(packing.stretches(text.encode(), 50)) > 20 and packing._encoded(packing.UnitEncoder(BPE), [text.encode(), b""]) == [whole, b""]
+
+
 def test_packing_round_trip(spark, edge, empty):
     rows = packing.pack_documents(edge, BPE, with_ids=True).collect()
     assert sorted(r["sequence_id"] for r in rows) == list(range(len(rows)))
@@ -175,6 +199,15 @@ def test_statistics_against_brute_force(spark, edge):
     assert host_rules.judge_documents(edge).count() == len(EDGE)
 
 
+@pytest.mark.parametrize("bound", [0, 1000])
+def test_many_hosts_are_joined_like_few(spark, monkeypatch, bound):
+    monkeypatch.setattr(host_rules, "MOST_HOSTS", bound)
+    docs = documents(spark, [(i, prose(i, 60) if i % 10 == 0 else "short", "bad") for i in range(60)] + [(100 + i, prose(i, 60), "good") for i in range(60)] + [(None, prose(1, 60), None)])
+    judged = host_rules.judge_documents(docs).collect()
+    assert len(judged) == 121 and {r["doc_id"] for r in judged if r["kept"]} == {*range(100, 160), None}
+    assert {r["doc_id"] for r in host_rules.keep_good(docs).collect()} == {*range(100, 160), None}
+
+
 def test_a_bad_host_takes_its_clean_documents_along(spark, empty):
     rows = [(i, prose(i, 60) if i % 10 == 0 else "short", "bad") for i in range(100)] + [(100 + i, prose(i, 60), f"good{i % 9}") for i in range(300)] + [(999, prose(9, 60), None)]
     docs = documents(spark, rows, clash=True)
@@ -201,10 +234,23 @@ def test_classifier_on_held_out_documents(spark, empty):
     assert quality_cnn.score_documents(empty, quality_cnn.fit(empty, labels)).count() == 0
 
 
+def test_the_sample_comes_from_labels_that_have_documents(spark, monkeypatch):
+    seen = {}
+    monkeypatch.setattr(quality_cnn, "train", lambda texts, labels, prior: seen.update(n=len(texts), ones=float(labels.sum()), prior=prior, first=texts[0] if texts else None))
+    docs = documents(spark, [(i, f"text {i}", "s") for i in range(100)] + [(i, f"atext {i}", "s") for i in range(100)])
+    labels = spark.createDataFrame([(i, 1) for i in range(100, 5000)] + [(i, int(i % 4 == 0)) for i in range(100)], "doc_id long, quality int")
+    quality_cnn.fit(docs, labels, per_label=50)
+    inside = [i for i in range(100) if zlib.crc32(str(i).encode()) % 5]
+    ones = sum(i % 4 == 0 for i in inside)
+    assert seen == {"n": ones + min(50, len(inside) - ones), "ones": ones, "prior": ones / len(inside), "first": seen["first"]} and seen["first"].startswith(b"atext")
+    with pytest.warns(UserWarning, match="no text of label"):
+        quality_cnn.fit(docs, labels.where("doc_id >= 100"))
+
+
 def test_features_do_not_depend_on_batches_or_spans(monkeypatch):
     rng = np.random.default_rng(0)
     model = quality_cnn.Model(*(rng.normal(size=s).astype(np.float32) for s in ((256, 8), (96, 24), (24,), (48,), (1,))))
-    texts = [prose(k, 10 + 300 * k).encode() for k in range(5)] + [b""]
+    texts = [prose(k, 10 + 300 * k).encode() for k in range(5)] + [b"", b"x"]
     whole = quality_cnn.pooled(model, texts)
     assert np.allclose(whole, np.vstack([quality_cnn.pooled(model, [t]) for t in texts]), atol=1e-4)
     monkeypatch.setattr(quality_cnn, "SPAN", 3)
@@ -340,6 +386,19 @@ def test_search_recall_ties_and_unusable_vectors(spark):
     assert hit / (75 * 20) >= 0.95
 
 
+def test_an_id_counts_once_as_query_and_candidate(spark):
+    rng = np.random.default_rng(4)
+    v = rng.normal(size=(200, 8))
+    rows = [(i, x.tolist(), 1, 1, 1, 1.0) for i, x in enumerate(v)]
+    rows += [rows[20], rows[59], (40, [-9.0] * 8, 1, 1, 1, 1.0)]
+    v[40] = min(v[40].tolist(), [-9.0] * 8)
+    got = vector_search.search(spark.createDataFrame(rows, "vec_id long, embedding array<double>, qid long, list int, p int, rank double")).collect()
+    for q in range(0, 200, 20):
+        mine = sorted((r["rank"], r["vec_id"]) for r in got if r["query_id"] == q)
+        assert [r for r, _ in mine] == list(range(1, 21)) and len({i for _, i in mine}) == 20 and q not in {i for _, i in mine}
+        assert all(r["score"] == pytest.approx(float(v[q] @ v[r["vec_id"]])) for r in got if r["query_id"] == q)
+
+
 def test_search_of_few_or_no_vectors(spark):
     few = spark.createDataFrame([(0, [1.0, 0.0]), (1, [1.0, 1.0]), (20, [0.0, 1.0])], "vec_id long, embedding array<double>")
     assert sorted((r["query_id"], r["rank"], r["vec_id"]) for r in vector_search.search(few).collect()) == [(0, 1, 1), (0, 2, 20), (20, 1, 1), (20, 2, 0)]
@@ -363,11 +422,35 @@ def test_token_counts_against_viterbi(spark, edge, empty):
         return best[-1][1]
 
     got = token_counts.count_tokens(edge, UNIGRAM).collect()
-    want = Counter((i, len((t or "").encode().split()), sum(tokens("▁" + w.decode()) for w in (t or "").encode().split()[:400])) for i, t, _ in EDGE if i != 7)
-    assert Counter(tuple(r) for r in got if r["doc_id"] != 7) == want and len(got) == len(EDGE)
+    want = Counter((i, len((t or "").encode().split()), sum(tokens("▁" + w.decode()) for w in (t or "").encode().split())) for i, t, _ in EDGE)
+    assert Counter(tuple(r) for r in got) == want
     assert token_counts.count_tokens(empty, UNIGRAM).count() == 0
 
 
+def test_long_words_take_no_nodes_and_count_alike(spark):
+    trie = token_counts.PrefixTrie(token_counts.piece_scores(UNIGRAM))
+    for word in (prose(3, 300).replace(" ", ""), "漢字仮名交" * 80, "a" * 500):
+        short = token_counts.PrefixTrie(trie.scores)
+        nodes, token_counts_long = len(trie.best), trie.count_long(word)
+        monkey, token_counts.LONG = token_counts.LONG, 1 << 30
+        try:
+            assert short.insert(word) == token_counts_long and len(trie.best) == nodes
+        finally:
+            token_counts.LONG = monkey
+    word = "x" * 200_000
+    rows = token_counts.count_tokens(documents(spark, [(1, f"one {word} two", "s"), (2, "one two", "s"), (3, word, "s")]), UNIGRAM).collect()
+    got = {r["doc_id"]: (r["n_words"], r["n_tokens"]) for r in rows}
+    assert got[1] == (3, got[2][1] + got[3][1]) and got[3][0] == 1
+
+
+def test_texts_are_counted_in_spans_that_cut_no_word():
+    from heapstone.llm.common import spans_of
+
+    text = (prose(1, 3000) + " \n " + "y" * 5000 + "\t" + prose(2, 200)).encode()
+    spans = list(spans_of(text, 100))
+    assert b"".join(spans) == text and len(spans) > 50 and [w for s in spans for w in s.split()] == text.split()
+
+
 def test_trie_shares_prefixes():
     trie = token_counts.PrefixTrie({"a": -1.0, "ab": -1.5, "abc": -4.0, "c": -1.0})
     assert trie.insert("ab") == 1 and trie.insert("abc") == 2 and trie.insert("abd") == 2 and len(trie.best) == 5
@@ -391,11 +474,19 @@ def test_snapshots_collapse(spark):
 
 def test_long_conversations_are_sliced_and_cut(spark, monkeypatch):
     monkeypatch.setattr(chat, "SLICE", 7)
-    monkeypatch.setattr(chat, "PART", 200)
     rows = [(c, t, "user", f"turn {t}", 0, "") for c, n in ((1, 40), (2, 60), (3, 60)) for t in range(n)] + [(4, t, "user", f"turn {t + (t == 30)}", 0, "") for t in range(60)]
-    parts = sorted(chat.format_conversations(conversations(spark, rows)).collect(), key=lambda r: (r["conv_id"], r["part"]))
+    whole = {r["conv_id"]: r for r in chat.format_conversations(conversations(spark, rows)).collect()}
+    assert set(whole) == {2, 4} and all((r["part"], r["n_parts"], r["n_turns"]) == (0, 1, 60) for r in whole.values())
+    parts = sorted(chat.format_conversations(conversations(spark, rows), part_chars=200).collect(), key=lambda r: (r["conv_id"], r["part"]))
     assert {r["conv_id"] for r in parts} == {2, 4} and all(r["n_parts"] > 1 and r["n_turns"] == 60 for r in parts)
-    assert "".join(r["text"] for r in parts if r["conv_id"] == 2) == "".join(f"<|user|>\nturn {t}\n\n" for t in range(60))
+    assert "".join(r["text"] for r in parts if r["conv_id"] == 2) == "".join(f"<|user|>\nturn {t}\n\n" for t in range(60)) == whole[2]["text"]
+
+
+def test_prefixes_that_differ_in_one_turn_are_kept(spark):
+    base = [("user", "a"), ("assistant", "b"), ("user", "c"), ("assistant", "d")]
+    logs = {1: base[:2], 2: base, 3: [*base[:1], ("assistant", "B")], 4: [base[1], base[0]], 5: base[:3] + [("user", "d")], 6: base[:3]}
+    rows = [(c, t, r, x, 0, "") for c, turns in logs.items() for t, (r, x) in enumerate(turns)]
+    assert {r["conv_id"] for r in chat.format_conversations(conversations(spark, rows)).collect()} == {2, 3, 4, 5}
 
 
 # --- pages ---
@@ -415,8 +506,35 @@ def test_blocks_after_unclosed_and_inside_nested_elements():
         assert texts(f"<p>a</p><{name}/><p>b</p>") == ["a", "b"]
         found = html_extract.leaf_blocks(f"<article><{name}><{name}>in</{name}>mid</{name}><p>out</p></article>")
         assert [(t, path) for path, t, _ in found] == [("in", ("article", name, name)), ("mid", ("article", name)), ("out", ("article", "p"))]
-    for name in ("script", "style", "textarea", "iframe"):
+    for name in ("script", "style", "textarea"):
         assert texts(f"<p>a</p><{name}>x</{name}><p>b</p><{name}>rest <p>no</p>") == ["a", "b"]
+    assert texts("<p>a</p><iframe>x</iframe><p>b</p><iframe>rest <p>c</p>") == ["a", "b", "rest", "c"]
+    assert texts("<title>a<b</title><p>b</p><title>c<p>d</p>") == ["a<b", "b", "c", "d"]
+
+
+def test_tags_with_open_quotes_and_ends():
+    texts = lambda page: [t for _, t, _ in html_extract.leaf_blocks(page)]
+    assert texts('<p title="a>one</p><p>two</p>') == ["one", "two"]
+    assert texts("<p title='a>b\">one</p><p class='x'>two</p>") == ["two"]
+    assert texts("<p>x < y <3 </ <a") == ["x < y <3 </ <a"]
+    assert texts("<p>a<!-- b <p>c") == ["a"] and texts("<p>a<![CDATA[ b ]]>c<!x>d<?y?>e") == ["acde"]
+
+
+@pytest.mark.parametrize("piece", ["<a ", "<a '", '<a "', "<a href='", "<iframe>", "<div><p>x", "</b>x", "<", "<!", "<title>", "<div></p>x", "<b>", "<p a='>"])
+def test_open_markup_takes_linear_time(piece):
+    import time
+
+    began = time.perf_counter()
+    blocks = html_extract.leaf_blocks("<p>kept</p>" + piece * (1_000_000 // len(piece)) + "<p>")
+    assert time.perf_counter() - began < 20 and blocks[0][1] == "kept" and max(len(b[0]) for b in blocks) <= html_extract.DEEPEST
+
+
+def test_long_pages_are_read_in_stretches():
+    rng, model = np.random.default_rng(7), html_extract.trained()
+    blocks = [b for _ in range(12) for b in html_extract.leaf_blocks(html_extract.invented_page(rng)[0])]
+    x = html_extract.vectors(blocks)[:, None]
+    whole = model.probabilities(x, np.ones(x.shape[:2], np.float32))[:, 0]
+    assert np.allclose(whole, model.probabilities_of_long(blocks, 37), atol=1e-4)
 
 
 def test_labeller_on_unseen_invented_pages():
