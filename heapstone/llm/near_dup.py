@@ -1,6 +1,6 @@
 """Near duplicates: MinHash bands, sequential Bayesian verification on signatures, exact confirmation on full shingle sets.
 
-1. Rows are numbered. Rows with the same shingle set form a class, whose number (``rep``) is its smallest row.
+1. Rows with the same shingle set form a class. Its number (``rep``) is its smallest doc_id or, where classes share that, its smallest row.
 2. Classes that agree on a whole band of their signature share a bucket. In each bucket every member is compared with the pivot, its smallest class.
 3. Where a bucket still holds several components, the members outside the largest one are compared with all members outside their own
    component, block by block, each pair in the first band that it shares only. What is connected already is never compared again.
@@ -296,6 +296,9 @@ def _decided(docs: DataFrame, like: Likeness, store: Store) -> DataFrame:
     placed = signed.where("n_shingles > 0 AND doc_id IS NOT NULL")
     lead = F.min(F.struct("doc_id", "row")).alias("lead")
     classes = store.keep(placed.groupBy("n_shingles", "k1", "k2").agg(F.min("row").alias("rep"), lead, F.min_by(F.struct(*IDENTITY), "row").alias("first"), F.any_value("bands").alias("bands"), F.any_value("short").alias("short")))
+    if not classes.groupBy("lead.doc_id").count().where("count > 1").take(1):
+        # Each class has a smallest doc_id of its own, the usual case: then that is its number, so pivots are the originals that ids follow.
+        classes = classes.withColumn("rep", F.col("lead.doc_id"))
     entries = classes.select(F.explode("bands").alias("key"), "rep")
     shared = entries.groupBy("key").agg(F.count("*").alias("n"), F.min("rep").alias("pivot"), F.bit_xor(F.xxhash64("rep")).alias("x"), F.sum(F.hash("rep").cast("long")).alias("y")).where("n > 1")
     buckets = store.keep(shared.groupBy("n", "pivot", "x", "y").agg(F.min("key").alias("key")).select("key", "pivot", "n"))
