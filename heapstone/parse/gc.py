@@ -1,12 +1,15 @@
 """GC logs: lines to event tables, event tables to one summary row for each artifact. Column expressions only.
 
 Every table carries artifact_id, line_no, raw_line, elapsed_s, abs_ts and gc_id. Unified logs (JDK 9 and up) and older ones are read.
+Each kind of event is a test of a line and the columns it yields. ``events`` puts all kinds into one wide table in a single pass over the
+lines; the functions named after a kind give that kind alone.
 """
 
 from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.storagelevel import StorageLevel
 
 from heapstone.functions.scalars import found, number, size_bytes
 from heapstone.operators.ordered import nearest_rank
@@ -49,10 +52,6 @@ def gc_lines(lines: DataFrame) -> DataFrame:
     return lines.select("artifact_id", "line_no", "line", F.trim("line").alias("raw_line"), elapsed.alias("elapsed_s"), stamp.alias("abs_ts"), number(_line(), r"GC\((\d+)\)", 1, "long").alias("gc_id"))
 
 
-def _context(df: DataFrame, *columns: Column) -> DataFrame:
-    return df.select("artifact_id", "line_no", "gc_id", "elapsed_s", "abs_ts", *columns, "raw_line")
-
-
 def pause_type(event: Column) -> Column:
     """First kind that the event's text shows."""
     low = F.translate(F.lower(event), "-", " ")
@@ -95,107 +94,227 @@ def _heap(text: Column, pattern: str) -> list[Column]:
     return [size_bytes(amount(k), F.regexp_extract(text, pattern, k + 1)).alias(name) for name, k in (("before_bytes", 1), ("after_bytes", 3), ("capacity_bytes", 5))]
 
 
-def pauses(lines: DataFrame) -> DataFrame:
-    """Stop-the-world pauses: event, cause, pause_type, pause_ms, heap before, after and capacity in bytes, MB and ratios (null where unknown)."""
-    rows = gc_lines(lines)
-    unified = rows.where(_line().rlike(r"\bPause .*\d+\.\d+ms\s*$"))
+Kind = tuple[str, Column, dict[str, Column]]
+
+#: Columns of ``events`` beside the context: the kinds' own columns, null where a kind has none.
+FIELDS = {
+    "event": "string", "cause": "string", "pause_type": "string", "amount_ms": "double", "before_bytes": "long", "after_bytes": "long", "capacity_bytes": "long", "before_ratio": "double", "after_ratio": "double",
+    "thread": "string", **{f"mmu_{ms}ms": "double" for ms in (2, 5, 10, 20, 50, 100)}, "active": "long", "available": "long", "purpose": "string", "user_s": "double", "sys_s": "double", "real_s": "double", "before": "long", "after": "long",
+    "phase": "string", "phase_kind": "string", "signal_type": "string", "signal": "string", "used_kb": "long", "committed_kb": "long", "reserved_kb": "long",
+}
+
+
+def _pause_kinds() -> list[Kind]:
+    """Pauses on one line: unified logs, then older ones."""
     event = F.trim(F.regexp_extract(_line(), r"\b(Pause .*?)\s*(?:" + CHANGE + r"\s*)?\d+\.\d+ms\s*$", 1))
-    new = _context(unified, event.alias("event"), cause(event).alias("cause"), pause_type(event).alias("pause_type"), number(_line(), r"(\d+\.\d+)ms\s*$").alias("pause_ms"), *_heap(_line(), CHANGE))
-    old = rows.where(_line().rlike(r"\[(Full )?GC\b.*, \d+\.\d+ secs\]")).where(~_line().contains("[gc") & ~_block_header())
+    heap = lambda text: dict(zip(("before_bytes", "after_bytes", "capacity_bytes"), _heap(text, CHANGE), strict=True))
+    new = {"event": event, "cause": cause(event), "pause_type": pause_type(event), "amount_ms": number(_line(), r"(\d+\.\d+)ms\s*$"), **heap(_line())}
     old_event = F.trim(F.regexp_extract(_line(), r"\[((?:Full )?GC(?: \([^)]*\)|--| pause|\s\([^\[]*\))*)", 1))
     text = F.coalesce(F.when(_line().rlike(r"\] +\d+[KMG]->"), F.regexp_extract(_line(), r"\] +(\d+[KMG]->\d+[KMG]\(\d+[KMG]\))", 1)), F.try_element_at(F.regexp_extract_all(_line(), F.lit(r"\d+[KMG]->\d+[KMG]\(\d+[KMG]\)"), F.lit(0)), F.lit(-1)), F.lit(""))
-    legacy = _context(old, old_event.alias("event"), cause(old_event).alias("cause"), F.when(old_event.startswith("Full"), "FULL").when(_line().contains("initial-mark") | _line().contains("Initial Mark"), "INIT_MARK").when(_line().contains("Remark"), "REMARK").when(_line().contains("mixed"), "MIXED").otherwise("YOUNG").alias("pause_type"), (number(_line(), r", (\d+\.\d+) secs\](?: \[Times.*)?\s*$") * 1000).alias("pause_ms"), *_heap(text, CHANGE))
-    blocks = legacy_blocks(lines)
+    old_type = F.when(old_event.startswith("Full"), "FULL").when(_line().contains("initial-mark") | _line().contains("Initial Mark"), "INIT_MARK").when(_line().contains("Remark"), "REMARK").when(_line().contains("mixed"), "MIXED").otherwise("YOUNG")
+    old = {"event": old_event, "cause": cause(old_event), "pause_type": old_type, "amount_ms": number(_line(), r", (\d+\.\d+) secs\](?: \[Times.*)?\s*$") * 1000, **heap(text)}
+    return [
+        ("pause", _line().rlike(r"\bPause .*\d+\.\d+ms\s*$"), new),
+        ("pause", _line().rlike(r"\[(Full )?GC\b.*, \d+\.\d+ secs\]") & ~_line().contains("[gc") & ~_block_header(), old),
+    ]
+
+
+def _block_pauses(lines: DataFrame) -> DataFrame:
+    """Pauses of the old G1 collector that run over several lines, as rows of ``events``."""
     b = F.col("text")
-    block_event = F.trim(F.regexp_extract(b, r"\[(GC pause (?:\([^)]*\) ?)+)", 1))
+    event = F.trim(F.regexp_extract(b, r"\[(GC pause (?:\([^)]*\) ?)+)", 1))
     heap = r"Heap:\s*" + SIZE + r"\(" + SIZE + r"\)->" + SIZE + r"\(" + SIZE + r"\)"
     size = lambda k: size_bytes(number(b, heap, k), F.regexp_extract(b, heap, k + 1))
-    of_blocks = blocks.select(
-        "artifact_id", "line_no", F.lit(None).cast("long").alias("gc_id"), number(b, r"(\d+\.\d{3}): \[GC pause").alias("elapsed_s"), found(b, r"^(\d{4}-\d{2}-\d{2}T\S+?): ").alias("abs_ts"), block_event.alias("event"), cause(block_event).alias("cause"), pause_type(block_event).alias("pause_type"),
-        (number(b, r", (\d+\.\d+) secs\]") * 1000).alias("pause_ms"), size(1).alias("before_bytes"), size(5).alias("after_bytes"), size(7).alias("capacity_bytes"), F.element_at(F.split(b, "\n"), 1).alias("raw_line"),
-    ).where("pause_ms IS NOT NULL")
-    every = new.unionByName(legacy).unionByName(of_blocks).where("pause_ms IS NOT NULL")
-    mb = lambda c: F.floor(F.col(c) / 1048576 + 0.5).cast("long")
-    known = F.col("capacity_bytes") > 0
-    return every.withColumns({"before_mb": mb("before_bytes"), "after_mb": mb("after_bytes"), "capacity_mb": mb("capacity_bytes"), "before_ratio": F.when(known, F.col("before_bytes") / F.col("capacity_bytes")), "after_ratio": F.when(known, F.col("after_bytes") / F.col("capacity_bytes"))})
+    columns = {"event": event, "cause": cause(event), "pause_type": pause_type(event), "amount_ms": number(b, r", (\d+\.\d+) secs\]") * 1000, "before_bytes": size(1), "after_bytes": size(5), "capacity_bytes": size(7)}
+    rows = legacy_blocks(lines).select("artifact_id", "line_no", F.lit(None).cast("long").alias("gc_id"), number(b, r"(\d+\.\d{3}): \[GC pause").alias("elapsed_s"), found(b, r"^(\d{4}-\d{2}-\d{2}T\S+?): ").alias("abs_ts"), F.trim(F.element_at(F.split(b, "\n"), 1)).alias("raw_line"), _wide("pause", columns).alias("e"))
+    return rows.where("e.amount_ms IS NOT NULL")
 
 
-def cycles(lines: DataFrame) -> DataFrame:
-    """Whole collections of concurrent collectors, with heap use before and after in percent of the capacity."""
+def _wide(kind: str, columns: dict[str, Column]) -> Column:
+    return F.struct(F.lit(kind).alias("kind"), *(columns.get(name, F.lit(None)).cast(kind_of).alias(name) for name, kind_of in FIELDS.items()))
+
+
+def _cycle_kind() -> Kind:
     pattern = r"\b((?:Garbage Collection|Minor Collection|Major Collection) \(([^)]*)\)) " + SIZE + r"\((\d+)%\)->" + SIZE + r"\((\d+)%\)(?: (\d+\.\d+)(ms|s))?"
-    rows = gc_lines(lines).where(_line().rlike(pattern))
     part = lambda k, kind="double": number(_line(), pattern, k, kind)
     duration = F.when(F.regexp_extract(_line(), pattern, 10) == "s", part(9) * 1000).otherwise(part(9))
-    return _context(rows, found(_line(), pattern, 1).alias("event"), found(_line(), pattern, 2).alias("cause"), duration.alias("duration_ms"), size_bytes(part(3), F.regexp_extract(_line(), pattern, 4)).alias("before_bytes"), (part(5) / 100).alias("before_ratio"), size_bytes(part(6), F.regexp_extract(_line(), pattern, 7)).alias("after_bytes"), (part(8) / 100).alias("after_ratio"))
+    return "cycle", _line().rlike(pattern), {
+        "event": found(_line(), pattern, 1), "cause": found(_line(), pattern, 2), "amount_ms": duration, "before_bytes": size_bytes(part(3), F.regexp_extract(_line(), pattern, 4)), "before_ratio": part(5) / 100, "after_bytes": size_bytes(part(6), F.regexp_extract(_line(), pattern, 7)), "after_ratio": part(8) / 100,
+    }
 
 
-def stalls(lines: DataFrame) -> DataFrame:
-    """Threads that waited for memory."""
+def _stall_kind() -> Kind:
     pattern = r"Allocation Stall \(([^)]*)\) (\d+\.\d+)ms"
-    return _context(gc_lines(lines).where(_line().rlike(pattern)), found(_line(), pattern, 1).alias("thread"), number(_line(), pattern, 2).alias("stall_ms"))
+    return "stall", _line().rlike(pattern), {"thread": found(_line(), pattern, 1), "amount_ms": number(_line(), pattern, 2)}
 
 
-def mmu(lines: DataFrame) -> DataFrame:
-    """Least mutator utilization in percent over 2 to 100 ms."""
-    rows = gc_lines(lines).where(_line().rlike(r"\bMMU: "))
-    return _context(rows, *(number(_line(), rf"\b{ms}ms/(\d+(?:\.\d+)?)%").alias(f"mmu_{ms}ms") for ms in (2, 5, 10, 20, 50, 100)))
+def _mmu_kind() -> Kind:
+    return "mmu", _line().rlike(r"\bMMU: "), {f"mmu_{ms}ms": number(_line(), rf"\b{ms}ms/(\d+(?:\.\d+)?)%") for ms in (2, 5, 10, 20, 50, 100)}
 
 
-def workers(lines: DataFrame) -> DataFrame:
-    """Workers in use, those available, their share, and what for."""
+def _worker_kind() -> Kind:
     pattern = r"Using (\d+)(?: workers)?(?: of (\d+))?(?: workers)?(?: for ([\w -]+?))?\s*$"
-    rows = gc_lines(lines).where(_line().rlike(r"\bUsing \d+ (?:workers|of)"))
-    active, available = number(_line(), pattern, 1, "long"), number(_line(), pattern, 2, "long")
-    return _context(rows, active.alias("active"), available.alias("available"), F.when(available > 0, active / available).alias("utilization"), found(_line(), pattern, 3).alias("purpose"))
+    return "worker", _line().rlike(r"\bUsing \d+ (?:workers|of)"), {"active": number(_line(), pattern, 1, "long"), "available": number(_line(), pattern, 2, "long"), "purpose": found(_line(), pattern, 3)}
 
 
-def cpu(lines: DataFrame) -> DataFrame:
-    """User, system and real seconds of a collection; cpu to wall is null without wall time."""
-    rows = gc_lines(lines).where(_line().rlike(r"(?i)user=\d+\.\d+s? sys=\d+\.\d+s?,? real=\d+\.\d+"))
-    user, system, real = (number(_line(), rf"(?i)\b{name}=(\d+\.\d+)") for name in ("user", "sys", "real"))
-    return _context(rows, user.alias("user_s"), system.alias("sys_s"), real.alias("real_s"), (user + system).alias("cpu_s"), F.when(real > 0, (user + system) / real).alias("cpu_to_wall"))
+def _cpu_kind() -> Kind:
+    seconds = {f"{name}_s": number(_line(), rf"(?i)\b{name}=(\d+\.\d+)") for name in ("user", "sys", "real")}
+    return "cpu", _line().rlike(r"(?i)user=\d+\.\d+s? sys=\d+\.\d+s?,? real=\d+\.\d+"), seconds
 
 
-def humongous(lines: DataFrame) -> DataFrame:
+def _humongous_kind() -> Kind:
     pattern = r"Humongous regions: (\d+)->(\d+)"
-    before, after = number(_line(), pattern, 1, "long"), number(_line(), pattern, 2, "long")
-    return _context(gc_lines(lines).where(_line().rlike(pattern)), before.alias("before"), after.alias("after"), (after - before).alias("delta"))
+    return "humongous", _line().rlike(pattern), {"before": number(_line(), pattern, 1, "long"), "after": number(_line(), pattern, 2, "long")}
 
 
-def phases(lines: DataFrame) -> DataFrame:
-    """Timed parts of a collection that are neither pauses with a heap change nor cycles."""
+def _phase_kinds() -> list[Kind]:
+    """Timed parts of a collection that are neither pauses with a heap change nor cycles: unified logs, then older ones."""
     pattern = r"\b(?:Phase \d+: )?([A-Z][\w():,/ -]*?):? (\d+\.\d+)ms\s*$"
     legacy = r"\[(CMS-concurrent-[\w-]+): [\d.]+/(\d+\.\d+) secs\]|\[GC (concurrent-[\w-]+-end), (\d+\.\d+) secs\]"
-    rows = gc_lines(lines)
-    new = rows.where(_line().contains("[gc") & _line().rlike(pattern) & ~_line().contains("->") & ~_line().contains("Allocation Stall") & (_line().contains("phases") | _line().contains("marking") | _line().contains("Concurrent")))
     body = F.regexp_replace(_line(), r"^(?:.*?GC\(\d+\)\s+|(?!.*GC\(\d+\)\s).*\]\s*)", "")
-    name = F.trim(F.regexp_extract(body, pattern, 1))
-    old = rows.where(_line().rlike(legacy))
-    old_name = F.coalesce(found(_line(), legacy, 1), found(_line(), legacy, 3))
+    name, old_name = F.trim(F.regexp_extract(body, pattern, 1)), F.coalesce(found(_line(), legacy, 1), found(_line(), legacy, 3))
     seconds = F.coalesce(number(_line(), legacy, 2), number(_line(), legacy, 4))
-    both = _context(new, name.alias("phase"), number(body, pattern, 2).alias("duration_ms")).unionByName(_context(old, old_name.alias("phase"), (seconds * 1000).alias("duration_ms")))
-    low = F.lower("phase")
-    kind = F.when(low.startswith("concurrent") | low.startswith("cms-concurrent"), "CONCURRENT").when(low.startswith("pause"), "PAUSE_PHASE").when(low.startswith("phase "), "FULL_GC_PHASE").when(low.contains("evacuate") | low.contains("heap roots") | (low == "other"), "PAUSE_BREAKDOWN").otherwise("OTHER")
-    return both.where("phase <> ''").withColumn("phase_kind", kind)
+    unified = _line().contains("[gc") & _line().rlike(pattern) & ~_line().contains("->") & ~_line().contains("Allocation Stall") & (_line().contains("phases") | _line().contains("marking") | _line().contains("Concurrent")) & (name != "")
+    return [
+        ("phase", unified, {"phase": name, "phase_kind": _phase_kind(name), "amount_ms": number(body, pattern, 2)}),
+        ("phase", _line().rlike(legacy), {"phase": old_name, "phase_kind": _phase_kind(old_name), "amount_ms": seconds * 1000}),
+    ]
 
 
-def signals(lines: DataFrame) -> DataFrame:
+def _phase_kind(name: Column) -> Column:
+    low = F.lower(name)
+    return F.when(low.startswith("concurrent") | low.startswith("cms-concurrent"), "CONCURRENT").when(low.startswith("pause"), "PAUSE_PHASE").when(low.startswith("phase "), "FULL_GC_PHASE").when(low.contains("evacuate") | low.contains("heap roots") | (low == "other"), "PAUSE_BREAKDOWN").otherwise("OTHER")
+
+
+def _signal_kind() -> Kind:
     """Signs of distress: the first kind that a line shows."""
     low, kind = F.lower(_line()), F.lit(None).cast("string")
     for name, text in reversed(SIGNALS):
         kind = F.when(low.contains(text), F.lit(name)).otherwise(kind)
-    rows = gc_lines(lines).withColumn("_k", kind).where("_k IS NOT NULL")
-    return _context(rows, F.col("_k").alias("signal_type"), F.trim("line").alias("signal"))
+    return "signal", kind.isNotNull(), {"signal_type": kind, "signal": F.trim("line")}
 
 
-def metaspace(lines: DataFrame) -> DataFrame:
-    """Metaspace after a collection, in KB; usage is of the committed size."""
+def _metaspace_kind() -> Kind:
+    """Metaspace after a collection, in KB."""
     unified = r"\bMetaspace: \d+K(?:\(\d+K\))?->(\d+)K\((\d+)K\)"
     legacy = r"\[(?:Metaspace|PSPermGen|Perm ?): \d+K->(\d+)K\((\d+)K\)\]"
     heap = r"\bMetaspace\s+used (\d+)K,(?: capacity \d+K,)? committed (\d+)K, reserved (\d+)K"
-    rows = gc_lines(lines).where(_line().rlike(unified) | _line().rlike(legacy) | _line().rlike(heap))
     part = lambda k: F.coalesce(number(_line(), unified, k, "long"), number(_line(), heap, k, "long"), number(_line(), legacy, k, "long"))
-    return _context(rows, part(1).alias("used_kb"), part(2).alias("committed_kb"), number(_line(), heap, 3, "long").alias("reserved_kb"), ratio(part(1), part(2)).alias("usage_ratio"))
+    return "metaspace", _line().rlike(unified) | _line().rlike(legacy) | _line().rlike(heap), {"used_kb": part(1), "committed_kb": part(2), "reserved_kb": number(_line(), heap, 3, "long")}
+
+
+def _kinds() -> list[Kind]:
+    return [*_pause_kinds(), _cycle_kind(), _stall_kind(), _mmu_kind(), _worker_kind(), _cpu_kind(), _humongous_kind(), *_phase_kinds(), _signal_kind(), _metaspace_kind()]
+
+
+#: What a line must show to be looked at: every kind's test implies one of these.
+_HINT = r"(?i)ms\s*$|secs\]|collection \(|allocation stall|mmu: |using \d|user=|humongous regions|concurrent|exhausted|evacuation failure|full compaction|promotion failed|metaspace|perm"
+
+
+def events(lines: DataFrame, kinds: list[Kind] | None = None) -> DataFrame:
+    """Every event of all ``kinds``: context, kind and FIELDS. A line may be several events (a failed pause is a pause and a signal)."""
+    rows = gc_lines(lines.where(_line().rlike(_HINT)))
+    chosen = _kinds() if kinds is None else kinds
+    structs = F.array(*(F.when(test, _wide(kind, columns)) for kind, test, columns in chosen))
+    single = rows.select("artifact_id", "line_no", "gc_id", "elapsed_s", "abs_ts", "raw_line", F.explode(F.filter(structs, lambda x: x.isNotNull())).alias("e"))
+    every = single
+    if any(kind == "pause" for kind, _, _ in chosen):
+        every = single.where("e.kind <> 'pause' OR e.amount_ms IS NOT NULL").unionByName(_block_pauses(lines))
+    return every.select("artifact_id", "line_no", "gc_id", "elapsed_s", "abs_ts", "e.kind", *(f"e.{name}" for name in FIELDS), "raw_line")
+
+
+def _only(df: DataFrame, kind: str, *columns: str | Column) -> DataFrame:
+    return df.where(F.col("kind") == kind).select("artifact_id", "line_no", "gc_id", "elapsed_s", "abs_ts", *columns, "raw_line")
+
+
+def pauses_of(found_events: DataFrame) -> DataFrame:
+    """Stop-the-world pauses: event, cause, pause_type, pause_ms, heap before, after and capacity in bytes, MB and ratios (null where unknown)."""
+    every = _only(found_events, "pause", "event", "cause", "pause_type", F.col("amount_ms").alias("pause_ms"), "before_bytes", "after_bytes", "capacity_bytes")
+    mb = lambda c: F.floor(F.col(c) / 1048576 + 0.5).cast("long")
+    known = F.col("capacity_bytes") > 0
+    return every.withColumns({"before_mb": mb("before_bytes"), "after_mb": mb("after_bytes"), "capacity_mb": mb("capacity_bytes"), "before_ratio": F.when(known, F.col("before_bytes") / F.col("capacity_bytes")), "after_ratio": F.when(known, F.col("after_bytes") / F.col("capacity_bytes"))})
+
+
+def cycles_of(found_events: DataFrame) -> DataFrame:
+    return _only(found_events, "cycle", "event", "cause", F.col("amount_ms").alias("duration_ms"), "before_bytes", "before_ratio", "after_bytes", "after_ratio")
+
+
+def stalls_of(found_events: DataFrame) -> DataFrame:
+    return _only(found_events, "stall", "thread", F.col("amount_ms").alias("stall_ms"))
+
+
+def workers_of(found_events: DataFrame) -> DataFrame:
+    return _only(found_events, "worker", "active", "available", F.when(F.col("available") > 0, F.col("active") / F.col("available")).alias("utilization"), "purpose")
+
+
+def cpu_of(found_events: DataFrame) -> DataFrame:
+    spent = F.col("user_s") + F.col("sys_s")
+    return _only(found_events, "cpu", "user_s", "sys_s", "real_s", spent.alias("cpu_s"), F.when(F.col("real_s") > 0, spent / F.col("real_s")).alias("cpu_to_wall"))
+
+
+def humongous_of(found_events: DataFrame) -> DataFrame:
+    return _only(found_events, "humongous", "before", "after", (F.col("after") - F.col("before")).alias("delta"))
+
+
+def phases_of(found_events: DataFrame) -> DataFrame:
+    return _only(found_events, "phase", "phase", "phase_kind", F.col("amount_ms").alias("duration_ms"))
+
+
+def signals_of(found_events: DataFrame) -> DataFrame:
+    return _only(found_events, "signal", "signal_type", "signal")
+
+
+def metaspace_of(found_events: DataFrame) -> DataFrame:
+    return _only(found_events, "metaspace", "used_kb", "committed_kb", "reserved_kb", ratio(F.col("used_kb"), F.col("committed_kb")).alias("usage_ratio"))
+
+
+def pauses(lines: DataFrame) -> DataFrame:
+    """Stop-the-world pauses; see ``pauses_of``."""
+    return pauses_of(events(lines, _pause_kinds()))
+
+
+def cycles(lines: DataFrame) -> DataFrame:
+    """Whole collections of concurrent collectors, with heap use before and after in percent of the capacity."""
+    return cycles_of(events(lines, [_cycle_kind()]))
+
+
+def stalls(lines: DataFrame) -> DataFrame:
+    """Threads that waited for memory."""
+    return stalls_of(events(lines, [_stall_kind()]))
+
+
+def mmu(lines: DataFrame) -> DataFrame:
+    """Least mutator utilization in percent over 2 to 100 ms."""
+    return _only(events(lines, [_mmu_kind()]), "mmu", *(f"mmu_{ms}ms" for ms in (2, 5, 10, 20, 50, 100)))
+
+
+def workers(lines: DataFrame) -> DataFrame:
+    """Workers in use, those available, their share, and what for."""
+    return workers_of(events(lines, [_worker_kind()]))
+
+
+def cpu(lines: DataFrame) -> DataFrame:
+    """User, system and real seconds of a collection; cpu to wall is null without wall time."""
+    return cpu_of(events(lines, [_cpu_kind()]))
+
+
+def humongous(lines: DataFrame) -> DataFrame:
+    return humongous_of(events(lines, [_humongous_kind()]))
+
+
+def phases(lines: DataFrame) -> DataFrame:
+    """Timed parts of collections, with their kind."""
+    return phases_of(events(lines, _phase_kinds()))
+
+
+def signals(lines: DataFrame) -> DataFrame:
+    """Signs of distress."""
+    return signals_of(events(lines, [_signal_kind()]))
+
+
+def metaspace(lines: DataFrame) -> DataFrame:
+    """Metaspace after a collection, in KB; usage is of the committed size."""
+    return metaspace_of(events(lines, [_metaspace_kind()]))
 
 
 def collectors(artifacts: DataFrame) -> DataFrame:
@@ -233,11 +352,16 @@ KEY, ORDER = ["artifact_id"], ["line_no"]
 
 
 def summary(artifacts: DataFrame, lines: DataFrame) -> DataFrame:
+    """The summary of parsed lines; see ``summary_of``. The typed events are kept on disk, so lines are parsed once for all that is read from them."""
+    return summary_of(collectors(artifacts), events(lines).persist(StorageLevel.DISK_ONLY))
+
+
+def summary_of(collector: DataFrame, e: DataFrame) -> DataFrame:
     """One wide row for each artifact: counts, durations, nearest-rank percentiles, occupancy, streaks, progression; what rules read.
 
     The log's window goes from the first to the last elapsed time over pauses, cycles and stalls. Event lists are aggregated apart and joined on the artifact; an artifact without events of a kind has 0 or null there.
     """
-    p = pauses(lines)
+    p = pauses_of(e)
     base = p.groupBy(*KEY).agg(
         F.count("*").alias("pause_count"), F.count_if(_full()).alias("full_gc_count"), F.avg("pause_ms").alias("average_pause_ms"), F.max("pause_ms").alias("max_pause_ms"), F.sum("pause_ms").alias("total_pause_ms"), F.coalesce(F.max(F.when(_full(), F.col("pause_ms"))), F.lit(0.0)).alias("max_full_gc_pause_ms"),
         F.max(F.greatest("before_ratio", "after_ratio")).alias("peak_occupancy_ratio"), F.max("after_ratio").alias("peak_post_gc_occupancy_ratio"), F.avg("after_ratio").alias("average_post_gc_occupancy_ratio"), F.count_if(_evacuation_failure()).alias("evacuation_failure_pause_count"),
@@ -251,9 +375,9 @@ def summary(artifacts: DataFrame, lines: DataFrame) -> DataFrame:
     by_total = dominant(p, KEY, "cause", F.col("pause_ms"), "line_no").select("artifact_id", F.col("cause").alias("dominant_cause_by_total_ms"))
     streaks = [longest_streak(p, KEY, ORDER, flag).withColumnRenamed("streak", name) for flag, name in ((_near("after_ratio", NEAR), "near_capacity_streak"), (_full(), "full_gc_streak"), (_evacuation_failure(), "evacuation_failure_streak"))]
     weak = longest_streak(p.where(_full()), KEY, ORDER, _weak_full()).withColumnRenamed("streak", "low_reclaim_full_streak")
-    s, c, st, w, u, h, m = signals(lines), cycles(lines), stalls(lines), workers(lines), cpu(lines), humongous(lines), metaspace(lines)
+    s, c, st, w, u, h, m = signals_of(e), cycles_of(e), stalls_of(e), workers_of(e), cpu_of(e), humongous_of(e), metaspace_of(e)
     kinds = s.groupBy(*KEY).agg(F.count("*").alias("failure_signal_count"), *(F.count_if(F.col("signal_type") == k).alias(f"{k.lower()}_count") for k in dict.fromkeys(k for k, _ in SIGNALS)))
-    ph = phases(lines).where("phase_kind = 'CONCURRENT'").groupBy(*KEY).agg(F.count("*").alias("concurrent_phase_count"), F.max("duration_ms").alias("longest_concurrent_phase_ms"))
+    ph = phases_of(e).where("phase_kind = 'CONCURRENT'").groupBy(*KEY).agg(F.count("*").alias("concurrent_phase_count"), F.max("duration_ms").alias("longest_concurrent_phase_ms"))
     others = [
         kinds, ph,
         c.groupBy(*KEY).agg(F.count("*").alias("gc_cycle_count"), F.max(F.greatest("before_ratio", "after_ratio")).alias("cycle_peak_ratio"), F.max("duration_ms").alias("longest_cycle_ms"), F.min("elapsed_s").alias("c_lo"), F.max("elapsed_s").alias("c_hi")),
@@ -264,7 +388,7 @@ def summary(artifacts: DataFrame, lines: DataFrame) -> DataFrame:
         m.groupBy(*KEY).agg(F.count("*").alias("metaspace_snapshot_count"), F.max("usage_ratio").alias("peak_metaspace_usage_ratio"), F.max_by("used_kb", "line_no").alias("latest_metaspace_used_kb"), (F.max_by("used_kb", "line_no") - F.min_by("used_kb", "line_no")).alias("metaspace_growth_kb")),
         progression(p),
     ]
-    out = merged([collectors(artifacts), base, ranks, by_count, by_total, *streaks, weak, *others], KEY)
+    out = merged([collector, base, ranks, by_count, by_total, *streaks, weak, *others], KEY)
     window_ms = (F.greatest("p_hi", "c_hi", "s_hi") - F.least("p_lo", "c_lo", "s_lo")) * 1000
     out = out.withColumn("log_window_ms", window_ms).withColumn("stop_the_world_pct", ratio(100 * F.col("total_pause_ms"), F.col("log_window_ms"))).withColumn("peak_occupancy_ratio", F.greatest("peak_occupancy_ratio", "cycle_peak_ratio")).drop("p_lo", "p_hi", "c_lo", "c_hi", "s_lo", "s_hi", "cycle_peak_ratio")
     return out.fillna(0, [f.name for f in out.schema if f.name.endswith(("_count", "_streak"))])
@@ -288,6 +412,7 @@ def breakdown(p: DataFrame, by: str) -> DataFrame:
 
 
 def all_events(lines: DataFrame) -> DataFrame:
-    """Every event in one table: artifact_id, kind, line_no, gc_id, elapsed_s, name, amount_ms; the timeline that windows and searches run on."""
-    make = lambda df, kind, name, amount: df.select("artifact_id", F.lit(kind).alias("kind"), "line_no", "gc_id", "elapsed_s", F.col(name).alias("name"), (F.col(amount) if amount else F.lit(0.0)).alias("amount_ms"))
-    return make(pauses(lines), "pause", "event", "pause_ms").unionByName(make(cycles(lines), "cycle", "event", "duration_ms")).unionByName(make(stalls(lines), "stall", "thread", "stall_ms")).unionByName(make(phases(lines), "phase", "phase", "duration_ms")).unionByName(make(signals(lines), "signal", "signal_type", None))
+    """The timeline that windows and searches run on: artifact_id, kind, line_no, gc_id, elapsed_s, name, amount_ms of pauses, cycles, stalls, phases and signals."""
+    rows = events(lines).where(F.col("kind").isin("pause", "cycle", "stall", "phase", "signal"))
+    name = F.coalesce("event", "thread", "phase", "signal_type")
+    return rows.select("artifact_id", "kind", "line_no", "gc_id", "elapsed_s", name.alias("name"), F.when(F.col("kind") == "signal", 0.0).otherwise(F.col("amount_ms")).alias("amount_ms"))
