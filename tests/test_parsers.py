@@ -295,7 +295,9 @@ def test_jfr(spark, tmp_path):
     rows += ['{"type":"jdk.ObjectAllocationSample","startTime":"2026-01-01T00:00:05.000Z","className":"[B","bytes":4000000}'] * 5 + ["not json"]
     (tmp_path / "r.json").write_text("\n".join(rows))
     t = jfr.timeline(jfr.read(spark, f"file://{tmp_path}"))
-    assert {r["signal_family"]: r["n"] for r in jfr.by_family(t).collect()} == {"lock": 3, "allocation": 5}
+    assert {r["signal_family"]: r["n"] for r in jfr.by_family(t).collect()} == {"lockContention": 3, "allocation": 5}
+    state = jfr.failures(spark, f"file://{tmp_path}").first()
+    assert (state["events"], state["unreadable"], state["status"]) == (8, 1, "PARTIAL")
     found = {x["finding_id"]: x["severity"] for x in assessment.assess("JFR", jfr.summary(t)).collect()}
     assert found["jfr-lock-contention-events"] == "MEDIUM" and found["jfr-allocation-churn"] == "HIGH" and found["jfr-dominant-allocation-class"] == "HIGH"
 
