@@ -275,17 +275,18 @@ def _block_links(table: pa.Table, like: Likeness) -> list[tuple[int, int]]:
     return links
 
 
-def _block_tables(members: DataFrame, found: DataFrame) -> DataFrame:
-    """key, sb, nb, side, loose, rep, comp: each block of outsiders with each block of members, for buckets that hold several components."""
+def _block_tables(members: DataFrame, found: DataFrame, shorts: DataFrame) -> DataFrame:
+    """key, sb, nb, side, loose, rep, comp and the columns of ``shorts`` (rep, ...), joined before rows are dealt to blocks: each block of outsiders with each block of members, for buckets that hold several components."""
     named = members.where("rep <> pivot").join(found.withColumnRenamed("id", "rep"), "rep", "left").select("key", "rep", F.coalesce("component", "rep").alias("comp"))
     counts = named.groupBy("key", "comp").agg(F.count("*").alias("c"))
     tops = counts.groupBy("key").agg(F.sum("c").alias("n"), F.count("*").alias("comps"), F.max(F.struct(F.col("c"), (-F.col("comp")).alias("m"))).alias("top")).where("comps > 1")
     sizes = tops.select("key", (-F.col("top.m")).alias("main"), F.ceil((F.col("n") - F.col("top.c")) / BLOCKS[0]).alias("s_blocks"), F.ceil(F.col("n") / BLOCKS[1]).alias("n_blocks"))
-    rows = named.join(sizes, "key").withColumn("loose", F.col("comp") != F.col("main"))
+    rows = named.join(sizes, "key").withColumn("loose", F.col("comp") != F.col("main")).join(shorts, "rep")
+    more = [c for c in shorts.columns if c != "rep"]
     deal = lambda blocks, seed: F.pmod(F.xxhash64(F.col("rep"), F.lit(seed)), F.col(blocks))
     to = lambda blocks: F.explode(F.sequence(F.lit(0).cast("long"), F.col(blocks) - 1))
-    outsiders = rows.where("loose").select("key", deal("s_blocks", 1).alias("sb"), to("n_blocks").alias("nb"), F.lit(0).alias("side"), "loose", "rep", "comp")
-    others = rows.select("key", to("s_blocks").alias("sb"), deal("n_blocks", 2).alias("nb"), F.lit(1).alias("side"), "loose", "rep", "comp")
+    outsiders = rows.where("loose").select("key", deal("s_blocks", 1).alias("sb"), to("n_blocks").alias("nb"), F.lit(0).alias("side"), "loose", "rep", "comp", *more)
+    others = rows.select("key", to("s_blocks").alias("sb"), deal("n_blocks", 2).alias("nb"), F.lit(1).alias("side"), "loose", "rep", "comp", *more)
     return outsiders.unionByName(others)
 
 
@@ -315,7 +316,7 @@ def _decided(docs: DataFrame, like: Likeness, store: Store) -> DataFrame:
 
     marks = F.transform("bands", lambda x: x.bitwiseAND(F.lit(0xFFFFFFFF)))
     shorts = classes.select("rep", "short", _packed(marks).alias("marks"))
-    blocks = _block_tables(members.where("n > 2"), found).join(shorts, "rep")
+    blocks = _block_tables(members.where("n > 2"), found, shorts)
     cell = ["key", "sb", "nb"]
     hopeful = store.keep(blocks.groupBy(*cell).applyInArrow(lambda t: _block_hopefuls(t, like), "key long, sb long, nb long, side int, loose boolean, rep long, comp long"))
     more = components(store.keep(hopeful.join(sets, "rep").groupBy(*cell).applyInArrow(compare, "a long, b long")), store)
