@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from heapstone.plans import aggregates, joins, rules, texts, timelines  # noqa: F401
+from heapstone.plans import aggregates, joins, parsed, rules, texts, timelines  # noqa: F401
 from heapstone.plans.base import QUERIES, SQL
 
 __all__ = ["QUERIES", "SQL"]

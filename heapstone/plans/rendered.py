@@ -41,7 +41,7 @@ def gc_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 #: The same events in SQL, as the parsed columns should be: tables p (pauses), q (all events with their kind).
-GC_SQL = """e AS (SELECT event_id AS n, round(value * 100)::BIGINT AS c, event_type, 'gc-' || user_id AS artifact_id, event_id + 1 AS line_no, event_id // 10 + (event_id % 10) / 10.0::DOUBLE AS elapsed_s FROM events),
+GC_SQL = """e AS (SELECT event_id AS n, round(value * 100)::BIGINT AS c, event_type, 'gc-' || user_id AS artifact_id, event_id + 1 AS line_no, event_id / 10.0::DOUBLE AS elapsed_s FROM events),
  q AS (SELECT *, CASE WHEN event_type IN ('purchase', 'view', 'error') THEN 'pause' WHEN event_type = 'click' THEN 'phase' WHEN n % 3 = 0 THEN 'stall' WHEN n % 3 = 1 THEN 'worker' ELSE 'signal' END AS kind FROM e),
  p AS (SELECT *, CASE event_type WHEN 'purchase' THEN 'YOUNG' WHEN 'view' THEN 'MIXED' ELSE 'FULL' END AS pause_type, CASE WHEN event_type <> 'error' THEN 'G1 Evacuation Pause' WHEN n % 2 = 0 THEN 'G1 Compaction Pause' ELSE 'Metadata GC Threshold' END AS cause,
   500 + n % 524 AS before_mb, 500 + n % 524 - c % 200 AS after_mb, (500 + n % 524) / 1024.0::DOUBLE AS before_ratio, (500 + n % 524 - c % 200) / 1024.0::DOUBLE AS after_ratio, c / 100.0::DOUBLE AS pause_ms FROM q WHERE kind = 'pause')"""
@@ -150,18 +150,19 @@ def nmt_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
 def dump_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
     """A thread dump for each supplier: every line item is a thread of a pool, its flags give state, frames and monitors."""
     k, flag, status = F.col("l_partkey"), F.col("l_returnflag"), F.col("l_linestatus")
-    name = _cat("pool-", k % 5, "-thread-", F.col("l_orderkey") * 8 + F.col("l_linenumber"))
+    seq = (F.col("l_orderkey") * 8 + F.col("l_linenumber")) * 1000 + k % 1000
+    name = _cat("pool-", k % 5, "-thread-", seq)
     monitor = _cat("<0x", F.lower(F.lpad(F.hex(k % 11 + 16), 8, "0")), ">")
     state = F.when(flag == "A", "RUNNABLE").when((flag == "R") & (status == "O"), "BLOCKED (on object monitor)").when(flag == "R", "WAITING (parking)").otherwise("TIMED_WAITING (sleeping)")
     frame = F.when(k % 4 == 0, "\tat java.net.SocketInputStream.read(S.java:1)").when(k % 4 == 1, "\tat java.util.concurrent.ThreadPoolExecutor.getTask(T.java:2)").otherwise(_cat("\tat com.shop.Order.run", k % 3, "(Order.java:", k % 90, ")"))
     lock = F.when((flag == "R") & (status == "O"), _cat("\t- waiting to lock ", monitor, " (a java.lang.Object)")).when(flag == "A", _cat("\t- locked ", monitor, " (a java.lang.Object)")).otherwise("\tat com.shop.Main.main(Main.java:1)")
     head = _cat('"', name, '" #', F.col("l_orderkey"), F.when(k % 2 == 0, " daemon").otherwise(""), " prio=5 cpu=", 100 * (k % 80), ".00ms elapsed=", F.col("l_quantity").cast("int"), ".00s tid=0x1 nid=0x", k, " state [0x1]")
     lines = F.array(head, _cat("   java.lang.Thread.State: ", state), frame, lock, F.lit(""))
-    at = (F.col("l_orderkey") * 8 + F.col("l_linenumber")) * 5
-    return table(spark, sf_dir, "lineitem").select(_cat("t-", F.col("l_suppkey")).alias("artifact_id"), at.alias("_at"), F.posexplode(lines).alias("_p", "line")).select("artifact_id", (F.col("_at") + F.col("_p")).cast("int").alias("line_no"), "line")
+    at = seq * 5
+    return table(spark, sf_dir, "lineitem").select(_cat("t-", F.col("l_suppkey")).alias("artifact_id"), at.alias("_at"), F.posexplode(lines).alias("_p", "line")).select("artifact_id", (F.col("_at") + F.col("_p")).alias("line_no"), "line")
 
 
-DUMP_SQL = """t AS (SELECT 't-' || l_suppkey AS artifact_id, l_partkey AS k, l_orderkey * 8 + l_linenumber AS seq, 'pool-' || (l_partkey % 5) || '-thread-' || (l_orderkey * 8 + l_linenumber) AS name, 'pool-' || (l_partkey % 5) || '-thread' AS pool_name,
+DUMP_SQL = """t AS (SELECT 't-' || l_suppkey AS artifact_id, l_partkey AS k, (l_orderkey * 8 + l_linenumber) * 1000 + l_partkey % 1000 AS seq, 'pool-' || (l_partkey % 5) || '-thread-' || ((l_orderkey * 8 + l_linenumber) * 1000 + l_partkey % 1000) AS name, 'pool-' || (l_partkey % 5) || '-thread' AS pool_name,
   CASE WHEN l_returnflag = 'A' THEN 'RUNNABLE' WHEN l_returnflag = 'R' AND l_linestatus = 'O' THEN 'BLOCKED' WHEN l_returnflag = 'R' THEN 'WAITING' ELSE 'TIMED_WAITING' END AS state, '0x' || lpad(lower(to_hex(l_partkey % 11 + 16)), 8, '0') AS monitor,
   l_partkey % 4 = 0 AS in_io, l_partkey % 4 = 1 AS idle, l_partkey % 2 = 0 AS daemon, 100.0::DOUBLE * (l_partkey % 80) AS cpu_ms, floor(l_quantity)::DOUBLE AS elapsed_s FROM lineitem)"""
 
