@@ -121,14 +121,15 @@ def overlap_join(events: DataFrame, windows: DataFrame, start: str, end: str, lo
 def nearest_gap(left: DataFrame, right: DataFrame, keys: list[str], left_end: str, right_start: str, left_id: str, right_id: str, tolerance: int) -> DataFrame:
     """keys, left_id, right_id, gap: for each left row the right row of its group with the smallest absolute gap within ``tolerance``; ties to the smaller right id.
 
-    An as-of search in both directions: both sides stand in one ordered window, each left row sees the last right row before and the first after.
+    An as-of search in both directions: both sides stand in one ordered window, each left row sees the last right row before and the first after,
+    found by a second window in falling order, so both grow with the rows.
     """
     a = left.select(*keys, F.col(left_end).alias("_t"), F.col(left_id).alias(left_id), F.lit(None).cast("long").alias("_r"))
     b = right.groupBy(*keys, F.col(right_start).alias("_t")).agg(F.min(right_id).cast("long").alias("_r")).select(*keys, "_t", F.lit(None).cast("long").alias(left_id), "_r")
-    window = Window.partitionBy(*keys).orderBy("_t")
+    upward, downward = (Window.partitionBy(*keys).orderBy(order).rangeBetween(Window.unboundedPreceding, 0) for order in (F.col("_t"), F.desc("_t")))
     seen = F.when(F.col("_r").isNotNull(), F.struct(F.col("_t").alias("t"), F.col("_r").alias("r")))
     both = a.unionByName(b).withColumn("_seen", seen)
-    near = both.withColumn("_before", F.last("_seen", True).over(window.rangeBetween(Window.unboundedPreceding, 0))).withColumn("_after", F.first("_seen", True).over(window.rangeBetween(0, Window.unboundedFollowing)))
+    near = both.withColumn("_before", F.last("_seen", True).over(upward)).withColumn("_after", F.last("_seen", True).over(downward))
     option = lambda c: F.when(F.col(c).isNotNull() & (F.abs(F.col(f"{c}.t") - F.col("_t")) <= tolerance), F.struct(F.abs(F.col(f"{c}.t") - F.col("_t")).alias("gap"), F.col(f"{c}.r").alias("id")))
     best = F.array_min(F.filter(F.array(option("_before"), option("_after")), lambda x: x.isNotNull()))
     return near.where(F.col(left_id).isNotNull()).withColumn("_best", best).where(F.col("_best").isNotNull()).select(*keys, left_id, F.col("_best.id").alias(right_id), F.col("_best.gap").alias("gap"))

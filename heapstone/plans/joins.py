@@ -12,7 +12,7 @@ from heapstone.plans.base import EVENTS, cents, events, query, table
 WEEK = 604_800_000_000
 DAY = 86_400_000_000
 
-_SPAN = f"""m AS (SELECT min(us) AS lo, max(us) AS hi FROM {EVENTS}), w AS (SELECT k::BIGINT AS window_id, (lo + k * {WEEK})::BIGINT AS w_lo, (lo + k * {WEEK} + 3 * {DAY})::BIGINT AS w_hi FROM m, range(5) r(k))"""
+_SPAN = f"""m AS (SELECT min(us) AS lo, max(us) AS hi FROM {EVENTS}), w AS (SELECT k::BIGINT AS window_id, (lo + k * {WEEK})::BIGINT AS w_lo, (lo + k * {WEEK} + 3 * {DAY})::BIGINT AS w_hi FROM m, range(0, 1000) r(k) WHERE lo + k * {WEEK} <= hi)"""
 
 
 def _windows(rows: DataFrame) -> DataFrame:
@@ -111,8 +111,8 @@ def normalized_intersection(spark: SparkSession, sf_dir: str) -> DataFrame:
     return side("customer", "c_nationkey").join(side("supplier", "s_nationkey", "s_acctbal > 5000"), "name", "left_semi")
 
 
-@query("""SELECT o_orderkey AS id, 'order' AS kind, count(*) AS n, sum(round(o_totalprice * 100)::BIGINT)::BIGINT AS c FROM orders WHERE o_orderkey % 10 = 0 GROUP BY 1
- UNION ALL SELECT l_orderkey, 'line', count(*), sum(round(l_extendedprice * 100)::BIGINT)::BIGINT FROM lineitem WHERE l_orderkey % 10 = 0 GROUP BY 1""")
+@query("""SELECT o_orderkey AS id, 'order' AS kind, count(*) AS n, sum(round(o_totalprice * 100)::BIGINT)::BIGINT AS c FROM orders GROUP BY 1
+ UNION ALL SELECT l_orderkey, 'line', count(*), sum(round(l_extendedprice * 100)::BIGINT)::BIGINT FROM lineitem GROUP BY 1""")
 def cogroup_by_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Several event lists under one id, by kind; all ids."""
     orders = table(spark, sf_dir, "orders").select(F.col("o_orderkey").alias("id"), F.lit("order").alias("kind"), cents("o_totalprice").alias("v"))
@@ -145,8 +145,8 @@ def elapsed_anchor(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 @query(f"""WITH f AS (SELECT user_id, list_sort(list_distinct(list(event_type))) AS kinds, list_sort(list_distinct(list((cents % 7)::BIGINT))) AS locks FROM {EVENTS} WHERE value > 40 GROUP BY 1),
- o AS (SELECT user_id % 10 AS g, user_id, kinds, locks FROM f), p AS (SELECT a.user_id AS a_id, b.user_id AS b_id, len(list_intersect(a.kinds, b.kinds)) AS k, len(list_intersect(a.locks, b.locks)) AS l FROM o a JOIN o b ON a.g = b.g AND a.user_id < b.user_id)
- SELECT a_id, b_id, (60 + least(12, 6 * k) + least(8, 4 * l))::INT AS score FROM p WHERE k > 0""")
+ g AS (SELECT kinds, locks, min(user_id) AS id, count(*) AS n FROM f GROUP BY 1, 2), p AS (SELECT a.id AS a_id, b.id AS b_id, len(list_intersect(a.kinds, b.kinds)) AS k, len(list_intersect(a.locks, b.locks)) AS l FROM g a JOIN g b ON a.id < b.id OR (a.id = b.id AND a.n > 1))
+ SELECT 'pair' AS relation, a_id, b_id, (60 + least(12, 6 * k) + least(8, 4 * l))::INT AS score FROM p WHERE k > 0 UNION ALL SELECT 'member', id, user_id, NULL FROM f JOIN g USING (kinds, locks)""")
 def signal_alignment_score(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Signatures (kinds and locks of a thread) that share a kind: a base score, more for each shared kind and lock, capped.
 

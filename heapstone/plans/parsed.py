@@ -422,12 +422,12 @@ def _listed(ids: Sequence[str]) -> str:
 def _staged_sql() -> str:
     """All rules as stages: each appends its id to the set where it fires."""
     text = f"""k AS (SELECT c_custkey AS incident, i AS i FROM customer, range(1, {len(_IDS) + 1}) r(i) WHERE (c_custkey * 7919 + i * 104729 + c_custkey // 13 * i) % 11 < 4), s AS (SELECT incident, list(list_element({_listed(_IDS)}, i::INT)) AS ids FROM k GROUP BY 1),
- r0 AS (SELECT incident, ids || CASE WHEN NOT (list_has_all(ids, ['nmt-reserved-committed-mismatch', 'pmap-virtual-resident-mismatch']) AND NOT list_has_any(ids, {_listed(correlation._ACTIVE)})) THEN ['state:native-pressure-open'] ELSE [] END
+ r0 AS MATERIALIZED (SELECT incident, ids || CASE WHEN NOT (list_has_all(ids, ['nmt-reserved-committed-mismatch', 'pmap-virtual-resident-mismatch']) AND NOT list_has_any(ids, {_listed(correlation._ACTIVE)})) THEN ['state:native-pressure-open'] ELSE [] END
   || CASE WHEN list_has_any(ids, {_listed(correlation._RETENTION)}) OR (list_has_any(ids, {_listed(correlation._ALLOCATION)}) AND list_has_any(ids, {_listed(("jfr-gc-pause-events", *correlation._GC, "gc-heap-saturation"))})) THEN ['state:jfr-heap-side'] ELSE [] END AS ids FROM s)"""
     out = []
     for k, rule in enumerate(correlation.RULES):
         fires = " AND ".join([*(f"list_has_any(ids, {_listed(group)})" for group in rule.needs), *([f"NOT list_has_any(ids, {_listed(rule.blocked)})"] if rule.blocked else [])])
-        text += f", r{k + 1} AS (SELECT incident, CASE WHEN {fires} THEN list_append(ids, '{rule.id}') ELSE ids END AS ids FROM r{k})"
+        text += f", r{k + 1} AS MATERIALIZED (SELECT incident, CASE WHEN {fires} THEN list_append(ids, '{rule.id}') ELSE ids END AS ids FROM r{k})"
         severity = "CASE" + "".join(f" WHEN list_has_any(ids, {_listed(ids)}) THEN '{name}'" for name, ids in rule.levels) + f" ELSE '{rule.otherwise}' END" if rule.levels else f"'{rule.otherwise}'"
         out.append(f"SELECT incident, '{rule.id}' AS finding_id, {severity} AS severity, {k} AS position FROM r{k} WHERE {fires}")
     return f"WITH {text} {' UNION ALL '.join(out)}"

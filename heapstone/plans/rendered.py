@@ -150,7 +150,7 @@ def nmt_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
 def dump_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
     """A thread dump for each supplier: every line item is a thread of a pool, its flags give state, frames and monitors."""
     k, flag, status = F.col("l_partkey"), F.col("l_returnflag"), F.col("l_linestatus")
-    seq = (F.col("l_orderkey") * 8 + F.col("l_linenumber")) * 1000 + k % 1000
+    seq = ((F.col("l_orderkey") * 8 + F.col("l_linenumber")) * 1000 + k % 1000) * 64 + F.floor("l_quantity")
     name = _cat("pool-", k % 5, "-thread-", seq)
     monitor = _cat("<0x", F.lower(F.lpad(F.hex(k % 11 + 16), 8, "0")), ">")
     state = F.when(flag == "A", "RUNNABLE").when((flag == "R") & (status == "O"), "BLOCKED (on object monitor)").when(flag == "R", "WAITING (parking)").otherwise("TIMED_WAITING (sleeping)")
@@ -162,7 +162,7 @@ def dump_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
     return table(spark, sf_dir, "lineitem").select(_cat("t-", F.col("l_suppkey")).alias("artifact_id"), at.alias("_at"), F.posexplode(lines).alias("_p", "line")).select("artifact_id", (F.col("_at") + F.col("_p")).alias("line_no"), "line")
 
 
-DUMP_SQL = """t AS (SELECT 't-' || l_suppkey AS artifact_id, l_partkey AS k, (l_orderkey * 8 + l_linenumber) * 1000 + l_partkey % 1000 AS seq, 'pool-' || (l_partkey % 5) || '-thread-' || ((l_orderkey * 8 + l_linenumber) * 1000 + l_partkey % 1000) AS name, 'pool-' || (l_partkey % 5) || '-thread' AS pool_name,
+DUMP_SQL = """t AS (SELECT 't-' || l_suppkey AS artifact_id, l_partkey AS k, ((l_orderkey * 8 + l_linenumber) * 1000 + l_partkey % 1000) * 64 + floor(l_quantity)::BIGINT AS seq, 'pool-' || (l_partkey % 5) || '-thread-' || (((l_orderkey * 8 + l_linenumber) * 1000 + l_partkey % 1000) * 64 + floor(l_quantity)::BIGINT) AS name, 'pool-' || (l_partkey % 5) || '-thread' AS pool_name,
   CASE WHEN l_returnflag = 'A' THEN 'RUNNABLE' WHEN l_returnflag = 'R' AND l_linestatus = 'O' THEN 'BLOCKED' WHEN l_returnflag = 'R' THEN 'WAITING' ELSE 'TIMED_WAITING' END AS state, '0x' || lpad(lower(to_hex(l_partkey % 11 + 16)), 8, '0') AS monitor,
   l_partkey % 4 = 0 AS in_io, l_partkey % 4 = 1 AS idle, l_partkey % 2 = 0 AS daemon, 100.0::DOUBLE * (l_partkey % 80) AS cpu_ms, floor(l_quantity)::DOUBLE AS elapsed_s FROM lineitem)"""
 

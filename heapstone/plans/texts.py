@@ -38,15 +38,16 @@ def pattern_windows(spark: SparkSession, sf_dir: str) -> DataFrame:
     return context.pattern_windows(_lines(spark, sf_dir), ["doc_id"], "tion the")
 
 
-@query("""SELECT doc_id, md5(substr(text, 4201, 4200)) AS digest, least(4200, length(text)) + 1 AS first_char, least(8400, length(text)) AS last_char, length(text) AS total, length(text) > 8400 AS more FROM documents WHERE text IS NOT NULL""")
+@query("""WITH p AS (SELECT doc_id, text, unnest(range(0, greatest(1, length(text)), 4200)) AS k FROM documents WHERE text IS NOT NULL)
+ SELECT doc_id, md5(substr(text, (k + 1)::INT, 4200)) AS digest, k + 1 AS first_char, least(k + 4200, length(text)) AS last_char, length(text) AS total, k + 4200 < length(text) AS more FROM p""")
 def text_paging(spark: SparkSession, sf_dir: str) -> DataFrame:
     """All pages of 4200 characters of each document."""
     pages = table(spark, sf_dir, "documents").where("text IS NOT NULL").select("doc_id", F.explode(context.pages(F.col("text"))).alias("p"))
     return pages.select("doc_id", F.md5("p.text").alias("digest"), *(F.col(f"p.{c}").cast("long").alias(c) for c in ("first_char", "last_char", "total")), "p.more")
 
 
-@query(f"""SELECT doc_id, snippet, list(line_no::INT ORDER BY line_no) AS line_numbers FROM {_LINES} JOIN (SELECT doc_id, trim(substr(text, 1, 20)) AS snippet FROM documents WHERE doc_id % 3 = 0 AND trim(substr(text, 1, 20)) <> '') s USING (doc_id)
- WHERE contains(line, snippet) GROUP BY doc_id, snippet""")
+@query(f"""WITH l AS (SELECT * FROM {_LINES}), s AS (SELECT doc_id, trim(substr(text, 1, 20)) AS snippet FROM documents WHERE trim(substr(text, 1, 20)) <> '' UNION SELECT doc_id, trim(line) FROM l WHERE trim(line) <> '')
+ SELECT doc_id, snippet, list(line_no::INT ORDER BY line_no) AS line_numbers FROM l JOIN s USING (doc_id) WHERE contains(line, snippet) GROUP BY doc_id, snippet""")
 def snippet_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Lines on which the first 20 characters of a document, and each of its lines, stand."""
     lines = _lines(spark, sf_dir)

@@ -11,9 +11,10 @@ from heapstone.plans.base import EVENTS, events, query
 #: Ten hours on the clock, or no line at all: the data's own density, see the tables' notes.
 GAP_US, LINE_GAP = 36_000_000_000, 60
 
-_CLUSTERS = f"""SELECT *, sum(CASE WHEN brk THEN 1 ELSE 0 END) OVER (PARTITION BY user_id ORDER BY event_id, us ROWS UNBOUNDED PRECEDING)::BIGINT AS cluster FROM (
- SELECT *, coalesce(NOT (us - lag(us) OVER w <= {GAP_US} OR event_id - coalesce(lag(event_id) OVER w, 0) <= {LINE_GAP}) AND lag(us) OVER w IS NOT NULL, false) AS brk
- FROM {EVENTS} WHERE event_id > 0 WINDOW w AS (PARTITION BY user_id ORDER BY event_id, us))"""
+_ORDER = "PARTITION BY user_id ORDER BY CASE WHEN event_id > 0 THEN 0 ELSE 1 END, coalesce(event_id, 0), us"
+_CLUSTERS = f"""SELECT *, sum(CASE WHEN brk THEN 1 ELSE 0 END) OVER ({_ORDER} ROWS UNBOUNDED PRECEDING)::BIGINT AS cluster FROM (
+ SELECT *, coalesce(NOT (us - lag(us) OVER w <= {GAP_US} OR coalesce(event_id, 0) - coalesce(lag(event_id) OVER w, 0) <= {LINE_GAP}) AND lag(us) OVER w IS NOT NULL, false) AS brk
+ FROM {EVENTS} WINDOW w AS ({_ORDER}))"""
 
 
 @query(f"SELECT user_id, cluster, count(*) AS n, min(event_id) AS first_line, max(event_id) AS last_line, sum(cents)::BIGINT AS cents FROM ({_CLUSTERS}) GROUP BY user_id, cluster")
