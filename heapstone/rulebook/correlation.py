@@ -25,6 +25,7 @@ _META = ("nmt-metaspace-pressure", "nmt-class-metadata-growth", "compare-nmt-met
 _APART_DUMP = ("apart:jfr-thread-dump",)
 _ACTIVE = ("nmt-native-allocation-growth", "compare-nmt-native-growth", "compare-pmap-growth", "nmt-thread-stack-pressure", "nmt-metaspace-pressure", "nmt-code-cache-pressure")
 
+# Rules in the order they run, what each needs, and its severity.
 RULES = (
     Staged("correlation-memory-pressure", (_GC, ("nmt-gc-native-pressure", "nmt-native-allocation-growth", *_PMAP)), "CRITICAL"),
     Staged("correlation-jfr-gc-heap-pressure", (("align:jfr-gc-heap-pressure",), (*_GC, "gc-heap-saturation"), (*_ALLOCATION, *_RETENTION)), "HIGH", (("CRITICAL", ("gc-repeated-full-gcs",)),), ("apart:jfr-gc", "apart:heap")),
@@ -63,11 +64,15 @@ def derived(findings: DataFrame, keys: list[str]) -> DataFrame:
 
 
 def aligned(windows: DataFrame, keys: list[str], name: str, first: str, second: str, tolerance_us: int) -> DataFrame:
-    """keys, finding_id: ``align:name`` or ``apart:name`` for the first windows (keys, kind, start_us, end_us) of two kinds of artifacts."""
+    """keys, finding_id: ``align:name`` or ``apart:name`` for the first windows (keys, kind, start_us, end_us) of two kinds of artifacts.
+
+    Windows that meet or follow within the tolerance align; without a shared clock nothing is known and there is no row.
+    """
     side = lambda kind, p: windows.where(F.col("kind") == kind).groupBy(*keys).agg(F.min(F.struct("start_us", "end_us")).alias("w")).select(*keys, F.col("w.start_us").alias(f"{p}_lo"), F.col("w.end_us").alias(f"{p}_hi"))
     both = side(first, "a").join(side(second, "b"), keys)
     status, _ = compare.alignment(F.col("a_lo"), F.col("a_hi"), F.col("b_lo"), F.col("b_hi"), tolerance_us)
-    return both.select(*keys, F.when(status == compare.APART[0], F.lit(f"apart:{name}")).otherwise(F.lit(f"align:{name}")).alias("finding_id"))
+    meaning = F.when(status == compare.APART[0], F.lit(f"apart:{name}")).when(status != compare.NO_CLOCK[0], F.lit(f"align:{name}"))
+    return both.select(*keys, meaning.alias("finding_id")).where("finding_id IS NOT NULL")
 
 
 def correlate_incident(findings: DataFrame, keys: list[str]) -> DataFrame:
