@@ -1,45 +1,139 @@
-"""Redaction with stable tokens: the same value has the same token throughout a text."""
+"""Redaction with stable tokens: command lines, secrets in environment assignments, paths, addresses and host names.
+
+The same value has the same token throughout a report (``redact_report``) or a text (``redact``). A text is marked first, step by step, with
+numbered placeholders that no later step can read; the values behind them get their tokens afterwards.
+"""
 
 from __future__ import annotations
 
 from collections.abc import Callable
+from dataclasses import dataclass
 
-from pyspark.sql import Column
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-#: Kinds of secrets in the order they are replaced, with their patterns (Java syntax).
-PATTERNS = (
-    ("env", r"(?i)\b[A-Z0-9_]*(?:TOKEN|SECRET|PASSWORD|PASSWD|API_KEY|CREDENTIAL)[A-Z0-9_]*=[^\s,;]+"),
-    ("path", r"(?<![\w/<])/(?:[\w.-]+/)+[\w.-]+"),
-    ("windows-path", r"\b[A-Za-z]:\\(?:[\w.-]+\\)*[\w.-]+"),
-    ("ip", r"\b(?:\d{1,3}\.){3}\d{1,3}\b"),
-    ("host", r"\b(?:[a-z0-9-]+\.)+(?:internal|local|corp|lan|com|net|org)\b"),
+#: Parts of names of variables whose value is redacted, and beginnings of such names.
+SENSITIVE = ("TOKEN", "SECRET", "PASSWORD", "PASS", "PWD", "KEY", "CREDENTIAL", "COOKIE", "SESSION", "AUTH", "HOME", "USER", "USERNAME", "LOGNAME", "HOST", "PATH", "JAVA", "KUBECONFIG")
+SENSITIVE_STARTS = ("OCI_", "AWS_", "AZURE_", "GCP_")
+#: Endings that make a dotted name a file, unless it has three dots or more; parts of names of language models.
+FILE_ENDINGS = ("cfg", "conf", "csv", "gz", "histogram", "html", "jar", "java", "json", "log", "md", "out", "properties", "sh", "so", "tar", "tmp", "txt", "war", "xml", "yaml", "yml")
+MODELS = ("grok", "gpt", "claude", "gemini", "llama", "mistral", "qwen", "deepseek", "phi")
+
+
+def sensitive_key(key: Column) -> Column:
+    """Whether a variable's name tells that its value is to be hidden."""
+    upper = F.upper(key)
+    return upper.rlike("|".join(SENSITIVE)) | upper.rlike(f"^(?:{'|'.join(SENSITIVE_STARTS)})")
+
+
+def is_host(name: Column) -> Column:
+    """Whether a dotted name is a host: not a number, a class, a template, a version, a model or a file."""
+    dots = F.length(name) - F.length(F.replace(name, F.lit("."), F.lit("")))
+    other = name.rlike(r"^\d+(?:\.\d+)+[a-zA-Z%]*$") | name.rlike(r"^(?:[a-z_][a-z0-9_]*\.)+[A-Z][A-Za-z0-9_$-]*$") | name.rlike(r"^[A-Za-z][A-Za-z0-9-]*\.[0-9]+$") | name.rlike(r"^[A-Z][A-Za-z0-9_$-]*\.[a-z][A-Za-z0-9_$-]*$") | F.lower(name).rlike("|".join(MODELS))
+    file = F.lower(name).rlike(rf"\.(?:{'|'.join(FILE_ENDINGS)})$") & (dots < 3)
+    return name.rlike("[A-Za-z]") & ~F.lower(name).startswith("redacted-") & ~other & ~file
+
+
+@dataclass(frozen=True)
+class Step:
+    """A kind of value: its token's name, what finds it (groups 1 and 2, if ``kept``, stay before the token), a cheap test, a test of what was found."""
+
+    name: str
+    kind: str
+    pattern: str
+    hint: Callable[[Column], Column]
+    kept: bool = False
+    test: Callable[[Column, Column], Column] | None = None
+
+
+#: Patterns, in the order they run.
+STEPS = (
+    Step("command", "command", r"(?im)\b(java command|java_command|command line|sun\.java\.command|launcher command|vm arguments)\b(\s*[:=]\s*)([^\n]+)", lambda t: F.lower(t).rlike("command|arguments"), True),
+    Step("env", "env", r"(?<![A-Za-z0-9_])([A-Z][A-Z0-9_]{2,})(\s*=\s*)([^\s,;]+)", lambda t: t.contains("="), True, lambda key, _: sensitive_key(key)),
+    Step("path", "path", r"(?<![A-Za-z0-9])/(?:[^\s/]+/)*[^\s)\],;:]+", lambda t: t.contains("/")),
+    Step("windows-path", "path", r"(?<![A-Za-z0-9])[A-Za-z]:\\(?:[^\s\\]+\\)*[^\s)\],;:]+", lambda t: t.contains(":\\")),
+    Step("ip", "host", r"\b(?:\d{1,3}\.){3}\d{1,3}\b", lambda t: t.contains(".")),
+    Step("host", "host", r"\b[a-zA-Z0-9][a-zA-Z0-9-]*(?:\.[a-zA-Z0-9-]+){1,}\b", lambda t: t.contains("."), False, lambda _, value: is_host(value)),
 )
+NAMES = tuple(step.name for step in STEPS)
+_VALUES = "array<struct<kind:string,value:string>>"
+
+
+def _placeholder(number: Column) -> Column:
+    return F.concat(F.lit(")\ue000"), number.cast("string"), F.lit("\ue001)"))
+
+
+def _marked(step: Step) -> Callable[[Column], Column]:
+    """One step over a state of text and values: both after it. Names in lambdas are bound once, so nothing is evaluated twice."""
+
+    def run(state: Column) -> Column:
+        text, values = state["text"], state["values"]
+        every = lambda group: F.regexp_extract_all(text, F.lit(step.pattern), F.lit(group))
+        first, second, last = (every(1), every(2), every(3)) if step.kept else (every(0),) * 3
+        rows = F.arrays_zip(every(0).alias("whole"), first.alias("a"), second.alias("b"), last.alias("c"))
+        before = F.size(values)
+
+        def shown(x: Column, i: Column) -> Column:
+            new = _placeholder(before + i)
+            full = F.concat(x["a"], x["b"], new) if step.kept else new
+            return F.when(step.test(x["a"], x["c"]), full).otherwise(x["whole"]) if step.test else full
+
+        parts, pieces = F.split(text, step.pattern, -1), F.transform(rows, shown)
+        joined = F.array_join(F.transform(parts, lambda p, i: F.when(i == 0, p).otherwise(F.concat(F.try_element_at(pieces, i), p))), "")
+        value = lambda x: F.concat(x["a"], F.lit("="), x["c"]) if step.name == "env" else x["c"]
+        found = F.transform(rows, lambda x: F.struct(F.lit(step.kind).alias("kind"), value(x).alias("value")))
+        after = F.struct(joined.alias("text"), F.concat(values, found).cast(_VALUES).alias("values"))
+        return F.when(step.hint(text), after).otherwise(state)
+
+    return run
+
+
+def marked(text: Column, names: tuple[str, ...] = NAMES) -> Column:
+    """text with placeholders, and the values behind them by number: those of every step, redacted or not."""
+    state = F.when(text.isNotNull(), F.struct(text.alias("text"), F.expr(f"cast(array() AS {_VALUES})").alias("values")))
+    for step in STEPS:
+        if step.name in names:
+            state = F.transform(F.array(state), _marked(step))[0]
+    return state
+
+
+def token(kind: Column, number: Column) -> Column:
+    return F.concat(F.lit("[redacted-"), kind, F.lit("-"), number.cast("string"), F.lit("]"))
+
 
+def _resolved(text: Column, tokens: Column) -> Column:
+    """Placeholders replaced by tokens (structs of ``n``, ``t``)."""
+    return F.aggregate(tokens, text, lambda done, x: F.replace(done, _placeholder(x["n"]), x["t"]))
 
-def tokens(text: Column, pattern: str) -> Column:
-    """Distinct values of a kind in order of appearance."""
-    return F.array_distinct(F.regexp_extract_all(text, F.lit(pattern), F.lit(0)))
 
+def _used(state: Column) -> Column:
+    """Structs of number, kind and value whose placeholder stands in the text."""
+    numbered = F.transform(state["values"], lambda x, i: F.struct(i.alias("n"), x["kind"].alias("kind"), x["value"].alias("value")))
+    return F.filter(numbered, lambda x: state["text"].contains(_placeholder(x["n"])))
 
-def replace_all(text: Column, values: Column, kind: str) -> Column:
-    """Each value by <kind-k>, k from 1 in the values' order; longer values first, so none is replaced inside another."""
-    numbered = F.transform(values, lambda v, k: F.struct((-F.length(v)).alias("l"), v.alias("v"), F.concat(F.lit(f"<{kind}-"), (k + 1).cast("string"), F.lit(">")).alias("t")))
-    return F.aggregate(F.array_sort(numbered), text, lambda done, x: F.replace(done, x["v"], x["t"]))
 
+def redact(text: Column, names: tuple[str, ...] = NAMES) -> Column:
+    """One text by itself: values are numbered by kind in the order they were found. Null stays null."""
 
-#: A cheap test that a text may hold a kind at all.
-HINTS = {"env": "=", "path": "/", "windows-path": ":\\", "ip": ".", "host": "."}
+    def run(state: Column) -> Column:
+        used = _used(state)
+        number = lambda x: F.array_position(F.array_distinct(F.transform(F.filter(used, lambda y: y["kind"] == x["kind"]), lambda y: y["value"])), x["value"])
+        return _resolved(state["text"], F.transform(used, lambda x: F.struct(x["n"].alias("n"), token(x["kind"], number(x)).alias("t"))))
 
+    return F.transform(F.array(marked(text, names)), lambda s: F.when(s.isNotNull(), run(s)))[0]
 
-def _step(kind: str, pattern: str) -> Callable[[Column], Column]:
-    return lambda t: F.when(t.contains(HINTS[kind]), replace_all(t, tokens(t, pattern), kind)).otherwise(t)
 
+def redact_report(rows: DataFrame, keys: list[str], order: str, text: str) -> DataFrame:
+    """``rows`` with the text column redacted: a value has one token in all rows of a report (``keys``), numbered by kind from where it first stands.
 
-def redact(text: Column, kinds: tuple[str, ...] = tuple(k for k, _ in PATTERNS)) -> Column:
-    """All kinds, one after the other. Null stays null. Each step binds its text once, so no step is evaluated twice."""
-    done = text
-    for kind, pattern in PATTERNS:
-        if kind in kinds:
-            done = F.transform(F.array(done), _step(kind, pattern))[0]
-    return done
+    A table of a report's distinct values is numbered and joined back; what one row holds is all that meets in one place. ``keys`` and ``order``
+    name a row.
+    """
+    made = rows.withColumn("_m", marked(F.col(text)))
+    found = made.where("size(_m.values) > 0").select(*keys, order, F.posexplode(_used(F.col("_m"))).alias("_p", "_u")).select(*keys, order, "_p", F.col("_u.n").alias("_n"), F.col("_u.kind").alias("_kind"), F.col("_u.value").alias("_value"))
+    firsts = found.groupBy(*keys, "_kind", "_value").agg(F.min(F.struct(order, "_p")).alias("_first"))
+    named = firsts.withColumn("_t", token(F.col("_kind"), F.row_number().over(Window.partitionBy(*keys, "_kind").orderBy("_first"))))
+    tokens = found.join(named, [*keys, "_kind", "_value"]).groupBy(*keys, order).agg(F.collect_list(F.struct(F.col("_n").alias("n"), F.col("_t").alias("t"))).alias("_tokens"))
+    joined = made.join(tokens, [*keys, order], "left")
+    done = F.when(F.col("_tokens").isNull(), F.col("_m.text")).otherwise(_resolved(F.col("_m.text"), F.col("_tokens")))
+    return joined.withColumn(text, done).select(*rows.columns)

@@ -61,7 +61,8 @@ def redaction_tokens(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Addresses by document and the stable tokens that replace them: as many of each."""
     ip = r"\b(?:\d{1,3}\.){3}\d{1,3}\b"
     docs = table(spark, sf_dir, "documents").where("text IS NOT NULL").select("doc_id", "text", redact(F.col("text"), ("ip",)).alias("done"))
-    return docs.select("doc_id", F.regexp_count("done", F.lit(r"<ip-\d+>")).cast("long").alias("n_found"), F.size(F.array_distinct(F.regexp_extract_all("done", F.lit(r"<ip-\d+>"), F.lit(0)))).cast("long").alias("n_tokens"), F.col("text").rlike(ip).alias("had"))
+    mark = r"\[redacted-host-\d+\]"
+    return docs.select("doc_id", F.regexp_count("done", F.lit(mark)).cast("long").alias("n_found"), F.size(F.array_distinct(F.regexp_extract_all("done", F.lit(mark), F.lit(0)))).cast("long").alias("n_tokens"), F.col("text").rlike(ip).alias("had"))
 
 
 @query()

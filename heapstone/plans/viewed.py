@@ -10,9 +10,9 @@ from heapstone.operators.context import Selector
 from heapstone.parse import gc, jfr, memory
 from heapstone.plans import rendered as r
 from heapstone.plans.base import query, table
-from heapstone.plans.parsed import _GROWTH, _HISTOGRAM, _HOTSPOTS, _JFR, _NMT, _WINDOWS, _timeline
+from heapstone.plans.parsed import _GROWTH, _HISTOGRAM, _HOTSPOTS, _JFR, _NMT, _SUMMARY, _WINDOWS, _gc_summary, _timeline
 from heapstone.plans.texts import _LINES
-from heapstone.rulebook import alignment
+from heapstone.rulebook import alignment, digests
 from heapstone.sources import ordering
 from heapstone.views import compute
 from heapstone.views import jfr as slices
@@ -104,7 +104,7 @@ def jfr_family_threads(spark: SparkSession, sf_dir: str) -> DataFrame:
     return slices.ranked(slices.by_family(_timeline(spark, sf_dir), "locks"), "thread")
 
 
-@query(f"""WITH {_JFR}, lo AS (SELECT artifact_id, min(start_us) + 86400 * 1000000 AS a, min(start_us) + 10 * 86400 * 1000000 AS b FROM j GROUP BY 1), f AS (SELECT j.*, signal_family AS key FROM j JOIN lo USING (artifact_id) WHERE start_us <= b AND end_us >= a), {_RANK}""")
+@query(f"""WITH {_JFR}, lo AS (SELECT artifact_id, min(start_us) + 86400000000 AS a, min(start_us) + 864000000000 AS b FROM j GROUP BY 1), f AS (SELECT j.*, signal_family AS key FROM j JOIN lo USING (artifact_id) WHERE start_us <= b AND end_us >= a), {_RANK}""")
 def jfr_time_window(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Families of the events in a window given as offsets from the recording's start."""
     return slices.ranked(slices.time_window(_timeline(spark, sf_dir), Selector.parse("start=864000s, end=86400s")), "signal_family")
@@ -231,3 +231,69 @@ def snapshot_order(spark: SparkSession, sf_dir: str) -> DataFrame:
     named = F.when(k % 3 == 1, F.concat(F.lit("dump-"), F.date_format("o_orderdate", "yyyy-MM-dd"), F.lit(".txt"))).otherwise("dump.txt")
     rows = table(spark, sf_dir, "orders").select(k.alias("g"), F.col("o_orderkey").alias("k"), F.when(k % 3 == 0, F.expr("timestampdiff(MICROSECOND, TIMESTAMP_NTZ'1970-01-01 00:00:00', o_orderdate)")).alias("captured_us"), named.alias("name"), (F.col("o_orderkey") * 7919 % 1000).alias("modified_us"))
     return ordering.ordered(rows, ["g"], "k")
+
+
+# --- digests of pairs ---
+
+
+def _next_thread(spark: SparkSession, sf_dir: str, prefix: str) -> DataFrame:
+    users = table(spark, sf_dir, "events").select("user_id").distinct()
+    both = users.join(users.select((F.col("user_id") - 1).alias("user_id")), "user_id", "left_semi")
+    return both.select(F.col("user_id").alias("pair_id"), F.concat(F.lit(f"{prefix}-"), "user_id").alias("baseline_id"), F.concat(F.lit(f"{prefix}-"), F.col("user_id") + 1).alias("current_id"))
+
+
+_PAIRS = "pairs AS (SELECT user_id AS pair_id FROM events WHERE user_id + 1 IN (SELECT user_id FROM events) GROUP BY 1)"
+
+
+def _two_sides(source: str, key: str, prefix: str) -> str:
+    side = lambda p, at: f"{p} AS (SELECT pair_id, s.* FROM pairs JOIN {source} s ON s.artifact_id = '{prefix}-' || ({at}))"
+    return f"{_PAIRS}, {side('cur', 'pair_id + 1')}, {side('base', 'pair_id')}, j2 AS (SELECT coalesce(cur.pair_id, base.pair_id) AS pair_id, coalesce(cur.{key}, base.{key}) AS key, cur, base FROM cur FULL JOIN base ON cur.pair_id = base.pair_id AND cur.{key} = base.{key})"
+
+
+def _delta_sql(measures: tuple[str, ...]) -> str:
+    return ", ".join(f"coalesce(cur.{m}, 0) AS current_{m}, coalesce(base.{m}, 0) AS baseline_{m}, coalesce(cur.{m}, 0) - coalesce(base.{m}, 0) AS delta_{m}" for m in measures)
+
+
+@query(f"WITH {r.GC_SQL}, mix AS (SELECT artifact_id, cause, count(*) AS n, sum(c * 10)::BIGINT AS total_us FROM p GROUP BY 1, 2), {_two_sides('mix', 'cause', 'gc')} SELECT pair_id, key AS cause, {_delta_sql(('n', 'total_us'))} FROM j2")
+def gc_cause_mix_pair(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Causes of pauses in each log against the next thread's."""
+    return digests.cause_mix(_next_thread(spark, sf_dir, "gc"), gc.pauses(r.gc_lines(spark, sf_dir)))
+
+
+_TREND = f"""{_JFR}, len AS (SELECT artifact_id, greatest(1.0, (max(end_us) - min(start_us)) / 1000.0::DOUBLE) AS ms FROM j GROUP BY 1),
+ rated AS (SELECT artifact_id, signal_family, count(*) AS n, sum(duration_ms)::BIGINT AS total_ms, sum(size_bytes)::BIGINT AS bytes, count(*) * 60000 / any_value(ms) AS rate, 100 * sum(duration_ms)::BIGINT / any_value(ms) AS share, sum(size_bytes)::BIGINT * 1000 / any_value(ms) AS bps FROM j JOIN len USING (artifact_id) GROUP BY 1, 2), {_two_sides('rated', 'signal_family', 'j')}"""
+
+
+@query(f"""WITH {_TREND} SELECT pair_id, key, {_delta_sql(("n", "total_ms", "bytes"))}, round(greatest(0.0, coalesce(cur.rate, 0) - coalesce(base.rate, 0)) + 2 * greatest(0.0, coalesce(cur.share, 0) - coalesce(base.share, 0)) + greatest(0.0, coalesce(cur.bps, 0) - coalesce(base.bps, 0)) / 1e6, 4) AS score FROM j2""")
+def jfr_family_regression(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Families of each recording against the next thread's, with the regression score."""
+    found = digests.trend(_next_thread(spark, sf_dir, "j"), _timeline(spark, sf_dir), "signal_family")
+    return found.select("pair_id", "key", *(f"{side}_{m}" for m in ("n", "total_ms", "bytes") for side in ("current", "baseline", "delta")), F.round("score", 4).alias("score"))
+
+
+@query(f"""WITH {_TREND} SELECT pair_id, key, {_delta_sql(("n", "total_ms", "bytes"))} FROM j2 WHERE key IN ({', '.join(repr(f) for f in digests.RUNTIME)})""")
+def jfr_runtime_deltas(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Changes of runtime pressure from one recording to the next."""
+    return digests.family_deltas(_next_thread(spark, sf_dir, "j"), _timeline(spark, sf_dir), digests.RUNTIME)
+
+
+@query(f"""WITH {_WINDOWS}, firsts AS (SELECT artifact_id, focus, score_micro, n FROM top WHERE rank = 1), {_PAIRS} SELECT pair_id, c.focus AS current_focus, c.score_micro AS current_score_micro, c.n AS current_n, b.focus AS baseline_focus, b.score_micro AS baseline_score_micro, b.n AS baseline_n, coalesce(c.focus = b.focus, false) AS same_focus,
+ coalesce(c.score_micro, 0) - coalesce(b.score_micro, 0) AS delta_score_micro FROM pairs JOIN firsts b ON b.artifact_id = 'j-' || pair_id JOIN firsts c ON c.artifact_id = 'j-' || (pair_id + 1)""")
+def jfr_dominant_incident_pair(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The first incident of each recording against the next thread's."""
+    return digests.dominant_incidents(_next_thread(spark, sf_dir, "j"), jfr.incident_windows(_timeline(spark, sf_dir)))
+
+
+@query(f"""WITH {_JFR}, h AS (SELECT artifact_id, top_method, count(*) AS n, count(*) / (sum(count(*)) OVER (PARTITION BY artifact_id))::DOUBLE AS share FROM j WHERE signal_family = 'executionSample' GROUP BY 1, 2), best AS (SELECT * FROM h QUALIFY row_number() OVER (PARTITION BY artifact_id ORDER BY n DESC, top_method) = 1), {_PAIRS}
+ SELECT pair_id, c.top_method AS current_top_method, c.n AS current_n, c.share AS current_share, b.top_method AS baseline_top_method, b.n AS baseline_n, b.share AS baseline_share, c.top_method IS DISTINCT FROM b.top_method AS shifted FROM pairs LEFT JOIN best b ON b.artifact_id = 'j-' || pair_id LEFT JOIN best c ON c.artifact_id = 'j-' || (pair_id + 1) WHERE b.n IS NOT NULL OR c.n IS NOT NULL""")
+def jfr_dominant_hotspot_pair(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The hottest method of each recording against the next thread's."""
+    return digests.dominant_hotspots(_next_thread(spark, sf_dir, "j"), _timeline(spark, sf_dir), ("executionSample",))
+
+
+@query(f"""WITH {_SUMMARY}, {_PAIRS} SELECT pair_id, b.dominant_cause_by_count AS baseline_cause, c.dominant_cause_by_count AS current_cause, b.dominant_cause_by_count IS DISTINCT FROM c.dominant_cause_by_count AS cause_changed, {", ".join(f"c.{m} - b.{m} AS delta_{m}" for m in ("pause_count", "full_gc_count", "near_capacity_count", "allocation_stall_count"))}, b.p95_pause_ms AS baseline_p95, c.p95_pause_ms AS current_p95
+ FROM pairs JOIN s b ON b.artifact_id = 'gc-' || pair_id JOIN s c ON c.artifact_id = 'gc-' || (pair_id + 1)""")
+def gc_comparison_digest(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Both sides and the changes of each log and the next thread's."""
+    d = digests.gc_changes(_next_thread(spark, sf_dir, "gc"), _gc_summary(spark, sf_dir))
+    return d.select("pair_id", F.col("baseline_dominant_cause_by_count").alias("baseline_cause"), F.col("current_dominant_cause_by_count").alias("current_cause"), F.col("dominant_cause_by_count_changed").alias("cause_changed"), *(f"delta_{m}" for m in ("pause_count", "full_gc_count", "near_capacity_count", "allocation_stall_count")), F.col("baseline_p95_pause_ms").alias("baseline_p95"), F.col("current_p95_pause_ms").alias("current_p95"))

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from heapstone.operators.context import lines as split_lines
@@ -54,13 +54,29 @@ def artifact_type(content: Column, name: Column) -> Column:
 
 
 def read_artifacts(spark: SparkSession, path: str, kind: str | None = None) -> DataFrame:
-    """artifact_id (the path), name, type, content, content_length for every file under ``path``. A given kind replaces the classification."""
+    """artifact_id (the path), name, type, content, content_length for every file under ``path``. A given kind replaces the classification.
+
+    A file is one row, as kinds are told from whole contents; logs that may outgrow a row are read by ``read_lines``.
+    """
     files = spark.read.option("recursiveFileLookup", "true").text(path, wholetext=True).select(F.col("_metadata.file_path").alias("artifact_id"), F.col("value").alias("content"))
     name = F.element_at(F.split("artifact_id", "/"), -1)
     found = F.lit(kind_named(kind)) if kind else artifact_type(F.col("content"), name)
     return files.select("artifact_id", name.alias("name"), found.alias("type"), "content", F.length("content").cast("long").alias("content_length"))
 
 
+def read_lines(spark: SparkSession, path: str) -> DataFrame:
+    """artifact_id, line_no (from 1), line of every file under ``path``, read in blocks: a large file is the work of many tasks, and never one row.
+
+    Lines are numbered within each block of a file; the blocks' counts, a few rows, are summed up for where each begins.
+    """
+    rows = spark.read.option("recursiveFileLookup", "true").text(path).select(F.col("_metadata.file_path").alias("artifact_id"), F.col("_metadata.file_block_start").alias("_block"), F.monotonically_increasing_id().alias("_id"), F.col("value").alias("line"))
+    block = ["artifact_id", "_block"]
+    earlier = Window.partitionBy("artifact_id").orderBy("_block").rowsBetween(Window.unboundedPreceding, -1)
+    starts = rows.groupBy(*block).agg(F.count("*").alias("_n")).select(*block, F.coalesce(F.sum("_n").over(earlier), F.lit(0)).alias("_start"))
+    inside = F.row_number().over(Window.partitionBy(*block).orderBy("_id"))
+    return rows.join(starts, block).select("artifact_id", (F.col("_start") + inside).cast("int").alias("line_no"), "line")
+
+
 def with_cgroup_groups(artifacts: DataFrame) -> DataFrame:
     """Files of one cgroup folder joined to one artifact of that kind, in a fixed order, each under a ``[file]`` header.
 

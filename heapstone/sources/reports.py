@@ -7,7 +7,7 @@ import re
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from heapstone.functions.redact import redact
+from heapstone.functions.redact import redact, redact_report
 from heapstone.operators.rules import CONFIDENCES, SEVERITIES, rank
 
 SCHEMA = "analysis_id string, created_at timestamp, severity string, n_findings long, findings array<struct<artifact_id:string,finding_id:string,severity:string>>"
@@ -26,13 +26,19 @@ def save(reports: DataFrame, path: str) -> None:
 
 
 def load(spark: SparkSession, path: str, analysis_id: str | None = None) -> DataFrame:
-    """Saved reports; lines that can't be read are passed over. An id with anything but letters, digits, dots and dashes is refused."""
+    """Saved reports; lines that can't be read are passed over here and counted by ``unreadable``. An id with anything but letters, digits, dots and dashes is refused."""
     if analysis_id is not None and not re.fullmatch(r"[\w-][\w.-]*", analysis_id):
         raise ValueError("not an analysis id")
     reports = spark.read.schema(SCHEMA + ", _severity string").json(path).where("analysis_id IS NOT NULL").drop("_severity")
     return reports.where(F.col("analysis_id") == analysis_id) if analysis_id else reports
 
 
+def unreadable(spark: SparkSession, path: str) -> DataFrame:
+    """path, n: the lines of saved reports that are no report, by file."""
+    rows = spark.read.schema(SCHEMA + ", _severity string, _bad string").option("columnNameOfCorruptRecord", "_bad").json(path)
+    return rows.select(F.col("_metadata.file_path").alias("path"), "analysis_id").where("analysis_id IS NULL").groupBy("path").agg(F.count("*").alias("n"))
+
+
 def catalog(reports: DataFrame, severity: str | None = None, finding_id: str | None = None) -> DataFrame:
     """Newest first, those without a time last; filtered by severity and by a finding they hold."""
     found = reports
@@ -43,9 +49,9 @@ def catalog(reports: DataFrame, severity: str | None = None, finding_id: str | N
     return found.orderBy(F.desc_nulls_last("created_at"), "analysis_id").select("analysis_id", "created_at", "severity", "n_findings")
 
 
-def shareable(lines: DataFrame, text: str) -> DataFrame:
-    """A text column with secrets, paths, addresses and hosts replaced by stable tokens."""
-    return lines.withColumn(text, redact(F.col(text)))
+def shareable(lines: DataFrame, text: str, keys: list[str] | None = None, order: str = "line_no") -> DataFrame:
+    """A text column with secrets, paths, addresses and hosts replaced by tokens: stable within each report (``keys``), or within each text without them."""
+    return redact_report(lines, keys, order, text) if keys else lines.withColumn(text, redact(F.col(text)))
 
 
 __all__ = ["CONFIDENCES", "SCHEMA", "assemble", "catalog", "load", "save", "shareable"]

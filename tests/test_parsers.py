@@ -316,6 +316,20 @@ def test_classification_and_reading(spark, tmp_path):
     assert artifacts.inventory(grouped).where("status = 'UNSUPPORTED'").count() == 1 and artifacts.kind_named("hs-err") == "HS_ERR_LOG"
 
 
+def test_lines_are_numbered_across_blocks(spark, tmp_path):
+    text = "\n".join(f"line {k}" for k in range(1, 2001))
+    (tmp_path / "a.log").write_text(text)
+    (tmp_path / "b.log").write_text("x\ny\n")
+    old = spark.conf.get("spark.sql.files.maxPartitionBytes")
+    spark.conf.set("spark.sql.files.maxPartitionBytes", "4096")
+    try:
+        rows = artifacts.read_lines(spark, f"file://{tmp_path}").collect()
+    finally:
+        spark.conf.set("spark.sql.files.maxPartitionBytes", old)
+    assert {(r["line_no"], r["line"]) for r in rows if r["artifact_id"].endswith("a.log")} == {(k, f"line {k}") for k in range(1, 2001)}
+    assert [(r["line_no"], r["line"]) for r in rows if r["artifact_id"].endswith("b.log")] == [(1, "x"), (2, "y")]
+
+
 def test_correlation_runs_in_order(spark):
     ids = ["gc-repeated-full-gcs", "pmap-anon-pressure", "container-memory-oom-events", "oom-signal-kernel-oom-kill", "hs-err-fatal-signal", "nmt-thread-stack-pressure"]
     findings = spark.createDataFrame([("i", x) for x in ids] + [("j", "gc-repeated-full-gcs")], "incident string, finding_id string")
@@ -337,8 +351,22 @@ def test_reports(spark, tmp_path):
     assert reports.catalog(back, "high", "gc-heap-saturation").count() == 1
     with pytest.raises(ValueError, match="analysis id"):
         reports.load(spark, "r", "../x")
-    text = spark.createDataFrame([("see /var/log/app.log and /var/log/app.log at 10.0.0.1, DB_PASSWORD=hunter2 on db.corp",), (None,)], "t string")
-    assert [r["t"] for r in reports.shareable(text, "t").collect()] == ["see <path-1> and <path-1> at <ip-1>, <env-1> on <host-1>", None]
+    text = spark.createDataFrame([("see /var/log/app.log and /var/log/app.log at 10.0.0.1, DB_PASSWORD=hunter2 on db.example.io",), (None,)], "t string")
+    assert [r["t"] for r in reports.shareable(text, "t").collect()] == ["see [redacted-path-1] and [redacted-path-1] at [redacted-host-1], DB_PASSWORD=[redacted-env-1] on [redacted-host-2]", None]
+
+
+def test_redaction_is_stable_within_a_report(spark):
+    rows = [
+        ("a", 1, "java command: app --x=1 /etc/p"), ("a", 2, "LIMIT=5 API_KEY = k1, host web.example.io v1.2 java.util.HashMap run.sh a.b.c.sh"), ("a", 3, "/opt/x then web.example.io and C:\\dir\\f.txt; 10.1.2.3"), ("a", 4, None), ("a", 5, "plain"),
+        ("b", 1, "at web.example.io /opt/x"), ("b", 2, "OCI_ID=7 gpt-4.1 model llama3.2"),
+    ]
+    df = spark.createDataFrame(rows, "report string, line_no int, text string")
+    got = {(r["report"], r["line_no"]): r["text"] for r in reports.shareable(df, "text", ["report"]).collect()}
+    assert got == {
+        ("a", 1): "java command: [redacted-command-1]", ("a", 2): "LIMIT=5 API_KEY = [redacted-env-1], host [redacted-host-1] v1.2 java.util.HashMap run.sh [redacted-host-2]",
+        ("a", 3): "[redacted-path-1] then [redacted-host-1] and [redacted-path-2]; [redacted-host-3]", ("a", 4): None, ("a", 5): "plain",
+        ("b", 1): "at [redacted-host-1] [redacted-path-1]", ("b", 2): "OCI_ID=[redacted-env-1] gpt-4.1 model llama3.2",
+    }
 
 
 def test_selectors_and_budgets():
