@@ -124,6 +124,8 @@ _BLANK[[9, 10, 11, 12, 13, 32]] = True
 _LOWER = np.arange(256, dtype=np.uint8)
 _LOWER[65:91] += 32
 _powers = [np.ones(1, np.uint64), np.ones(1, np.uint64)]
+#: Bytes of a text that is hashed at once.
+LONG_TEXT = 1 << 19
 
 
 def _power(n: int) -> list[np.ndarray]:
@@ -148,8 +150,16 @@ def mix(x: np.ndarray) -> np.ndarray:
 def word_hashes(texts: list[bytes], lower: bool) -> tuple[np.ndarray, np.ndarray]:
     """64-bit hashes of all words of all texts in order, and the number of words of each text.
 
-    A word's hash is a difference of prefix sums over its bytes, so the work is a few array operations for the whole list.
+    A word's hash is a difference of prefix sums over its bytes, so the work is a few array operations for the whole list. These take some 40
+    bytes for each byte of text, so long texts are hashed span by span; a word's hash doesn't depend on its place.
     """
+    if any(len(t) > LONG_TEXT for t in texts):
+        parts = [[_hashed([span], lower)[0] for span in spans_of(t, LONG_TEXT)] if len(t) > LONG_TEXT else [_hashed([t], lower)[0]] for t in texts]
+        return np.concatenate([h for part in parts for h in part]), np.array([sum(map(len, part)) for part in parts])
+    return _hashed(texts, lower)
+
+
+def _hashed(texts: list[bytes], lower: bool) -> tuple[np.ndarray, np.ndarray]:
     buffer = np.frombuffer(b" ".join(texts) + b" ", np.uint8)
     if lower:
         buffer = _LOWER[buffer]
@@ -186,7 +196,7 @@ def shingle_sets(texts: list[bytes], width: int) -> list[np.ndarray]:
     return out
 
 
-def chunks_of(column: pa.Array, most: int = 1 << 20) -> Iterator[list[bytes]]:
+def chunks_of(column: pa.Array, most: int = 1 << 19) -> Iterator[list[bytes]]:
     """UTF-8 texts of an Arrow column (null: empty), in lists of about ``most`` bytes."""
     held, size = [], 0
     for t in column.cast(pa.binary()):

@@ -358,6 +358,16 @@ def test_components_of_a_long_chain(spark):
     assert found == {**dict.fromkeys(range(201), 0), 900: 900, 901: 900}
 
 
+def test_long_texts_are_hashed_in_spans(monkeypatch):
+    from heapstone.llm import common
+
+    texts = [prose(3, 500).encode(), b"", ("x" * 300 + " y " + prose(4, 100)).encode(), b"a b"]
+    hashes, counts = word_hashes(texts, lower=True)
+    monkeypatch.setattr(common, "LONG_TEXT", 64)
+    again, counted = word_hashes(texts, lower=True)
+    assert np.array_equal(hashes, again) and np.array_equal(counts, counted)
+
+
 def test_word_hashes_tell_words_apart():
     texts = [b"a bb a", b"", b" \n", b"bb\x0ba", "é".encode()]
     hashes, counts = word_hashes(texts, lower=False)
