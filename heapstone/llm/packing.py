@@ -7,6 +7,7 @@ crosses documents and none needs padding: a batch takes sequences from one bucke
 
 from __future__ import annotations
 
+import os
 import re
 import zlib
 
@@ -137,6 +138,7 @@ _CUT = re.compile(rb"[0-9A-Za-z] (?=[0-9A-Za-z])")
 
 def encoder(path: str) -> UnitEncoder:
     """One for each Python worker and file."""
+    os.environ["TOKENIZERS_PARALLELISM"] = "false"  # a task has one core; the library's own threads would each hold memory
     encoders = held(__name__)
     if path not in encoders:
         encoders[path] = UnitEncoder(path)
