@@ -77,14 +77,14 @@ def legacy_blocks(lines: DataFrame) -> DataFrame:
     """Old G1 pauses run over several lines: the header ``GC pause (...)``, indented details, the closing times. One row with the joined text each.
 
     A block goes from a header to the line before the next one that isn't indented, detail or closing; a header without details is a block too.
+    Only such lines are ordered, of which logs in the unified format have next to none; a break in their numbers ends a block.
     """
     header = _block_header()
-    marked = lines.withColumn("_h", header.cast("int"))
-    order = Window.partitionBy("artifact_id").orderBy("line_no").rowsBetween(Window.unboundedPreceding, 0)
-    numbered = marked.withColumn("_block", F.sum("_h").over(order)).where("_block > 0")
-    detail = _line().rlike(r"^\s+\S|^, \d+\.\d+ secs\]|^\[Times") | (F.col("_h") == 1)
-    stop = Window.partitionBy("artifact_id", "_block").orderBy("line_no").rowsBetween(Window.unboundedPreceding, 0)
-    inside = numbered.withColumn("_off", F.sum((~detail).cast("int")).over(stop)).where("_off = 0")
+    detail = _line().rlike(r"^\s+\S|^, \d+\.\d+ secs\]|^\[Times")
+    order = Window.partitionBy("artifact_id").orderBy("line_no")
+    runs = lines.where(header | detail).withColumn("_h", header.cast("int")).withColumn("_gap", ((F.col("line_no") - F.lag("line_no").over(order) > 1) & (F.col("_h") == 0)).cast("int"))
+    numbered = runs.withColumn("_block", F.sum("_h").over(order.rowsBetween(Window.unboundedPreceding, 0))).where("_block > 0")
+    inside = numbered.withColumn("_off", F.sum("_gap").over(Window.partitionBy("artifact_id", "_block").orderBy("line_no").rowsBetween(Window.unboundedPreceding, 0))).where("_off = 0")
     joined = inside.groupBy("artifact_id", "_block").agg(F.min("line_no").alias("line_no"), F.max("line_no").alias("last_line"), F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("line_no", "line"))), lambda x: x["line"]), "\n").alias("text"))
     return joined.drop("_block")
 

@@ -264,11 +264,11 @@ _TREND = f"""{_JFR}, len AS (SELECT artifact_id, greatest(1.0, (max(end_us) - mi
  rated AS (SELECT artifact_id, signal_family, count(*) AS n, sum(duration_ms)::BIGINT AS total_ms, sum(size_bytes)::BIGINT AS bytes, count(*) * 60000 / any_value(ms) AS rate, 100 * sum(duration_ms)::BIGINT / any_value(ms) AS share, sum(size_bytes)::BIGINT * 1000 / any_value(ms) AS bps FROM j JOIN len USING (artifact_id) GROUP BY 1, 2), {_two_sides('rated', 'signal_family', 'j')}"""
 
 
-@query(f"""WITH {_TREND} SELECT pair_id, key, {_delta_sql(("n", "total_ms", "bytes"))}, round(greatest(0.0, coalesce(cur.rate, 0) - coalesce(base.rate, 0)) + 2 * greatest(0.0, coalesce(cur.share, 0) - coalesce(base.share, 0)) + greatest(0.0, coalesce(cur.bps, 0) - coalesce(base.bps, 0)) / 1e6, 4) AS score FROM j2""")
+@query(f"""WITH {_TREND} SELECT pair_id, key, {_delta_sql(("n", "total_ms", "bytes"))}, round(greatest(0.0, coalesce(cur.rate, 0) - coalesce(base.rate, 0)) + 2 * greatest(0.0, coalesce(cur.share, 0) - coalesce(base.share, 0)) + greatest(0.0, coalesce(cur.bps, 0) - coalesce(base.bps, 0)) / 1e6, 6) AS score FROM j2""")
 def jfr_family_regression(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Families of each recording against the next thread's, with the regression score."""
     found = digests.trend(_next_thread(spark, sf_dir, "j"), _timeline(spark, sf_dir), "signal_family")
-    return found.select("pair_id", "key", *(f"{side}_{m}" for m in ("n", "total_ms", "bytes") for side in ("current", "baseline", "delta")), F.round("score", 4).alias("score"))
+    return found.select("pair_id", "key", *(f"{side}_{m}" for m in ("n", "total_ms", "bytes") for side in ("current", "baseline", "delta")), "score")
 
 
 @query(f"""WITH {_TREND} SELECT pair_id, key, {_delta_sql(("n", "total_ms", "bytes"))} FROM j2 WHERE key IN ({', '.join(repr(f) for f in digests.RUNTIME)})""")
