@@ -7,7 +7,7 @@ from collections.abc import Callable
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from heapstone.llm import chat, host_rules, html_extract, mixing, near_dup, packing, quality_cnn, sharding, token_counts, vector_search
+from heapstone.llm import chat, conversation_trie, host_rules, html_extract, license_scan, merkle, mixing, near_dup, packing, quality_cnn, sharding, token_counts, vector_search
 from heapstone.llm import oracle as sql
 from heapstone.llm.common import read
 
@@ -53,11 +53,23 @@ def op10_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_counts.count_tokens(read(spark, sf_dir, "documents"), public_tokenizers.path("piece_bpe_32k.model"))
 
 
+def op11_conversation_prefix_trie(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return conversation_trie.prefix_trie(read(spark, sf_dir, "conversations"))
+
+
+def op12_merkle_manifest(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return merkle.audit(read(spark, sf_dir, "documents"))
+
+
+def op13_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return license_scan.scan_documents(read(spark, sf_dir, "documents"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     f.__name__: f
     for f in (
         op1_html_extraction, op2_sharding, op3_packing, op4_quality_classifier, op5_chat_formatting, op6_mixing, op7_quality_rules,
-        op8_minhash_near_dedup, op9_vector_search, op10_token_counts,
+        op8_minhash_near_dedup, op9_vector_search, op10_token_counts, op11_conversation_prefix_trie, op12_merkle_manifest, op13_license_scan,
     )
 }
 
