@@ -72,7 +72,7 @@ odbl-1.0 | open database license | this database is made available under the ope
 openssl | openssl project for use | this product includes software developed by the openssl project for use in the openssl toolkit
 php-3.01 | the name php must not | the name php must not be used to endorse or promote products
 postgresql | university of california be liable | in no event shall the university of california be liable to any party for direct indirect special incidental
-psf-2.0 | python software foundation | psf is making python available to licensee on an as is basis
+psf-2.0 | psf is making python | psf is making python available to licensee on an as is basis
 python-2.0 | stichting mathematisch centrum | stichting mathematisch centrum {w12}amsterdam
 ruby | you may redistribute it and or | you may redistribute it and or modify it under either the terms of the {w8}or the conditions below
 sleepycat | redistributions in any form must | redistributions in any form must be accompanied by information on how to obtain complete source code
@@ -80,7 +80,7 @@ sspl-1.0 | service source code | making the functionality of the program {w16}av
 unicode | unicode data files | permission is hereby granted free of charge to any person obtaining a copy of the unicode data files
 unlicense | free and unencumbered | this is free and unencumbered software released into the public domain
 upl-1.0 | universal permissive license | subject to the condition set forth below permission is hereby granted to any person {w40}universal permissive license
-vim | vim license | i there are no restrictions on distributing unmodified copies of vim
+vim | no restrictions on distributing | there are no restrictions on distributing unmodified copies of vim
 w3c | w3c software | w3c software notice and license
 wtfpl | do what the fuck | you just do what the fuck you want to
 zlib | altered source versions | altered source versions must be plainly marked as such and must not be misrepresented

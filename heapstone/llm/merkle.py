@@ -8,7 +8,8 @@ chunk's siblings above it are computed once and handed to all of its rows.
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
+from dataclasses import dataclass
 from hashlib import sha256
 
 import pyarrow as pa
@@ -22,6 +23,7 @@ from heapstone.llm.radix import each_copy, long_digits, ranks, text_digits
 CHUNK = 1024
 
 _CELL = ["g", "chunk"]
+Emit = Callable[[pa.Table, list[list[str]], pa.Table], pa.Table]
 _NODES = "g string, pos long, digest string, size long"
 _PATHS = "g string, pos long, path array<string>, subroot string, root string"
 
@@ -44,12 +46,27 @@ def _height(nodes: int, fanout: int) -> int:
     return height
 
 
-def _digits(fanout: int) -> int:
-    """Digits of a rank that a chunk covers."""
-    digits = 1
-    while fanout ** (digits + 1) <= CHUNK:
-        digits += 1
-    return digits
+@dataclass(frozen=True)
+class Shape:
+    """How many nodes make one above, and how many digits of a rank a chunk covers."""
+
+    fanout: int
+    digits: int
+
+    @classmethod
+    def of(cls, fanout: int, chunk: int) -> Shape:
+        digits = 1
+        while fanout ** (digits + 1) <= chunk:
+            digits += 1
+        return cls(fanout, digits)
+
+    @property
+    def span(self) -> int:
+        return self.fanout**self.digits
+
+    def levels(self, size: int) -> int:
+        """Levels that one step reduces of a group of ``size`` nodes."""
+        return min(self.digits, _height(size, self.fanout))
 
 
 def _rows(nodes: list[str], fanout: int, levels: int) -> list[list[str]]:
@@ -69,50 +86,45 @@ def _siblings(rows: list[list[str]], at: int, fanout: int) -> Iterator[str]:
         at //= fanout
 
 
-def _levels(size: int, fanout: int) -> int:
-    return min(_digits(fanout), _height(size, fanout))
-
-
 def _sorted_nodes(table: pa.Table) -> tuple[pa.Table, list[str], int]:
     table = table.sort_by("pos")
     return table, table["digest"].to_pylist(), table["size"][0].as_py()
 
 
-def _up(nodes: DataFrame, fanout: int) -> DataFrame:
+def _up(nodes: DataFrame, shape: Shape) -> DataFrame:
     """One node a chunk; ``size`` is the number of nodes of the group then."""
-    span = fanout ** _digits(fanout)
 
     def reduce(table: pa.Table) -> pa.Table:
         table, digests, size = _sorted_nodes(table)
-        root = _rows(digests, fanout, _levels(size, fanout))[-1][0]
-        return pa.table({"g": table["g"][:1], "pos": table["chunk"][:1], "digest": [root], "size": [-(-size // span)]})
+        root = _rows(digests, shape.fanout, shape.levels(size))[-1][0]
+        return pa.table({"g": table["g"][:1], "pos": table["chunk"][:1], "digest": [root], "size": [-(-size // shape.span)]})
 
     return nodes.groupBy(*_CELL).applyInArrow(reduce, _NODES)
 
 
-def _chunked(nodes: DataFrame, fanout: int) -> DataFrame:
-    return nodes.withColumn("chunk", F.floor(F.col("pos") / fanout ** _digits(fanout)))
+def _chunked(nodes: DataFrame, shape: Shape) -> DataFrame:
+    return nodes.withColumn("chunk", F.floor(F.col("pos") / shape.span))
 
 
-def _tree(nodes: DataFrame, store: Store, fanout: int) -> list[DataFrame]:
+def _tree(nodes: DataFrame, store: Store, shape: Shape) -> list[DataFrame]:
     """The nodes of every step, from ``nodes`` (g, pos, digest, size and more) to one node for each group."""
     steps, most = [nodes], nodes.agg(F.max("size")).first()[0] or 0
     while most > 1:
-        steps.append(store.keep(_up(_chunked(steps[-1], fanout), fanout)))
-        most = -(-most // fanout ** _digits(fanout))
+        steps.append(store.keep(_up(_chunked(steps[-1], shape), shape)))
+        most = -(-most // shape.span)
     return steps
 
 
-def _down(nodes: DataFrame, above: DataFrame, fanout: int, emit, schema: str) -> DataFrame:
+def _down(nodes: DataFrame, above: DataFrame, shape: Shape, emit: Emit, schema: str) -> DataFrame:
     """``emit(table, paths, above)`` for each chunk: its rows by position, their siblings up to the root, and the row of ``above`` for it."""
 
     def open_chunk(table: pa.Table, parent: pa.Table) -> pa.Table:
         table, digests, size = _sorted_nodes(table)
-        rows, rest = _rows(digests, fanout, _levels(size, fanout)), parent["path"][0].as_py()
-        return emit(table, [[*_siblings(rows, at, fanout), *rest] for at in range(len(digests))], parent)
+        rows, rest = _rows(digests, shape.fanout, shape.levels(size)), parent["path"][0].as_py()
+        return emit(table, [[*_siblings(rows, at, shape.fanout), *rest] for at in range(len(digests))], parent)
 
     parents = above.withColumnRenamed("pos", "chunk")
-    return _chunked(nodes, fanout).groupBy(*_CELL).cogroup(parents.groupBy(*_CELL)).applyInArrow(open_chunk, schema)
+    return _chunked(nodes, shape).groupBy(*_CELL).cogroup(parents.groupBy(*_CELL)).applyInArrow(open_chunk, schema)
 
 
 def _emit_paths(table: pa.Table, paths: list[list[str]], parent: pa.Table) -> pa.Table:
@@ -159,34 +171,34 @@ def leaves(docs: DataFrame, store: Store) -> DataFrame:
     return store.keep(each_copy(placed, "copies", "pos").select("g", "lang", "doc_id", "digest", F.coalesce("other", "digest").alias("seen"), "pos", "size"))
 
 
-def _opened(docs: DataFrame, fanout: int, emit, schema: str) -> DataFrame:
+def _opened(docs: DataFrame, shape: Shape, emit: Emit, schema: str) -> DataFrame:
     store = Store(docs.sparkSession, "merkle")
     rows = leaves(docs, store)
-    steps = _tree(rows, store, fanout)
+    steps = _tree(rows, store, shape)
     tops = steps[-1].select(F.lit("").alias("g"), F.col("g").alias("key"), F.col("digest"), F.lit(1).cast("long").alias("copies"))
     groups = store.keep(ranks(tops, store, ["g"], "key", "copies", "pos", "size").drop("copies"))
-    upper = _tree(groups, store, fanout)
+    upper = _tree(groups, store, shape)
     paths = upper[-1].select("g", "pos", F.array().cast("array<string>").alias("path"), F.lit("").alias("subroot"), F.col("digest").alias("root"))
     for step in reversed(upper[:-1]):
-        paths = _down(step, paths, fanout, _emit_paths, _PATHS)
+        paths = _down(step, paths, shape, _emit_paths, _PATHS)
     paths = groups.join(paths.select("pos", "path", "root"), "pos").select(F.col("key").alias("g"), F.lit(0).cast("long").alias("pos"), "path", F.col("digest").alias("subroot"), "root")
     for step in reversed(steps[1:-1]):
-        paths = _down(step, store.keep(paths), fanout, _emit_paths, _PATHS)
+        paths = _down(step, store.keep(paths), shape, _emit_paths, _PATHS)
     kept = store.keep(paths)
     store.finish(rows, kept)
-    return _down(rows, kept, fanout, emit, schema)
+    return _down(rows, kept, shape, emit, schema)
 
 
-def proofs(docs: DataFrame, fanout: int = 2) -> DataFrame:
+def proofs(docs: DataFrame, fanout: int = 2, chunk: int = CHUNK) -> DataFrame:
     """lang, pos, doc_id, leaf, siblings, subroot, root: for each row what a verifier needs. ``siblings`` has two texts a level from the leaf up to the
     root, the digests that stand left and right of the node; folding them around the leaf gives the root. Empty table: no rows."""
-    return _opened(docs, fanout, _emit_proofs, "lang string, pos long, doc_id long, leaf string, siblings array<string>, subroot string, root string")
+    return _opened(docs, Shape.of(fanout, chunk), _emit_proofs, "lang string, pos long, doc_id long, leaf string, siblings array<string>, subroot string, root string")
 
 
-def audit(docs: DataFrame, fanout: int = 2) -> DataFrame:
+def audit(docs: DataFrame, fanout: int = 2, chunk: int = CHUNK) -> DataFrame:
     """doc_id, leaf, subroot, root, proof_sha256, folded_root, verified: each row's proof, checked with the leaf as ``leaves`` says it is shown.
 
     Nulls in any column are part of the leaf, a null language is a group of its own and the first, a null id comes first in its group. Rows of
     equal id stand by their digests, equal rows side by side. Long texts are hashed where they are read and never shuffled. Empty table: no rows.
     """
-    return _opened(docs, fanout, _emit_audit, "doc_id long, leaf string, subroot string, root string, proof_sha256 string, folded_root string, verified boolean")
+    return _opened(docs, Shape.of(fanout, chunk), _emit_audit, "doc_id long, leaf string, subroot string, root string, proof_sha256 string, folded_root string, verified boolean")
