@@ -1,4 +1,10 @@
-"""DuckDB SQL for the operators that SQL can express."""
+"""DuckDB SQL for the operators that SQL can express. That of the licence scan has the rules as the operator has them; its base phrases and its sweep are its own."""
+
+from __future__ import annotations
+
+import re
+
+from heapstone.llm.license_rules import KINDS, rules
 
 WORD = "[^\\x20\\x09-\\x0D]+"
 
@@ -96,3 +102,109 @@ found AS (SELECT doc_id, min(r) AS component_id FROM reach GROUP BY doc_id)
 SELECT d.doc_id, coalesce(s.n, 0)::BIGINT AS n_shingles, f.component_id, d.doc_id = f.component_id AS kept
 FROM documents d JOIN found f USING (doc_id) LEFT JOIN sizes s USING (doc_id)
 """
+
+
+def _crc(text: str) -> str:
+    """CRC-32 of ASCII text, bit by bit."""
+    byte = "list_reduce([xor(a, b)] || range(8), lambda c, k: CASE WHEN c & 1 = 1 THEN xor(c >> 1, 3988292384) ELSE c >> 1 END)"
+    return f"xor(list_reduce([4294967295] || list_transform(string_split({text}, ''), lambda c: ascii(c)::BIGINT), lambda a, b: {byte}), 4294967295)"
+
+
+def _field(value: str) -> str:
+    return f"coalesce(strlen({value}::VARCHAR) || ':' || {value}::VARCHAR, '-')"
+
+
+MERKLE = f"""
+WITH RECURSIVE rows AS (
+  SELECT lang, doc_id, sha256({" || ".join(_field(c) for c in ("doc_id", "source", "lang", "n_chars", "text"))}) AS leaf,
+         CASE WHEN n_chars IS NOT NULL AND {_crc("doc_id::VARCHAR")} % 7 = 0 THEN sha256({" || ".join(_field(c) for c in ("doc_id", "source", "lang", "(n_chars + 1)", "text"))}) END AS other
+  FROM documents),
+placed AS (
+  SELECT *, dense_rank() OVER (ORDER BY lang NULLS FIRST) - 1 AS g, row_number() OVER (PARTITION BY lang ORDER BY doc_id NULLS FIRST, leaf) - 1 AS pos, count(*) OVER (PARTITION BY lang) AS n FROM rows),
+tree(g, lvl, pos, n, h) AS (
+  SELECT g, 0, pos, n, leaf FROM placed
+  UNION ALL SELECT g, lvl + 1, pos // 2, (n + 1) // 2, sha256(string_agg(h, '' ORDER BY pos)) FROM tree WHERE n > 1 GROUP BY g, lvl, pos // 2, n),
+subroots AS (SELECT g, h, lvl AS height FROM tree WHERE n = 1),
+top(lvl, pos, n, h) AS (
+  SELECT 0, g, (SELECT count(*) FROM subroots), h FROM subroots
+  UNION ALL SELECT lvl + 1, pos // 2, (n + 1) // 2, sha256(string_agg(h, '' ORDER BY pos)) FROM top WHERE n > 1 GROUP BY lvl, pos // 2, n),
+steps AS (
+  SELECT p.g, p.pos AS leaf_pos, p.lvl, CASE WHEN (p.pos >> p.lvl) % 2 = 1 THEN 'L' ELSE 'R' END || coalesce(t.h, '') AS step
+  FROM (SELECT placed.g, pos, unnest(range(height)) AS lvl FROM placed JOIN subroots USING (g)) p LEFT JOIN tree t ON t.g = p.g AND t.lvl = p.lvl AND t.pos = xor(p.pos >> p.lvl, 1)
+  UNION ALL
+  SELECT p.g, p.pos, 1000 + p.lvl, CASE WHEN (p.g >> p.lvl) % 2 = 1 THEN 'L' ELSE 'R' END || coalesce(t.h, '')
+  FROM (SELECT g, pos, unnest(range((SELECT max(lvl) FROM top))) AS lvl FROM placed) p LEFT JOIN top t ON t.lvl = p.lvl AND t.pos = xor(p.g >> p.lvl, 1)),
+paths AS (SELECT g, leaf_pos AS pos, list(step ORDER BY lvl) AS path FROM steps GROUP BY 1, 2),
+folded AS (
+  SELECT p.*, s.h AS subroot, (SELECT h FROM top WHERE n = 1) AS root, sha256(coalesce(array_to_string(list_transform(path, lambda x: x[2:]), ''), '')) AS proof_sha256,
+         list_reduce([coalesce(other, leaf)] || coalesce(path, []), lambda a, x: sha256(CASE WHEN x[1] = 'L' THEN x[2:] || a ELSE a || x[2:] END)) AS folded_root
+  FROM placed p JOIN subroots s USING (g) LEFT JOIN paths USING (g, pos))
+SELECT doc_id, leaf, subroot, root, proof_sha256, folded_root, folded_root = root AS verified FROM folded
+"""
+
+TRIE = f"""
+WITH turns AS (
+  SELECT conv_id, coalesce(role, '') AS role, coalesce(text, '') AS text,
+         row_number() OVER (PARTITION BY conv_id ORDER BY turn NULLS FIRST, md5(strlen(coalesce(role, '')) || ':' || coalesce(role, '') || coalesce(text, ''))) - 1 AS pos
+  FROM conversations WHERE conv_id IS NOT NULL),
+convs AS (SELECT conv_id AS c, {_crc("conv_id::VARCHAR")} % 4 AS h, conv_id - conv_id % 20 AS base FROM (SELECT DISTINCT conv_id FROM turns)),
+built AS (
+  SELECT c, 0 AS part, pos, role, text FROM convs JOIN turns ON conv_id = base WHERE pos < h
+  UNION ALL SELECT c, 1, pos, role, text FROM convs JOIN turns ON conv_id = c WHERE pos >= h),
+placed AS (
+  SELECT c, row_number() OVER w AS depth, md5(strlen(role) || ':' || role || text) AS m, coalesce(len(regexp_extract_all(text, '{WORD}')), 0) AS words FROM built WINDOW w AS (PARTITION BY c ORDER BY part, pos)),
+prefixes AS (
+  SELECT c, depth, words, md5(string_agg(m, '') OVER (PARTITION BY c ORDER BY depth ROWS UNBOUNDED PRECEDING)) AS p FROM placed
+  UNION ALL SELECT c, 0, 0, '' FROM convs),
+ended AS (SELECT c, max(depth) AS len FROM prefixes GROUP BY c),
+nodes AS (
+  SELECT depth, p, min(c) AS conv_id, count(*) AS n_convs, max(words) AS words, sha256(coalesce(string_agg(c::VARCHAR, ',' ORDER BY c) FILTER (len = depth), '')) AS ends_sha256
+  FROM prefixes JOIN ended USING (c) GROUP BY depth, p),
+linked AS (SELECT n.*, u.conv_id AS parent_conv_id FROM nodes n LEFT JOIN prefixes q ON q.c = n.conv_id AND q.depth = n.depth - 1 LEFT JOIN nodes u ON u.depth = q.depth AND u.p = q.p),
+children AS (SELECT parent_conv_id AS conv_id, depth - 1 AS depth, count(*) AS n_children FROM linked WHERE depth > 0 GROUP BY 1, 2),
+full_nodes AS (SELECT linked.*, coalesce(n_children, 0) AS n_children FROM linked LEFT JOIN children USING (conv_id, depth)),
+sums AS (
+  SELECT q.depth, q.p, count(*) FILTER (f.n_children = 0) AS n_leaves, sum((f.n_convs - 1) * f.words)::BIGINT AS saved_tokens
+  FROM full_nodes f JOIN prefixes q ON q.c = f.conv_id AND q.depth <= f.depth GROUP BY 1, 2)
+SELECT conv_id, depth, parent_conv_id, n_convs, n_children, n_leaves, saved_tokens, ends_sha256 FROM full_nodes JOIN sums USING (depth, p)
+"""
+
+
+def _doubled(pattern: str) -> str:
+    """A pattern over words that each stand between two spaces of their own, as DuckDB's expressions can't look around a match."""
+    return re.sub(r" (\?)?", lambda m: "(?:  )?" if m[1] else "  ", pattern)
+
+
+def _quoted(text: str) -> str:
+    return "'" + text.replace("'", "''") + "'"
+
+
+_BOOK = ", ".join(f"({n}, {_quoted(r.label)}, {_quoted('  '.join(r.keyword.split()))}, {_quoted(' (?:' + _doubled(r.pattern) + ') ')}, {r.kind}, {list(KINDS.values())[r.kind]}::DOUBLE)" for n, r in enumerate(rules()) if not r.base)
+_NEXT = lambda k: f"lead(w, {k}) OVER p"
+
+LICENSES = f"""
+WITH book(rule, label, keyword, pattern, kind, worth) AS (VALUES {_BOOK}),
+docs AS (
+  SELECT row_number() OVER () AS row, doc_id, regexp_extract_all(translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\\x00-\\x2F\\x3A-\\x60\\x7B-\\x7F]+') AS words FROM documents),
+lines AS (SELECT row, doc_id, coalesce(len(words), 0) AS n_words, ' ' || array_to_string(words, '  ') || ' ' AS line FROM docs),
+flat AS (SELECT row, unnest(words) AS w, unnest(range(len(words))) AS i FROM docs),
+phrases AS (SELECT row, i, w, {_NEXT(1)} AS w1, {_NEXT(2)} AS w2, {_NEXT(3)} AS w3 FROM flat WINDOW p AS (PARTITION BY row ORDER BY i)),
+base AS (
+  SELECT row, i, CASE WHEN w = 'gnu' AND w1 = 'general' AND w2 = 'public' AND w3 = 'license' THEN 'gpl' WHEN w = 'apache' AND w1 = 'license' THEN 'apache' WHEN w = 'cc' AND w1 = 'by' THEN 'cc-by' WHEN w = 'mit' AND w1 = 'license' THEN 'mit' END AS label FROM phrases),
+hits AS (
+  SELECT row, rule, label, kind, worth, regexp_extract_all(line, pattern) AS found, regexp_split_to_array(line, pattern) AS gaps FROM lines JOIN book ON contains(line, keyword)),
+placed AS (
+  SELECT row, rule, label, kind, worth, unnest(range(len(found))) AS k, unnest(list_transform(found, lambda x: len(string_split(trim(x), '  ')))) AS size, unnest(list_transform(gaps[:len(found)], lambda x: (len(x) - len(replace(x, ' ', ''))) // 2)) AS gap FROM hits WHERE len(found) > 0),
+own AS (
+  SELECT row, rule, label, kind, worth, sum(gap + size) OVER o - size AS first, sum(gap + size) OVER o - 1 AS last FROM placed WINDOW o AS (PARTITION BY row, rule ORDER BY k)),
+spans AS (
+  SELECT row, rule, label, kind, worth, first, last FROM own
+  UNION ALL SELECT row, 100000 + CASE label WHEN 'gpl' THEN 0 WHEN 'apache' THEN 1 WHEN 'cc-by' THEN 2 ELSE 3 END, label, {len(KINDS) - 1}, {list(KINDS.values())[-1]}::DOUBLE, i, i + CASE label WHEN 'gpl' THEN 3 ELSE 1 END FROM base WHERE label IS NOT NULL),
+standing AS (
+  SELECT * FROM spans a WHERE NOT EXISTS (SELECT 1 FROM spans b WHERE b.row = a.row AND b.kind <= a.kind AND b.first <= a.first AND b.last >= a.last AND (b.first < a.first OR b.last > a.last OR b.rule < a.rule))),
+named AS (SELECT row, string_agg(DISTINCT label, ',' ORDER BY label) AS labels FROM (SELECT row, label FROM standing UNION SELECT row, label FROM base WHERE label IS NOT NULL) GROUP BY row),
+scored AS (SELECT row, max(worth) AS score FROM standing GROUP BY row),
+based AS (SELECT row, count(label) AS n_base, min(i) AS first_word, max(i) AS last_word, string_agg(DISTINCT label, ',' ORDER BY label) AS base_labels FROM base WHERE label IS NOT NULL GROUP BY row)
+SELECT doc_id, n_words, coalesce(n_base, 0) AS n_base, first_word, last_word, coalesce(base_labels, '') AS base_labels, coalesce(labels, '') AS labels, coalesce(score, 0.0::DOUBLE) AS score
+FROM lines LEFT JOIN based USING (row) LEFT JOIN named USING (row) LEFT JOIN scored USING (row)
+"""

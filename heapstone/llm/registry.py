@@ -73,4 +73,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     )
 }
 
-SQL: dict[str, str] = {"op5_chat_formatting": sql.CHAT, "op6_mixing": sql.MIXING, "op7_quality_rules": sql.QUALITY_RULES, "op8_minhash_near_dedup": sql.NEAR_DEDUP}
+SQL: dict[str, str] = {
+    "op5_chat_formatting": sql.CHAT, "op6_mixing": sql.MIXING, "op7_quality_rules": sql.QUALITY_RULES, "op8_minhash_near_dedup": sql.NEAR_DEDUP,
+    "op11_conversation_prefix_trie": sql.TRIE, "op12_merkle_manifest": sql.MERKLE, "op13_license_scan": sql.LICENSES,
+}
