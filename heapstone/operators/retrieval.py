@@ -11,8 +11,11 @@ from pyspark.sql import functions as F
 
 from heapstone.operators import context
 from heapstone.operators.context import Selector
+from heapstone.operators.ranges import points_in, text_of
 from heapstone.operators.ranking import top_per_group
 
+__all__ = ["text_of"]
+
 KEY = ["artifact_id"]
 #: Lines before and after evidence, around an event, before and after a time span; windows shown; the size below which an artifact is shown whole.
 EVIDENCE, AROUND, SPAN, SHOWN, SMALL = 5, 2, (5, 10), 3, (16_000, 160)
@@ -38,14 +41,6 @@ def merged(ranges: DataFrame, keys: list[str] | None = None) -> DataFrame:
     return numbered.groupBy(*keys, "_g").agg(F.min("first_line").alias("first_line"), F.max("last_line").alias("last_line"), F.count("*").alias("n")).drop("_g")
 
 
-def text_of(ranges: DataFrame, lines: DataFrame, keys: list[str] | None = None) -> DataFrame:
-    """keys, first_line, last_line, text: the raw lines of each range, of which one range holds few."""
-    keys = keys or KEY
-    joined = ranges.join(lines, KEY).where(F.col("line_no").between(F.col("first_line"), F.col("last_line")))
-    text = F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("line_no", "line"))), lambda x: x["line"]), "\n")
-    return joined.groupBy(*keys, "first_line", "last_line").agg(text.alias("text"))
-
-
 def evidence_windows(evidence: DataFrame, lines: DataFrame, width: int = EVIDENCE) -> DataFrame:
     """artifact_id, first_line, last_line, n: lines around each piece of evidence (artifact_id, line_no), merged."""
     spans = evidence.select(*KEY, (F.col("line_no") - width).alias("first_line"), (F.col("line_no") + width).alias("last_line"))
@@ -111,21 +106,41 @@ def slice_by_id(slices: DataFrame, slice_id: str) -> DataFrame:
 def first_block(slices: DataFrame, lines: DataFrame, text: str) -> DataFrame:
     """The first slice of each artifact that holds a text (any case)."""
     hits = lines.where(F.lower("line").contains(text.lower())).select(*KEY, "line_no")
-    inside = slices.join(hits, KEY).where(F.col("line_no").between(F.col("first_line"), F.col("last_line")))
+    inside = points_in(slices, hits)
     return inside.groupBy(*KEY).agg(F.min_by(F.struct("slice_id", "kind", "first_line", "last_line"), "ordinal").alias("s")).select(*KEY, "s.*")
 
 
-def retrieve(lines: DataFrame, slices: DataFrame, events: DataFrame, selector: Selector, seen: DataFrame | None = None) -> tuple[str, DataFrame]:
-    """What a selector asks for, and the ranges: slice, lines, section, events by cause, phase, signal or GC number, a time span, a pattern, else the next unseen slice."""
+def asked_lines(selector: Selector) -> tuple[int, int] | None:
+    """First and last line that a request names, in order; None where they are no numbers."""
+    first, _, last = (selector.get("lines") or f"{selector.get('startLine', 'lineStart')}-{selector.get('endLine', 'lineEnd') or ''}").partition("-")
+    try:
+        low, high = sorted((int(first), int(last or first)))
+    except ValueError:
+        return None
+    return low, high
+
+
+def retrieve(lines: DataFrame, slices: DataFrame, events: DataFrame, selector: Selector, seen: DataFrame | None = None, collectors: DataFrame | None = None) -> tuple[str, DataFrame]:
+    """What a selector asks for, and the ranges: slice, incident, lines, section, streak, a window of seconds, events by cause, phase, signal or GC number, a time span, a pattern, else the next unseen slice.
+
+    Incidents need ``collectors`` (artifact_id, collector). A request that names no line (``lines=abc``) or an unknown incident gets no rows.
+    """
+    from heapstone.views import gc_ranges
+
     shown = ["artifact_id", "first_line", "last_line"]
     if selector.get("slice", "sliceId"):
         return "slice", slice_by_id(slices, selector.get("slice", "sliceId")).select(*shown)
+    if selector.get("incident") and collectors is not None:
+        return "incident", gc_ranges.incident(events, lines, collectors, selector.get("incident")).select(*shown)
     if selector.get("lines", "startLine", "lineStart"):
-        first, _, last = (selector.get("lines") or f"{selector.get('startLine', 'lineStart')}-{selector.get('endLine', 'lineEnd') or ''}").partition("-")
-        low, high = sorted((int(first), int(last or first)))
+        low, high = asked_lines(selector) or (1, 0)
         return "lines", clamped(ends(lines).select(*KEY, F.lit(low).alias("first_line"), F.lit(high).alias("last_line")), lines).select(*shown)
     if selector.get("section"):
         return "section", first_block(slices.where("kind = 'section'"), lines, selector.get("section")).select(*shown)
+    if selector.get("streak", "streakKind"):
+        return "streak", gc_ranges.streak(events, lines, selector.get("streak", "streakKind")).select(*shown)
+    if selector.number("windowSeconds") is not None:
+        return "window", gc_ranges.time_window(events, lines, selector).select(*shown)
     columns = {"cause": "cause", "pausetype": "pause_type", "phase": "phase", "phasekind": "phase_kind", "signaltype": "signal_type", "thread": "thread"}
     if any(k in selector.values for k in columns):
         return "events", event_windows(events.where(selector.matching(columns)), lines).select(*shown)
