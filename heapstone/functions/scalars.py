@@ -22,8 +22,8 @@ def found(text: Column, pattern: str, group: int = 1) -> Column:
 
 def size_bytes(amount: Column, unit: Column) -> Column:
     """Bytes of an amount with a unit of K, M, G or T (1024 each); no unit is bytes. Half up."""
-    power = F.when(F.upper(unit) == "K", 1024.0).when(F.upper(unit) == "M", 1024.0**2).when(F.upper(unit) == "G", 1024.0**3).when(F.upper(unit) == "T", 1024.0**4).otherwise(1.0)
-    return F.floor(amount * power + 0.5).cast("long")
+    power = F.coalesce(F.array_position(F.array(*map(F.lit, "KMGT")), F.upper(unit)), F.lit(0))
+    return F.floor(amount * F.pow(F.lit(1024.0), power) + 0.5).cast("long")
 
 
 def slug(text: Column) -> Column:

@@ -9,12 +9,11 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
-from pyspark.storagelevel import StorageLevel
 
 from heapstone.functions.scalars import found, number, size_bytes
 from heapstone.operators.ordered import nearest_rank
-from heapstone.operators.ranking import dominant, merged, ratio
-from heapstone.operators.timeline import longest_streak
+from heapstone.operators.ranking import merged, ratio
+from heapstone.sources.stored import stored
 
 
 def _line() -> Column:
@@ -64,8 +63,7 @@ def pause_type(event: Column) -> Column:
 
 def cause(event: Column) -> Column:
     """The last text in parentheses, else the event itself."""
-    inner = F.regexp_extract_all(event, F.lit(r"\(([^()]+)\)"), F.lit(1))
-    return F.when(F.size(inner) > 0, F.element_at(inner, -1)).otherwise(event)
+    return F.coalesce(F.try_element_at(F.regexp_extract_all(event, F.lit(r"\(([^()]+)\)"), F.lit(1)), F.lit(-1)), event)
 
 
 def _block_header() -> Column:
@@ -94,7 +92,9 @@ def _heap(text: Column, pattern: str) -> list[Column]:
     return [size_bytes(amount(k), F.regexp_extract(text, pattern, k + 1)).alias(name) for name, k in (("before_bytes", 1), ("after_bytes", 3), ("capacity_bytes", 5))]
 
 
+#: A kind's name, the test of its lines, its columns. Names in PARTS are texts of a line that other columns are taken from, each found once.
 Kind = tuple[str, Column, dict[str, Column]]
+PARTS = ("_event", "_heap")
 
 #: Columns of ``events`` beside the context: the kinds' own columns, null where a kind has none.
 FIELDS = {
@@ -108,14 +108,15 @@ def _pause_kinds() -> list[Kind]:
     """Pauses on one line: unified logs, then older ones."""
     event = F.trim(F.regexp_extract(_line(), r"\b(Pause .*?)\s*(?:" + CHANGE + r"\s*)?\d+\.\d+ms\s*$", 1))
     heap = lambda text: dict(zip(("before_bytes", "after_bytes", "capacity_bytes"), _heap(text, CHANGE), strict=True))
-    new = {"event": event, "cause": cause(event), "pause_type": pause_type(event), "amount_ms": number(_line(), r"(\d+\.\d+)ms\s*$"), **heap(_line())}
+    known = F.col("_event")
+    new = {"_event": event, "event": known, "cause": cause(known), "pause_type": pause_type(known), "amount_ms": number(_line(), r"(\d+\.\d+)ms\s*$"), "_heap": F.regexp_extract(_line(), CHANGE, 0), **heap(F.col("_heap"))}
     old_event = F.trim(F.regexp_extract(_line(), r"\[((?:Full )?GC(?: \([^)]*\)|--| pause|\s\([^\[]*\))*)", 1))
     text = F.coalesce(F.when(_line().rlike(r"\] +\d+[KMG]->"), F.regexp_extract(_line(), r"\] +(\d+[KMG]->\d+[KMG]\(\d+[KMG]\))", 1)), F.try_element_at(F.regexp_extract_all(_line(), F.lit(r"\d+[KMG]->\d+[KMG]\(\d+[KMG]\)"), F.lit(0)), F.lit(-1)), F.lit(""))
-    old_type = F.when(old_event.startswith("Full"), "FULL").when(_line().contains("initial-mark") | _line().contains("Initial Mark"), "INIT_MARK").when(_line().contains("Remark"), "REMARK").when(_line().contains("mixed"), "MIXED").otherwise("YOUNG")
-    old = {"event": old_event, "cause": cause(old_event), "pause_type": old_type, "amount_ms": number(_line(), r", (\d+\.\d+) secs\](?: \[Times.*)?\s*$") * 1000, **heap(text)}
+    old_type = F.when(known.startswith("Full"), "FULL").when(_line().contains("initial-mark") | _line().contains("Initial Mark"), "INIT_MARK").when(_line().contains("Remark"), "REMARK").when(_line().contains("mixed"), "MIXED").otherwise("YOUNG")
+    old = {"_event": old_event, "event": known, "cause": cause(known), "pause_type": old_type, "amount_ms": number(_line(), r", (\d+\.\d+) secs\](?: \[Times.*)?\s*$") * 1000, "_heap": text, **heap(F.col("_heap"))}
     return [
         ("pause", _line().rlike(r"\bPause .*\d+\.\d+ms\s*$"), new),
-        ("pause", _line().rlike(r"\[(Full )?GC\b.*, \d+\.\d+ secs\]") & ~_line().contains("[gc") & ~_block_header(), old),
+        ("pause", _line().rlike(r"\[(?:Full )?GC\b.*, \d+\.\d+ secs\](?: \[Times.*)?\s*$") & ~_line().contains("[gc") & ~_block_header(), old),
     ]
 
 
@@ -172,12 +173,13 @@ def _phase_kinds() -> list[Kind]:
     pattern = r"\b(?:Phase \d+: )?([A-Z][\w():,/ -]*?):? (\d+\.\d+)ms\s*$"
     legacy = r"\[(CMS-concurrent-[\w-]+): [\d.]+/(\d+\.\d+) secs\]|\[GC (concurrent-[\w-]+-end), (\d+\.\d+) secs\]"
     body = F.regexp_replace(_line(), r"^(?:.*?GC\(\d+\)\s+|(?!.*GC\(\d+\)\s).*\]\s*)", "")
-    name, old_name = F.trim(F.regexp_extract(body, pattern, 1)), F.coalesce(found(_line(), legacy, 1), found(_line(), legacy, 3))
+    known, old_name = F.col("_event"), F.coalesce(found(_line(), legacy, 1), found(_line(), legacy, 3))
     seconds = F.coalesce(number(_line(), legacy, 2), number(_line(), legacy, 4))
-    unified = _line().contains("[gc") & _line().rlike(pattern) & ~_line().contains("->") & ~_line().contains("Allocation Stall") & (_line().contains("phases") | _line().contains("marking") | _line().contains("Concurrent")) & (name != "")
+    some = _line().contains("phases") | _line().contains("marking") | _line().contains("Concurrent")
+    unified = _line().contains("[gc") & some & ~_line().contains("->") & ~_line().contains("Allocation Stall") & _line().rlike(r"\d\.\d+ms\s*$") & (F.trim(F.regexp_extract(body, pattern, 1)) != "")
     return [
-        ("phase", unified, {"phase": name, "phase_kind": _phase_kind(name), "amount_ms": number(body, pattern, 2)}),
-        ("phase", _line().rlike(legacy), {"phase": old_name, "phase_kind": _phase_kind(old_name), "amount_ms": seconds * 1000}),
+        ("phase", unified, {"_heap": body, "_event": F.trim(F.regexp_extract(body, pattern, 1)), "phase": known, "phase_kind": _phase_kind(known), "amount_ms": number(F.col("_heap"), pattern, 2)}),
+        ("phase", _line().rlike(legacy), {"_event": old_name, "phase": known, "phase_kind": _phase_kind(known), "amount_ms": seconds * 1000}),
     ]
 
 
@@ -212,15 +214,32 @@ _HINT = r"(?i)ms\s*$|secs\]|collection \(|allocation stall|mmu: |using \d|user=|
 
 
 def events(lines: DataFrame, kinds: list[Kind] | None = None) -> DataFrame:
-    """Every event of all ``kinds``: context, kind and FIELDS. A line may be several events (a failed pause is a pause and a signal)."""
+    """Every event of all ``kinds``: context, kind and FIELDS. A line may be several events (a failed pause is a pause and a signal).
+
+    Tests of kinds come first; a line's columns are then taken by the one kind that it is of.
+    """
     rows = gc_lines(lines.where(_line().rlike(_HINT)))
     chosen = _kinds() if kinds is None else kinds
-    structs = F.array(*(F.when(test, _wide(kind, columns)) for kind, test, columns in chosen))
-    single = rows.select("artifact_id", "line_no", "gc_id", "elapsed_s", "abs_ts", "raw_line", F.explode(F.filter(structs, lambda x: x.isNotNull())).alias("e"))
-    every = single
+    hits = F.array_compact(F.array(*(F.when(test, F.lit(k)) for k, (_, test, _) in enumerate(chosen))))
+    hit = rows.select("artifact_id", "line_no", "gc_id", "elapsed_s", "abs_ts", "raw_line", "line", F.explode_outer(hits).alias("_k")).where("_k IS NOT NULL")  # outer, or the optimizer tests every line again
+
+    def of_kind(name: str, kind_of: str = "string") -> Column:
+        own = [F.when(F.col("_k") == k, columns[name].cast(kind_of)) for k, (_, _, columns) in enumerate(chosen) if name in columns]
+        return (F.coalesce(*own) if own else F.lit(None).cast(kind_of)).alias(name)
+
+    named = F.element_at(F.array(*(F.lit(kind) for kind, _, _ in chosen)), F.col("_k") + 1).alias("kind")
+    context = ["artifact_id", "line_no", "gc_id", "elapsed_s", "abs_ts"]
+    hit = hit.select("*", *(of_kind(part) for part in PARTS))
+    every = hit.select(*context, named, *(of_kind(name, kind_of) for name, kind_of in FIELDS.items()), "raw_line")
     if any(kind == "pause" for kind, _, _ in chosen):
-        every = single.where("e.kind <> 'pause' OR e.amount_ms IS NOT NULL").unionByName(_block_pauses(lines))
-    return every.select("artifact_id", "line_no", "gc_id", "elapsed_s", "abs_ts", "e.kind", *(f"e.{name}" for name in FIELDS), "raw_line")
+        blocks = _block_pauses(lines).select(*context, "e.kind", *(f"e.{name}" for name in FIELDS), "raw_line")
+        every = every.unionByName(blocks)
+    return every
+
+
+def stored_events(lines: DataFrame) -> DataFrame:
+    """The events of all kinds as a table in the shared folder, for results that read them more than once."""
+    return stored(events(lines), "gc-events")
 
 
 def _only(df: DataFrame, kind: str, *columns: str | Column) -> DataFrame:
@@ -352,58 +371,82 @@ KEY, ORDER = ["artifact_id"], ["line_no"]
 
 
 def summary(artifacts: DataFrame, lines: DataFrame) -> DataFrame:
-    """The summary of parsed lines; see ``summary_of``. The typed events are kept on disk, so lines are parsed once for all that is read from them."""
-    return summary_of(collectors(artifacts), events(lines).persist(StorageLevel.DISK_ONLY))
+    """The summary of parsed lines; see ``summary_of``. The typed events are stored once, so lines are parsed once for all that is read from them."""
+    return summary_of(collectors(artifacts), stored_events(lines))
+
+
+def _of(kind: str) -> Column:
+    return F.col("kind") == kind
+
+
+def _sums(e: DataFrame) -> DataFrame:
+    """All counts, sums and extremes of an artifact's events, of every kind, in one aggregation."""
+    p, c, st, w, u, h, m, s = (_of(k) for k in ("pause", "cycle", "stall", "worker", "cpu", "humongous", "metaspace", "signal"))
+    ms, reclaimed = F.col("amount_ms"), _reclaimed_mb()
+    mine = lambda test, value: F.when(test, value)
+    kind = lambda name: p & (F.col("pause_type") == name)
+    full, concurrent = p & _full(), _of("phase") & (F.col("phase_kind") == "CONCURRENT")
+    utilization, spent, delta = F.when(F.col("available") > 0, F.col("active") / F.col("available")), F.col("user_s") + F.col("sys_s"), F.col("after") - F.col("before")
+    used, at = mine(m, F.col("used_kb")), mine(m, F.col("line_no"))
+    timed = p | c | st
+    return e.groupBy(*KEY).agg(
+        F.count_if(p).alias("pause_count"), F.count_if(full).alias("full_gc_count"), F.avg(mine(p, ms)).alias("average_pause_ms"), F.max(mine(p, ms)).alias("max_pause_ms"), F.sum(mine(p, ms)).alias("total_pause_ms"), F.when(F.count_if(p) > 0, F.coalesce(F.max(mine(full, ms)), F.lit(0.0))).alias("max_full_gc_pause_ms"),
+        F.max(mine(p | c, F.greatest("before_ratio", "after_ratio"))).alias("peak_occupancy_ratio"), F.max(mine(p, F.col("after_ratio"))).alias("peak_post_gc_occupancy_ratio"), F.avg(mine(p, F.col("after_ratio"))).alias("average_post_gc_occupancy_ratio"), F.count_if(p & _evacuation_failure()).alias("evacuation_failure_pause_count"),
+        F.count_if(full & F.lower("cause").contains("metadata")).alias("metaspace_full_gc_count"), F.count_if(p & _near("after_ratio", HIGH)).alias("high_retained_count"), F.count_if(p & _near("after_ratio", NEAR)).alias("near_capacity_count"), F.avg(mine(p, reclaimed)).alias("average_reclaimed_mb"),
+        F.count_if(kind("YOUNG")).alias("young_count"), F.count_if(kind("MIXED")).alias("mixed_count"), F.avg(mine(full, F.col("after_ratio"))).alias("average_full_post_gc_occupancy_ratio"), F.avg(mine(kind("MIXED"), F.col("after_ratio"))).alias("average_mixed_post_gc_occupancy_ratio"),
+        F.count_if(p & _weak_full()).alias("low_reclaim_full_count"), F.avg(mine(full, reclaimed)).alias("average_full_gc_reclaimed_mb"), F.avg(mine(full, F.greatest(F.lit(0), F.col("before_bytes") - F.col("after_bytes")) / F.col("capacity_bytes"))).alias("average_full_gc_reclaimed_share"), F.count_if(kind("MIXED") & _near("after_ratio", HIGH)).alias("high_retained_mixed_count"),
+        F.count_if(s).alias("failure_signal_count"), *(F.count_if(s & (F.col("signal_type") == k)).alias(f"{k.lower()}_count") for k in dict.fromkeys(k for k, _ in SIGNALS)), F.count_if(concurrent).alias("concurrent_phase_count"), F.max(mine(concurrent, ms)).alias("longest_concurrent_phase_ms"),
+        F.count_if(c).alias("gc_cycle_count"), F.max(mine(c, ms)).alias("longest_cycle_ms"), F.count_if(st).alias("allocation_stall_count"), F.max(mine(st, ms)).alias("max_allocation_stall_ms"), F.sum(mine(st, ms)).alias("total_allocation_stall_ms"),
+        F.count_if(w).alias("worker_sample_count"), F.max(mine(w, F.col("active"))).alias("max_active_workers"), F.min(mine(w, F.col("active"))).alias("min_active_workers"), F.max(mine(w, utilization)).alias("peak_worker_utilization"),
+        F.count_if(u).alias("cpu_sample_count"), F.max(mine(u, F.col("real_s"))).alias("max_cpu_real_s"), F.max(mine(u, F.when(F.col("real_s") > 0, spent / F.col("real_s")))).alias("peak_cpu_to_wall"),
+        F.count_if(h).alias("humongous_sample_count"), F.max(mine(h, F.col("after"))).alias("peak_humongous_after"), F.count_if(h & (delta > 0)).alias("humongous_growth_count"), F.max(mine(h, delta)).alias("humongous_max_growth"),
+        F.count_if(m).alias("metaspace_snapshot_count"), F.max(mine(m, ratio(F.col("used_kb"), F.col("committed_kb")))).alias("peak_metaspace_usage_ratio"), F.max_by(used, at).alias("latest_metaspace_used_kb"), (F.max_by(used, at) - F.min_by(used, at)).alias("metaspace_growth_kb"),
+        ((F.max(mine(timed, F.col("elapsed_s"))) - F.min(mine(timed, F.col("elapsed_s")))) * 1000).alias("log_window_ms"),
+    )
 
 
-def summary_of(collector: DataFrame, e: DataFrame) -> DataFrame:
-    """One wide row for each artifact: counts, durations, nearest-rank percentiles, occupancy, streaks, progression; what rules read.
+def _ordered(p: DataFrame) -> DataFrame:
+    """Streaks and progression of an artifact's pauses, from running counts in one order of its lines.
 
-    The log's window goes from the first to the last elapsed time over pauses, cycles and stalls. Event lists are aggregated apart and joined on the artifact; an artifact without events of a kind has 0 or null there.
+    A streak at a row is the count of its flag less that count at the last row which broke it. G1's way to full collections is told by what was
+    counted at the first mixed and the first full pause.
     """
-    p = pauses_of(e)
-    base = p.groupBy(*KEY).agg(
-        F.count("*").alias("pause_count"), F.count_if(_full()).alias("full_gc_count"), F.avg("pause_ms").alias("average_pause_ms"), F.max("pause_ms").alias("max_pause_ms"), F.sum("pause_ms").alias("total_pause_ms"), F.coalesce(F.max(F.when(_full(), F.col("pause_ms"))), F.lit(0.0)).alias("max_full_gc_pause_ms"),
-        F.max(F.greatest("before_ratio", "after_ratio")).alias("peak_occupancy_ratio"), F.max("after_ratio").alias("peak_post_gc_occupancy_ratio"), F.avg("after_ratio").alias("average_post_gc_occupancy_ratio"), F.count_if(_evacuation_failure()).alias("evacuation_failure_pause_count"),
-        F.count_if(_full() & F.lower("cause").contains("metadata")).alias("metaspace_full_gc_count"), F.count_if(_near("after_ratio", HIGH)).alias("high_retained_count"), F.count_if(_near("after_ratio", NEAR)).alias("near_capacity_count"), F.avg(_reclaimed_mb()).alias("average_reclaimed_mb"),
-        F.count_if(F.col("pause_type") == "YOUNG").alias("young_count"), F.count_if(F.col("pause_type") == "MIXED").alias("mixed_count"), F.avg(F.when(_full(), F.col("after_ratio"))).alias("average_full_post_gc_occupancy_ratio"), F.avg(F.when(F.col("pause_type") == "MIXED", F.col("after_ratio"))).alias("average_mixed_post_gc_occupancy_ratio"),
-        F.count_if(_weak_full()).alias("low_reclaim_full_count"), F.avg(F.when(_full(), _reclaimed_mb())).alias("average_full_gc_reclaimed_mb"), F.avg(F.when(_full(), F.greatest(F.lit(0), F.col("before_bytes") - F.col("after_bytes")) / F.col("capacity_bytes"))).alias("average_full_gc_reclaimed_share"),
-        F.count_if((F.col("pause_type") == "MIXED") & _near("after_ratio", HIGH)).alias("high_retained_mixed_count"), F.min("elapsed_s").alias("p_lo"), F.max("elapsed_s").alias("p_hi"),
+    order = Window.partitionBy(*KEY).orderBy(*ORDER).rowsBetween(Window.unboundedPreceding, 0)
+    full, weak = F.coalesce(_full(), F.lit(False)), _weak_full()
+    flags = {"near_capacity_streak": (_near("after_ratio", NEAR), None), "full_gc_streak": (full, None), "evacuation_failure_streak": (F.coalesce(_evacuation_failure(), F.lit(False)), None), "low_reclaim_full_streak": (F.coalesce(weak, F.lit(False)), full)}
+    marked = p.select(*KEY, "line_no", "pause_type", *(flag.alias(name) for name, (flag, _) in flags.items()), *((within if within is not None else F.lit(True)).alias(f"in_{name}") for name, (_, within) in flags.items()))
+    kinds = ("YOUNG", "MIXED", "FULL")
+    counted = marked.select("*", *(F.sum(F.col(name).cast("long")).over(order).alias(f"c_{name}") for name in flags), *(F.sum((F.col("pause_type") == k).cast("long")).over(order).alias(f"n_{k}") for k in kinds), F.row_number().over(Window.partitionBy(*KEY).orderBy(*ORDER)).alias("_i"))
+    since = counted.select("*", *(F.max(F.when(F.col(f"in_{name}") & ~F.col(name), F.col(f"c_{name}"))).over(order).alias(f"b_{name}") for name in flags))
+    at_first = lambda count, kind: F.coalesce(F.min_by(F.when(F.col("pause_type") == kind, F.col(f"n_{count}")), F.when(F.col("pause_type") == kind, F.col("_i"))), F.lit(0))
+    any_mixed = F.count_if(F.col("pause_type") == "MIXED") > 0
+    return since.groupBy(*KEY).agg(
+        *(F.max(F.when(F.col(name), F.col(f"c_{name}") - F.coalesce(f"b_{name}", F.lit(0))).otherwise(F.lit(0))).alias(name) for name in flags),
+        at_first("YOUNG", "MIXED").alias("young_before_first_mixed_count"), at_first("MIXED", "FULL").alias("mixed_before_first_full_count"),
+        F.when(any_mixed, F.coalesce(F.max("n_FULL"), F.lit(0)) - at_first("FULL", "MIXED")).otherwise(F.lit(0)).alias("full_after_mixed_count"),
     )
-    ranks = nearest_rank(p, KEY, "pause_ms", {"median_pause_ms": 0.5, "p95_pause_ms": 0.95, "p99_pause_ms": 0.99})
-    by_count = dominant(p, KEY, "cause", F.lit(1).cast("long"), "line_no").select("artifact_id", F.col("cause").alias("dominant_cause_by_count"))
-    by_total = dominant(p, KEY, "cause", F.col("pause_ms"), "line_no").select("artifact_id", F.col("cause").alias("dominant_cause_by_total_ms"))
-    streaks = [longest_streak(p, KEY, ORDER, flag).withColumnRenamed("streak", name) for flag, name in ((_near("after_ratio", NEAR), "near_capacity_streak"), (_full(), "full_gc_streak"), (_evacuation_failure(), "evacuation_failure_streak"))]
-    weak = longest_streak(p.where(_full()), KEY, ORDER, _weak_full()).withColumnRenamed("streak", "low_reclaim_full_streak")
-    s, c, st, w, u, h, m = signals_of(e), cycles_of(e), stalls_of(e), workers_of(e), cpu_of(e), humongous_of(e), metaspace_of(e)
-    kinds = s.groupBy(*KEY).agg(F.count("*").alias("failure_signal_count"), *(F.count_if(F.col("signal_type") == k).alias(f"{k.lower()}_count") for k in dict.fromkeys(k for k, _ in SIGNALS)))
-    ph = phases_of(e).where("phase_kind = 'CONCURRENT'").groupBy(*KEY).agg(F.count("*").alias("concurrent_phase_count"), F.max("duration_ms").alias("longest_concurrent_phase_ms"))
-    others = [
-        kinds, ph,
-        c.groupBy(*KEY).agg(F.count("*").alias("gc_cycle_count"), F.max(F.greatest("before_ratio", "after_ratio")).alias("cycle_peak_ratio"), F.max("duration_ms").alias("longest_cycle_ms"), F.min("elapsed_s").alias("c_lo"), F.max("elapsed_s").alias("c_hi")),
-        st.groupBy(*KEY).agg(F.count("*").alias("allocation_stall_count"), F.max("stall_ms").alias("max_allocation_stall_ms"), F.sum("stall_ms").alias("total_allocation_stall_ms"), F.min("elapsed_s").alias("s_lo"), F.max("elapsed_s").alias("s_hi")),
-        w.groupBy(*KEY).agg(F.count("*").alias("worker_sample_count"), F.max("active").alias("max_active_workers"), F.min("active").alias("min_active_workers"), F.max("utilization").alias("peak_worker_utilization")),
-        u.groupBy(*KEY).agg(F.count("*").alias("cpu_sample_count"), F.max("real_s").alias("max_cpu_real_s"), F.max("cpu_to_wall").alias("peak_cpu_to_wall")),
-        h.groupBy(*KEY).agg(F.count("*").alias("humongous_sample_count"), F.max("after").alias("peak_humongous_after"), F.count_if(F.col("delta") > 0).alias("humongous_growth_count"), F.max("delta").alias("humongous_max_growth")),
-        m.groupBy(*KEY).agg(F.count("*").alias("metaspace_snapshot_count"), F.max("usage_ratio").alias("peak_metaspace_usage_ratio"), F.max_by("used_kb", "line_no").alias("latest_metaspace_used_kb"), (F.max_by("used_kb", "line_no") - F.min_by("used_kb", "line_no")).alias("metaspace_growth_kb")),
-        progression(p),
-    ]
-    out = merged([collector, base, ranks, by_count, by_total, *streaks, weak, *others], KEY)
-    window_ms = (F.greatest("p_hi", "c_hi", "s_hi") - F.least("p_lo", "c_lo", "s_lo")) * 1000
-    out = out.withColumn("log_window_ms", window_ms).withColumn("stop_the_world_pct", ratio(100 * F.col("total_pause_ms"), F.col("log_window_ms"))).withColumn("peak_occupancy_ratio", F.greatest("peak_occupancy_ratio", "cycle_peak_ratio")).drop("p_lo", "p_hi", "c_lo", "c_hi", "s_lo", "s_hi", "cycle_peak_ratio")
-    return out.fillna(0, [f.name for f in out.schema if f.name.endswith(("_count", "_streak"))])
 
 
-def progression(p: DataFrame) -> DataFrame:
-    """G1's way to full collections: young pauses before the first mixed one, mixed before the first full one, full ones after a mixed one."""
-    rn = p.withColumn("_i", F.row_number().over(Window.partitionBy(*KEY).orderBy(*ORDER)))
-    every = Window.partitionBy(*KEY)
-    mixed, full = F.min(F.when(F.col("pause_type") == "MIXED", F.col("_i"))).over(every), F.min(F.when(_full(), F.col("_i"))).over(every)
-    marked = rn.withColumn("_m", mixed).withColumn("_f", full)
-    count = lambda kind, where: F.count_if((F.col("pause_type") == kind) & F.coalesce(where, F.lit(False)))
-    return marked.groupBy(*KEY).agg(
-        count("YOUNG", F.col("_i") < F.col("_m")).alias("young_before_first_mixed_count"), count("MIXED", F.col("_i") < F.col("_f")).alias("mixed_before_first_full_count"), count("FULL", F.col("_i") > F.col("_m")).alias("full_after_mixed_count")
-    )
+def _dominant_causes(p: DataFrame) -> DataFrame:
+    """The cause of most pauses and that of most time; ties go to the one seen first, then to the greater name."""
+    sums = p.where(F.col("cause").isNotNull()).groupBy(*KEY, "cause").agg(F.count("*").alias("n"), F.sum("amount_ms").alias("ms"), (-F.min("line_no")).alias("first"))
+    return sums.groupBy(*KEY).agg(F.max_by("cause", F.struct("n", "first", "cause")).alias("dominant_cause_by_count"), F.max_by("cause", F.struct("ms", "first", "cause")).alias("dominant_cause_by_total_ms"))
+
+
+def summary_of(collector: DataFrame, e: DataFrame) -> DataFrame:
+    """One wide row for each artifact: counts, durations, nearest-rank percentiles, occupancy, streaks, progression; what rules read.
+
+    The log's window goes from the first to the last elapsed time over pauses, cycles and stalls. An artifact without events of a kind has 0
+    or null there. ``e`` is read four times, so it should be stored.
+    """
+    known = _of("pause") & (F.col("capacity_bytes") > 0)
+    own = lambda c: F.when(_of("pause"), F.when(known, F.col(f"{c}_bytes") / F.col("capacity_bytes"))).otherwise(F.col(f"{c}_ratio"))
+    rated = e.withColumns({"before_ratio": own("before"), "after_ratio": own("after")})
+    p = rated.where(_of("pause"))
+    ranks = nearest_rank(p, KEY, "amount_ms", {"median_pause_ms": 0.5, "p95_pause_ms": 0.95, "p99_pause_ms": 0.99})
+    out = merged([collector, _sums(rated), _ordered(p), ranks, _dominant_causes(p)], KEY)
+    out = out.withColumn("stop_the_world_pct", ratio(100 * F.col("total_pause_ms"), F.col("log_window_ms")))
+    return out.fillna(0, [f.name for f in out.schema if f.name.endswith(("_count", "_streak"))])
 
 
 def breakdown(p: DataFrame, by: str) -> DataFrame:

@@ -96,7 +96,7 @@ def gc_comparison(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def _events(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return gc.events(r.gc_lines(spark, sf_dir))
+    return gc.stored_events(r.gc_lines(spark, sf_dir))
 
 
 @query(f"""WITH {r.GC_SQL}, w AS (SELECT * FROM q WHERE kind <> 'worker' AND elapsed_s BETWEEN 20.0 AND 450.0), l AS (SELECT DISTINCT artifact_id FROM q WHERE kind <> 'worker')

@@ -35,7 +35,7 @@ _DENSE = """d AS (SELECT artifact_id, line_no, CASE WHEN kind = 'signal' THEN 26
 def gc_incident_ranges(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The raw lines of every incident of each log."""
     lines = r.gc_lines(spark, sf_dir)
-    return gc_ranges.incident_slices(gc.events(lines), lines, gc.collectors(r.gc_artifacts(spark, sf_dir)))
+    return gc_ranges.incident_slices(gc.stored_events(lines), lines, gc.collectors(r.gc_artifacts(spark, sf_dir)))
 
 
 @query(f"""WITH {_CLUSTER}, {_ENDS}, m AS (SELECT n.artifact_id, n.line_no, CASE WHEN n.kind = 'signal' THEN 1000 ELSE greatest(1000, c * 10) END AS w FROM n JOIN best USING (artifact_id, streak, cluster) WHERE streak = 'distress'),
@@ -45,7 +45,7 @@ def gc_incident_ranges(spark: SparkSession, sf_dir: str) -> DataFrame:
 def gc_streak_ranges(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Raw lines around the heaviest, first and last event of each log's streak of distress."""
     lines = r.gc_lines(spark, sf_dir)
-    return gc_ranges.streak(gc.events(lines), lines, "Distress").select("artifact_id", "position", "first_line", "last_line", "line_no", "more")
+    return gc_ranges.streak(gc.stored_events(lines), lines, "Distress").select("artifact_id", "position", "first_line", "last_line", "line_no", "more")
 
 
 @query(f"""WITH {r.GC_SQL}, {_ENDS}, w AS (SELECT artifact_id, min(line_no) AS a, max(line_no) AS b, count(*) AS n FROM q WHERE elapsed_s BETWEEN 20 AND 65 AND kind <> 'worker' GROUP BY 1)
@@ -53,7 +53,7 @@ def gc_streak_ranges(spark: SparkSession, sf_dir: str) -> DataFrame:
 def gc_window_ranges(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Raw lines of all events in a window of seconds that a start and a width name."""
     lines = r.gc_lines(spark, sf_dir)
-    return gc_ranges.time_window(gc.events(lines), lines, Selector.parse("start=20s; windowSeconds=45"))
+    return gc_ranges.time_window(gc.stored_events(lines), lines, Selector.parse("start=20s; windowSeconds=45"))
 
 
 @query(f"""WITH {_DOCS}, x AS (SELECT artifact_id, greatest(1, line_no - 5) AS a, least(last, line_no + 5) AS b FROM l JOIN ends USING (artifact_id) WHERE contains(lower(line), 'tion the')), {_MERGE}

@@ -37,7 +37,8 @@ def gc_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
         .when(kind == "click", _cat(",phases] GC(", n, ") Concurrent Mark ", millis(c), "ms"))
         .otherwise(other)
     )
-    return events(spark, sf_dir).select(_cat("gc-", F.col("user_id")).alias("artifact_id"), (n + 1).cast("int").alias("line_no"), F.concat(stamp, tail).alias("line"))
+    rows = events(spark, sf_dir).select(_cat("gc-", F.col("user_id")).alias("artifact_id"), (n + 1).cast("int").alias("line_no"), F.concat(stamp, tail).alias("line"))
+    return rows.repartition(spark.sparkContext.defaultParallelism, "artifact_id")  # logs are files of their own, so as many tasks read them
 
 
 #: The same events in SQL, as the parsed columns should be: tables p (pauses), q (all events with their kind).

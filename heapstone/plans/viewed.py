@@ -76,7 +76,7 @@ def gc_event_retrieval(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The first three raw windows around the pauses that ``cause=metadata`` asks for."""
     lines = r.gc_lines(spark, sf_dir)
     empty = spark.createDataFrame([], "artifact_id string, slice_id string, kind string, first_line int, last_line int, ordinal int")
-    return retrieval.retrieve(lines, empty, gc.events(lines), Selector.parse("cause=metadata"))[1]
+    return retrieval.retrieve(lines, empty, gc.stored_events(lines), Selector.parse("cause=metadata"))[1]
 
 
 @query(f"""WITH {r.GC_SQL} SELECT artifact_id, count(*) AS n, max(pause_ms) AS max_ms, quantile_disc(pause_ms, 0.5) AS p50_ms, quantile_disc(pause_ms, 0.95) AS p95_ms, quantile_disc(pause_ms, 0.99) AS p99_ms FROM p WHERE c > 0 GROUP BY 1""")

@@ -3,7 +3,7 @@
 from __future__ import annotations
 
 from collections.abc import Callable
-from dataclasses import dataclass
+from dataclasses import dataclass, field
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -33,16 +33,20 @@ class Source:
     artifacts: DataFrame | None = None
     recording: DataFrame | None = None
     year: int = 1970
+    _events: DataFrame | None = field(default=None, repr=False, compare=False)
 
     def events(self) -> DataFrame:
-        return gc.events(self.lines)
+        """Parsed and stored once for all views of this source."""
+        if self._events is None:
+            self._events = gc.stored_events(self.lines)
+        return self._events
 
     def timeline(self) -> DataFrame:
         return jfr.timeline(self.recording)
 
 
 def _summary(columns: tuple[str, ...]) -> Callable[[Source, Selector], DataFrame]:
-    return lambda source, _: gc.summary(source.artifacts, source.lines).select("artifact_id", *columns)
+    return lambda source, _: gc.summary_of(gc.collectors(source.artifacts), source.events()).select("artifact_id", *columns)
 
 
 PRESSURE = ("collector", "full_gc_count", "p95_pause_ms", "max_pause_ms", "peak_post_gc_occupancy_ratio", "near_capacity_count", "near_capacity_streak", "metaspace_full_gc_count", "dominant_cause_by_total_ms", "evacuation_failure_pause_count", "to_space_exhausted_count", "full_gc_streak", "low_reclaim_full_count", "concurrent_mode_failure_count", "allocation_stall_count", "stop_the_world_pct")
