@@ -40,7 +40,7 @@ BREAKS_P = frozenset("address article aside blockquote div dl fieldset footer fo
 #: Buckets of path parts and words, measures of a block, hidden units of each direction.
 PATHS, WORDS, MEASURES, HIDDEN = 192, 48, 6, 24
 #: Invented pages to train on, passes over them, blocks that one batch holds.
-PAGES, EPOCHS, CELLS = 700, 6, 16384
+PAGES, EPOCHS, CELLS = 1000, 8, 16384
 #: Open elements that a path holds (as browsers bound their trees): deeper ones share their parent's path.
 DEEPEST = 512
 
@@ -174,7 +174,7 @@ def leaf_blocks(page: str) -> list[tuple[tuple[str, ...], str, int]]:
             for key, value in _ATTRIBUTE.findall(attributes):
                 key, value = key.lower(), value.strip("\"'")
                 if key == "style":
-                    if "none" in value.lower() and "display" in value.lower() or "hidden" in value.lower():
+                    if _hides(value):
                         parts.append("~hidden")
                 elif key in ("hidden", "aria-hidden"):
                     if key == "hidden" or value.lower() == "true":
@@ -188,6 +188,15 @@ def leaf_blocks(page: str) -> list[tuple[tuple[str, ...], str, int]]:
     return blocks
 
 
+def _hides(style: str) -> bool:
+    """Whether one of a style's declarations takes its element from the page; of one property the last counts."""
+    said = {}
+    for declaration in style.lower().split(";"):
+        name, _, value = declaration.partition(":")
+        said[name.strip()] = value.partition("!")[0].strip()
+    return said.get("display") == "none" or said.get("visibility") == "hidden"
+
+
 @lru_cache(maxsize=1 << 16)
 def _path_vector(path: tuple[str, ...]) -> np.ndarray:
     """Each part, and each of the last two tags by itself, in its bucket."""
@@ -335,7 +344,7 @@ def invented_page(rng: np.random.Generator) -> tuple[str, list[bool]]:
         n = int(rng.integers(low, high))
         words = ["".join(pick_one(syllables) for _ in range(int(rng.integers(1, 4)))) if not furniture or rng.random() < 0.6 else pick_one(FURNITURE_WORDS) for _ in range(n)]
         text = " ".join(w + "." * (rng.random() < 0.1) for w in words)
-        return text + pick_one((".", "", "!", "%%%")) if not furniture else text
+        return text + pick_one((".", "", "!")) if not furniture else text
 
     def box(names: tuple, attributes: bool = True) -> tuple[str, str]:
         tag, label = pick_one(names)
@@ -372,20 +381,71 @@ def invented_page(rng: np.random.Generator) -> tuple[str, list[bool]]:
                 leaf("button", prose(1, 3, True), False)
         out.append(end)
 
+    def hidden() -> None:
+        """Something that no reader sees, wherever it stands."""
+        tag = pick_one(("div", "p", "section", "span", "ul"))
+        out.append(f"<{tag} {pick_one(HIDDEN_BY)}>" if tag != "span" else f"<div {pick_one(HIDDEN_BY)}>")
+        for _ in range(int(rng.integers(1, 4))):
+            leaf("li" if tag == "ul" else "p" if tag in ("div", "section", "span") and rng.random() < 0.7 else "div" if tag != "p" else "b", prose(2, 40, rng.random() < 0.3), False)
+            if tag == "p":
+                break
+        out.append(f"</{tag}>" if tag != "span" else "</div>")
+
+    def bare_page() -> str:
+        """A page that is nothing but its text: without tags, right in the body, in paragraphs, or in boxes without a name."""
+        shape, n = int(rng.integers(5)), int(rng.integers(1, 16))
+        if shape == 0:
+            labels.append(True)
+            return prose(5, 200, False)
+        if shape == 1:
+            parts = [prose(5, 90, False) for _ in range(n)]
+            labels.extend([True] * n)
+            body = pick_one(("<br><hr>", "<hr>")).join(parts)
+        else:
+            tag = pick_one(("p", "p", "div")) if shape < 4 else "p"
+            if rng.random() < 0.4:
+                leaf("h1", prose(3, 12, False), True)
+            for _ in range(n):
+                leaf(tag, prose(1, 70, False), True)
+            inner = "".join(out)
+            body = f"<div{pick_one(VISIBLE)}>{inner}</div>" if shape >= 3 else inner
+        return body if rng.random() < 0.4 else f"<html><body{pick_one(VISIBLE)}>{body}</body></html>"
+
     def main_part() -> None:
         wrap = box(SIMPLE_BOXES) if rng.random() < 0.3 else ("", "")
         start, end = box(MAIN_BOXES)
+        if rng.random() < 0.12:
+            start, end = f"<div{pick_one(VISIBLE)}>", "</div>"  # a box that doesn't tell what it holds
         out.append(wrap[0] + start)
+        unnamed = rng.random() < 0.2
+        if unnamed:
+            out.append(f"<div{pick_one(VISIBLE)}>")
         if rng.random() < 0.85:
             leaf("h1", prose(3, 12, False), True)
-        kinds = rng.random()
+        kinds, paragraph = rng.random(), "div" if rng.random() < 0.12 else "p"
         for k in range(int(rng.integers(1, 14))):
             roll = rng.random()
             if kinds < 0.15 and roll < 0.5:
                 out.append(prose(8, 60, False) + "<br>")
                 labels.append(True)
+            elif roll < 0.05:
+                hidden()
+            elif roll < 0.09:
+                shape = int(rng.integers(3))
+                if shape == 0:
+                    leaf("pre", prose(3, 40, False), True, pick_one(("", "code")))
+                elif shape == 1:
+                    out.append("<dl>")
+                    for _ in range(int(rng.integers(1, 4))):
+                        leaf("dt", prose(1, 4, False), True)
+                        leaf("dd", prose(3, 20, False), True)
+                    out.append("</dl>")
+                else:
+                    out.append('<figure><img src="a.png">')
+                    leaf("figcaption", prose(3, 15, False), True)
+                    out.append("</figure>")
             elif roll < 0.72:
-                leaf("p", prose(1, 70, False), True, pick_one(("", "", "", "b", "em")))
+                leaf(paragraph, prose(1, pick_one((3, 70, 70, 70)), False), True, pick_one(("", "", "", "b", "em")))
             elif roll < 0.8:
                 leaf(pick_one(("h2", "h3")), prose(2, 7, False), True)
             elif roll < 0.86:
@@ -407,8 +467,10 @@ def invented_page(rng: np.random.Generator) -> tuple[str, list[bool]]:
                 furniture(pick_one((ADVERTS, SIDES, FORMS, NOTICES)))
         if rng.random() < 0.12:
             furniture(COMMENTS)
-        out.append(end + wrap[1])
+        out.append("</div>" * unnamed + end + wrap[1])
 
+    if rng.random() < 0.12:
+        return bare_page(), labels
     leaf("title", prose(2, 10, False), False)
     out[-1] = f"<html><head>{out[-1]}<style>p{{}}</style></head><body>"
     for names, chance in ((NOTICES, 0.25), (HEADERS, 0.4), (MENUS, 0.8), (ADVERTS, 0.5), (SIDES, 0.2), (FORMS, 0.2)):
@@ -421,6 +483,9 @@ def invented_page(rng: np.random.Generator) -> tuple[str, list[bool]]:
     return "".join(out) + "</body></html>" * (rng.random() < 0.9), labels
 
 
+#: Styles that hide an element, and attributes that don't.
+HIDDEN_BY = ('style="display:none"', 'style="display: none;"', "hidden", 'aria-hidden="true"', 'style="visibility:hidden"')
+VISIBLE = ("", "", ' style="color:red"', ' style="overflow:hidden"', ' style="display:block;border:none"', ' style="margin:0"')
 SIMPLE_BOXES = (("div", "wrapper"), ("div", "container"), ("section", ""), ("div", "page"), ("div", "row"), ("div", "main"))
 
 
@@ -449,6 +514,9 @@ def trained(pages: int = PAGES, epochs: int = EPOCHS) -> BlockLabeller:
                 m += 0.1 * (g - m)
                 v += 0.005 * (g * g - v)
                 p -= rate * (m / (1 - 0.9**n)) / (np.sqrt(v / (1 - 0.995**n)) + 1e-7)
+    never = ~np.any([v.any(0) for v, _ in made], 0)  # what no page showed says nothing
+    for w in (model.parameters[0], model.parameters[3]):
+        w[never] = 0
     return model
 
 
