@@ -12,6 +12,8 @@ from dataclasses import dataclass
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from heapstone.sources.stored import stored
+
 #: Parts of names of variables whose value is redacted, and beginnings of such names.
 SENSITIVE = ("TOKEN", "SECRET", "PASSWORD", "PASS", "PWD", "KEY", "CREDENTIAL", "COOKIE", "SESSION", "AUTH", "HOME", "USER", "USERNAME", "LOGNAME", "HOST", "PATH", "JAVA", "KUBECONFIG")
 SENSITIVE_STARTS = ("OCI_", "AWS_", "AZURE_", "GCP_")
@@ -78,8 +80,7 @@ def _marked(step: Step) -> Callable[[Column], Column]:
             full = F.concat(x["a"], x["b"], new) if step.kept else new
             return F.when(step.test(x["a"], x["c"]), full).otherwise(x["whole"]) if step.test else full
 
-        parts, pieces = F.split(text, step.pattern, -1), F.transform(rows, shown)
-        joined = F.array_join(F.transform(parts, lambda p, i: F.when(i == 0, p).otherwise(F.concat(F.try_element_at(pieces, i), p))), "")
+        joined = _interleaved(F.split(text, step.pattern, -1), F.transform(rows, shown))
         value = lambda x: F.concat(x["a"], F.lit("="), x["c"]) if step.name == "env" else x["c"]
         found = F.transform(rows, lambda x: F.struct(F.lit(step.kind).alias("kind"), value(x).alias("value")))
         after = F.struct(joined.alias("text"), F.concat(values, found).cast(_VALUES).alias("values"))
@@ -101,24 +102,46 @@ def token(kind: Column, number: Column) -> Column:
     return F.concat(F.lit("[redacted-"), kind, F.lit("-"), number.cast("string"), F.lit("]"))
 
 
-def _resolved(text: Column, tokens: Column) -> Column:
-    """Placeholders replaced by tokens (structs of ``n``, ``t``)."""
-    return F.aggregate(tokens, text, lambda done, x: F.replace(done, _placeholder(x["n"]), x["t"]))
+def _interleaved(parts: Column, between: Column) -> Column:
+    """The parts of a text with what stands between them, of which there is one less."""
+    return F.array_join(F.zip_with(parts, F.concat(F.array(F.lit("")), between), lambda p, x: F.concat(F.coalesce(x, F.lit("")), F.coalesce(p, F.lit("")))), "")
+
+
+#: Placeholders in a marked text.
+_PLACE = r"\)\ue000(\d{1,9})\ue001\)"
 
 
-def _used(state: Column) -> Column:
-    """Structs of number, kind and value whose placeholder stands in the text."""
-    numbered = F.transform(state["values"], lambda x, i: F.struct(i.alias("n"), x["kind"].alias("kind"), x["value"].alias("value")))
-    return F.filter(numbered, lambda x: state["text"].contains(_placeholder(x["n"])))
+def _placed(state: Column) -> Column:
+    """Structs of number, kind and value of the placeholders that stand in the text, in its order. Kind is null for one that a text came with."""
+    numbers = F.transform(F.regexp_extract_all(state["text"], F.lit(_PLACE), F.lit(1)), lambda n: n.cast("int"))
+    return F.transform(numbers, lambda n: F.struct(n.alias("n"), F.get(state["values"], n)["kind"].alias("kind"), F.get(state["values"], n)["value"].alias("value")))
+
+
+def _resolved(text: Column, tokens: Column) -> Column:
+    """A marked text with one token for each placeholder in its order: cut once at all of them and joined again."""
+    return _interleaved(F.split(text, _PLACE, -1), tokens)
 
 
 def redact(text: Column, names: tuple[str, ...] = NAMES) -> Column:
-    """One text by itself: values are numbered by kind in the order they were found. Null stays null."""
+    """One text by itself: values are numbered by kind in the order they were found. Null stays null.
+
+    Each value is looked up among the distinct ones of its text, so texts with tens of thousands of values are for ``redact_texts``.
+    """
+    kinds = tuple(dict.fromkeys(step.kind for step in STEPS))
 
     def run(state: Column) -> Column:
-        used = _used(state)
-        number = lambda x: F.array_position(F.array_distinct(F.transform(F.filter(used, lambda y: y["kind"] == x["kind"]), lambda y: y["value"])), x["value"])
-        return _resolved(state["text"], F.transform(used, lambda x: F.struct(x["n"].alias("n"), token(x["kind"], number(x)).alias("t"))))
+        def resolve(placed: Column) -> Column:
+            ordered = F.array_sort(placed)
+            distinct = lambda kind: F.array_distinct(F.transform(F.filter(ordered, lambda y: y["kind"] == kind), lambda y: y["value"]))
+            lists = F.struct(*(distinct(k).alias(k) for k in kinds))
+
+            def numbered(of: Column) -> Column:
+                number = lambda x: F.coalesce(*(F.when(x["kind"] == k, F.array_position(of[k], x["value"])) for k in kinds))
+                return _resolved(state["text"], F.transform(placed, lambda x: F.coalesce(token(x["kind"], number(x)), _placeholder(x["n"]))))
+
+            return F.transform(F.array(lists), numbered)[0]
+
+        return F.transform(F.array(_placed(state)), resolve)[0]
 
     return F.transform(F.array(marked(text, names)), lambda s: F.when(s.isNotNull(), run(s)))[0]
 
@@ -126,14 +149,21 @@ def redact(text: Column, names: tuple[str, ...] = NAMES) -> Column:
 def redact_report(rows: DataFrame, keys: list[str], order: str, text: str) -> DataFrame:
     """``rows`` with the text column redacted: a value has one token in all rows of a report (``keys``), numbered by kind from where it first stands.
 
-    A table of a report's distinct values is numbered and joined back; what one row holds is all that meets in one place. ``keys`` and ``order``
-    name a row.
+    ``keys`` and ``order`` name a row. Marked texts are stored once. A table of a report's distinct values is numbered and joined back, a row's
+    tokens are sorted into its text's order, so the work follows the number of values, also within one text.
     """
-    made = rows.withColumn("_m", marked(F.col(text)))
-    found = made.where("size(_m.values) > 0").select(*keys, order, F.posexplode(_used(F.col("_m"))).alias("_p", "_u")).select(*keys, order, "_p", F.col("_u.n").alias("_n"), F.col("_u.kind").alias("_kind"), F.col("_u.value").alias("_value"))
-    firsts = found.groupBy(*keys, "_kind", "_value").agg(F.min(F.struct(order, "_p")).alias("_first"))
-    named = firsts.withColumn("_t", token(F.col("_kind"), F.row_number().over(Window.partitionBy(*keys, "_kind").orderBy("_first"))))
-    tokens = found.join(named, [*keys, "_kind", "_value"]).groupBy(*keys, order).agg(F.collect_list(F.struct(F.col("_n").alias("n"), F.col("_t").alias("t"))).alias("_tokens"))
+    made = stored(rows.withColumn("_m", marked(F.col(text))), "redaction")
+    cells = made.where("size(_m.values) > 0").select(*keys, order, F.explode(F.transform(_placed(F.col("_m")), lambda x, i: F.struct(i.alias("at"), x["n"].alias("n"), x["kind"].alias("kind"), x["value"].alias("value")))).alias("_u"))
+    found = cells.select(*keys, order, F.col("_u.at").alias("_at"), F.col("_u.n").alias("_n"), F.col("_u.kind").alias("_kind"), F.col("_u.value").alias("_value"))
+    firsts = found.where("_kind IS NOT NULL").groupBy(*keys, "_kind", "_value").agg(F.min(F.struct(order, "_n")).alias("_first"))
+    named = firsts.withColumn("_t", token(F.col("_kind"), F.row_number().over(Window.partitionBy(*keys, "_kind").orderBy("_first")))).drop("_first")
+    given = found.join(named, [*keys, "_kind", "_value"], "left").withColumn("_t", F.coalesce("_t", _placeholder(F.col("_n"))))
+    tokens = given.groupBy(*keys, order).agg(F.transform(F.array_sort(F.collect_list(F.struct("_at", "_t"))), lambda x: x["_t"]).alias("_tokens"))
     joined = made.join(tokens, [*keys, order], "left")
     done = F.when(F.col("_tokens").isNull(), F.col("_m.text")).otherwise(_resolved(F.col("_m.text"), F.col("_tokens")))
     return joined.withColumn(text, done).select(*rows.columns)
+
+
+def redact_texts(rows: DataFrame, keys: list[str], text: str) -> DataFrame:
+    """As ``redact`` for each row (``keys`` name it), however many values its text has."""
+    return redact_report(rows.withColumn("_order", F.lit(0)), keys, "_order", text).drop("_order")
