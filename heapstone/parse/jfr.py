@@ -211,7 +211,7 @@ def summary(rows: DataFrame) -> DataFrame:
         F.count_if(low.contains("codecachefull")).alias("code_cache_full_count"), F.min("start_us").alias("start_us"), F.max("end_us").alias("end_us"),
     ]
     out = rows.groupBy(key).agg(*aggs)
-    best = lambda df, name, p: df.groupBy(key).agg(F.max(F.struct("n", "share", "byte_share", name)).alias("b")).select(key, F.col(f"b.{name}").alias(f"{p}"), F.col("b.n").alias(f"{p}_count"), F.col("b.share").alias(f"{p}_share"), F.col("b.byte_share").alias(f"{p}_byte_share"))
+    best = lambda df, name, p: df.groupBy(key).agg(F.min_by(F.struct("n", "share", "byte_share", name), F.struct(-F.col("n"), -F.col("share"), -F.col("byte_share"), F.col(name))).alias("b")).select(key, F.col(f"b.{name}").alias(f"{p}"), F.col("b.n").alias(f"{p}_count"), F.col("b.share").alias(f"{p}_share"), F.col("b.byte_share").alias(f"{p}_byte_share"))
     for df, name, p in ((hotspots(rows, ["executionSample"]), "top_method", "execution_method"), (hotspots(rows, list(RUNTIME)), "top_method", "runtime_method"), (hotspots(rows, ["allocation"]), "top_method", "allocation_method"), (classes(rows, ["allocation"]), "class_name", "allocation_class"), (classes(rows, ["oldObject"]), "class_name", "old_object_class")):
         out = out.join(best(df, name, p), key, "left")
     return out.fillna(0)

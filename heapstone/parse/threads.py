@@ -84,7 +84,7 @@ def summary(lines: DataFrame) -> DataFrame:
     spin = (F.col("state") == "RUNNABLE") & (F.col("cpu_ms") >= 1000) & (F.col("elapsed_s") >= 5)
     share = F.col("cpu_ms") / (F.col("elapsed_s") * 1000)
     base = rows.groupBy(KEY).agg(F.count("*").alias("thread_count"), *(F.count_if(F.col("state") == s).alias(f"{s.lower()}_count") for s in STATES), F.count_if("pinned").alias("pinned_count"), F.coalesce(F.max(F.when(spin, share)), F.lit(0.0)).alias("spin_share"), F.coalesce(F.max_by(F.when(spin, F.col("cpu_ms")), F.when(spin, share)), F.lit(0.0)).alias("spin_cpu_ms"))
-    strongest = hotspots(rows).groupBy(KEY).agg(F.max(F.struct("blocked", "waiters", "monitor")).alias("m")).select(KEY, F.col("m.blocked").alias("monitor_blocked"), F.col("m.waiters").alias("monitor_waiters"), F.col("m.monitor").alias("monitor"))
+    strongest = hotspots(rows).groupBy(KEY).agg(F.min_by(F.struct("blocked", "waiters", "monitor"), F.struct(-F.col("blocked"), -F.col("waiters"), F.col("monitor"))).alias("m")).select(KEY, F.col("m.blocked").alias("monitor_blocked"), F.col("m.waiters").alias("monitor_waiters"), F.col("m.monitor").alias("monitor"))
     p = pools(rows)
     stuck = p.where("blocked >= 2 OR (threads >= 3 AND runnable = 0 AND stalled >= 2)").groupBy(KEY).agg(F.max(F.struct("blocked", "stalled", "threads", "runnable", "pool_name")).alias("p")).select(KEY, *(F.col(f"p.{c}").alias(f"pool_{c}") for c in ("blocked", "stalled", "threads", "runnable")))
     io = p.where("threads >= 3 AND in_io >= 2").groupBy(KEY).agg(F.max(F.struct("in_io", "runnable_not_io")).alias("p")).select(KEY, F.col("p.in_io").alias("io_threads"), F.col("p.runnable_not_io").alias("io_pool_runnable"))

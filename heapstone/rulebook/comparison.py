@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from heapstone.operators.rules import Rule, evaluate
@@ -40,11 +40,12 @@ PMAP = (
     Rule("compare-pmap-reserved-expansion", f"{_RSS} AND (c_total_size_kb - b_total_size_kb >= 32000 OR c_anon_size_kb - b_anon_size_kb >= 32000)", "MEDIUM"),
 )
 
+#: The columns of a monitor and a pool are those of the strongest change of one (``compare_dumps``), null where none changed for the worse.
 THREADS = (
     Rule("compare-thread-dump-deadlock-appeared", "NOT b_deadlock AND c_deadlock", "CRITICAL"),
     Rule("compare-thread-dump-deadlock-resolved", "b_deadlock AND NOT c_deadlock", "LOW"),
-    Rule("compare-thread-dump-contention-hotspot", "c_monitor_waiters >= 2 AND (c_monitor_waiters > b_monitor_waiters OR c_monitor_blocked > b_monitor_blocked)", "MEDIUM", (("HIGH", "c_monitor_blocked >= 3 OR c_monitor_waiters >= 4"),)),
-    Rule("compare-thread-dump-pool-stall", "(c_pool_blocked >= 2 OR (c_pool_threads >= 3 AND c_pool_runnable = 0 AND c_pool_stalled >= 2)) AND (NOT (b_pool_blocked >= 2 OR (b_pool_threads >= 3 AND b_pool_runnable = 0 AND b_pool_stalled >= 2)) OR c_pool_stalled >= b_pool_stalled + 2 OR c_pool_blocked >= b_pool_blocked + 2 OR (b_pool_runnable > 0 AND c_pool_runnable = 0 AND c_pool_stalled > b_pool_stalled))", "MEDIUM", (("HIGH", "c_pool_blocked >= 3 OR c_pool_stalled >= 4"),)),
+    Rule("compare-thread-dump-contention-hotspot", "coalesce(c_monitor_waiters, 0) > 0", "MEDIUM", (("HIGH", "c_monitor_blocked >= 3 OR c_monitor_waiters >= 4"),)),
+    Rule("compare-thread-dump-pool-stall", "coalesce(c_pool_threads, 0) > 0", "MEDIUM", (("HIGH", "c_pool_blocked >= 3 OR c_pool_stalled >= 4"),)),
     Rule("compare-thread-dump-blocked-growth", "c_blocked_count - b_blocked_count >= 3 AND (c_blocked_count >= 8 OR (c_blocked_count >= 4 AND 5 * c_blocked_count >= c_thread_count))", "MEDIUM", (("HIGH", "c_blocked_count >= 8"),)),
 )
 
@@ -60,7 +61,7 @@ JFR = (
     Rule("compare-jfr-old-object-depth-regression", "c_depth_count > 0 AND ((b_depth_count = 0 AND c_max_reference_depth >= 4) OR c_max_reference_depth >= greatest(4, b_max_reference_depth + 2) OR (c_average_reference_depth >= 2.5 AND c_average_reference_depth >= b_average_reference_depth + 1.0))", "MEDIUM", (("HIGH", "c_max_reference_depth >= 8 OR c_average_reference_depth >= 4.0"),)),
 )
 
-BOOKS = {"GC_LOG": GC, "HEAP_HISTOGRAM": HISTOGRAM, "NMT": NMT, "PMAP": PMAP, "THREAD_DUMP": THREADS, "JFR": JFR}
+BOOKS = {"GC_LOG": GC, "HEAP_HISTOGRAM": HISTOGRAM, "NMT": NMT, "PMAP": PMAP, "JFR": JFR}
 
 
 def side_by_side(pairs: DataFrame, summary: DataFrame) -> DataFrame:
@@ -75,13 +76,53 @@ def compare(kind: str, pairs: DataFrame, summary: DataFrame) -> DataFrame:
 
 
 def compare_histograms(pairs: DataFrame, summary: DataFrame, rows: DataFrame) -> DataFrame:
-    """As ``compare``, with the largest growth of a class; classes new in the current histogram grow from 0, vanished ones don't count."""
-    cur = pairs.join(rows.withColumnRenamed("artifact_id", "current_id"), "current_id").groupBy("pair_id", "class_name").agg(F.last("bytes").alias("cb"))
-    base = pairs.join(rows.withColumnRenamed("artifact_id", "baseline_id"), "baseline_id").groupBy("pair_id", "class_name").agg(F.last("bytes").alias("bb"))
+    """As ``compare``, with the largest growth of a class; classes new in the current histogram grow from 0, vanished ones don't count; of a class that stands twice the row of the last rank counts."""
+    cur = pairs.join(rows.withColumnRenamed("artifact_id", "current_id"), "current_id").groupBy("pair_id", "class_name").agg(F.max_by("bytes", "rank").alias("cb"))
+    base = pairs.join(rows.withColumnRenamed("artifact_id", "baseline_id"), "baseline_id").groupBy("pair_id", "class_name").agg(F.max_by("bytes", "rank").alias("bb"))
     growth = cur.join(base, ["pair_id", "class_name"], "left").groupBy("pair_id").agg(F.max(F.col("cb") - F.coalesce("bb", F.lit(0))).alias("top_growth_bytes"))
     return evaluate(side_by_side(pairs, summary).join(growth, "pair_id", "left"), ["pair_id"], HISTOGRAM)
 
 
+def _matched(pairs: DataFrame, rows: DataFrame, key: str, columns: list[str]) -> DataFrame:
+    """pair_id, key, b_ and c_ columns: each current row with the baseline's of the same key, 0 where there is none, and whether there is one."""
+    cur = pairs.join(rows.select(F.col("artifact_id").alias("current_id"), key, *(F.col(c).alias(f"c_{c}") for c in columns)), "current_id")
+    base = rows.select(F.col("artifact_id").alias("baseline_id"), key, F.lit(True).alias("known"), *(F.col(c).alias(f"b_{c}") for c in columns))
+    return cur.join(base, ["baseline_id", key], "left").select("pair_id", key, F.coalesce("known", F.lit(False)).alias("known"), *(F.coalesce(f"b_{c}", F.lit(0)).alias(f"b_{c}") for c in columns), *(f"c_{c}" for c in columns))
+
+
+def monitor_changes(pairs: DataFrame, hotspots: DataFrame) -> DataFrame:
+    """pair_id, monitor, known, b_ and c_ waiters and blocked, strongest: monitors that more threads wait for than in the baseline.
+
+    A monitor counts with two blocked threads or three waiting ones, if it is new or has one blocked or two waiting threads more. The strongest
+    has the most blocked threads more, then the most blocked, then the most waiting more; ties go to the smaller monitor.
+    """
+    rows = _matched(pairs, hotspots, "monitor", ["waiters", "blocked"])
+    worse = rows.where("(c_blocked >= 2 OR c_waiters >= 3) AND (NOT known OR c_blocked >= b_blocked + 1 OR c_waiters >= b_waiters + 2)")
+    order = Window.partitionBy("pair_id").orderBy((F.col("b_blocked") - F.col("c_blocked")), F.desc("c_blocked"), (F.col("b_waiters") - F.col("c_waiters")), "monitor")
+    return worse.withColumn("strongest", F.row_number().over(order) == 1)
+
+
+def pool_changes(pairs: DataFrame, pools: DataFrame) -> DataFrame:
+    """pair_id, pool_name, known, b_ and c_ threads, runnable, blocked and stalled, strongest: pools that stall now, or stall more than in the baseline.
+
+    The strongest has the most stalled threads more, then the most blocked; ties go to the smaller name.
+    """
+    rows = _matched(pairs, pools, "pool_name", ["threads", "runnable", "blocked", "stalled"])
+    stalls = lambda p: f"({p}_blocked >= 2 OR ({p}_threads >= 3 AND {p}_runnable = 0 AND {p}_stalled >= 2))"
+    worse = rows.where(f"{stalls('c')} AND (NOT {stalls('b')} OR c_stalled >= b_stalled + 2 OR c_blocked >= b_blocked + 2 OR (b_runnable > 0 AND c_runnable = 0 AND c_stalled > b_stalled))")
+    order = Window.partitionBy("pair_id").orderBy((F.col("b_stalled") - F.col("c_stalled")), F.desc("c_blocked"), "pool_name")
+    return worse.withColumn("strongest", F.row_number().over(order) == 1)
+
+
+def compare_dumps(pairs: DataFrame, summary: DataFrame, hotspots: DataFrame, pools: DataFrame) -> DataFrame:
+    """As ``compare`` for thread dumps, with monitors and pools each held against the same one of the baseline."""
+    both = side_by_side(pairs, summary)
+    both = both.select(*(c for c in both.columns if not c[2:].startswith(("monitor", "pool"))))
+    monitor = monitor_changes(pairs, hotspots).where("strongest").select("pair_id", *(F.col(f"{p}_{c}").alias(f"{p}_monitor_{c}") for p in "bc" for c in ("waiters", "blocked")))
+    pool = pool_changes(pairs, pools).where("strongest").select("pair_id", *(F.col(f"{p}_{c}").alias(f"{p}_pool_{c}") for p in "bc" for c in ("threads", "runnable", "blocked", "stalled")))
+    return evaluate(both.join(monitor, "pair_id", "left").join(pool, "pair_id", "left"), ["pair_id"], THREADS)
+
+
 def sequence(findings: DataFrame, keys: list[str], step: str) -> DataFrame:
     """First wins by finding id over steps: the whole span (step 0) before the neighbouring pairs in order."""
     best = findings.groupBy(*keys, "finding_id").agg(F.min(F.struct(step, "position", "severity")).alias("b"))
