@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from heapstone.operators import sliced, sweep
 from heapstone.operators import timeline as t
 from heapstone.plans.base import EVENTS, events, query
 
@@ -24,6 +25,20 @@ def gap_clusters(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.groupBy("user_id", "cluster").agg(F.count("*").alias("n"), F.min("event_id").alias("first_line"), F.max("event_id").alias("last_line"), F.sum("cents").alias("cents"))
 
 
+@query(f"SELECT user_id, cluster, count(*) AS n, min(event_id) AS first_line, max(event_id) AS last_line, sum(cents)::BIGINT AS cents FROM ({_CLUSTERS}) GROUP BY user_id, cluster")
+def sliced_gap_clusters(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The same clusters, each thread cut into slices of a thousand lines that tasks share."""
+    found = sliced.gap_clusters(events(spark, sf_dir), ["user_id"], "us", "event_id", GAP_US, LINE_GAP, sliced.by_lines("event_id", 1000))
+    return found.groupBy("user_id", "cluster").agg(F.count("*").alias("n"), F.min("event_id").alias("first_line"), F.max("event_id").alias("last_line"), F.sum("cents").alias("cents"))
+
+
+@query(f"""WITH r AS (SELECT user_id, event_type = 'error' AS f, row_number() OVER (PARTITION BY user_id ORDER BY us, event_id) - row_number() OVER (PARTITION BY user_id, event_type = 'error' ORDER BY us, event_id) AS run FROM {EVENTS}),
+ l AS (SELECT user_id, f, run, count(*) AS n FROM r GROUP BY ALL) SELECT user_id, max(CASE WHEN f THEN n ELSE 0 END) AS streak FROM l GROUP BY user_id""")
+def sliced_max_streak(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Longest run of errors of each thread, by slices of a day."""
+    return sliced.longest_streak(events(spark, sf_dir), ["user_id"], ["us", "event_id"], F.col("event_type") == "error", F.floor(F.col("us") / 86_400_000_000))
+
+
 @query(f"""SELECT user_id, cluster, n, weight, first_line, last_line FROM (SELECT *, row_number() OVER (PARTITION BY user_id ORDER BY n DESC, weight DESC, last_line - first_line, cluster) AS r FROM (
  SELECT user_id, cluster, count(*) AS n, sum(greatest(100, cents))::BIGINT AS weight, min(event_id) AS first_line, max(event_id) AS last_line FROM ({_CLUSTERS}) GROUP BY user_id, cluster)) WHERE r = 1""")
 def best_gap_cluster(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -115,3 +130,26 @@ def window_resolution(spark: SparkSession, sf_dir: str) -> DataFrame:
     anchors = clocked.where("event_type = 'error'").groupBy("user_id").agg(F.min("s").alias("anchor")).select("user_id", low.alias("lo"), high.alias("hi"))
     inside = clocked.join(anchors, "user_id").where(F.col("s").between(F.col("lo"), F.col("hi")))
     return inside.groupBy("user_id").agg(F.count("*").alias("n"), F.sum("cents").alias("cents"), F.round(F.min("lo"), 3).alias("window_start"))
+
+
+_SPANS = f"""spans AS (SELECT user_id % 10 AS g, user_id, us AS s, us + cents * 10000000 AS e FROM {EVENTS} WHERE event_type = 'error' AND cents >= 0),
+ reach AS (SELECT *, coalesce(s > max(e) OVER (PARTITION BY g, user_id ORDER BY s, e ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), false)::INT AS brk FROM spans), part AS (SELECT *, sum(brk) OVER (PARTITION BY g, user_id ORDER BY s, e ROWS UNBOUNDED PRECEDING) AS p FROM reach),
+ once AS (SELECT g, user_id, min(s) AS s, max(e) AS e FROM part GROUP BY g, user_id, p), marks AS (SELECT g, m, sum(d) AS d FROM (SELECT g, s AS m, 1 AS d FROM once UNION ALL SELECT g, e, -1 FROM once) GROUP BY g, m HAVING sum(d) <> 0),
+ level AS (SELECT g, m AS start_us, lead(m) OVER (PARTITION BY g ORDER BY m) AS end_us, sum(d) OVER (PARTITION BY g ORDER BY m ROWS UNBOUNDED PRECEDING)::BIGINT AS n FROM marks)"""
+
+
+def _distress(spark: SparkSession, sf_dir: str) -> DataFrame:
+    spans = events(spark, sf_dir).where("event_type = 'error' AND cents >= 0").select((F.col("user_id") % 10).alias("g"), "user_id", F.col("us").alias("start_us"), (F.col("us") + F.col("cents") * 10_000_000).alias("end_us"))
+    return sweep.levels(spans, ["g"], "user_id", "start_us", "end_us")
+
+
+@query(f"WITH {_SPANS} SELECT g, start_us, end_us, n FROM level WHERE n > 0")
+def distress_levels(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """When how many threads of a group are in distress at once: an error lasts as many thousand seconds as its value."""
+    return _distress(spark, sf_dir)
+
+
+@query(f"WITH {_SPANS} SELECT g, min(start_us) AS first, max(end_us) AS last, sum(end_us - start_us)::BIGINT AS covered, max(n) AS most, min(start_us) FILTER (n = top) AS most_from FROM (SELECT *, max(n) OVER (PARTITION BY g) AS top FROM level WHERE n > 0) GROUP BY g")
+def distress_summary(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """How long each group is in distress, and when most of its threads are."""
+    return sweep.summary(_distress(spark, sf_dir), ["g"], "start_us", "end_us")
