@@ -8,8 +8,9 @@ from pyspark.sql import functions as F
 from heapstone.parse import jfr, memory, threads
 from heapstone.plans import rendered as r
 from heapstone.plans.base import query, table
-from heapstone.plans.parsed import _DUR, _HOTSPOTS, _JFR, _PMAP
+from heapstone.plans.parsed import _DUR, _HOTSPOTS, _JFR, _PMAP, _PMAP_COLUMNS
 from heapstone.rulebook import assessment, comparison
+from heapstone.sources import facts
 
 
 def _rules(table_name: str, key: str, rules: tuple[tuple[str, str, str], ...]) -> str:
@@ -119,3 +120,17 @@ def jfr_assessment(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Findings of each recording."""
     found = assessment.assess("JFR", jfr.summary(jfr.timeline(r.recording(spark, sf_dir))))
     return found.select("artifact_id", "finding_id", "severity")
+
+
+@query(f"WITH {_PMAP} SELECT {', '.join(_PMAP_COLUMNS)} FROM s")
+def canonical_facts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The summary of each process map as facts of any kind, read back under its types."""
+    summary = memory.pmap_summary(r.pmap_lines(spark, sf_dir)).select(*_PMAP_COLUMNS)
+    return facts.typed(facts.canonical(summary, "PMAP"), {f.name: f.dataType.simpleString() for f in summary.schema if f.name != facts.KEY})
+
+
+@query(f"WITH {_PMAP} SELECT field, n FROM (SELECT {', '.join(f'count({c}) AS {c}' for c in _PMAP_COLUMNS[1:])} FROM s) UNPIVOT (n FOR field IN ({', '.join(_PMAP_COLUMNS[1:])})) WHERE n > 0")
+def fact_fields(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """How many process maps hold each fact."""
+    summary = memory.pmap_summary(r.pmap_lines(spark, sf_dir)).select(*_PMAP_COLUMNS)
+    return facts.present(facts.canonical(summary, "PMAP")).groupBy("field").agg(F.sum("n").alias("n"))
