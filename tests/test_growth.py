@@ -53,3 +53,9 @@ def test_small_chunks_share_batches_and_declarations():
     assert len(list(recordings._batches("chunks", iter(chunks)))) == 1
     told = [b.to_pylist() for b in recordings._batches("declarations", iter(chunks))][0]
     assert len({r["digest"] for r in told}) == 1 and [r["declared"] is None for r in told] == [False] + [True] * 29
+
+
+def test_walks_read_the_constants_once(binary):
+    depths = flight.reference_depths(recordings.decode(binary, "constants", flight.HELD))
+    assert plan(depths).count("MapInArrow") == 2 and "Join" not in plan(depths)
+    assert {tuple(r) for r in depths.collect()} == {tuple(r) for r in flight.reference_depths(recordings.decode(binary, "constants")).collect()} and depths.count() > 30
