@@ -59,3 +59,13 @@ def test_walks_read_the_constants_once(binary):
     depths = flight.reference_depths(recordings.decode(binary, "constants", flight.HELD))
     assert plan(depths).count("MapInArrow") == 2 and "Join" not in plan(depths)
     assert {tuple(r) for r in depths.collect()} == {tuple(r) for r in flight.reference_depths(recordings.decode(binary, "constants")).collect()} and depths.count() > 30
+
+
+def test_settings_and_times_come_from_one_reading(binary):
+    info = flight.runtime_info(recordings.decode(binary))
+    assert plan(info).count("MapInArrow") == 1
+    rows = {r["artifact_id"]: r for r in info.collect()}
+    assert {k: (r["jvm_start_ms"], r["recording_start_ms"], r["start_offset_ms"]) for k, r in rows.items()} == {f"r{k}": (START + 20 * k * 130 - 5000, START + 20 * k * 130, 5000) for k in range(3)}
+    for k, r in rows.items():
+        last = {s["kind"] + ":" + s["name"]: s["value"] for s in flight.settings(recordings.decode(binary)).where(F.col("artifact_id") == k).collect()}
+        assert r["settings"] == last and "jvm:jvmName" in last
