@@ -69,3 +69,11 @@ def test_settings_and_times_come_from_one_reading(binary):
     for k, r in rows.items():
         last = {s["kind"] + ":" + s["name"]: s["value"] for s in flight.settings(recordings.decode(binary)).where(F.col("artifact_id") == k).collect()}
         assert r["settings"] == last and "jvm:jvmName" in last
+
+
+def test_equal_declarations_are_opened_once(spark, binary):
+    of = lambda df: sorted(map(str, df.select("artifact_id", "name", "label", "description", "categories", "field_count", "fields").collect()))
+    found = flight.types_of_declarations(recordings.decode(binary, "declarations"))
+    assert of(found) == of(flight.declared_types(recordings.decode(binary, "elements"))) and found.count() == 30
+    counts = recordings.decode(binary, "types").groupBy("artifact_id", "type").agg(F.sum("events").alias("n"))
+    assert {tuple(r) for r in counts.collect()} == {tuple(r) for r in recordings.decode(binary).groupBy("artifact_id", "type").count().collect()}
