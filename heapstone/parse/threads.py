@@ -2,10 +2,13 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from heapstone.functions.scalars import found, number
+from heapstone.sources.stored import stored
 
 
 def _line() -> Column:
@@ -16,16 +19,26 @@ KEY = "artifact_id"
 _HEADER = r'^"(.+?)"(?=\s|$)(?!:)'
 STATES = ("NEW", "RUNNABLE", "BLOCKED", "WAITING", "TIMED_WAITING", "TERMINATED")
 #: Frames of threads that wait for work, for the network or disk, for a forked task, of pinned virtual threads.
-IDLE, IO, JOIN, PINNED = r"ThreadPoolExecutor\.getTask|LinkedBlockingQueue\.take|SynchronousQueue|DelayedWorkQueue\.take|ForkJoinPool\.awaitWork|ScheduledThreadPoolExecutor", r"SocketInputStream|SocketChannelImpl|NioSocketImpl|SocketDispatcher|FileInputStream\.read|epollWait|Net\.poll|httpclient|jdbc", r"ForkJoinTask\.(?:join|awaitDone|get|invoke)|CompletableFuture\.(?:join|get)", r"pinned|VirtualThread\.parkOnCarrierThread|Continuation\.onPinned"
+IDLE = ("ThreadPoolExecutor.getTask", "LinkedBlockingQueue.take", "SynchronousQueue", "DelayedWorkQueue.take", "ForkJoinPool.awaitWork", "ScheduledThreadPoolExecutor")
+IO = ("SocketInputStream", "SocketChannelImpl", "NioSocketImpl", "SocketDispatcher", "FileInputStream.read", "epollWait", "Net.poll", "httpclient", "jdbc")
+JOIN = ("ForkJoinTask.join", "ForkJoinTask.awaitDone", "ForkJoinTask.get", "ForkJoinTask.invoke", "CompletableFuture.join", "CompletableFuture.get")
+PINNED = ("pinned", "VirtualThread.parkOnCarrierThread", "Continuation.onPinned")
+
+
+def _holds(texts: tuple[str, ...]) -> Column:
+    return reduce(Column.__or__, (F.contains(_line(), F.lit(t)) for t in texts))
+
+
+def _is_header() -> Column:
+    return F.startswith(_line(), F.lit('"')) & _line().rlike(_HEADER) & ~_line().rlike(r'^"[^"]*":\s*$')
 
 
 def sections(lines: DataFrame) -> DataFrame:
-    """Lines of threads, each with the number of its section; a section ends with an empty line."""
+    """Lines of threads, each with the line of its header (``_s``); a section ends with an empty line. One window tells both."""
     order = Window.partitionBy(KEY).orderBy("line_no").rowsBetween(Window.unboundedPreceding, 0)
-    header = _line().rlike(_HEADER) & ~_line().rlike(r'^"[^"]*":\s*$')
-    marked = lines.withColumn("_s", F.sum(header.cast("int")).over(order)).where("_s > 0")
-    inside = Window.partitionBy(KEY, "_s").orderBy("line_no").rowsBetween(Window.unboundedPreceding, 0)
-    return marked.withColumn("_end", F.sum((F.trim("line") == "").cast("int")).over(inside)).where("_end = 0").drop("_end")
+    last = lambda c: F.max(F.when(c, F.col("line_no"))).over(order)
+    marked = lines.withColumns({"_s": last(_is_header()), "_end": last(F.trim("line") == "")})
+    return marked.where("_s IS NOT NULL AND (_end IS NULL OR _end < _s)").drop("_end")
 
 
 def pool_name(name: Column) -> Column:
@@ -37,38 +50,46 @@ def pool_name(name: Column) -> Column:
 def threads(lines: DataFrame) -> DataFrame:
     """name, daemon, nid, state, state_detail, top_frame, cpu_ms, elapsed_s, waiting_to_lock, parking_for, locked, pool_name, idle and frame flags, deadlocked."""
     rows = sections(lines)
-    head = F.max(F.when(_line().rlike(_HEADER), _line()))
-    all_of = lambda p: F.flatten(F.transform(F.array_sort(F.collect_list(F.when(_line().rlike(p), F.struct("line_no", F.regexp_extract_all(_line(), F.lit(p), F.lit(1)).alias("m"))))), lambda x: x["m"]))
+    # a plain text is looked for before each pattern, since few lines hold it
+    head = F.max(F.when(F.startswith(_line(), F.lit('"')) & _line().rlike(_HEADER), _line()))
+    all_of = lambda p: F.flatten(F.transform(F.array_sort(F.collect_list(F.when(F.contains(_line(), F.lit("<0x")) & _line().rlike(p), F.struct("line_no", F.regexp_extract_all(_line(), F.lit(p), F.lit(1)).alias("m"))))), lambda x: x["m"]))
     state = r"java\.lang\.Thread\.State:\s+(\w+)(?:\s+\(([^)]*)\))?"
+    told = F.contains(_line(), F.lit("java.lang.Thread.State:"))
     g = rows.groupBy(KEY, "_s").agg(
-        F.min("line_no").alias("line_no"), head.alias("h"), F.max(found(_line(), state, 1)).alias("st"), F.max(found(_line(), state, 2)).alias("state_detail"), F.min_by(found(_line(), r"^\s+at\s+(.*?)\s*$"), F.when(_line().rlike(r"^\s+at\s"), F.col("line_no"))).alias("top_frame"),
+        F.min("line_no").alias("line_no"), head.alias("h"), F.max(F.when(told, found(_line(), state, 1))).alias("st"), F.max(F.when(told, found(_line(), state, 2))).alias("state_detail"), F.min_by(found(_line(), r"^\s+at\s+(.*?)\s*$"), F.when(F.contains(_line(), F.lit("at")) & _line().rlike(r"^\s+at\s"), F.col("line_no"))).alias("top_frame"),
         all_of(r"waiting to (?:lock|re-lock)[^<]*<(0x[0-9a-f]+)>").alias("waiting_to_lock"), all_of(r"parking to wait for\s+<(0x[0-9a-f]+)>").alias("parking_for"), all_of(r"- locked <(0x[0-9a-f]+)>").alias("locked"),
-        F.max(_line().rlike(IDLE)).alias("idle_executor"), F.max(_line().rlike(IO)).alias("in_io"), F.max(_line().rlike(JOIN)).alias("in_join"), F.max(_line().rlike(PINNED)).alias("pinned"),
+        F.max(_holds(IDLE)).alias("idle_executor"), F.max(_holds(IO)).alias("in_io"), F.max(_holds(JOIN)).alias("in_join"), F.max(_holds(PINNED)).alias("pinned"),
     )
     h = F.col("h")
     low = F.lower("h")
     fallback = F.when(low.contains("waiting for monitor entry"), "BLOCKED").when(low.contains("runnable"), "RUNNABLE").when(low.contains("sleeping") | low.contains("timed"), "TIMED_WAITING").when(low.contains("waiting on condition") | low.contains("in object.wait"), "WAITING").otherwise("UNKNOWN")
     name = F.regexp_extract(h, _HEADER, 1)
     out = g.select(KEY, "line_no", name.alias("name"), h.rlike(r'"\s+(?:#\d+\s+)?(?:\[\d+\]\s+)?daemon\b').alias("daemon"), found(h, r"\bnid=(\S+)").alias("nid"), F.coalesce("st", fallback).alias("state"), "state_detail", "top_frame", number(h, r"\bcpu=([\d.]+)ms").alias("cpu_ms"), number(h, r"\belapsed=([\d.]+)s").alias("elapsed_s"), "waiting_to_lock", "parking_for", "locked", pool_name(name).alias("pool_name"), "idle_executor", "in_io", "in_join", "pinned")
-    held = deadlocks(lines).select(KEY, F.explode("names").alias("name"), F.lit(True).alias("deadlocked"))
-    return out.join(held, [KEY, "name"], "left").withColumn("deadlocked", F.coalesce("deadlocked", F.lit(False)))
+    # by artifact, as the threads lie already, so that they are not shuffled again
+    held = deadlocks(lines).select(KEY, F.col("names").alias("_held"))
+    return out.join(held, KEY, "left").withColumn("deadlocked", F.coalesce(F.array_contains("_held", F.col("name")), F.lit(False))).drop("_held")
 
 
 def deadlocks(lines: DataFrame) -> DataFrame:
     """artifact_id, reported, names: the cycles that the JVM reports."""
-    start, end = r"Found (?:one|\d+) Java-level deadlock", r"Java stack information for the threads listed above"
+    start, end, named = r"Found (?:one|\d+) Java-level deadlock", r"Java stack information for the threads listed above", r'^"[^"]+":\s*$'
+    tells = F.contains(_line(), F.lit("Java-level deadlock")) | F.contains(_line(), F.lit("Java stack information")) | (F.startswith(_line(), F.lit('"')) & _line().rlike(named))
     order = Window.partitionBy(KEY).orderBy("line_no").rowsBetween(Window.unboundedPreceding, 0)
-    inside = lines.withColumn("_d", F.sum(_line().rlike(start).cast("int") - _line().rlike(end).cast("int")).over(order)).where("_d > 0")
-    names = F.array_distinct(F.transform(F.array_sort(F.collect_list(F.when(_line().rlike(r'^"[^"]+":\s*$'), F.struct("line_no", F.regexp_extract(_line(), r'^"([^"]+)"', 1).alias("n"))))), lambda x: x["n"]))
+    inside = lines.where(tells).withColumn("_d", F.sum(_line().rlike(start).cast("int") - _line().rlike(end).cast("int")).over(order)).where("_d > 0")
+    names = F.array_distinct(F.transform(F.array_sort(F.collect_list(F.when(_line().rlike(named), F.struct("line_no", F.regexp_extract(_line(), r'^"([^"]+)"', 1).alias("n"))))), lambda x: x["n"]))
     return inside.groupBy(KEY).agg(F.count_if(_line().rlike(start)).alias("reported"), names.alias("names"))
 
 
 def hotspots(rows: DataFrame) -> DataFrame:
     """Monitors that two threads or more wait for, with the first owner: artifact_id, monitor, waiters, blocked, waiting_names, owner, owner_state."""
-    waits = rows.select(KEY, F.explode(F.array_distinct(F.concat("waiting_to_lock", "parking_for"))).alias("monitor"), "name", "state", "line_no")
-    grouped = waits.groupBy(KEY, "monitor").agg(F.count("*").alias("waiters"), F.count_if(F.col("state") == "BLOCKED").alias("blocked"), F.transform(F.array_sort(F.collect_list(F.struct("line_no", "name"))), lambda x: x["name"]).alias("waiting_names")).where("waiters >= 2")
-    owners = rows.select(KEY, F.explode(F.array_distinct("locked")).alias("monitor"), F.struct("line_no", "name", "state").alias("o")).groupBy(KEY, "monitor").agg(F.min("o").alias("o"))
-    return grouped.join(owners, [KEY, "monitor"], "left").select(KEY, "monitor", "waiters", "blocked", "waiting_names", F.col("o.name").alias("owner"), F.col("o.state").alias("owner_state"))
+    # waiters and owners of a monitor in one pass over the threads
+    of = lambda monitors, waits: F.transform(F.array_distinct(monitors), lambda m: F.struct(m.alias("monitor"), F.lit(waits).alias("waits")))
+    marks = F.concat(of(F.concat("waiting_to_lock", "parking_for"), True), of(F.col("locked"), False))
+    each = rows.select(KEY, "name", "state", "line_no", F.explode(marks).alias("_m")).select(KEY, "name", "state", "line_no", "_m.*")
+    waiting = F.transform(F.array_sort(F.collect_list(F.when(F.col("waits"), F.struct("line_no", "name")))), lambda x: x["name"])
+    owner = F.min(F.when(~F.col("waits"), F.struct("line_no", "name", "state")))
+    grouped = each.groupBy(KEY, "monitor").agg(F.count_if("waits").alias("waiters"), F.count_if(F.col("waits") & (F.col("state") == "BLOCKED")).alias("blocked"), waiting.alias("waiting_names"), owner.alias("o")).where("waiters >= 2")
+    return grouped.select(KEY, "monitor", "waiters", "blocked", "waiting_names", F.col("o.name").alias("owner"), F.col("o.state").alias("owner_state"))
 
 
 def pools(rows: DataFrame) -> DataFrame:
@@ -78,9 +99,14 @@ def pools(rows: DataFrame) -> DataFrame:
     return rows.where("pool_name IS NOT NULL").groupBy(KEY, "pool_name").agg(F.count("*").alias("threads"), state("RUNNABLE").alias("runnable"), state("BLOCKED").alias("blocked"), state("WAITING").alias("waiting"), state("TIMED_WAITING").alias("timed_waiting"), F.count_if("idle_executor").alias("idle"), F.count_if(stalled).alias("stalled"), F.count_if("in_io").alias("in_io"), F.count_if("in_join").alias("in_join"), F.count_if((F.col("state") == "RUNNABLE") & ~F.col("in_io")).alias("runnable_not_io"))
 
 
-def summary(lines: DataFrame) -> DataFrame:
-    """What the rules read: states, deadlock, the strongest monitor, the most stalled pool, pileups, pinned and spinning threads."""
-    rows = threads(lines)
+def kept(lines: DataFrame) -> DataFrame:
+    """``threads``, written once for what reads them several times; without the columns that only single threads are shown by."""
+    return stored(threads(lines).drop("state_detail", "top_frame", "nid", "daemon", "deadlocked"), "threads")
+
+
+def summary(lines: DataFrame, rows: DataFrame | None = None) -> DataFrame:
+    """What the rules read: states, deadlock, the strongest monitor, the most stalled pool, pileups, pinned and spinning threads. ``rows``: ``kept(lines)``, where they are there already."""
+    rows = kept(lines) if rows is None else rows
     spin = (F.col("state") == "RUNNABLE") & (F.col("cpu_ms") >= 1000) & (F.col("elapsed_s") >= 5)
     share = F.col("cpu_ms") / (F.col("elapsed_s") * 1000)
     base = rows.groupBy(KEY).agg(F.count("*").alias("thread_count"), *(F.count_if(F.col("state") == s).alias(f"{s.lower()}_count") for s in STATES), F.count_if("pinned").alias("pinned_count"), F.coalesce(F.max(F.when(spin, share)), F.lit(0.0)).alias("spin_share"), F.coalesce(F.max_by(F.when(spin, F.col("cpu_ms")), F.when(spin, share)), F.lit(0.0)).alias("spin_cpu_ms"))

@@ -7,7 +7,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from heapstone.operators.grouped import in_groups
-from heapstone.parse import flight
+from heapstone.parse import flight, threads
 from heapstone.plans import recorded
 from heapstone.sources import recordings
 
@@ -77,3 +77,38 @@ def test_equal_declarations_are_opened_once(spark, binary):
     assert of(found) == of(flight.declared_types(recordings.decode(binary, "elements"))) and found.count() == 30
     counts = recordings.decode(binary, "types").groupBy("artifact_id", "type").agg(F.sum("events").alias("n"))
     assert {tuple(r) for r in counts.collect()} == {tuple(r) for r in recordings.decode(binary).groupBy("artifact_id", "type").count().collect()}
+
+
+DUMP = """\"app-1\" #1 prio=5 cpu=10.00ms elapsed=5.00s tid=0x1 nid=0x1 waiting
+   java.lang.Thread.State: BLOCKED (on object monitor)
+\tat com.shop.A.b(A.java:1)
+\t- waiting to lock <0x0a> (a X)
+
+\tat com.shop.After.end(A.java:1)
+\"worker-2\" #2 daemon prio=5 nid=0x2 runnable
+   java.lang.Thread.State: RUNNABLE
+\tat com.shop.C.d(C.java:1)
+\t- locked <0x0a> (a X)
+\t- locked <0x0b> (a X)
+\"worker-3\" #3 prio=5 nid=0x3
+   java.lang.Thread.State: WAITING (parking)
+\tat java.util.concurrent.ForkJoinTask.join(F.java:1)
+\t- parking to wait for  <0x0a> (a X)
+
+Found one Java-level deadlock:
+=============================
+\"app-1\":
+  waiting to lock monitor
+Java stack information for the threads listed above:
+\"worker-2\":
+"""
+
+
+def test_threads_and_monitors_from_one_shuffle_of_the_lines(spark):
+    lines = spark.createDataFrame([("t", k + 1, x) for k, x in enumerate(DUMP.split("\n"))], "artifact_id string, line_no int, line string")
+    rows = threads.threads(lines)
+    got = {r["name"]: (r["state"], r["top_frame"], r["deadlocked"], r["in_join"], r["locked"], r["line_no"]) for r in rows.collect()}
+    assert got == {"app-1": ("BLOCKED", "com.shop.A.b(A.java:1)", True, False, [], 1), "worker-2": ("RUNNABLE", "com.shop.C.d(C.java:1)", False, False, ["0x0a", "0x0b"], 7), "worker-3": ("WAITING", "java.util.concurrent.ForkJoinTask.join(F.java:1)", False, True, [], 12)}
+    spots = threads.hotspots(rows)
+    assert [tuple(r) for r in spots.collect()] == [("t", "0x0a", 2, 1, ["app-1", "worker-3"], "worker-2", "RUNNABLE")]
+    assert plan(spots).count("Window [") <= 2 and plan(spots).count("Join") <= 1
