@@ -11,6 +11,7 @@ from heapstone.plans.base import query, table
 from heapstone.plans.parsed import _DUR, _HOTSPOTS, _JFR, _PMAP, _PMAP_COLUMNS
 from heapstone.rulebook import assessment, comparison
 from heapstone.sources import facts
+from heapstone.sources.stored import stored
 
 
 def _rules(table_name: str, key: str, rules: tuple[tuple[str, str, str], ...]) -> str:
@@ -57,7 +58,7 @@ _DUMPS = f"""{_HOTSPOTS}, pools AS (SELECT substr(artifact_id, 3)::BIGINT AS k,
 def thread_dump_comparison(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Each supplier's thread dump against the next one's; all threads that wait for a monitor are blocked in these."""
     rows, pairs = _dumps(spark, sf_dir)
-    return comparison.compare_dumps(pairs, threads.summary(r.dump_lines(spark, sf_dir)), threads.hotspots(rows), threads.pools(rows)).select("pair_id", "finding_id", "severity")
+    return comparison.compare_dumps(pairs, stored(threads.summary(r.dump_lines(spark, sf_dir), rows), "summaries"), threads.hotspots(rows), threads.pools(rows)).select("pair_id", "finding_id", "severity")
 
 
 @query(f"WITH {_DUMPS} SELECT pair_id, monitor, known, was AS b_waiters, waiters AS c_waiters FROM lock")
@@ -77,7 +78,7 @@ def thread_dump_pool_changes(spark: SparkSession, sf_dir: str) -> DataFrame:
 def _dumps(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
     keys = table(spark, sf_dir, "supplier").select(F.col("s_suppkey").alias("pair_id"))
     pairs = keys.select("pair_id", F.concat(F.lit("t-"), F.col("pair_id").cast("string")).alias("baseline_id"), F.concat(F.lit("t-"), (F.col("pair_id") + 1).cast("string")).alias("current_id"))
-    found = threads.threads(r.dump_lines(spark, sf_dir))
+    found = threads.kept(r.dump_lines(spark, sf_dir))
     both = found.select(F.col("artifact_id").alias("baseline_id")).distinct()
     return found, pairs.join(both, "baseline_id", "left_semi")
 
