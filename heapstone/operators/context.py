@@ -46,15 +46,17 @@ def snippet_lines(line_rows: DataFrame, keys: list[str], snippets: DataFrame) ->
     """keys, snippet, line_numbers: where each snippet of its key (keys, snippet) stands; a repeated snippet counts once.
 
     A word of a snippet between two others is a whole word of every line that holds the snippet, so the longest one joins it to the lines with
-    that word. A snippet that is a whole line joins by that line; only others of one or two words meet all lines of their key.
+    that word. A snippet that is a whole line joins by that line; only others of one or two words meet all lines of their key. Words go to that
+    join as hashes, without their line, which is joined again where a word meets; so the lines are not written once for each of their words.
     """
     text, words = F.trim("snippet"), F.split(F.trim("snippet"), r"\s+")
     inner = F.array_max(F.transform(F.slice(words, 2, F.greatest(F.size(words) - 2, F.lit(0))), lambda w: F.struct(F.length(w).alias("n"), w.alias("w"))))["w"]
     wanted = snippets.where(text != "").select(*keys, "snippet").distinct().withColumns({"_text": text, "_word": inner})
     numbered = line_rows.select(*keys, "line_no", "line")
     whole = numbered.withColumn("_text", F.trim("line")).join(wanted, [*keys, "_text"]).select(*keys, "snippet", "line_no")
-    by_word = numbered.select(*keys, "line_no", "line", F.explode(F.array_distinct(F.split(F.trim("line"), r"\s+"))).alias("_word"))
-    long = by_word.join(wanted.where("_word IS NOT NULL"), [*keys, "_word"]).where(F.col("line").contains(F.col("_text"))).select(*keys, "snippet", "line_no")
+    by_word = numbered.select(*keys, "line_no", F.explode(F.array_distinct(F.transform(F.split(F.trim("line"), r"\s+"), lambda w: F.xxhash64(w)))).alias("_hash"))
+    inside = wanted.where("_word IS NOT NULL").withColumn("_hash", F.xxhash64("_word"))
+    long = by_word.join(inside, [*keys, "_hash"]).join(numbered, [*keys, "line_no"]).where(F.col("line").contains(F.col("_text"))).select(*keys, "snippet", "line_no")
     short = numbered.join(wanted.where("_word IS NULL"), keys).where((F.length("line") > F.length("_text")) & F.col("line").contains(F.col("_text"))).select(*keys, "snippet", "line_no")
     every = whole.unionByName(long).unionByName(short)
     return every.groupBy(*keys, "snippet").agg(F.array_sort(F.collect_set("line_no")).alias("line_numbers"))

@@ -2,14 +2,19 @@
 
 from __future__ import annotations
 
+import re
+
 import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
+from heapstone.operators import context
+from heapstone.operators.context import Selector
 from heapstone.operators.grouped import in_groups
 from heapstone.parse import flight, threads
 from heapstone.plans import recorded
 from heapstone.sources import recordings
+from heapstone.views import gc
 
 START = 1_700_000_000_000
 
@@ -112,3 +117,11 @@ def test_threads_and_monitors_from_one_shuffle_of_the_lines(spark):
     spots = threads.hotspots(rows)
     assert [tuple(r) for r in spots.collect()] == [("t", "0x0a", 2, 1, ["app-1", "worker-3"], "worker-2", "RUNNABLE")]
     assert plan(spots).count("Window [") <= 2 and plan(spots).count("Join") <= 1
+
+
+def test_lines_are_not_copied_for_each_of_their_words(spark):
+    lines = spark.createDataFrame([(1, k, f"x{k} alpha beta gamma{k % 3} delta y") for k in range(1, 7)], "doc_id long, line_no int, line string")
+    found = context.snippet_lines(lines, ["doc_id"], spark.createDataFrame([(1, "alpha beta gamma1 delta"), (1, "beta gamma2")], "doc_id long, snippet string"))
+    assert {r["snippet"]: r["line_numbers"] for r in found.collect()} == {"alpha beta gamma1 delta": [1, 4], "beta gamma2": [2, 5]}
+    exploded = [x for x in plan(found).splitlines() if "Generate explode" in x]
+    assert exploded and all(re.search(r"\), \[\d", x) for x in exploded)  # the line is dropped where its words are made
