@@ -125,3 +125,10 @@ def test_lines_are_not_copied_for_each_of_their_words(spark):
     assert {r["snippet"]: r["line_numbers"] for r in found.collect()} == {"alpha beta gamma1 delta": [1, 4], "beta gamma2": [2, 5]}
     exploded = [x for x in plan(found).splitlines() if "Generate explode" in x]
     assert exploded and all(re.search(r"\), \[\d", x) for x in exploded)  # the line is dropped where its words are made
+
+
+def test_sums_of_pauses_do_not_show_their_order(spark):
+    rows = [("g", "pause", "Metadata GC Threshold", "FULL", 0.1)] * 3 + [("g", "pause", "other", "YOUNG", 0.7)]
+    frame = spark.createDataFrame(rows, "artifact_id string, kind string, cause string, pause_type string, amount_ms double").coalesce(1)
+    found = gc.pause_focus(frame, Selector.parse("cause=metadata; pauseType=full")).first()
+    assert (found["n"], found["total_ms"], found["max_ms"], found["p95_ms"], found["share"]) == (3, 0.3, 0.1, 0.1, 0.3)
