@@ -2,8 +2,9 @@
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Iterable, Sequence
 from dataclasses import dataclass
+from functools import reduce
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -58,42 +59,69 @@ def roll_up(findings: DataFrame, keys: list[str]) -> DataFrame:
 
 @dataclass(frozen=True)
 class Staged:
-    """Fires where each of ``needs`` has one of its findings present and none of ``blocked`` is; ids emitted by later rules are not seen."""
+    """Fires where each of ``needs`` has one of its findings present and none of ``blocked`` is; ids emitted by later rules are not seen.
+
+    A rule that isn't ``shown`` adds its id for later rules only.
+    """
 
     id: str
     needs: tuple[tuple[str, ...], ...]
     otherwise: str
     levels: tuple[tuple[str, tuple[str, ...]], ...] = ()
     blocked: tuple[str, ...] = ()
+    shown: bool = True
+
+
+#: Bits of a word that are used.
+WORD = 63
 
 
-def _texts(values: Sequence[str]) -> Column:
-    return F.array(*map(F.lit, values)).cast("array<string>")
+def _mask(bits: Iterable[int]) -> dict[int, int]:
+    """Bits as whole numbers, by word."""
+    words: dict[int, int] = {}
+    for n in bits:
+        words[n // WORD] = words.get(n // WORD, 0) | 1 << n % WORD
+    return words
 
 
-def _staged(rule: Staged, place: int) -> Column:
-    needs = F.array(*map(_texts, rule.needs)).cast("array<array<string>>")
-    levels = F.array(*(F.struct(F.lit(name).alias("name"), _texts(ids).alias("ids")) for name, ids in rule.levels)).cast("array<struct<name:string,ids:array<string>>>")
-    return F.struct(F.lit(rule.id).alias("id"), needs.alias("needs"), _texts(rule.blocked).alias("blocked"), F.lit(rule.otherwise).alias("otherwise"), levels.alias("levels"), F.lit(place).alias("place"))
+def _holds(bits: Iterable[int]) -> Column:
+    """Whether the set in the columns _w0, _w1 ... holds any of the bits."""
+    tests = (F.col(f"_w{k}").bitwiseAND(F.lit(mask).cast("long")) != 0 for k, mask in _mask(bits).items())
+    return reduce(Column.__or__, tests, F.lit(False))
 
 
 def correlate(findings: DataFrame, keys: list[str], rules: Sequence[Staged]) -> DataFrame:
     """keys, finding_id, severity, position: staged rules over each key's set of finding ids, in order, each seeing what earlier ones emitted.
 
-    The set is one array of distinct ids for each key (as many as there are rules). The rules are a table held in one literal array, and a fold
-    over it carries the ids and what was emitted, so the plan grows with the rules by their literals only: one shuffle, one expression.
+    The set is some words with a bit for each id that rules speak of and for each severity that a rule may emit. A key's findings are joined by
+    ``bit_or``, in part before the one shuffle, and each rule is a projection that adds a bit where it fires, so a key costs some tests of whole
+    numbers. The plan grows with the rules in proportion. ``position`` counts the rules that are shown.
     """
-    empty = F.expr("cast(array() AS array<struct<finding_id:string,severity:string,position:int>>)")
-    start = F.struct(F.col("_ids").alias("ids"), empty.alias("out"))
-
-    def step(state: Column, rule: Column) -> Column:
-        here = lambda ids: F.arrays_overlap(state["ids"], ids)
-        fires = F.forall(rule["needs"], here) & ~here(rule["blocked"])
-        level = F.try_element_at(F.filter(rule["levels"], lambda x: here(x["ids"])), F.lit(1))["name"]
-        new = F.struct(rule["id"].alias("finding_id"), F.coalesce(level, rule["otherwise"]).alias("severity"), rule["place"].alias("position"))
-        more = F.struct(F.concat(state["ids"], F.array(rule["id"])).alias("ids"), F.concat(state["out"], F.array(new)).alias("out"))
-        return F.when(fires, more).otherwise(state)
-
-    sets = findings.where(F.col("finding_id").isNotNull()).groupBy(*keys).agg(F.collect_set("finding_id").alias("_ids"))
-    table = F.array(*(_staged(rule, k) for k, rule in enumerate(rules)))
-    return sets.select(*keys, F.explode(F.aggregate(table, start, step)["out"]).alias("f")).select(*keys, "f.*")
+    spoken = list(dict.fromkeys(x for rule in rules for group in (*rule.needs, rule.blocked, *(ids for _, ids in rule.levels)) for x in group))
+    bits = {x: [n] for n, x in enumerate(spoken)}
+    chosen, options, end = [], [], len(spoken)
+    for rule in rules:
+        names = [*(name for name, _ in rule.levels), rule.otherwise]
+        own = range(end, end := end + len(names))
+        bits.setdefault(rule.id, []).extend(own)
+        chosen.append(own)
+        options.append(list(zip(names, own, strict=True)) if rule.shown else [])
+    words = range(-(-end // WORD))
+
+    of = lambda n, k: F.lit(1 << n % WORD if n // WORD == k else 0).cast("long")
+    known = F.array(*(F.struct(F.lit(x).alias("finding_id"), *(of(n, k).alias(f"_w{k}") for k in words)) for n, x in enumerate(spoken)))
+    marked = findings.where(F.col("finding_id").isNotNull()).join(F.broadcast(findings.sparkSession.range(1).select(F.inline(known))), "finding_id", "left")
+    state = marked.groupBy(*keys).agg(*(F.coalesce(F.bit_or(f"_w{k}"), F.lit(0)).alias(f"_w{k}") for k in words))
+    any_of = lambda ids: _holds(n for x in ids for n in bits[x])
+    for rule, own in zip(rules, chosen, strict=True):
+        fires = reduce(Column.__and__, map(any_of, rule.needs), ~any_of(rule.blocked))
+        for k in _mask(own):
+            emitted = of(own[-1], k)
+            for n, (_, ids) in reversed(list(zip(own, rule.levels, strict=False))):
+                emitted = F.when(any_of(ids), of(n, k)).otherwise(emitted)
+            state = state.withColumn(f"_n{k}", F.when(fires, F.col(f"_w{k}").bitwiseOR(emitted)).otherwise(F.col(f"_w{k}")))
+        state = state.select(*keys, *(F.col(f"_n{k}" if k in _mask(own) else f"_w{k}").alias(f"_w{k}") for k in words))
+    shown = [(rule, option) for rule, option in zip(rules, options, strict=True) if rule.shown]
+    emitted = [F.when(_holds([n]), F.struct(F.lit(rule.id).alias("finding_id"), F.lit(name).alias("severity"), F.lit(place).alias("position"))) for place, (rule, option) in enumerate(shown) for name, n in option]
+    found = F.explode_outer(F.array_compact(F.array(*emitted))).alias("f")  # outer, or the optimizer tests every rule again
+    return state.select(*keys, found).where("f IS NOT NULL").select(*keys, "f.*")

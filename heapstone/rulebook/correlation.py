@@ -25,6 +25,15 @@ _META = ("nmt-metaspace-pressure", "nmt-class-metadata-growth", "compare-nmt-met
 _APART_DUMP = ("apart:jfr-thread-dump",)
 _ACTIVE = ("nmt-native-allocation-growth", "compare-nmt-native-growth", "compare-pmap-growth", "nmt-thread-stack-pressure", "nmt-metaspace-pressure", "nmt-code-cache-pressure")
 
+# States that rules combine, told before they run: whether native pressure goes beyond reservations, whether recordings show heap-side signals.
+STATES = (
+    Staged("state:native-pressure-open", (), "", (), ("nmt-reserved-committed-mismatch",), False),
+    Staged("state:native-pressure-open", (), "", (), ("pmap-virtual-resident-mismatch",), False),
+    Staged("state:native-pressure-open", (_ACTIVE,), "", shown=False),
+    Staged("state:jfr-heap-side", (_RETENTION,), "", shown=False),
+    Staged("state:jfr-heap-side", (_ALLOCATION, ("jfr-gc-pause-events", *_GC, "gc-heap-saturation")), "", shown=False),
+)
+
 # Rules in the order they run, what each needs, and its severity.
 RULES = (
     Staged("correlation-memory-pressure", (_GC, ("nmt-gc-native-pressure", "nmt-native-allocation-growth", *_PMAP)), "CRITICAL"),
@@ -52,17 +61,6 @@ RULES = (
 )
 
 
-def derived(findings: DataFrame, keys: list[str]) -> DataFrame:
-    """Findings with the states that rules combine: whether native pressure goes beyond reservations, whether recordings show heap-side signals."""
-    sets = findings.groupBy(*keys).agg(F.collect_set("finding_id").alias("_ids"))
-    has = lambda *ids: F.arrays_overlap("_ids", F.array(*map(F.lit, ids)))
-    reserved = has("nmt-reserved-committed-mismatch") & has("pmap-virtual-resident-mismatch")
-    heap_side = has(*_RETENTION) | (has(*_ALLOCATION) & has("jfr-gc-pause-events", *_GC, "gc-heap-saturation"))
-    states = F.array(F.when(~(reserved & ~has(*_ACTIVE)), F.lit("state:native-pressure-open")), F.when(heap_side, F.lit("state:jfr-heap-side")))
-    more = sets.select(*keys, F.explode(F.filter(states, lambda x: x.isNotNull())).alias("finding_id"))
-    return findings.select(*keys, "finding_id").unionByName(more)
-
-
 def aligned(windows: DataFrame, keys: list[str], name: str, first: str, second: str, tolerance_us: int) -> DataFrame:
     """keys, finding_id: ``align:name`` or ``apart:name`` for the first windows (keys, kind, start_us, end_us) of two kinds of artifacts.
 
@@ -77,4 +75,4 @@ def aligned(windows: DataFrame, keys: list[str], name: str, first: str, second:
 
 def correlate_incident(findings: DataFrame, keys: list[str]) -> DataFrame:
     """keys, finding_id, severity, position of all rules that fire for each incident."""
-    return correlate(derived(findings, keys), keys, RULES)
+    return correlate(findings, keys, (*STATES, *RULES))

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import random
 import re
 
 import pyarrow as pa
@@ -13,6 +14,7 @@ from heapstone.operators.context import Selector
 from heapstone.operators.grouped import in_groups
 from heapstone.parse import flight, threads
 from heapstone.plans import recorded
+from heapstone.rulebook import correlation
 from heapstone.sources import recordings
 from heapstone.views import gc
 
@@ -132,3 +134,24 @@ def test_sums_of_pauses_do_not_show_their_order(spark):
     frame = spark.createDataFrame(rows, "artifact_id string, kind string, cause string, pause_type string, amount_ms double").coalesce(1)
     found = gc.pause_focus(frame, Selector.parse("cause=metadata; pauseType=full")).first()
     assert (found["n"], found["total_ms"], found["max_ms"], found["p95_ms"], found["share"]) == (3, 0.3, 0.1, 0.1, 0.3)
+
+
+def test_rules_of_an_incident_read_its_findings_once(spark):
+    rng = random.Random(15)
+    ids = sorted({x for rule in correlation.RULES for group in (*rule.needs, rule.blocked) for x in group if not x.startswith("state:")} | {"unknown"})
+    sets = {i: set(rng.sample(ids, i % 40)) for i in range(300)}
+    findings = spark.createDataFrame([(i, x) for i, held in sets.items() for x in (*held, None)], "incident int, finding_id string")
+    want = set()
+    for i, held in sets.items():
+        has = lambda group, held=held: not held.isdisjoint(group)
+        if not (has(["nmt-reserved-committed-mismatch"]) and has(["pmap-virtual-resident-mismatch"])) or has(correlation._ACTIVE):
+            held.add("state:native-pressure-open")
+        if has(correlation._RETENTION) or has(correlation._ALLOCATION) and has(["jfr-gc-pause-events", *correlation._GC, "gc-heap-saturation"]):
+            held.add("state:jfr-heap-side")
+        for k, rule in enumerate(correlation.RULES):
+            if all(map(has, rule.needs)) and not has(rule.blocked):
+                want.add((i, rule.id, next((name for name, group in rule.levels if has(group)), rule.otherwise), k))
+                held.add(rule.id)
+    found = correlation.correlate_incident(findings, ["incident"])
+    assert {tuple(r) for r in found.collect()} == want and found.count() == len(want) > 300
+    assert "Union" not in plan(found) and "collect_set" not in plan(found) and plan(found).count("Aggregate") == 1
