@@ -7,6 +7,9 @@ lines; the functions named after a kind give that kind alone.
 
 from __future__ import annotations
 
+from collections.abc import Sequence
+from functools import reduce
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -20,6 +23,11 @@ def _line() -> Column:
     return F.col("line")
 
 
+def _shows(*texts: str) -> Column:
+    """Whether a line holds one of some texts: what a pattern implies is looked for first, as most lines don't have it."""
+    return reduce(Column.__or__, map(_line().contains, texts))
+
+
 #: Parts of patterns: a size with unit, a heap transition "before->after(capacity)".
 SIZE = r"(\d+(?:\.\d+)?)([BKMGT]?)"
 CHANGE = SIZE + r"->" + SIZE + r"\(" + SIZE + r"\)"
@@ -44,16 +52,23 @@ COLLECTORS = (
 )
 
 
-def gc_lines(lines: DataFrame) -> DataFrame:
-    """Lines with their clocks and GC number."""
+def gc_lines(lines: DataFrame, *more: str) -> DataFrame:
+    """Lines with their clocks and GC number, and ``more`` of their columns."""
     elapsed = F.coalesce(number(_line(), r"\[(\d+\.\d+)s\]"), number(_line(), r"^(?:\S+[+-]\d{4}: )?(\d+\.\d{3}): \["))
     stamp = F.coalesce(found(_line(), r"^\[?(\d{4}-\d{2}-\d{2}T[\d:.,]+[+-]\d{2}:?\d{2})"), found(_line(), r"^(\d{4}-\d{2}-\d{2}T[\d:.,]+Z?)"))
-    return lines.select("artifact_id", "line_no", "line", F.trim("line").alias("raw_line"), elapsed.alias("elapsed_s"), stamp.alias("abs_ts"), number(_line(), r"GC\((\d+)\)", 1, "long").alias("gc_id"))
+    return lines.select("artifact_id", "line_no", "line", F.trim("line").alias("raw_line"), elapsed.alias("elapsed_s"), stamp.alias("abs_ts"), number(_line(), r"GC\((\d+)\)", 1, "long").alias("gc_id"), *more)
 
 
 def pause_type(event: Column) -> Column:
     """First kind that the event's text shows."""
-    low = F.translate(F.lower(event), "-", " ")
+    return _pause_type(_plain(event))
+
+
+def _plain(event: Column) -> Column:
+    return F.translate(F.lower(event), "-", " ")
+
+
+def _pause_type(low: Column) -> Column:
     order = (("FULL", "full"), ("DEGENERATED", "degenerated"), ("INIT_MARK", "init mark"), ("INIT_MARK", "initial mark"), ("FINAL_MARK", "final mark"), ("REMARK", "remark"), ("CLEANUP", "cleanup"), ("MIXED", "mixed"), ("YOUNG", "young"), ("UPDATE_REFS", "update refs"))
     kind = F.lit("OTHER")
     for name, text in reversed(order):
@@ -68,7 +83,11 @@ def cause(event: Column) -> Column:
 
 def _block_header() -> Column:
     """A pause of the old G1 collector whose line holds no heap change: that is in its details, if there are any."""
-    return _line().rlike(r"\[GC pause \(") & ~_line().rlike(r"->\s*\d")
+    return _shows("[GC pause (") & ~_line().rlike(r"->\s*\d")
+
+
+def _block_detail() -> Column:
+    return F.substring(_line(), 1, 1).rlike(r"[\s,\[]") & _line().rlike(r"^\s+\S|^, \d+\.\d+ secs\]|^\[Times")
 
 
 def legacy_blocks(lines: DataFrame) -> DataFrame:
@@ -78,7 +97,7 @@ def legacy_blocks(lines: DataFrame) -> DataFrame:
     Only such lines are ordered, of which logs in the unified format have next to none; a break in their numbers ends a block.
     """
     header = _block_header()
-    detail = _line().rlike(r"^\s+\S|^, \d+\.\d+ secs\]|^\[Times")
+    detail = _block_detail()
     order = Window.partitionBy("artifact_id").orderBy("line_no")
     runs = lines.where(header | detail).withColumn("_h", header.cast("int")).withColumn("_gap", ((F.col("line_no") - F.lag("line_no").over(order) > 1) & (F.col("_h") == 0)).cast("int"))
     numbered = runs.withColumn("_block", F.sum("_h").over(order.rowsBetween(Window.unboundedPreceding, 0))).where("_block > 0")
@@ -87,14 +106,19 @@ def legacy_blocks(lines: DataFrame) -> DataFrame:
     return joined.drop("_block")
 
 
-def _heap(text: Column, pattern: str) -> list[Column]:
-    amount = lambda k: number(text, pattern, k)
-    return [size_bytes(amount(k), F.regexp_extract(text, pattern, k + 1)).alias(name) for name, k in (("before_bytes", 1), ("after_bytes", 3), ("capacity_bytes", 5))]
+def _heap(text: Column) -> dict[str, Column]:
+    """The sizes of a heap change in bytes: the three are found by one match.
+
+    They are taken by a function on arrays, which also keeps Spark from making one method of all FIELDS: the JVM doesn't compile one of that size.
+    """
+    amount = lambda x: F.rtrim(x, F.lit("BKMGT"))
+    sizes = F.transform("_sizes", lambda x: size_bytes(amount(x).try_cast("double"), F.substr(x, F.length(amount(x)) + 1)))
+    return {"_sizes": F.split(F.regexp_replace(text, CHANGE, "$1$2,$3$4,$5$6"), ","), **{name: F.try_element_at(sizes, F.lit(k)) for k, name in enumerate(("before_bytes", "after_bytes", "capacity_bytes"), 1)}}
 
 
-#: A kind's name, the test of its lines, its columns. Names in PARTS are texts of a line that other columns are taken from, each found once.
+#: A kind's name, the test of its lines, its columns. Names in PARTS are what other columns are taken from, each found once; _plain is the event's text in small letters.
 Kind = tuple[str, Column, dict[str, Column]]
-PARTS = ("_event", "_heap")
+PARTS = {"_event": "string", "_body": "string", "_sizes": "array<string>"}
 
 #: Columns of ``events`` beside the context: the kinds' own columns, null where a kind has none.
 FIELDS = {
@@ -107,16 +131,15 @@ FIELDS = {
 def _pause_kinds() -> list[Kind]:
     """Pauses on one line: unified logs, then older ones."""
     event = F.trim(F.regexp_extract(_line(), r"\b(Pause .*?)\s*(?:" + CHANGE + r"\s*)?\d+\.\d+ms\s*$", 1))
-    heap = lambda text: dict(zip(("before_bytes", "after_bytes", "capacity_bytes"), _heap(text, CHANGE), strict=True))
     known = F.col("_event")
-    new = {"_event": event, "event": known, "cause": cause(known), "pause_type": pause_type(known), "amount_ms": number(_line(), r"(\d+\.\d+)ms\s*$"), "_heap": F.regexp_extract(_line(), CHANGE, 0), **heap(F.col("_heap"))}
+    new = {"_event": event, "event": known, "cause": cause(known), "pause_type": _pause_type(F.col("_plain")), "amount_ms": number(_line(), r"(\d+\.\d+)ms\s*$"), **_heap(F.regexp_extract(_line(), CHANGE, 0))}
     old_event = F.trim(F.regexp_extract(_line(), r"\[((?:Full )?GC(?: \([^)]*\)|--| pause|\s\([^\[]*\))*)", 1))
     text = F.coalesce(F.when(_line().rlike(r"\] +\d+[KMG]->"), F.regexp_extract(_line(), r"\] +(\d+[KMG]->\d+[KMG]\(\d+[KMG]\))", 1)), F.try_element_at(F.regexp_extract_all(_line(), F.lit(r"\d+[KMG]->\d+[KMG]\(\d+[KMG]\)"), F.lit(0)), F.lit(-1)), F.lit(""))
     old_type = F.when(known.startswith("Full"), "FULL").when(_line().contains("initial-mark") | _line().contains("Initial Mark"), "INIT_MARK").when(_line().contains("Remark"), "REMARK").when(_line().contains("mixed"), "MIXED").otherwise("YOUNG")
-    old = {"_event": old_event, "event": known, "cause": cause(known), "pause_type": old_type, "amount_ms": number(_line(), r", (\d+\.\d+) secs\](?: \[Times.*)?\s*$") * 1000, "_heap": text, **heap(F.col("_heap"))}
+    old = {"_event": old_event, "event": known, "cause": cause(known), "pause_type": old_type, "amount_ms": number(_line(), r", (\d+\.\d+) secs\](?: \[Times.*)?\s*$") * 1000, **_heap(text)}
     return [
-        ("pause", _line().rlike(r"\bPause .*\d+\.\d+ms\s*$"), new),
-        ("pause", _line().rlike(r"\[(?:Full )?GC\b.*, \d+\.\d+ secs\](?: \[Times.*)?\s*$") & ~_line().contains("[gc") & ~_block_header(), old),
+        ("pause", _shows("Pause ") & _line().rlike(r"\bPause .*\d+\.\d+ms\s*$"), new),
+        ("pause", _shows(" secs]") & _line().rlike(r"\[(?:Full )?GC\b.*, \d+\.\d+ secs\](?: \[Times.*)?\s*$") & ~_line().contains("[gc") & ~_block_header(), old),
     ]
 
 
@@ -139,33 +162,33 @@ def _cycle_kind() -> Kind:
     pattern = r"\b((?:Garbage Collection|Minor Collection|Major Collection) \(([^)]*)\)) " + SIZE + r"\((\d+)%\)->" + SIZE + r"\((\d+)%\)(?: (\d+\.\d+)(ms|s))?"
     part = lambda k, kind="double": number(_line(), pattern, k, kind)
     duration = F.when(F.regexp_extract(_line(), pattern, 10) == "s", part(9) * 1000).otherwise(part(9))
-    return "cycle", _line().rlike(pattern), {
+    return "cycle", _shows("Collection (") & _line().rlike(pattern), {
         "event": found(_line(), pattern, 1), "cause": found(_line(), pattern, 2), "amount_ms": duration, "before_bytes": size_bytes(part(3), F.regexp_extract(_line(), pattern, 4)), "before_ratio": part(5) / 100, "after_bytes": size_bytes(part(6), F.regexp_extract(_line(), pattern, 7)), "after_ratio": part(8) / 100,
     }
 
 
 def _stall_kind() -> Kind:
     pattern = r"Allocation Stall \(([^)]*)\) (\d+\.\d+)ms"
-    return "stall", _line().rlike(pattern), {"thread": found(_line(), pattern, 1), "amount_ms": number(_line(), pattern, 2)}
+    return "stall", _shows("Allocation Stall (") & _line().rlike(pattern), {"thread": found(_line(), pattern, 1), "amount_ms": number(_line(), pattern, 2)}
 
 
 def _mmu_kind() -> Kind:
-    return "mmu", _line().rlike(r"\bMMU: "), {f"mmu_{ms}ms": number(_line(), rf"\b{ms}ms/(\d+(?:\.\d+)?)%") for ms in (2, 5, 10, 20, 50, 100)}
+    return "mmu", _shows("MMU: ") & _line().rlike(r"\bMMU: "), {f"mmu_{ms}ms": number(_line(), rf"\b{ms}ms/(\d+(?:\.\d+)?)%") for ms in (2, 5, 10, 20, 50, 100)}
 
 
 def _worker_kind() -> Kind:
     pattern = r"Using (\d+)(?: workers)?(?: of (\d+))?(?: workers)?(?: for ([\w -]+?))?\s*$"
-    return "worker", _line().rlike(r"\bUsing \d+ (?:workers|of)"), {"active": number(_line(), pattern, 1, "long"), "available": number(_line(), pattern, 2, "long"), "purpose": found(_line(), pattern, 3)}
+    return "worker", _shows("Using ") & _line().rlike(r"\bUsing \d+ (?:workers|of)"), {"active": number(_line(), pattern, 1, "long"), "available": number(_line(), pattern, 2, "long"), "purpose": found(_line(), pattern, 3)}
 
 
 def _cpu_kind() -> Kind:
     seconds = {f"{name}_s": number(_line(), rf"(?i)\b{name}=(\d+\.\d+)") for name in ("user", "sys", "real")}
-    return "cpu", _line().rlike(r"(?i)user=\d+\.\d+s? sys=\d+\.\d+s?,? real=\d+\.\d+"), seconds
+    return "cpu", _shows("=") & _line().rlike(r"(?i)user=\d+\.\d+s? sys=\d+\.\d+s?,? real=\d+\.\d+"), seconds
 
 
 def _humongous_kind() -> Kind:
     pattern = r"Humongous regions: (\d+)->(\d+)"
-    return "humongous", _line().rlike(pattern), {"before": number(_line(), pattern, 1, "long"), "after": number(_line(), pattern, 2, "long")}
+    return "humongous", _shows("Humongous regions: ") & _line().rlike(pattern), {"before": number(_line(), pattern, 1, "long"), "after": number(_line(), pattern, 2, "long")}
 
 
 def _phase_kinds() -> list[Kind]:
@@ -178,8 +201,8 @@ def _phase_kinds() -> list[Kind]:
     some = _line().contains("phases") | _line().contains("marking") | _line().contains("Concurrent")
     unified = _line().contains("[gc") & some & ~_line().contains("->") & ~_line().contains("Allocation Stall") & _line().rlike(r"\d\.\d+ms\s*$") & (F.trim(F.regexp_extract(body, pattern, 1)) != "")
     return [
-        ("phase", unified, {"_heap": body, "_event": F.trim(F.regexp_extract(body, pattern, 1)), "phase": known, "phase_kind": _phase_kind(known), "amount_ms": number(F.col("_heap"), pattern, 2)}),
-        ("phase", _line().rlike(legacy), {"_event": old_name, "phase": known, "phase_kind": _phase_kind(known), "amount_ms": seconds * 1000}),
+        ("phase", unified, {"_body": body, "_event": F.trim(F.regexp_extract(body, pattern, 1)), "phase": known, "phase_kind": _phase_kind(known), "amount_ms": number(F.col("_body"), pattern, 2)}),
+        ("phase", _shows("concurrent-") & _line().rlike(legacy), {"_event": old_name, "phase": known, "phase_kind": _phase_kind(known), "amount_ms": seconds * 1000}),
     ]
 
 
@@ -193,7 +216,7 @@ def _signal_kind() -> Kind:
     low, kind = F.lower(_line()), F.lit(None).cast("string")
     for name, text in reversed(SIGNALS):
         kind = F.when(low.contains(text), F.lit(name)).otherwise(kind)
-    return "signal", kind.isNotNull(), {"signal_type": kind, "signal": F.trim("line")}
+    return "signal", reduce(Column.__or__, (F.col("_low").contains(text) for _, text in SIGNALS)), {"signal_type": kind, "signal": F.trim("line")}
 
 
 def _metaspace_kind() -> Kind:
@@ -202,44 +225,63 @@ def _metaspace_kind() -> Kind:
     legacy = r"\[(?:Metaspace|PSPermGen|Perm ?): \d+K->(\d+)K\((\d+)K\)\]"
     heap = r"\bMetaspace\s+used (\d+)K,(?: capacity \d+K,)? committed (\d+)K, reserved (\d+)K"
     part = lambda k: F.coalesce(number(_line(), unified, k, "long"), number(_line(), heap, k, "long"), number(_line(), legacy, k, "long"))
-    return "metaspace", _line().rlike(unified) | _line().rlike(legacy) | _line().rlike(heap), {"used_kb": part(1), "committed_kb": part(2), "reserved_kb": number(_line(), heap, 3, "long")}
+    return "metaspace", _shows("Metaspace", "Perm") & (_line().rlike(unified) | _line().rlike(legacy) | _line().rlike(heap)), {"used_kb": part(1), "committed_kb": part(2), "reserved_kb": number(_line(), heap, 3, "long")}
 
 
 def _kinds() -> list[Kind]:
     return [*_pause_kinds(), _cycle_kind(), _stall_kind(), _mmu_kind(), _worker_kind(), _cpu_kind(), _humongous_kind(), *_phase_kinds(), _signal_kind(), _metaspace_kind()]
 
 
-#: What a line must show to be looked at: every kind's test implies one of these.
-_HINT = r"(?i)ms\s*$|secs\]|collection \(|allocation stall|mmu: |using \d|user=|humongous regions|concurrent|exhausted|evacuation failure|full compaction|promotion failed|metaspace|perm"
+#: The kind that lines of pauses over several lines bear until they are joined, with their whole text as ``raw_line``.
+BLOCK = "block"
 
 
-def events(lines: DataFrame, kinds: list[Kind] | None = None) -> DataFrame:
-    """Every event of all ``kinds``: context, kind and FIELDS. A line may be several events (a failed pause is a pause and a signal).
+def _single(lines: DataFrame, chosen: list[Kind], blocks: bool) -> DataFrame:
+    """Events of one line: context, kind, FIELDS, raw_line. With ``blocks`` the lines of pauses over several lines too, by themselves.
 
-    Tests of kinds come first; a line's columns are then taken by the one kind that it is of.
+    Tests of kinds come first; clocks, and the columns of the one kind that a line is of, are taken from lines that are of some.
     """
-    rows = gc_lines(lines.where(_line().rlike(_HINT)))
-    chosen = _kinds() if kinds is None else kinds
-    hits = F.array_compact(F.array(*(F.when(test, F.lit(k)) for k, (_, test, _) in enumerate(chosen))))
-    hit = rows.select("artifact_id", "line_no", "gc_id", "elapsed_s", "abs_ts", "raw_line", "line", F.explode_outer(hits).alias("_k")).where("_k IS NOT NULL")  # outer, or the optimizer tests every line again
+    tests = [*(test for _, test, _ in chosen), *([_block_header() | _block_detail()] if blocks else [])]
+    hits = F.array_compact(F.array(*(F.when(test, F.lit(k)) for k, test in enumerate(tests))))
+    shown = lines.select("artifact_id", "line_no", "line", F.lower("line").alias("_low"))
+    hit = gc_lines(shown.select("artifact_id", "line_no", "line", F.explode_outer(hits).alias("_k")).where("_k IS NOT NULL"), "_k")  # outer, or the optimizer tests every line again
 
     def of_kind(name: str, kind_of: str = "string") -> Column:
         own = [F.when(F.col("_k") == k, columns[name].cast(kind_of)) for k, (_, _, columns) in enumerate(chosen) if name in columns]
         return (F.coalesce(*own) if own else F.lit(None).cast(kind_of)).alias(name)
 
-    named = F.element_at(F.array(*(F.lit(kind) for kind, _, _ in chosen)), F.col("_k") + 1).alias("kind")
-    context = ["artifact_id", "line_no", "gc_id", "elapsed_s", "abs_ts"]
-    hit = hit.select("*", *(of_kind(part) for part in PARTS))
-    every = hit.select(*context, named, *(of_kind(name, kind_of) for name, kind_of in FIELDS.items()), "raw_line")
-    if any(kind == "pause" for kind, _, _ in chosen):
-        blocks = _block_pauses(lines).select(*context, "e.kind", *(f"e.{name}" for name in FIELDS), "raw_line")
-        every = every.unionByName(blocks)
-    return every
+    named = F.element_at(F.array(*(F.lit(kind) for kind, _, _ in chosen), F.lit(BLOCK)), F.col("_k") + 1).alias("kind")
+    raw = F.when(F.col("_k") == len(chosen), F.col("line")).otherwise(F.col("raw_line")).alias("raw_line")
+    hit = hit.select("*", *(of_kind(part, kind_of) for part, kind_of in PARTS.items())).withColumn("_plain", _plain(F.col("_event")))
+    return hit.select(*CONTEXT, named, *(of_kind(name, kind_of) for name, kind_of in FIELDS.items()), raw)
+
+
+CONTEXT = ("artifact_id", "line_no", "gc_id", "elapsed_s", "abs_ts")
 
 
-def stored_events(lines: DataFrame) -> DataFrame:
-    """The events of all kinds as a table in the shared folder, for results that read them more than once."""
-    return stored(events(lines), "gc-events")
+def _joined_blocks(lines: DataFrame) -> DataFrame:
+    return _block_pauses(lines).select(*CONTEXT, "e.kind", *(f"e.{name}" for name in FIELDS), "raw_line")
+
+
+def events(lines: DataFrame, kinds: list[Kind] | None = None) -> DataFrame:
+    """Every event of all ``kinds``: context, kind and FIELDS. A line may be several events (a failed pause is a pause and a signal)."""
+    chosen = _kinds() if kinds is None else kinds
+    every = _single(lines, chosen, False)
+    return every.unionByName(_joined_blocks(lines)) if any(kind == "pause" for kind, _, _ in chosen) else every
+
+
+def stored_events(lines: DataFrame, only: Sequence[str] | None = None) -> DataFrame:
+    """The events of all kinds as a table in the shared folder, for results that read them more than once; ``only`` some of their columns, if given.
+
+    The lines are read once: those of pauses over several lines are stored beside the events, and joined from there.
+    """
+    rows = _single(lines, _kinds(), True)
+    names = list(rows.columns if only is None else only)
+    block = F.col("kind") == BLOCK
+    raw = F.col("raw_line") if "raw_line" in names else F.when(block, F.col("raw_line"))
+    held = stored(rows.select(*dict.fromkeys(["artifact_id", "line_no", "kind", *(c for c in names if c != "raw_line")]), raw.alias("raw_line")), "gc-events")
+    joined = stored(_joined_blocks(held.where(block).select("artifact_id", "line_no", F.col("raw_line").alias("line"))).select(*names), "gc-blocks")
+    return held.where(~block).select(*names).unionByName(joined)
 
 
 def _only(df: DataFrame, kind: str, *columns: str | Column) -> DataFrame:

@@ -13,6 +13,7 @@ from heapstone.operators import context
 from heapstone.operators.context import Selector
 from heapstone.operators.grouped import in_groups
 from heapstone.parse import flight, threads
+from heapstone.parse import gc as logs
 from heapstone.plans import recorded
 from heapstone.rulebook import correlation
 from heapstone.sources import recordings
@@ -155,3 +156,50 @@ def test_rules_of_an_incident_read_its_findings_once(spark):
     found = correlation.correlate_incident(findings, ["incident"])
     assert {tuple(r) for r in found.collect()} == want and found.count() == len(want) > 300
     assert "Union" not in plan(found) and "collect_set" not in plan(found) and plan(found).count("Aggregate") == 1
+
+
+LOG = """[0.001s][info][gc] Using G1
+[1.000s][info][gc] GC(1) Pause Young (Normal) (G1 Evacuation Pause) 1.5G->300M(2048M) 12.5ms
+[1.500s][info][gc] GC(2) To-space exhausted
+[1.600s][info][gc] Allocation Stall (worker-1) 3.25ms
+[1.700s][info][gc,phases] GC(3) Concurrent Mark 7.125ms
+[1.800s][info][gc,task] GC(4) Using 3 workers of 16 for evacuation
+2024-01-01T00:00:01.000+0000: 2.234: [GC pause (G1 Evacuation Pause) (young)
+   [Parallel Time: 1.0 ms]
+   [Eden: 10.0M(10.0M)->0.0B(8.0M) Survivors: 0.0B->2.0M Heap: 10.0M(64.0M)->5.0M(64.0M)]
+, 0.0123 secs]
+[Times: user=0.01 sys=0.00, real=0.01 secs]
+3.500: [Full GC (Ergonomics) [PSYoungGen: 10K->0K(20K)] [ParOldGen: 30K->20K(40K)] 40K->20K(60K), [Metaspace: 5K->5K(8K)], 0.5000 secs] [Times: user=0.50 sys=0.00, real=0.50 secs]
+nothing""".split("\n")
+
+
+def test_lines_are_read_once_for_stored_events(spark):
+    read = spark.sparkContext.accumulator(0)
+
+    def seen(row):
+        read.add(1)
+        return row
+
+    rows = [("g", n, line) for n, line in enumerate(LOG, 1)]
+    lines = spark.createDataFrame(spark.sparkContext.parallelize(rows, 2).map(seen), "artifact_id string, line_no int, line string")
+    stored = logs.stored_events(lines)
+    assert read.value == len(LOG)
+    assert sorted(map(str, stored.collect())) == sorted(map(str, logs.events(lines).collect())) and stored.columns == logs.events(lines).columns
+    paused = {r["line_no"]: (r["amount_ms"], r["before_bytes"], r["after_bytes"], r["capacity_bytes"], r["pause_type"]) for r in stored.where("kind = 'pause'").collect()}
+    assert paused == {2: (12.5, 3 << 29, 300 << 20, 2 << 30, "YOUNG"), 7: (12.3, 10 << 20, 5 << 20, 64 << 20, "YOUNG"), 12: (500.0, 40 << 10, 20 << 10, 60 << 10, "FULL")}
+    assert {r["kind"] for r in stored.collect()} == {"pause", "signal", "stall", "phase", "worker", "cpu", "metaspace"}
+
+
+def test_only_the_columns_that_a_window_needs_are_stored(spark):
+    lines = spark.createDataFrame([("g", n, line) for n, line in enumerate(LOG, 1)], "artifact_id string, line_no int, line string")
+    some = ["artifact_id", "line_no", "elapsed_s", "kind"]
+    found = logs.stored_events(lines, some)
+    assert found.columns == some and sorted(map(str, found.collect())) == sorted(map(str, logs.events(lines).select(*some).collect()))
+    assert "user" not in plan(found) and "phase_kind" not in plan(found)
+
+
+def test_code_of_the_parser_is_small_enough_to_be_compiled(spark):
+    lines = spark.range(9).selectExpr("'g' AS artifact_id", "CAST(id AS INT) AS line_no", "concat('x', id) AS line")
+    debug = getattr(getattr(spark._jvm.org.apache.spark.sql.execution.debug, "package$"), "MODULE$")
+    sizes = re.findall(r"maxMethodCodeSize:(\d+)", debug.codegenString(logs._single(lines, logs._kinds(), True)._jdf.queryExecution().executedPlan()))
+    assert sizes and max(map(int, sizes)) <= 8000  # the JVM leaves longer methods to its interpreter
