@@ -410,11 +410,15 @@ def _reclaimed_mb() -> Column:
 
 
 KEY, ORDER = ["artifact_id"], ["line_no"]
+#: Columns of events that a summary reads.
+SUMMED = (
+    "artifact_id", "line_no", "kind", "elapsed_s", "event", "cause", "pause_type", "amount_ms", "before_bytes", "after_bytes", "capacity_bytes", "before_ratio", "after_ratio", "active", "available", "user_s", "sys_s", "real_s", "before", "after", "phase_kind", "signal_type", "used_kb", "committed_kb", "raw_line",
+)
 
 
 def summary(artifacts: DataFrame, lines: DataFrame) -> DataFrame:
     """The summary of parsed lines; see ``summary_of``. The typed events are stored once, so lines are parsed once for all that is read from them."""
-    return summary_of(collectors(artifacts), stored_events(lines))
+    return summary_of(collectors(artifacts), stored_events(lines, SUMMED))
 
 
 def _of(kind: str) -> Column:

@@ -203,3 +203,14 @@ def test_code_of_the_parser_is_small_enough_to_be_compiled(spark):
     debug = getattr(getattr(spark._jvm.org.apache.spark.sql.execution.debug, "package$"), "MODULE$")
     sizes = re.findall(r"maxMethodCodeSize:(\d+)", debug.codegenString(logs._single(lines, logs._kinds(), True)._jdf.queryExecution().executedPlan()))
     assert sizes and max(map(int, sizes)) <= 8000  # the JVM leaves longer methods to its interpreter
+
+
+def test_a_summary_stores_only_what_it_reads(spark, monkeypatch):
+    lines = spark.createDataFrame([("g", n, line) for n, line in enumerate(LOG, 1)], "artifact_id string, line_no int, line string")
+    every, held = logs.stored_events(lines), []
+    monkeypatch.setattr(logs, "stored", lambda df, name: held.append((name, df.columns)) or df)
+    found = logs.summary(spark.createDataFrame([("g", LOG[0])], "artifact_id string, content string"), lines)
+    assert dict(held)["gc-events"] and not {"mmu_2ms", "thread", "purpose", "signal", "phase", "abs_ts"} & set(dict(held)["gc-events"])
+    row = found.first()
+    assert row == logs.summary_of(logs.collectors(spark.createDataFrame([("g", LOG[0])], "artifact_id string, content string")), every).first()
+    assert (row["pause_count"], row["full_gc_count"], row["to_space_exhausted_count"], row["collector"], row["median_pause_ms"]) == (3, 1, 1, "G1", 12.5)
