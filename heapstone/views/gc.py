@@ -232,15 +232,16 @@ def pause_focus(events: DataFrame, selector: Selector) -> DataFrame:
     """Pauses by cause and type (contained text, any case): count, total, percentiles, maximum, their share of all pause time.
 
     Times are summed in whole nanoseconds, so that the order of the rows doesn't show in the last digits of total and share.
+    Percentiles are those of all ``n`` pauses, also of such that took 0 ms. ``all_ms`` is what the share is of.
     """
     paused = events.where(F.col("kind") == "pause").withColumn("_ns", F.col("amount_ms").cast("decimal(18,6)") * 1_000_000)
     rows = paused.where(selector.matching({"cause": "cause", "pausetype": "pause_type"}))
     sums = rows.groupBy(*KEY).agg(F.count("*").alias("n"), F.sum("_ns").cast("double").alias("_sum"), F.max("amount_ms").alias("max_ms"))
-    ranks = nearest_rank(rows.where("amount_ms > 0"), KEY, "amount_ms", {"p50_ms": 0.5, "p95_ms": 0.95, "p99_ms": 0.99})
+    ranks = nearest_rank(rows, KEY, "amount_ms", {"p50_ms": 0.5, "p95_ms": 0.95, "p99_ms": 0.99})
     overall = paused.groupBy(*KEY).agg(F.sum("_ns").cast("double").alias("_all"))
     shown = [F.col(c) for c in (*KEY, "n")], [F.col(c) for c in ("max_ms", *(c for c in ranks.columns if c not in KEY))]
     joined = sums.join(ranks, KEY, "left").join(overall, KEY)
-    return joined.select(*shown[0], (F.col("_sum") / 1_000_000).alias("total_ms"), *shown[1], ratio(F.col("_sum"), F.col("_all")).alias("share"))
+    return joined.select(*shown[0], (F.col("_sum") / 1_000_000).alias("total_ms"), *shown[1], (F.col("_all") / 1_000_000).alias("all_ms"), ratio(F.col("_sum"), F.col("_all")).alias("share"))
 
 
 def phase_focus(events: DataFrame, selector: Selector) -> DataFrame:

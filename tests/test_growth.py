@@ -137,6 +137,13 @@ def test_sums_of_pauses_do_not_show_their_order(spark):
     assert (found["n"], found["total_ms"], found["max_ms"], found["p95_ms"], found["share"]) == (3, 0.3, 0.1, 0.1, 0.3)
 
 
+def test_percentiles_of_a_focus_count_pauses_of_no_time(spark):
+    rows = [("g", "pause", "Metadata GC Threshold", "FULL", ms) for ms in (0.0, 0.0, 3.0, 5.0)] + [("h", "pause", "Metadata GC Threshold", "FULL", 0.0), ("h", "pause", "other", "YOUNG", 2.0)]
+    frame = spark.createDataFrame(rows, "artifact_id string, kind string, cause string, pause_type string, amount_ms double")
+    found = gc.pause_focus(frame, Selector.parse("cause=metadata; pauseType=full"))
+    assert {r["artifact_id"]: (r["n"], r["max_ms"], r["p50_ms"], r["p95_ms"], r["p99_ms"], r["share"]) for r in found.collect()} == {"g": (4, 5.0, 0.0, 5.0, 5.0, 1.0), "h": (1, 0.0, 0.0, 0.0, 0.0, 0.0)}
+
+
 def test_rules_of_an_incident_read_its_findings_once(spark):
     rng = random.Random(15)
     ids = sorted({x for rule in correlation.RULES for group in (*rule.needs, rule.blocked) for x in group if not x.startswith("state:")} | {"unknown"})

@@ -5,7 +5,10 @@ from __future__ import annotations
 from datetime import datetime, timedelta
 from hashlib import md5
 
-from heapstone.plans import joins, texts, timelines
+import pytest
+
+from heapstone.plans import joins, parsed, texts, timelines
+from heapstone.plans.base import SQL
 
 
 def stored(spark, tmp_path, **tables):
@@ -85,3 +88,15 @@ def test_windows_reach_the_last_event(spark, tmp_path):
     rows = [event(k, hours=24 * day, value=0.01) for k, day in enumerate((0, 1, 5, 29, 50, 71))]
     got = sorted(tuple(r) for r in joins.interval_overlap_join(spark, stored(spark, tmp_path, events=(rows, EVENT_COLUMNS))).collect())
     assert got == [(0, 2, 2), (4, 1, 1), (7, 1, 1), (10, 1, 1)]
+
+
+def test_pause_focus_gives_the_rows_of_its_sql(spark, tmp_path):
+    duckdb = pytest.importorskip("duckdb")
+    tie = [event(1, 1, value=0.41), event(2, 1, kind="view", value=5.99)]  # 41 / 640 = 0.0640625
+    short = [event(2 * k + 1, 2, value=v) for k, v in enumerate((0.0, 0.001, 3.0, 4.0, 5.0))]
+    none = [event(1, 3, value=0.0), event(3, 3, kind="purchase", value=0.0)]
+    path = stored(spark, tmp_path, events=(tie + short + none, EVENT_COLUMNS))
+    db = duckdb.connect()
+    db.sql(f"CREATE VIEW events AS FROM '{path}/events.parquet/*.parquet'")
+    got = sorted(map(str, (tuple(r) for r in parsed.gc_pause_focus(spark, path).collect())))
+    assert got == sorted(map(str, db.sql(SQL["gc_pause_focus"]).fetchall())) and len(got) == 3
