@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import re
+from collections.abc import Callable
 from dataclasses import dataclass, field
 
 from pyspark.sql import Column, DataFrame, Window
@@ -46,20 +47,43 @@ def snippet_lines(line_rows: DataFrame, keys: list[str], snippets: DataFrame) ->
     """keys, snippet, line_numbers: where each snippet of its key (keys, snippet) stands; a repeated snippet counts once.
 
     A word of a snippet between two others is a whole word of every line that holds the snippet, so the longest one joins it to the lines with
-    that word. A snippet that is a whole line joins by that line; only others of one or two words meet all lines of their key. Words go to that
-    join as hashes, without their line, which is joined again where a word meets; so the lines are not written once for each of their words.
+    that word; only snippets of one or two words meet all lines of their key. Words go to that join as hashes, without their line, which is
+    joined again where a word meets; so the lines are not written once for each of their words, and whole lines need no join of their own.
     """
     text, words = F.trim("snippet"), F.split(F.trim("snippet"), r"\s+")
     inner = F.array_max(F.transform(F.slice(words, 2, F.greatest(F.size(words) - 2, F.lit(0))), lambda w: F.struct(F.length(w).alias("n"), w.alias("w"))))["w"]
-    wanted = snippets.where(text != "").select(*keys, "snippet").distinct().withColumns({"_text": text, "_word": inner})
+    wanted = snippets.where(text != "").select(*keys, "snippet").distinct()
     numbered = line_rows.select(*keys, "line_no", "line")
-    whole = numbered.withColumn("_text", F.trim("line")).join(wanted, [*keys, "_text"]).select(*keys, "snippet", "line_no")
-    by_word = numbered.select(*keys, "line_no", F.explode(F.array_distinct(F.transform(F.split(F.trim("line"), r"\s+"), lambda w: F.xxhash64(w)))).alias("_hash"))
-    inside = wanted.where("_word IS NOT NULL").withColumn("_hash", F.xxhash64("_word"))
-    long = by_word.join(inside, [*keys, "_hash"]).join(numbered, [*keys, "line_no"]).where(F.col("line").contains(F.col("_text"))).select(*keys, "snippet", "line_no")
-    short = numbered.join(wanted.where("_word IS NULL"), keys).where((F.length("line") > F.length("_text")) & F.col("line").contains(F.col("_text"))).select(*keys, "snippet", "line_no")
-    every = whole.unionByName(long).unionByName(short)
-    return every.groupBy(*keys, "snippet").agg(F.array_sort(F.collect_set("line_no")).alias("line_numbers"))
+    by_word = numbered.select(*keys, "line_no", F.explode(F.array_distinct(F.transform(F.split(F.trim("line"), r"\s+"), lambda w: F.hash(w)))).alias("_hash"))
+    inside = wanted.where(F.size(words) > 2).withColumn("_hash", F.hash(inner))
+    long = by_word.join(inside, [*keys, "_hash"]).join(numbered, [*keys, "line_no"]).where(F.col("line").contains(text)).select(*keys, "snippet", "line_no")
+    short = numbered.join(wanted.where(F.size(words) <= 2), keys).where(F.col("line").contains(text)).select(*keys, "snippet", "line_no")
+    return long.unionByName(short).groupBy(*keys, "snippet").agg(F.array_sort(F.collect_set("line_no")).alias("line_numbers"))
+
+
+#: The lines of a text times its characters, up to which its snippets are matched where the text is read: a second or so.
+AT_ONCE = 500_000_000
+
+
+def matched_at_once(text: Column, most: int | None = None) -> Column:
+    """Whether ``own_snippet_lines`` should take a text whole; lines are counted only where the length leaves it open."""
+    size, most = F.length(text).cast("long"), AT_ONCE if most is None else most
+    return ((size + 1) * size <= most) | (F.size(F.split(text, r"\R", -1)) * size <= most)
+
+
+def own_snippet_lines(texts: DataFrame, keys: list[str], text: str, snippets: Callable[[Column], Column]) -> DataFrame:
+    """keys, snippet, line_numbers: where trimmed snippets of each text, which ``snippets`` makes from the array of its lines, stand on these lines.
+
+    Like ``snippet_lines`` for one text a key, but nothing is shuffled or written, whatever the text's words are; the work is the lines times the characters.
+    """
+
+    def found(lines: Column) -> Column:
+        wanted = F.array_distinct(F.filter(snippets(lines), lambda s: s != ""))
+        numbers = lambda s: F.filter(F.sequence(F.lit(1), F.size(lines)), lambda k: lines[k - 1].contains(s))
+        return F.filter(F.transform(wanted, lambda s: F.struct(s.alias("snippet"), numbers(s).alias("line_numbers"))), lambda x: F.size(x["line_numbers"]) > 0)
+
+    split = F.array(F.split(F.col(text), r"\R", -1))  # one element, so that it is a variable of ``found`` and split once
+    return texts.select(*keys, F.explode(F.transform(split, found)[0]).alias("_f")).select(*keys, "_f.snippet", "_f.line_numbers")
 
 
 def page(text: Column, offset: int, length: int = 4200) -> Column:

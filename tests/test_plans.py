@@ -2,11 +2,13 @@
 
 from __future__ import annotations
 
+import re
 from datetime import datetime, timedelta
 from hashlib import md5
 
 import pytest
 
+from heapstone.operators import context
 from heapstone.plans import joins, parsed, texts, timelines
 from heapstone.plans.base import SQL
 
@@ -50,6 +52,31 @@ def test_snippets_come_from_whole_texts_of_all_documents(spark, tmp_path):
     assert got == want and got[1, "three"] == [1, 2, 3, 5] and got[4, "last  gap here"] == [1, 2]
 
 
+DOCUMENTS = [
+    (1, "one two three four five\nx one two three four five y\nthree\n\nseveral of three"), (2, "a b\nza bz\n  a b  \n1 a b 0\n0 a b 1"), (3, "last  gap here\r\nblast  gap hereby\rlast gap here\n"), (4, None), (5, ""), (6, " \n "), (None, "none\nnone"),
+    (7, "beta gamma delta\nalpha beta gamma delta"), (7, "alpha beta gamma delta\nx\n\nx"), (7, "x"), (8, "short\nbreak in the start"), (9, "\u00e4\u00f6 \U0001f642 \u00fc\n\u00f6 \U0001f642"), (10, "x" * 30 + "\n" + "x" * 20), (10, None),
+]
+
+
+@pytest.mark.parametrize("most", [context.AT_ONCE, 300, 0])
+def test_snippets_of_long_texts_and_shared_ids_are_as_in_sql(spark, tmp_path, monkeypatch, most):
+    duckdb = pytest.importorskip("duckdb")
+    monkeypatch.setattr(context, "AT_ONCE", most)
+    path = stored(spark, tmp_path, documents=(DOCUMENTS, "doc_id long, text string"))
+    db = duckdb.connect()
+    db.sql(f"CREATE VIEW documents AS FROM '{path}/documents.parquet/*.parquet'")
+    want = db.sql(SQL["snippet_lines"]).fetchall()
+    got = [(r["doc_id"], r["snippet"], r["line_numbers"]) for r in texts.snippet_lines(spark, path).collect()]
+    assert sorted(map(str, got)) == sorted(map(str, want)) and (7, "x", [1, 2, 4]) in got
+
+
+def test_snippets_of_usual_texts_are_found_where_these_are_read(spark, tmp_path):
+    path = stored(spark, tmp_path, documents=([(k, f"start {k}\nstart {k} again") for k in range(20)], "doc_id long, text string"))
+    found = texts.snippet_lines(spark, path)
+    assert not {"Join", "Aggregate", "Exchange"} & set(re.findall("Join|Aggregate|Exchange", found._jdf.queryExecution().toString()))
+    assert {(r["doc_id"], r["snippet"]): r["line_numbers"] for r in found.collect()} == {(k, t): n for k in range(20) for t, n in ((f"start {k}", [1, 2]), (f"start {k} again", [2]))}
+
+
 EVENT_COLUMNS = "event_id long, ts timestamp_ntz, user_id long, event_type string, value double, props string"
 START = datetime(2024, 1, 1)
 
